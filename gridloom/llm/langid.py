@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, code_points, once, whole
+from .common import Index, code_points, once, tidy, whole
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -28,7 +28,9 @@ LONGEST = 30
 UNKNOWN = 1e-7
 ROUNDS = 1
 #: Characters of text that a worker looks at together.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
+#: Distinct words whose segmentations are held at once: some 100 MB.
+BLOCK_WORDS = 100_000
 #: Languages at most: bounds the model, which is broadcast (pieces x languages), and what EM sends to the driver.
 MOST_LANGUAGES = 500
 
@@ -142,6 +144,12 @@ def forward(lattice: Lattice, table: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def likelihoods(known: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
+    """``forward`` by blocks of words."""
+    blocks = (words[at : at + BLOCK_WORDS] for at in range(0, len(words), BLOCK_WORDS))
+    return np.concatenate([forward(known.lattice(block), table, len(block)) for block in blocks])
+
+
 def expected(lattice: Lattice, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, when word w occurs counts[w, l] times in language l."""
     out = np.zeros(table.shape)
@@ -215,8 +223,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
                     for name, counter in seen.items():
                         at = np.fromiter((words[w] for w in counter), np.int64, len(counter))
                         counts[at, number[name]] = np.fromiter(counter.values(), float, len(counter))
-                    if words:
-                        total += expected(known.lattice(list(words)), table, counts)
+                    names = list(words)
+                    for at in range(0, len(names), BLOCK_WORDS):
+                        total += expected(known.lattice(names[at : at + BLOCK_WORDS]), table, counts[at : at + BLOCK_WORDS])
+            tidy()
             piece, which = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(which, pa.int32()), pa.array(total[piece, which])], names=["piece", "lang", "uses"])
 
@@ -250,7 +260,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
             for part in _chunks(texts):
                 words: dict[str, int] = {}
                 each = [[words.setdefault(w, len(words)) for w in words_of(texts[i])] for i in part]
-                scores = forward(known.lattice(list(words)), table, len(words)) if words and languages else None
+                scores = likelihoods(known, table, list(words)) if words and languages else None
                 names, likely = [], []
                 for ids in each:
                     if not ids or scores is None:
@@ -263,6 +273,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
                     likely.append(float(1 / np.exp(total - total[best]).sum()))
                 kept = [c.slice(part.start, len(part)) for c in batch.columns[:last]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(likely, pa.float64())], names=[*batch.schema.names[:last], out, score])
+        tidy()
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField(out, StringType()), StructField(score, DoubleType())]))
 
