@@ -1,0 +1 @@
+"""A PySpark-native toolkit for messy tables and texts: cleaning, workflows, formulas, extraction, job history."""
