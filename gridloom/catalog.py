@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import cells
 from .operators import cleaning, dedupe, emails, history
@@ -277,3 +276,163 @@ query("history_cache_hit", f"select * from {_RUNS} where feature = 'CLICK' and i
 query("history_prune", f"select * from {_RUNS} order by timestamp desc, id desc limit 500")(lambda s, d: history.newest(runs(s, d), 500))
 query("history_expire", f"select * from {_RUNS} where timestamp >= 4000")(lambda s, d: history.since(runs(s, d), 4000))
 query("history_mark_run", f"select * replace (case when id = 7 then 99 else timestamp end as timestamp) from {_RUNS}")(lambda s, d: history.updated(runs(s, d), "id", 7, timestamp=99))
+
+# Workflows.
+from .operators import formula, invoices, records  # noqa: E402
+from .plans import workflow  # noqa: E402
+from .streaming import batches  # noqa: E402
+
+
+def part(s, d):
+    return cleaning.with_ordinals(load(s, d, "part").selectExpr("p_partkey", "p_name", "p_brand", "concat(p_size, '') as p_size")).withColumn(workflow.RID, F.col("p_partkey").cast("long"))
+
+
+_PART = "(select concat(p_partkey, '') as p_partkey, p_name, p_brand, concat(p_size, '') as p_size from part)"
+
+
+def filter_query(name, rule, value, column, sql):
+    query(name, f"select * from {_PART} where {sql}")(lambda s, d: workflow.filter_rows(part(s, d), value, rule, column).drop(workflow.RID))
+
+
+filter_query("flow_filter_contains", "contains", "BRAND#1", "p_brand", "lower(p_brand) like '%brand#1%'")
+filter_query("flow_filter_not", "not", "brand#1", "3", "lower(p_brand) not like '%brand#1%'")
+filter_query("flow_filter_equals", "equals", " 7 ", "P_SIZE", "p_size = '7'")
+filter_query("flow_filter_starts", "starts", "brand#2", "p_brand", "lower(p_brand) like 'brand#2%'")
+filter_query("flow_filter_any_column", "contains", "11", "", "contains(p_partkey, '11') or contains(p_name, '11') or contains(p_brand, '11') or contains(p_size, '11')")
+filter_query("flow_filter_not_any", "not", "1", "", "not (contains(p_partkey, '1') or contains(p_name, '1') or contains(p_brand, '1') or contains(p_size, '1'))")
+
+
+@query("flow_keep_columns", f"select p_brand, p_partkey from {_PART}")
+def _(s, d):
+    return workflow.keep_columns(part(s, d), "3, P_PARTKEY").drop(workflow.RID)
+
+
+def sort_query(name, column, descending, order):
+    def run(s, d):
+        ordered = workflow.sort_table(part(s, d), column, descending)
+        return cleaning.dense_ordinals(ordered, "place").select("p_partkey", (F.col("place") + 1).alias("place"))
+
+    query(name, f"select p_partkey, row_number() over (order by {order}) as place from {_PART}")(run)
+
+
+sort_query("flow_sort_numeric", "p_size", False, "try_cast(p_size as double), cast(p_partkey as bigint)")
+sort_query("flow_sort_text", "p_brand", False, "lower(regexp_replace(p_brand, '[^0-9.-]', '', 'g'))::double, cast(p_partkey as bigint)")
+sort_query("flow_sort_descending", "p_size", True, "try_cast(p_size as double) desc, cast(p_partkey as bigint) desc")
+
+
+@query("flow_text_to_table", "select concat('', event_id) as id, event_type as type, concat('u', user_id) as who from events where event_id > 0")
+def _(s, d):
+    lines = load(s, d, "events").select(F.col("event_id").alias("doc_id"), F.when(F.col("event_id") == 0, "id; type ;who").otherwise(F.concat_ws(" ; ", "event_id", "event_type", F.concat(F.lit("u"), "user_id"))).alias("text"))
+    return workflow.text_to_table(lines).drop(workflow.RID)
+
+
+@query("flow_table_to_text", "select -1::bigint as doc_id, 'r_name | r_regionkey' as text union all select r_regionkey::bigint, concat(r_name, ' | ', r_regionkey) from region")
+def _(s, d):
+    df = load(s, d, "region").select(F.col("r_regionkey").cast("long").alias(workflow.RID), "r_name", F.col("r_regionkey").cast("string"))
+    return workflow.table_to_text(df, "pipe")
+
+
+@query("flow_clean_text", r"select doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x), ' {2,}', ' ', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') as text from documents")
+def _(s, d):
+    return load(s, d, "documents").select("doc_id", workflow.tidy_text(F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("  \r\n"))).alias("text"))
+
+
+@query("flow_find_replace", "select doc_id, regexp_replace(text, 'the', 'T$1', 'gi') as text, len(regexp_extract_all(text, '(?i)the'))::int as n from documents")
+def _(s, d):
+    text, n = workflow.find_replace(F.col("text"), "the", "T$1")
+    return load(s, d, "documents").select("doc_id", text.alias("text"), n.alias("n"))
+
+
+# Formulas over columns; the evaluator's own values are tested by their published results.
+@query("formula_stats", "select l_returnflag, sum(l_quantity) as total, avg(l_quantity) as mean, min(l_quantity) as low, max(l_quantity) as high, median(l_quantity) as middle, quantile_cont(l_quantity, 0.9) as p90, var_samp(l_quantity) as var, stddev_pop(l_quantity) as sd from lineitem group by 1")
+def _(s, d):
+    q = F.col("l_quantity")
+    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.sum(q).alias("total"), F.avg(q).alias("mean"), F.min(q).alias("low"), F.max(q).alias("high"), F.median(q).alias("middle"), F.percentile(q, F.lit(0.9)).alias("p90"), F.var_samp(q).alias("var"), F.stddev_pop(q).alias("sd"))
+
+
+@query("formula_countif_sumif", "select l_returnflag, count(*) filter (l_quantity >= 30) as countif, sum(case when l_quantity >= 30 then l_quantity end) as sumif, avg(l_quantity) filter (l_quantity < 10) as averageif from lineitem group by 1")
+def _(s, d):
+    q = F.col("l_quantity")
+    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(q >= 30).alias("countif"), F.sum(F.when(q >= 30, q)).alias("sumif"), F.avg(F.when(q < 10, q)).alias("averageif"))
+
+
+@query("formula_mode", "select l_returnflag, l_quantity as value from (select l_returnflag, l_quantity, row_number() over (partition by l_returnflag order by count(*) desc, l_quantity) as n from lineitem group by 1, 2) where n = 1")
+def _(s, d):
+    counts = load(s, d, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    return counts.groupBy("l_returnflag").agg(F.max_by("l_quantity", F.struct("n", -F.col("l_quantity"))).alias("value"))
+
+
+@query("formula_mod", "select p_partkey, p_size - (-7.0) * floor(p_size / -7.0) as value from part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", (F.col("p_size") - F.lit(-7.0) * F.floor(F.col("p_size") / -7.0)).cast("double").alias("value"))
+
+
+@query("formula_workbook", "select concat('p', p_partkey) as sheet, cast(p_size * 2 + 1 as varchar) as display from part")
+def _(s, d):
+    base = load(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("sheet"), F.col("p_size").cast("string").alias("size"))
+    cells_ = base.select("sheet", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("size").alias("input")), F.struct(F.lit(1).alias("row"), F.lit(0).alias("col"), F.lit("=SUM(A1,A1)").alias("input")), F.struct(F.lit(2).alias("row"), F.lit(0).alias("col"), F.lit("=IF(A2>=0,A2+1,0)").alias("input")))).alias("c")).select("sheet", "c.*")
+    return formula.recalculate(cells_).where("row = 2").select("sheet", "display")
+
+
+# Web pages.
+@query("html_title", r"select page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') as title from pages".replace('\\"', '"'))
+def _(s, d):
+    return load(s, d, "pages").select("page_id", records.page_title(F.col("html")).alias("title"))
+
+
+@query("html_links", """select page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1), lambda x: trim(x) <> ''))) as link from pages""")
+def _(s, d):
+    return load(s, d, "pages").select("page_id", F.explode(records.links(F.col("html"))).alias("link"))
+
+
+@query("html_text")
+def _(s, d):
+    return load(s, d, "pages").select("page_id", records.visible_text(F.col("html")).alias("text"))
+
+
+def _shop(s, d):
+    """A page with a table and a page with cards for each nation."""
+    n = load(s, d, "nation")
+    rows = F.concat(*[F.concat(F.lit("<tr><td>"), F.lit(k), F.lit("</td><td>"), F.col("n_name"), F.lit("</td></tr>")) for k in ("a", "b")])
+    cards = F.concat(*[F.concat(F.lit(f'<li class="card"><h3>{k} '), F.col("n_name"), F.lit('</h3><a href="/i/'), F.col("n_nationkey").cast("string"), F.lit(f'">go</a><p>Text {k}</p><span class="price">$1'), F.col("n_nationkey").cast("string"), F.lit(".50</span></li>")) for k in ("A", "B", "C")])
+    return n.select(F.concat(F.lit("https://x.example/"), "n_nationkey").alias("url"), F.concat(F.lit("<html><title>t</title><table>"), rows, F.lit("</table><ul>"), cards, F.lit("</ul></html>")).alias("html"))
+
+
+@query("html_tables", "select concat('https://x.example/', n_nationkey) as url, r as row, k as first, n_name as second from nation, (values (0, 'a'), (1, 'b')) t(r, k)")
+def _(s, d):
+    return records.page_tables(_shop(s, d)).select("url", "row", F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("second"))
+
+
+@query("html_cards", "select concat('https://x.example/', n_nationkey) as url, concat(k, ' ', n_name) as name, concat('Text ', k) as description, concat('$1', n_nationkey, '.50') as price, concat('https://x.example/i/', n_nationkey) as link from nation, (values ('A'), ('B'), ('C')) t(k)")
+def _(s, d):
+    return records.extract(_shop(s, d)).select("url", "name", "description", "price", "link")
+
+
+# Invoices: an order with its lines, some figures left out.
+def _invoices(s, d):
+    money = lambda c: F.format_string("%.2f", c)
+    lines = load(s, d, "lineitem").select("l_orderkey", F.floor("l_quantity").alias("q"), (F.col("l_orderkey") % 90 + F.col("l_linenumber")).cast("double").alias("p"), "l_linenumber")
+    item = F.struct(F.concat(F.lit("line "), "l_linenumber").alias("description"), F.col("q").cast("string").alias("quantity"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(money(F.col("p"))).alias("unit_price"), F.when(F.col("l_linenumber") % 3 == 1, "").otherwise(money(F.col("q") * F.col("p"))).alias("amount"))
+    return lines.groupBy("l_orderkey").agg(F.collect_list(item).alias("items")).select(F.col("l_orderkey").alias("id"), "items", F.lit("").alias("subtotal"), F.lit("10.00").alias("tax"), F.lit("").alias("total"))
+
+
+@query("invoice_gap_fill", "select l_orderkey as id, printf('%.2f', sum(floor(l_quantity) * (l_orderkey % 90 + l_linenumber))) as subtotal, printf('%.2f', sum(floor(l_quantity) * (l_orderkey % 90 + l_linenumber)) + 10) as total from lineitem group by 1")
+def _(s, d):
+    return invoices.fill_gaps(_invoices(s, d)).select("id", "subtotal", "total")
+
+
+@query("invoice_export", "select l_orderkey as id, concat('line ', l_linenumber) as description, printf('%.2f', floor(l_quantity) * (l_orderkey % 90 + l_linenumber)) as amount from lineitem")
+def _(s, d):
+    return invoices.export_rows(invoices.fill_gaps(_invoices(s, d)), "id").select("id", "description", "amount")
+
+
+@query("invoice_totals_check", "select o_orderkey as id, abs(o_totalprice + 1 - (o_totalprice + o_orderkey % 40)) > greatest(0.02, greatest(abs(o_totalprice + 1), abs(o_totalprice + o_orderkey % 40)) * 0.01) as totals_review from (select o_orderkey, o_orderkey % 2000 + 0.0 as o_totalprice from orders)")
+def _(s, d):
+    base = F.col("o_orderkey") % 2000
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array().cast(f"array<{invoices.ITEM}>").alias("items"), base.cast("string").alias("subtotal"), F.lit("1.00").alias("tax"), (base + F.col("o_orderkey") % 40).cast("string").alias("total"))
+    return invoices.checked(rows).select("id", "totals_review")
+
+
+@query("event_counts", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2")
+def _(s, d):
+    return batches.event_counts(load(s, d, "events"))

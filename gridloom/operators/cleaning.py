@@ -20,6 +20,18 @@ RID = "__rid"
 SAMPLE, SHARE = 50, 0.8
 
 
+def dense_ordinals(ordered: DataFrame, out: str = RID) -> DataFrame:
+    """Places from 0 on along the order of a sorted DataFrame: places in its partitions plus what lies before them.
+
+    Only the partitions' sizes go through one task, and they are what is broadcast: a row for each partition.
+    """
+    placed = ordered.withColumn("__m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright(F.col("__m"), 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return placed.join(F.broadcast(before), part == F.col("__p")).withColumn(out, F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__b")
+
+
 @dataclass(frozen=True)
 class Rule:
     """What one column asks for."""
