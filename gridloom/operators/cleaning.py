@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cells
 from . import dedupe
+from .lineage import cut
 
 RID = "__rid"
 SAMPLE, SHARE = 50, 0.8
@@ -25,7 +26,7 @@ def dense_ordinals(ordered: DataFrame, out: str = RID) -> DataFrame:
 
     Only the partitions' sizes go through one task, and they are what is broadcast: a row for each partition.
     """
-    placed = ordered.withColumn("__m", F.monotonically_increasing_id()).checkpoint()
+    placed = cut(ordered.withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("__m"), 33)
     sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
@@ -200,6 +201,8 @@ def clean(df: DataFrame, o: Options = Options(), types: dict[str, str] | None =
     elif o.missing == "REMOVE_ROW":
         gaps = reduce(lambda a, b: a | b, [cells.blank(f"`{c}`") for c in (o.required or names)], F.lit(False))
         out = out.withColumn("__drop", F.col("__drop") | gaps)
+    # Written once: filters on cleaned cells would else be pushed below the cleaning and repeat it, as would each use below.
+    out = cut(out)
     invalid = out.select(RID, F.explode("__bad").alias("b")).select(RID, "b.*")
     if o.drop_empty:
         out = out.where(reduce(lambda a, b: a | b, [~cells.blank(f"`{c}`") for c in names], F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import ws_trim
+from .lineage import cut
 
 
 def keep_first(df: DataFrame, keys: list[str], rid: str, normalised: bool = False) -> DataFrame:
@@ -57,8 +58,8 @@ def drop_similar(df: DataFrame, keys: list[str], rid: str, threshold: float = 0.
     """
     key = reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.lower(ws_trim(F.coalesce(F.col(k), F.lit("")))) for k in keys])
     keyed = df.select(F.col(rid).alias("rid"), key.alias("key"))
-    distinct = keyed.groupBy("key").agg(F.min("rid").alias("rid")).select("rid", "key").checkpoint()
-    pairs = _pairs(distinct, threshold).checkpoint()
+    distinct = cut(keyed.groupBy("key").agg(F.min("rid").alias("rid")).select("rid", "key"))
+    pairs = cut(_pairs(distinct, threshold))
     dropped, kept = None, None
     open_ = pairs
     for _ in range(rounds):
@@ -66,9 +67,9 @@ def drop_similar(df: DataFrame, keys: list[str], rid: str, threshold: float = 0.
             break
         waiting = open_.select(F.col("b").alias("r")).distinct()
         stays = open_.select(F.col("a").alias("r")).distinct().join(waiting, "r", "left_anti")
-        goes = open_.join(stays, F.col("a") == F.col("r"), "left_semi").select(F.col("b").alias("r")).distinct().checkpoint()
+        goes = cut(open_.join(stays, F.col("a") == F.col("r"), "left_semi").select(F.col("b").alias("r")).distinct())
         dropped = goes if dropped is None else dropped.unionAll(goes)
         gone = goes.unionAll(stays)
-        open_ = open_.join(gone.select(F.col("r").alias("a")), "a", "left_anti").join(goes.select(F.col("r").alias("b")), "b", "left_anti").select("a", "b").checkpoint()
+        open_ = cut(open_.join(gone.select(F.col("r").alias("a")), "a", "left_anti").join(goes.select(F.col("r").alias("b")), "b", "left_anti").select("a", "b"))
     firsts = distinct if dropped is None else distinct.join(dropped, F.col("rid") == F.col("r"), "left_anti")
     return df.join(firsts.select(F.col("rid").alias(rid)), rid, "left_semi")

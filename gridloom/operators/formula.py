@@ -573,15 +573,33 @@ def evaluate(formula: str, inputs: dict[tuple[int, int], str] | None = None):
 
 
 def recalculate(cells: DataFrame) -> DataFrame:
-    """(sheet, row, col, input) to (sheet, row, col, input, display) with every formula worked out."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        sheet = Sheet({(int(r), int(c)): t or "" for r, c, t in zip(part["row"], part["col"], part["input"])})
-        part["display"] = [shown(sheet.value((int(r), int(c)))) if (t or "").startswith("=") else (t or "").removeprefix("'") for r, c, t in zip(part["row"], part["col"], part["input"])]
-        return part
-
-    chosen = cells.select("sheet", F.col("row").cast("int"), F.col("col").cast("int"), F.col("input").cast("string"))
-    return chosen.groupBy("sheet").applyInPandas(run, "sheet string, row int, col int, input string, display string")
+    """(sheet, row, col, input) to (sheet, row, col, input, display) with every formula worked out.
+
+    Sheets are dealt by name and read one after the other from sorted partitions, so that many small sheets share a batch
+    and a worker holds one sheet at a time. Null names are one sheet.
+    """
+
+    def shown_rows(name, rows):
+        sheet = Sheet({(r, c): t for r, c, t in rows})
+        return [(name, r, c, t, shown(sheet.value((r, c))) if t.startswith("=") and len(t) > 1 else t.removeprefix("'")) for r, c, t in rows]
+
+    def run(batches):
+        name, rows, out = None, [], []
+        for batch in batches:
+            for s, r, c, t in zip(*(batch[k] for k in ("sheet", "row", "col", "input"))):
+                if s != name and rows:
+                    out += shown_rows(name, rows)
+                    rows = []
+                    if len(out) > 10_000:
+                        yield pd.DataFrame(out, columns=["sheet", "row", "col", "input", "display"])
+                        out = []
+                name = s
+                rows.append((int(r), int(c), t or ""))
+        out += shown_rows(name, rows)
+        yield pd.DataFrame(out, columns=["sheet", "row", "col", "input", "display"])
+
+    chosen = cells.select(F.coalesce(F.col("sheet"), F.lit("")).alias("sheet"), F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce(F.col("input").cast("string"), F.lit("")).alias("input"))
+    return chosen.repartition("sheet").sortWithinPartitions("sheet").mapInPandas(run, "sheet string, row int, col int, input string, display string")
 
 
 def used_range(cells: DataFrame) -> DataFrame:

@@ -16,15 +16,19 @@ ITEM = "struct<description:string,quantity:string,unit_price:string,amount:strin
 def fill_items(items: Column) -> Column:
     """The one that is blank of quantity, price and amount from the two others; never by a division by zero."""
 
-    def fill(x):
-        q, p, a = (parse_number(x[n]) for n in ("quantity", "unit_price", "amount"))
+    numbers = lambda x: F.struct(x.alias("x"), *[parse_number(x[n]).alias(k) for k, n in (("q", "quantity"), ("p", "unit_price"), ("a", "amount"))])
+
+    def fill(r):
+        x, q, p, a = r["x"], r["q"], r["p"], r["a"]
+        gone = {n: ~F.coalesce(x[n], F.lit("")).rlike(r"\S") for n in ("quantity", "unit_price", "amount")}
         ratio = lambda n, d: F.when(d != 0, format_number(F.try_divide(n, d)))
-        amount = F.when(blank(x["amount"]), format_number(q * p))
-        price = F.when(blank(x["unit_price"]) & ~blank(x["amount"]), ratio(a, q))
-        quantity = F.when(blank(x["quantity"]) & ~blank(x["unit_price"]) & ~blank(x["amount"]), ratio(a, p))
+        amount = F.when(gone["amount"], format_number(q * p))
+        price = F.when(gone["unit_price"] & ~gone["amount"], ratio(a, q))
+        quantity = F.when(gone["quantity"] & ~gone["unit_price"] & ~gone["amount"], ratio(a, p))
         return F.struct(x["description"].alias("description"), F.coalesce(quantity, x["quantity"]).alias("quantity"), F.coalesce(price, x["unit_price"]).alias("unit_price"), F.coalesce(amount, x["amount"]).alias("amount"))
 
-    return F.transform(items, fill)
+    # Numbers are read once, in a first pass over the items.
+    return F.transform(F.transform(items, numbers), fill)
 
 
 def items_sum(items: Column) -> Column:

@@ -81,7 +81,7 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES and self.at.tag in CLOSES[tag]:
+        while tag in CLOSES and self.at.tag in CLOSES[tag]:
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
