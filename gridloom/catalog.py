@@ -436,3 +436,29 @@ def _(s, d):
 @query("event_counts", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2")
 def _(s, d):
     return batches.event_counts(load(s, d, "events"))
+
+# Receipts and scanned tables, composed from orders and nations.
+from .operators import layout, receipts  # noqa: E402
+
+
+def _receipts(s, d):
+    o = load(s, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"), (F.col("o_orderkey") % 90 + 10).cast("string").alias("a"))
+    text = F.concat(F.lit("Corner Shop\nInvoice No: INV-"), "k", F.lit("\nDate: 05/06/2024\nBill To:\nBuyer "), "k", F.lit("\nCoffee beans   2   3.50   7.00\nTea - "), "a", F.lit(".25\nSubtotal: "), "a", F.lit(".00\nTax 1.00\nGrand Total: "), "a", F.lit(".99\nTill: 4\n"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+@query("invoice_parse", "select o_orderkey as doc_id, concat('INV-', o_orderkey) as number, 'Corner Shop' as company, concat('Buyer ', o_orderkey) as customer, '05/06/2024' as day, concat(o_orderkey % 90 + 10, '.00') as subtotal, '1.00' as tax, concat(o_orderkey % 90 + 10, '.99') as total, '4' as till, concat('Coffee beans|2|3.50|7.00;Tea|||', o_orderkey % 90 + 10, '.25') as items from orders")
+def _(s, d):
+    got = receipts.extract(_receipts(s, d))
+    of = lambda name: F.try_element_at(F.map_from_entries("fields"), F.lit(name))
+    items_ = F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["description"], x["quantity"], x["unit_price"], x["amount"])), ";")
+    return got.select("doc_id", of("Invoice Number").alias("number"), of("Company").alias("company"), of("Customer").alias("customer"), of("Date").alias("day"), "subtotal", "tax", "total", of("Till").alias("till"), items_.alias("items"))
+
+
+@query("ocr_layout_table", "select n_nationkey::bigint as page_id, concat('Key', chr(9), 'Name', chr(10), n_nationkey, chr(9), n_name, chr(10), n_regionkey, chr(9), 'region') as text from nation")
+def _(s, d):
+    cell = lambda text, x, y: F.struct(text.alias("text"), F.lit(x).alias("left"), F.lit(y).alias("top"), F.lit(x + 80).alias("right"), F.lit(y + 20).alias("bottom"))
+    grid = (("Key", "Name"), ("n_nationkey", "n_name"), ("n_regionkey", "region"))
+    text = lambda t: F.col(t).cast("string") if t.startswith("n_") else F.lit(t)
+    words = F.array(*[cell(text(t), 10 + 300 * j, 10 + 30 * i) for i, r in enumerate(grid) for j, t in enumerate(r)])
+    return layout.extract(load(s, d, "nation").select(F.col("n_nationkey").alias("page_id"), words.alias("words"), F.lit("none").alias("text")))

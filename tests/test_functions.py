@@ -197,3 +197,21 @@ def test_batches(spark, tmp_path):
     pauses = []
     assert batches.with_retry(work, sleep=pauses.append) == "done" and pauses == [0.5, 1.0]
     assert [batches.backoff_ms(i) for i in range(6)] == [500, 1000, 2000, 4000, 8000, 8000]
+
+
+def test_receipts():
+    from gridloom.operators import receipts
+
+    fields, items = receipts.parse("TAX INVOICE\nCorner Shop\nSubtotal: 100.00\nGrand Total: 118.00\nGST 18.00\nDue date 01/02/2024\nDate: 5 Jan 2024\nTax ID: AB-12\nCoffee  2  3.50  7.00\nTea: 4.25\nServed by\nAnn\nSeat: 9")
+    assert fields["Subtotal"] == "100.00" and fields["Company"] == "Corner Shop" and fields["Date"] == "5 Jan 2024" and fields["Cashier"] == "Ann"
+    assert items == [("Coffee", "2", "3.50", "7.00"), ("Tea", "", "", "4.25")] and receipts.parse(None) == ({}, [])
+    assert receipts.items_from_text(receipts.items_text([("a", "2", "3.50", "7.00")]) + "\nb | x | | 1") == [("a", "2", "3.50", "7.00"), ("b", "", "", "1")]
+
+
+def test_layout():
+    from gridloom.operators import layout
+
+    word = lambda t, x, y, w=60: (t, x, y, x + w, y + 20)
+    page = [word("Report", 0, 0), word("of", 70, 0, 20), word("May", 100, 0)] + [word(t, 300 * j, 60 + 30 * i) for i, r in enumerate((("Item", "Price"), ("Tea", "4.00"), ("Cake", "2.00"))) for j, t in enumerate(r)] + [word("big", 0, 150), word("Bye", 0, 400)]
+    assert layout.layout_text(page) == "Report of May\n\nItem\tPrice\nTea\t4.00\nCake\t2.00\n\nbig\nBye"
+    assert layout.layout_text(page[:4], "few") == "few" and layout.table_rows("x\na\tb\ny\nc\td\te") == [["a", "b", ""], ["", "", ""], ["c", "d", "e"]]
