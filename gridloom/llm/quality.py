@@ -229,7 +229,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, lang, trusted, perplexity, threshold, keep.
+    """One row for each row of ``docs``: doc_id, lang, trusted, perplexity, threshold, kept.
 
     ``trusted`` has the doc_id of the documents to train on; ids that are null or not in ``docs`` are ignored. Null and
     empty texts have no perplexity and are not kept. A language without enough trusted documents, and a null one, have
@@ -247,4 +247,4 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
     threshold = F.coalesce("threshold", F.lit(overall["threshold"] if overall else None).cast("double"))
     out = scored.join(own, "lang", "left").withColumn("threshold", threshold)
     keep = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
-    return out.select("doc_id", "lang", "trusted", "perplexity", "threshold", keep.alias("keep"))
+    return out.select("doc_id", "lang", "trusted", "perplexity", "threshold", keep.alias("kept"))

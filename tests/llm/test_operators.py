@@ -295,17 +295,17 @@ def test_quality_by_brute_force(spark, shard_rows):
     for r in got:
         t = dict((x[0], x[1]) for x in rows)[r.doc_id]
         if not t:
-            assert r.perplexity is None and r.keep is False
+            assert r.perplexity is None and r.kept is False
             continue
         padded = quality.PAD * 2 + t
         want = np.exp(-sum(np.log(p(padded[i : i + 3])) for i in range(len(t))) / len(t))
         assert np.isclose(r.perplexity, want, rtol=1e-9), (r, want)
-    assert all(r.keep for r in got if r.trusted or r.doc_id in (103, 104)) and not any(r.keep for r in got if r.doc_id in (100, 105))
+    assert all(r.kept for r in got if r.trusted or r.doc_id in (103, 104)) and not any(r.kept for r in got if r.doc_id in (100, 105))
 
 
 def test_quality_without_trusted_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
-    assert {r.keep for r in quality.classify(docs(spark, [(1, "a text", "en", "a")]), none, order=3).collect()} == {True}
+    assert {r.kept for r in quality.classify(docs(spark, [(1, "a text", "en", "a")]), none, order=3).collect()} == {True}
     assert quality.classify(docs(spark, []), none, order=3).count() == 0
 
 
