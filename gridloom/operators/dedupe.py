@@ -45,8 +45,9 @@ def _pairs(keyed: DataFrame, threshold: float) -> DataFrame:
     at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - F.col("size")))
     offers = offers.withColumn("p", F.explode(at)).select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n"), "m", "d", F.col("p"), F.expr("substring(key, p + 1, size)").alias("part"))
     met = short.join(offers, (short["n"] == offers["m"]) & (short["part"] == offers["part"])).where((F.col("rid") != F.col("other")) & (F.abs(F.col("at") - F.col("p")) <= F.col("d")))
-    lev = F.levenshtein(F.col("key"), F.col("other_key"))
-    near = met.where(F.when(F.col("other_n") == 0, True).otherwise(1.0 - lev / F.greatest("n", "other_n") >= threshold))
+    # Beyond d edits a pair is too far apart: the distance is then -1 and was not worked out to its end.
+    met = met.withColumn("edits", F.expr("levenshtein(key, other_key, d)"))
+    near = met.where(F.when(F.col("other_n") == 0, True).otherwise((F.col("edits") >= 0) & (1.0 - F.col("edits") / F.greatest("n", "other_n") >= threshold)))
     return near.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 
