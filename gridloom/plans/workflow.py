@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import cleaning, emails
-from ..sources import files
+from ..sources import files, pdf
 
 RID = cleaning.RID
 NONE, TEXT, TABLE, EMAILS = "NONE", "TEXT", "TABLE", "EMAILS"
@@ -195,6 +195,42 @@ def extract_emails(data: Data) -> DataFrame:
     return emails.extract(text, "text").select(F.explode("emails").alias("email")).distinct()
 
 
+def layout_style(data: Data, chosen: str = "auto") -> str:
+    """How a document looks: as chosen, else a table for tables, a book for texts with headings, columns for those with tabs."""
+    if chosen != "auto":
+        return chosen
+    if data.kind != TEXT:
+        return "table" if data.kind == TABLE else "plain"
+    marks = data.df.agg(F.bool_or(F.col("text").rlike(r"(?m)^#{1,3} ")).alias("book"), F.bool_or(F.contains("text", F.lit("\t"))).alias("tabs")).first()
+    return "book" if marks["book"] else "table" if marks["tabs"] else "plain"
+
+
+def export_parts(s: Step, data: Data) -> None:
+    """A workbook, document or PDF in parts: rows in order, each part with the header; texts by doc_id, in cells at tabs
+    (workbooks) or as they are."""
+    df, text = data.df, data.kind == TEXT
+    order = next((c for c in (RID, "doc_id", "email") if c in df.columns), None)
+    names = ["text"] if text else [c for c in df.columns if c != RID]
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    rows = (df.orderBy(order) if order else df).select(F.array(*map(cell, names)).alias("cells"))
+    if s.kind == "EXPORT_XLSX":
+        tabs = text and bool(df.agg(F.bool_or(F.contains("text", F.lit("\t"))).alias("x")).first()["x"])
+        if text:
+            lines = rows.select(F.explode(F.split(F.get("cells", F.lit(0)), r"\r\n|\n|\r", -1)).alias("line"))
+            rows = lines.select((F.split("line", "\t", -1) if tabs else F.array("line")).alias("cells"))
+        head = [] if tabs else [["Text"] if text else names]
+        files.write_parts(rows, s.opt("path"), "xlsx", lambda held: files.xlsx_bytes({"Workflow": head + held}))
+        return
+    style = layout_style(data, s.opt("style", "auto"))
+    if data.kind == TABLE and style == "plain":
+        rows = rows.select(F.transform("cells", cells.guarded).alias("cells"))
+        head, line = [files.csv_line(list(df.sparkSession.range(1).select(*[cells.guarded(F.lit(n)) for n in names]).first()))], files.csv_line
+    else:
+        head, line = ["\t".join(names)] if data.kind == TABLE else [], "\t".join
+    made = (lambda t: files.docx_bytes(t.split("\n"), style)) if s.kind == "EXPORT_DOCX" else (lambda t: (pdf.book_pdf(t) if style == "book" else pdf.text_pdf(t, style == "table"))[0])
+    files.write_parts(rows, s.opt("path"), s.kind[7:].lower(), lambda held: made(re.sub(r"\r\n?", "\n", "\n".join(head + [line(c) for c in held]))))
+
+
 def run_step(spark: SparkSession, s: Step, data: Data) -> Data:
     df = data.df
     if s.kind == "PASTE_TEXT":
@@ -231,6 +267,9 @@ def run_step(spark: SparkSession, s: Step, data: Data) -> Data:
     if s.kind in ("EXPORT_CSV", "EXPORT_TXT"):
         (files.write_csv if s.kind == "EXPORT_CSV" else files.write_text)(df, s.opt("path"))
         return Data(NONE)
+    if s.kind in ("EXPORT_XLSX", "EXPORT_DOCX", "EXPORT_PDF"):
+        export_parts(s, data)
+        return Data(NONE)
     raise PlanError(f"{s.kind} needs a device or a format library that is not available")
 
 

@@ -9,11 +9,14 @@ import codecs
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +108,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("length(value) > 0").withColumnRenamed("value", "Text")
 
 
+def csv_line(fields: list[str]) -> str:
+    return ",".join('"' + f.replace('"', '""') + '"' if re.search(r'[",\r\n]', f) else f for f in fields)
+
+
 def write_csv(df: DataFrame, path: str, rid: str = "__rid") -> None:
     """Every cell guarded against being read as a formula; rows by ordinal in ranges."""
     body = df.orderBy(rid).drop(rid) if rid in df.columns else df
@@ -278,13 +285,38 @@ def docx_text(data: bytes) -> str:
     return "".join(out).rstrip("\n")
 
 
-def docx_bytes(paragraphs: list[str]) -> bytes:
+def _paragraph(text: str, before: str = "", look: str = "") -> str:
+    parts = "<w:tab/>".join(f'<w:t xml:space="preserve">{escape(ILLEGAL.sub("", x))}</w:t>' for x in text.split("\t"))
+    return f"<w:p>{before}<w:r>{look}{parts}</w:r></w:p>"
+
+
+def _word_table(lines: list[str]) -> str:
+    rows = [x.split("\t") for x in lines]
+    width = max(map(len, rows))
+    edges = "".join(f'<w:{e} w:val="single" w:sz="4" w:space="0" w:color="808080"/>' for e in ("top", "left", "bottom", "right", "insideH", "insideV"))
+    body = "".join(f"<w:tr>{''.join(f'<w:tc><w:tcPr><w:tcW w:w={chr(34)}{9000 // width}{chr(34)} w:type={chr(34)}dxa{chr(34)}/></w:tcPr>{_paragraph(c)}</w:tc>' for c in r + [''] * (width - len(r)))}</w:tr>" for r in rows)
+    return f'<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/><w:tblBorders>{edges}</w:tblBorders></w:tblPr><w:tblGrid>{f"<w:gridCol w:w={chr(34)}{9000 // width}{chr(34)}/>" * width}</w:tblGrid>{body}</w:tbl><w:p/>'
+
+
+def _book_part(block: str) -> str:
+    level = min(3, len(re.match("#*", block)[0]))
+    if not level:
+        return _paragraph(block.replace("\n", " "), '<w:pPr><w:spacing w:after="160"/></w:pPr>')
+    centre = '<w:jc w:val="center"/>' if level == 1 else ""
+    return _paragraph(block[level:].strip(), f'<w:pPr><w:keepNext/><w:spacing w:before="280" w:after="140"/>{centre}</w:pPr>', f'<w:rPr><w:b/><w:sz w:val="{(40, 32, 28)[level - 1]}"/></w:rPr>')
+
+
+def docx_bytes(paragraphs: list[str], style: str = "plain") -> bytes:
+    """A document: a paragraph for each line; style ``table`` makes runs of lines with tabs tables, ``book`` has headings."""
+    if style == "book":
+        body = "".join(_book_part(b.strip()) for b in "\n".join(paragraphs).split("\n\n") if b.strip())
+    else:
+        body = "".join(_word_table(list(run)) if tabbed else "".join(map(_paragraph, run)) for tabbed, run in groupby(paragraphs, lambda p: style == "table" and "\t" in p))
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    run = lambda t: "<w:r><w:tab/></w:r>".join(f'<w:r><w:t xml:space="preserve">{escape(ILLEGAL.sub("", x))}</w:t></w:r>' for x in t.split("\t"))
     parts = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
         "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{"".join(f"<w:p>{run(p)}</w:p>" for p in paragraphs)}</w:body></w:document>',
+        "word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}<w:sectPr/></w:body></w:document>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -293,6 +325,61 @@ def docx_bytes(paragraphs: list[str]) -> bytes:
     return out.getvalue()
 
 
+#: Lines of a part of a file that is written in parts, unless a single text has more.
+PART_LINES = 100_000
+
+
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file through Hadoop's file systems, so that a path may be remote."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for n in range(0, len(data), 1 << 22):
+            stream.write(bytearray(data[n : n + (1 << 22)]))
+    finally:
+        stream.close()
+
+
+def write_parts(rows: DataFrame, path: str, extension: str, make: Callable[[list[list[str]]], bytes], part_lines: int = PART_LINES) -> int:
+    """A folder of files made from ``rows`` (cells array<string>), in the order of their partitions; the number of files.
+
+    Tasks make the files, each of at most ``part_lines`` lines (a cell may have several; one row is never parted); the
+    driver holds one at a time. Files that the folder held before go.
+    """
+    from ..operators.lineage import cut
+
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part, held, lines = TaskContext.get().partitionId(), 0, [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([make(held)], pa.binary())], names=["task", "part", "data"])
+
+        for batch in batches:
+            for cells in batch.column(0).to_pylist():
+                size = max((c or "").count("\n") for c in cells or [""]) + 1
+                if held and lines + size > part_lines:
+                    yield made()
+                    part, held, lines = part + 1, [], 0
+                held.append([c or "" for c in cells or []])
+                lines += size
+        if held:
+            yield made()
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    count = 0
+    # Made by all tasks at once, then fetched one by one.
+    for r in cut(rows.select("cells").mapInArrow(run, "task int, part int, data binary")).toLocalIterator():
+        put_file(spark, f"{path}/part-{r['task']:05d}-{r['part']:05d}.{extension}", bytes(r["data"]))
+        count += 1
+    if not count:
+        put_file(spark, f"{path}/part-00000-00000.{extension}", make([]))
+    return count or 1
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the DOCX files under a path."""
 

@@ -1,0 +1,164 @@
+"""PDF files of text, with nothing but the standard library: plain lines, aligned columns, or book pages with bookmarks.
+
+Letters are those of Windows-1252 in the built-in Courier faces, so that widths need no table.
+"""
+
+from __future__ import annotations
+
+import re
+import textwrap
+import zlib
+from dataclasses import dataclass, field
+from itertools import groupby
+
+# An A4 page in points, margins, sizes of text and headings, leading.
+PAGE = (595.28, 841.89)
+MARGIN, BOOK_MARGIN = 50.0, 64.0
+SIZE, BOOK_SIZE, LEAST_SIZE = 11.0, 12.0, 5.0
+LEADING, BOOK_LEADING, HEADING_LEADING = 1.4, 1.45, 1.3
+HEADINGS = {1: 22.0, 2: 17.0, 3: 14.0}
+# End of fixed values.
+GLYPH = 0.6  # width of every Courier glyph, of its size
+
+
+def printable(text: str) -> tuple[str, int]:
+    """(text in Windows-1252's letters, number of those replaced by a question mark)."""
+    text = re.sub("[\x00-\x09\x0b-\x1f\x7f\xad]", "", text.replace("\xa0", " "))
+    out = "".join(c if c == "\n" or c.isascii() or (c.encode("cp1252", "ignore") and not "\x80" <= c <= "\xa0") else "\0" for c in text)
+    return out.replace("\0", "?"), out.count("\0")
+
+
+def wrapped(line: str, size: float, width: float) -> list[str]:
+    """Lines of at most so many points; words beyond it are cut."""
+    return textwrap.wrap(line, max(1, int(width / (GLYPH * size))), expand_tabs=False, replace_whitespace=False, drop_whitespace=False, break_on_hyphens=False)
+
+
+@dataclass
+class Document:
+    """Pages of placed texts, and bookmarks as (level, title, page)."""
+
+    pages: list[list[str]] = field(default_factory=list)
+    marks: list[tuple[int, str, int]] = field(default_factory=list)
+
+    def put(self, text: str, x: float, y: float, size: float, bold: bool = False) -> None:
+        if text.strip():
+            body = re.sub(r"([\\()])", r"\\\1", text)
+            self.pages[-1].append(f"BT /{'B' if bold else 'R'} {size:.2f} Tf {x:.2f} {y:.2f} Td ({body}) Tj ET")
+
+    def outline(self, first: int, page_ids: list[int]) -> list[str]:
+        """The bookmark objects, numbered from ``first`` on: the root, then one for each mark, under the last of a lower level."""
+        parents: list[int] = []
+        for n, (level, _, _) in enumerate(self.marks):
+            parents.append(next((m for m in range(n - 1, -1, -1) if self.marks[m][0] < level and all(self.marks[k][0] >= self.marks[m][0] for k in range(m, n))), -1))
+        children: dict[int, list[int]] = {}
+        for n, p in enumerate(parents):
+            children.setdefault(p, []).append(n)
+        ref = lambda n: f"{first + 1 + n} 0 R"
+        ends = lambda n: f"/First {ref(children[n][0])} /Last {ref(children[n][-1])} /Count {len(children[n])}" if n in children else ""
+        out = [f"<</Type /Outlines {ends(-1)}>>"]
+        for n, (_, title, page) in enumerate(self.marks):
+            row = children[parents[n]]
+            at = row.index(n)
+            beside = (f"/Prev {ref(row[at - 1])} " if at else "") + (f"/Next {ref(row[at + 1])} " if at + 1 < len(row) else "")
+            name = ("﻿" + title).encode("utf-16-be").hex()
+            out.append(f"<</Title <{name}> /Parent {ref(parents[n])} {beside}{ends(n)} /Dest [{page_ids[page]} 0 R /Fit]>>")
+        return out
+
+    def to_bytes(self) -> bytes:
+        count = len(self.pages)
+        page_ids = [5 + 2 * i for i in range(count)]
+        root = 5 + 2 * count
+        objects: list[bytes] = [
+            f"<</Type /Catalog /Pages 2 0 R{f' /Outlines {root} 0 R /PageMode /UseOutlines' if self.marks else ''}>>".encode(),
+            f"<</Type /Pages /Count {count} /Kids [{' '.join(f'{i} 0 R' for i in page_ids)}]>>".encode(),
+            *(f"<</Type /Font /Subtype /Type1 /BaseFont /{name} /Encoding /WinAnsiEncoding>>".encode() for name in ("Courier", "Courier-Bold")),
+        ]
+        for i, page in enumerate(self.pages):
+            packed = zlib.compress("\n".join(page).encode("cp1252"))
+            objects.append(f"<</Type /Page /Parent 2 0 R /MediaBox [0 0 {PAGE[0]} {PAGE[1]}] /Resources <</Font <</R 3 0 R /B 4 0 R>>>> /Contents {page_ids[i] + 1} 0 R>>".encode())
+            objects.append(f"<</Length {len(packed)} /Filter /FlateDecode>>\nstream\n".encode() + packed + b"\nendstream")
+        if self.marks:
+            objects += [x.encode() for x in self.outline(root, page_ids)]
+        out, places = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n"), []
+        for n, body in enumerate(objects, 1):
+            places.append(len(out))
+            out += f"{n} 0 obj\n".encode() + body + b"\nendobj\n"
+        table = "".join(f"{p:010d} 00000 n \n" for p in places)
+        return bytes(out) + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<</Size {len(objects) + 1} /Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF\n".encode()
+
+
+def _plain_lines(lines: list[str], tables: bool, size: float):
+    """(size, [(x, text), …]) for each line; with ``tables`` runs of lines with tabs are columns, shrunk to fit."""
+    width = PAGE[0] - 2 * MARGIN
+    for tabbed, run in groupby(lines, lambda x: tables and "\t" in x):
+        if not tabbed:
+            for line in run:
+                for part in wrapped(line.replace("\t", "    "), size, width) or [""]:
+                    yield size, [(MARGIN, part)]
+            continue
+        rows = [[c.strip() for c in line.split("\t")] for line in run]
+        widths = [max((len(r[c]) for r in rows if c < len(r)), default=0) * GLYPH for c in range(max(map(len, rows)))]
+        own = max(LEAST_SIZE, min(size, width / (sum(widths) + len(widths) - 1)))
+        starts = [MARGIN + (sum(widths[:c]) + c) * own for c in range(len(widths))]
+        for r in rows:
+            yield own, list(zip(starts, r))
+
+
+def text_pdf(text: str, tables: bool = False, size: float = SIZE) -> tuple[bytes, int]:
+    """(file, number of letters replaced): lines of text, wrapped, a page after the other."""
+    parts = [printable(x) for x in re.split("\t", re.sub(r"\r\n?", "\n", text))]
+    lines = "\t".join(p for p, _ in parts).split("\n")
+    doc, leading = Document(), size * LEADING
+    most = max(1, int((PAGE[1] - 2 * MARGIN) / leading))
+    for n, (own, cells) in enumerate(_plain_lines(lines, tables, size)):
+        if n % most == 0:
+            doc.pages.append([])
+        for x, cell in cells:
+            doc.put(cell, x, PAGE[1] - MARGIN - n % most * leading, own)
+    return doc.to_bytes(), sum(n for _, n in parts)
+
+
+def book_pdf(text: str, size: float = BOOK_SIZE) -> tuple[bytes, int]:
+    """(file, number of letters replaced): paragraphs, headings as bookmarks, page numbers; a heading stays with what follows."""
+    width, doc, lost = PAGE[0] - 2 * BOOK_MARGIN, Document(), 0
+    top, bottom = PAGE[1] - BOOK_MARGIN, BOOK_MARGIN
+    y, leading = 0.0, size * BOOK_LEADING
+
+    def room(height: float) -> None:
+        nonlocal y
+        if not doc.pages or y - height < bottom:
+            doc.pages.append([])
+            y = top
+
+    for block in re.split(r"\n\s*\n", re.sub(r"\r\n?", "\n", text)):
+        hashes = len(re.match("#*", block.strip())[0])
+        content, n = printable(re.sub(r"\s*\n\s*", " ", block.strip()[min(hashes, 3) :].strip()).replace("\t", " "))
+        lost += n
+        if not content.strip():
+            continue
+        if hashes:
+            level = min(hashes, 3)
+            own = HEADINGS[level]
+            lines = wrapped(content, own, width)
+            before = own * 1.1 if doc.pages and y < top - 1 else 0.0
+            room(before + len(lines) * own * HEADING_LEADING + 3 * leading)
+            y -= before if y < top - 1 else 0.0
+            doc.marks.append((level, content, len(doc.pages) - 1))
+            for line in lines:
+                shift = (width - len(line) * GLYPH * own) / 2 if level == 1 else 0.0
+                doc.put(line, BOOK_MARGIN + shift, y - own, own, bold=True)
+                y -= own * HEADING_LEADING
+            y -= own * 0.4
+        else:
+            for line in wrapped(content, size, width):
+                room(leading)
+                doc.put(line, BOOK_MARGIN, y - size, size)
+                y -= leading
+            y -= leading * 0.45
+    doc.pages = doc.pages or [[]]
+    pages = doc.pages
+    for n in range(len(pages)):
+        doc.pages = pages[: n + 1]
+        doc.put(str(n + 1), (PAGE[0] - len(str(n + 1)) * GLYPH * 9) / 2, BOOK_MARGIN / 2, 9.0)
+    doc.pages = pages
+    return doc.to_bytes(), lost

@@ -1,6 +1,7 @@
 """Published results of the cell functions, formulas and formats."""
 
 import itertools
+import re
 import zipfile
 
 import pytest
@@ -215,3 +216,67 @@ def test_layout():
     page = [word("Report", 0, 0), word("of", 70, 0, 20), word("May", 100, 0)] + [word(t, 300 * j, 60 + 30 * i) for i, r in enumerate((("Item", "Price"), ("Tea", "4.00"), ("Cake", "2.00"))) for j, t in enumerate(r)] + [word("big", 0, 150), word("Bye", 0, 400)]
     assert layout.layout_text(page) == "Report of May\n\nItem\tPrice\nTea\t4.00\nCake\t2.00\n\nbig\nBye"
     assert layout.layout_text(page[:4], "few") == "few" and layout.table_rows("x\na\tb\ny\nc\td\te") == [["a", "b", ""], ["", "", ""], ["c", "d", "e"]]
+
+
+def test_book(spark):
+    from gridloom.operators import book
+
+    line = lambda t, x, y, w=400, h=20, b=0: (t, x, y, x + w, y + h, b)
+    page = [
+        line("12", 290, 10, 20), line("Chapter One", 200, 100, 200, 32), line("Of tea", 200, 140, 200, 32), line("T", 50, 200, 40, 60, 9), line("he pot was hy-", 100, 210, b=1), line("phenated here", 100, 232, b=1),
+        line("and went on.", 100, 254, 150, b=1), line("A new one", 100, 276, b=1), line("it joins", 100, 500, b=2), line("INNER WORDS", 100, 600, 200, b=3), line("Last", 100, 650, b=4),
+    ]
+    assert book.book_text(page, 600, 1000) == "# Chapter One Of tea\n\nThe pot was hyphenated here and went on.\n\nA new one it joins\n\n### INNER WORDS\n\nLast"
+    assert book.book_text([line("7", 0, 980)], 600, 1000, "none") == "none" and book.book_text([], fallback="x") == "x"
+    frame = spark.createDataFrame([(1, [page[1], page[-1]], "f"), (2, None, "f"), (3, [], None)], f"page_id int, lines array<{book.LINE}>, text string")
+    assert {r.page_id: r.text for r in book.extract(frame).collect()} == {1: "Chapter One\n\nLast", 2: "f", 3: ""}
+    pages = [("a", 1, "# Top\n\nIt was a won-"), ("a", 2, " "), ("a", 3, "derful"), ("a", 4, "day.\n\nNext"), ("a", 5, "Upper"), ("a", 6, None), ("b", 1, "# H"), ("b", 2, "low"), ("b", 3, "er")]
+    got = book.glued(spark.createDataFrame(pages, "book string, page int, text string"), "book", "page").orderBy("book", "page").collect()
+    assert {b: "".join(r.glue + r.text for r in got if r.book == b) for b in "ab"} == {"a": "# Top\n\nIt was a wonderful day.\n\nNext\n\nUpper", "b": "# H\n\nlow er"}
+
+
+def test_receipt_tables(spark):
+    from gridloom.operators import receipt_tables as rt
+
+    def line(y, *cells):
+        return rt.Line(" ".join(t for t, _ in cells), y, y + 20, [(w, x + 9 * t.find(w), y, x + 9 * t.find(w) + 8 * len(w), y + 20) for t, x in cells for w in t.split()])
+
+    head = line(0, ("Qty", 0), ("Details", 100), ("Rate", 300), ("Line Total", 400))
+    body = [line(30, ("2", 0), ("Green tea", 100), ("3.50", 300), ("7.00", 410)), line(60, ("Cake", 100), ("4.00", 410)), line(90, ("3", 0), ("xx", 300), ("9.00", 410))]
+    rows, header, aligned = rt.detect([line(-60, ("Shop", 0)), head, *body, line(120, ("Total", 100), ("11.00", 410)), line(150, ("Tea", 100), ("1.00", 410))])
+    assert header and not aligned and rows == [("", "2", "3.50", "7.00"), ("", "", "", "4.00"), ("", "3", "", "9.00")]
+    named = line(0, ("Item", 100), ("Qty", 0), ("Rate", 300), ("Amount", 400))
+    rows, header, aligned = rt.detect([named, *body[:2], line(90, ("extra hot", 100)), line(120, ("Thank you", 100))])
+    assert header and aligned and rows == [("Green tea", "2", "3.50", "7.00"), ("Cake extra hot", "", "", "4.00")]
+    rows, header, aligned = rt.detect([line(0, ("Shop", 0)), line(30, ("Tea", 0), ("2", 150), ("3.50", 300), ("7.00", 400)), line(60, ("with milk", 0)), line(90, ("5.00", 400)), line(120, ("Pie", 0), ("$4.5", 400)), line(400, ("Far", 0), ("1.00", 400))])
+    assert not header and aligned and rows == [("Tea with milk", "2", "3.50", "7.00"), ("Pie", "", "", "$4.5")]
+    assert rt.detect([]) == ([], False, True) and [rt.number(t) for t in ("3 pcs", "(1,250.00)", "$5", " ", "Rs. 2.5")] == [None, -1250.0, 5.0, None, 2.5]
+    word = lambda t, x, y: (t, x, y, x + 40, y + 20)
+    scan = [("Item Amount", 0, 20, [word("Item", 0, 0), word("Amount", 200, 0)]), ("Tea 4.00", 30, 50, [word("Tea", 0, 30), word("4.00", 200, 30)])]
+    frame = spark.createDataFrame([(1, "Item Amount\nTea 4.00\nTotal: 9.00", scan), (2, "Pie: 2.00", None), (3, None, [])], f"doc_id int, text string, lines {rt.LINES}")
+    got = {r.doc_id: r for r in rt.extract(frame).collect()}
+    assert [tuple(i) for i in got[1]["items"]] == [("Tea", "", "", "4.00")] and got[1].total == "9.00" and got[1].header_found and got[1].subtotal == "4.00"
+    assert [tuple(i) for i in got[2]["items"]] == [("Pie", "", "", "2.00")] and got[3]["items"] == [] and not got[3].items_review
+
+
+def test_exports(spark, tmp_path):
+    from gridloom.sources import pdf
+
+    table = "n\tm\n=1+1\tx\na,b\ty"
+    steps = lambda kind, text, name, **o: [workflow.Step("PASTE_TEXT", text), *([workflow.Step("TEXT_TO_TABLE")] if "table" in name else []), workflow.Step(kind, options={"path": str(tmp_path / name), **o})]
+    read = lambda name: [p.read_bytes() for p in sorted((tmp_path / name).glob("part-*"))]
+    for name, kind, text, options in (("table1", "EXPORT_XLSX", table, {}), ("text1", "EXPORT_XLSX", "a\nb", {}), ("tabs1", "EXPORT_XLSX", "a\tb\nc", {}), ("table2", "EXPORT_DOCX", table, {}), ("table3", "EXPORT_DOCX", table, {"style": "plain"}), ("book", "EXPORT_DOCX", "# One\n\nTwo\nthree", {}), ("table4", "EXPORT_PDF", table, {}), ("book2", "EXPORT_PDF", "# One\n\nTwo", {})):
+        workflow.run(spark, steps(kind, text, name, **options))
+    assert [files.xlsx_rows(read(n)[0]) for n in ("table1", "text1", "tabs1")] == [[["n", "m"], ["=1+1", "x"], ["a,b", "y"]], [["Text"], ["a"], ["b"]], [["a", "b"], ["c"]]]
+    assert files.docx_text(read("table2")[0]).split() == ["n", "m", "=1+1", "x", "a,b", "y"] and files.docx_text(read("table3")[0]) == "n,m\n'=1+1,x\n\"a,b\",y"
+    assert files.docx_text(read("book")[0]) == "One\nTwo three" and all(x.startswith(b"%PDF-") for n in ("table4", "book2") for x in read(n))
+    rows = spark.range(25).orderBy("id").selectExpr("array(cast(id as string)) as cells")
+    assert files.write_parts(rows, str(tmp_path / "table1"), "txt", lambda held: "\n".join(r[0] for r in held).encode(), 4) == len(read("table1")) >= 7
+    assert b"\n".join(read("table1")).decode().split() == [str(i) for i in range(25)]
+    data, lost = pdf.text_pdf("é € \u4e2d " + "w" * 200 + "\n(a)\\", False)
+    assert lost == 1 and data.count(b"/Type /Page ") == 1 and pdf.text_pdf("")[0].count(b"/Type /Page ") == 1
+    assert pdf.printable("a\xa0b\xad\x07\u2019\U0001f600") == ("a b\u2019?", 1)
+    long = pdf.book_pdf("# A\n\n## B\n\n" + "word " * 4000 + "\n\n# C")[0]
+    assert long.count(b"/Type /Page ") > 5 and long.count(b"/Title") == 3 and b"/Outlines" in long
+    for n, m in enumerate(re.finditer(rb"(?m)^(\d{10}) 00000 n", long), 1):
+        assert long[int(m[1]) :].startswith(f"{n} 0 obj".encode())
