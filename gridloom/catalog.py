@@ -462,3 +462,47 @@ def _(s, d):
     text = lambda t: F.col(t).cast("string") if t.startswith("n_") else F.lit(t)
     words = F.array(*[cell(text(t), 10 + 300 * j, 10 + 30 * i) for i, r in enumerate(grid) for j, t in enumerate(r)])
     return layout.extract(load(s, d, "nation").select(F.col("n_nationkey").alias("page_id"), words.alias("words"), F.lit("none").alias("text")))
+
+
+# Books and receipts with boxes, composed from nations, customers and orders.
+from .operators import book, receipt_tables  # noqa: E402
+
+
+@query("book_text", r"select n_nationkey::bigint as page_id, concat('# Chapter ', n_nationkey, chr(10), chr(10), 'The land ', n_name, ' is a wonderful place in region ', n_regionkey, '.', chr(10), chr(10), 'A new paragraph') as text from nation")
+def _(s, d):
+    line = lambda text, y, h, right: F.struct(text.alias("text"), F.lit(100).alias("left"), F.lit(y).alias("top"), F.lit(right).alias("right"), F.lit(y + h).alias("bottom"), F.lit(1).alias("block"))
+    parts = (F.concat(F.lit("Chapter "), "n_nationkey"), F.concat(F.lit("The land "), "n_name", F.lit(" is a wonder-")), F.concat(F.lit("ful place in region "), "n_regionkey", F.lit(".")), F.lit("A new paragraph"), F.col("n_nationkey").cast("string"))
+    places = ((60, 40, 400), (150, 20, 600), (172, 20, 400), (194, 20, 500), (980, 15, 120))
+    return book.extract(load(s, d, "nation").select(F.col("n_nationkey").alias("page_id"), F.array(*[line(t, *p) for t, p in zip(parts, places)]).alias("lines"), F.lit("none").alias("text"), F.lit(1000).alias("high")), height="high")
+
+
+@query(
+    "book_join_pages",
+    "select c_nationkey::bigint as book, c_custkey::bigint as page, case when lag(c_custkey) over w is null then '' when c_custkey % 3 = 1 and lag(c_custkey) over w % 3 = 0 then '' else concat(chr(10), chr(10)) end as glue,"
+    " case c_custkey % 3 when 0 then concat('Page ', c_custkey, ' is a won', case when lead(c_custkey) over w % 3 = 1 then '' else '-' end) when 1 then concat('derful one ', c_custkey, '.') else concat('# Title ', c_custkey) end as text from customer window w as (partition by c_nationkey order by c_custkey)",
+)
+def _(s, d):
+    text = "case c_custkey % 3 when 0 then concat('Page ', c_custkey, ' is a won-') when 1 then concat('derful one ', c_custkey, '.') else concat('# Title ', c_custkey) end as text"
+    return book.glued(load(s, d, "customer").selectExpr("cast(c_nationkey as long) as book", "c_custkey as page", text), "book", "page")
+
+
+@query(
+    "receipt_table",
+    "select o_orderkey as doc_id, o_orderkey % 2 = 0 as header_found, true as aligned, printf('%.2f', (o_orderkey % 9 + 1) * 2.5 + 4.25) as subtotal,"
+    " concat('Coffee beans extra dark|', o_orderkey % 9 + 1, '|2.50|', printf('%.2f', (o_orderkey % 9 + 1) * 2.5), ';Tea|', case when o_orderkey % 2 = 0 then '|' else '1|4.25' end, '|4.25') as items from orders",
+)
+def _(s, d):
+    word = lambda t, x, y: F.struct(t.alias("text"), F.lit(x).alias("left"), F.lit(y).alias("top"), F.lit(x + 50).alias("right"), F.lit(y + 20).alias("bottom"))
+
+    def line(y, *words):
+        parts = [(F.lit(t) if isinstance(t, str) else t, x) for t, x in words]
+        return F.struct(F.concat_ws(" ", *[t for t, _ in parts]).alias("text"), F.lit(y).alias("top"), F.lit(y + 20).alias("bottom"), F.array(*[word(t, x, y) for t, x in parts]).alias("words"))
+
+    even, count = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 9 + 1
+    head = line(40, (F.when(even, "Qty").otherwise("Corner"), 0), (F.when(even, "Item").otherwise("Shop"), 100), (F.when(even, "Rate").otherwise("of"), 300), (F.when(even, "Amount").otherwise("May"), 400))
+    first = line(70, (count.cast("string"), 0), ("Coffee", 100), ("beans", 155), ("2.50", 300), (F.format_string("%.2f", count * 2.5), 400))
+    wrap, last = line(100, ("extra", 100), ("dark", 155)), line(130, (F.when(even, "").otherwise("1"), 0), ("Tea", 100), ("4.25", 400))
+    scans = load(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("text"), F.array(head, first, wrap, last, line(160, ("Total", 100), ("99.00", 400))).alias("lines"))
+    got = receipt_tables.extract(scans)
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["description"], x["quantity"], x["unit_price"], x["amount"])), ";")
+    return got.select("doc_id", "header_found", "aligned", "subtotal", shown.alias("items"))
