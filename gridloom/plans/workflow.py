@@ -27,7 +27,7 @@ KINDS = {
     "FIND_REPLACE": ((TEXT,), TEXT), "FILTER_ROWS": ((TABLE,), TABLE), "SORT_TABLE": ((TABLE,), TABLE), "KEEP_COLUMNS": ((TABLE,), TABLE),
     "EXPORT_CSV": ((TABLE, TEXT, EMAILS), NONE), "EXPORT_XLSX": ((TABLE, TEXT, EMAILS), NONE), "EXPORT_TXT": ((TEXT, TABLE, EMAILS), NONE), "EXPORT_PDF": ((TEXT, TABLE, EMAILS), NONE), "EXPORT_DOCX": ((TEXT, TABLE, EMAILS), NONE),
 }
-REQUIRED = {"FIND_REPLACE": ("find",), "FILTER_ROWS": ("value",), "SORT_TABLE": ("column",), "KEEP_COLUMNS": ("columns",), "LOAD_SHEET": ("path",), "SCRAPE_URL": ("path",)}
+REQUIRED = {"FIND_REPLACE": ("find",), "FILTER_ROWS": ("value",), "SORT_TABLE": ("column",), "KEEP_COLUMNS": ("columns",), "LOAD_PDF": ("path",), "LOAD_SHEET": ("path",), "SCRAPE_URL": ("path",)}
 MOST_STEPS, LONGEST_FIELD = 40, 20_000
 # End of fixed values.
 
@@ -235,6 +235,14 @@ def run_step(spark: SparkSession, s: Step, data: Data) -> Data:
     df = data.df
     if s.kind == "PASTE_TEXT":
         return Data(TEXT, spark.createDataFrame([(0, s.text)], "doc_id long, text string"))
+    if s.kind == "LOAD_PDF":
+        pages = pdf.read_pdfs(spark, s.opt("path"))
+        bad = pages.where("error is not null").first()
+        if bad:
+            raise PlanError(f"{bad['path']}: {bad['error']}")
+        # A text for each file, its pages in order.
+        texts = pages.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        return Data(TEXT, texts.select(F.xxhash64("path").alias("doc_id"), "text"))
     if s.kind == "LOAD_SHEET":
         path = s.opt("path")
         loaded = {"JSON": files.read_json, "TXT": files.read_text}.get(files.format_of(path), files.read_csv)

@@ -280,3 +280,50 @@ def test_exports(spark, tmp_path):
     assert long.count(b"/Type /Page ") > 5 and long.count(b"/Title") == 3 and b"/Outlines" in long
     for n, m in enumerate(re.finditer(rb"(?m)^(\d{10}) 00000 n", long), 1):
         assert long[int(m[1]) :].startswith(f"{n} 0 obj".encode())
+
+
+def test_reading_pdf(spark, tmp_path):
+    import zlib
+
+    from gridloom.sources import pdf
+
+    assert pdf.page_texts(pdf.text_pdf("H\u00e9llo (a)\\ \u20ac b\nsecond\n\nthird")[0]) == ["H\u00e9llo (a)\\ \u20ac b\nsecond\nthird"]
+    assert pdf.page_texts(pdf.text_pdf("a\tbb\nccc\td\nplain", True)[0]) == ["a bb\nccc d\nplain"] and pdf.page_texts(pdf.text_pdf("")[0]) == [""]
+    stream = lambda n, body, more=b"": b"%d 0 obj <</Length %d /Filter /FlateDecode %s>>\nstream\n" % (n, len(zlib.compress(body)), more) + zlib.compress(body) + b"\nendstream endobj\n"
+    packed = b"1 0 2 33 <</Type/Catalog/Pages 2 0 R>>    <</Type/Pages/Kids[3 0 R 3 0 R]/Resources<</Font<</F 4 0 R>>>>>>"
+    letters = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0003> <0069> endbfrange"
+    shown = b"BT /F 10 Tf 1 0 0 1 50 700 Tm [<0001> -300 <0002>] TJ 0 -12 Td <0003> Tj 40 0 Td <0001> Tj ET"
+    data = b"%PDF-1.5\n" + stream(9, packed, b"/Type/ObjStm/N 2/First 9") + b"3 0 obj <</Type/Page/Contents [5 0 R]>> endobj 4 0 obj <</ToUnicode 6 0 R>> endobj\n" + stream(5, shown) + stream(6, letters) + b"trailer <</Root 1 0 R>>"
+    assert pdf.page_texts(data) == ["H i\nj H"]
+    for bad in (b"", b"%PDF-1.4 trailer <</Encrypt 1 0 R>>"):
+        with pytest.raises(pdf.Unreadable):
+            pdf.page_texts(bad)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(data)
+    step = workflow.Step("LOAD_PDF", options={"path": str(tmp_path / "in")})
+    assert [r.text for r in workflow.run(spark, [step]).df.collect()] == ["H i\nj H"]
+    (tmp_path / "in" / "b.pdf").write_bytes(b"none")
+    assert [(r.page, r.text, r.error) for r in pdf.read_pdfs(spark, str(tmp_path / "in")).orderBy("path").collect()] == [(1, "H i\nj H", None), (0, "", "not a PDF")]
+    with pytest.raises(workflow.PlanError):
+        workflow.run(spark, [step])
+
+
+def test_conversions(spark, tmp_path):
+    from gridloom.sources import conversions, pdf
+
+    cases = {("PDF ", None): ("DOCUMENT", "pdf", None), ("", "application/pdf; x=1"): ("DOCUMENT", "pdf", None), ("bin", "image/x-odd"): ("IMAGE", "bin", None), ("docx", "image/png"): ("DOCUMENT", "docx", None), ("zip", None): ("UNKNOWN", "zip", "ZIP archive"), ("", "application/zip"): ("UNKNOWN", "", "ZIP archive"), (None, None): ("UNKNOWN", "", None)}
+    frame = spark.createDataFrame([(n, *k) for n, k in enumerate(cases)], "n int, e string, m string")
+    assert [tuple(r.d) for r in frame.select("n", conversions.detected(F.col("e"), F.col("m")).alias("d")).orderBy("n").collect()] == list(cases.values())
+    assert conversions.targets("DOCUMENT", "TXT") == ["pdf", "docx"] and conversions.targets("IMAGE", "jpeg") == ["png", "webp", "bmp"] and conversions.targets("VIDEO", "m4a") == ["m4a"] and conversions.targets("UNKNOWN", "") == []
+    for folder in ("in/x", "in/y"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "in/x/a.txt").write_text("one\ntwo \u4e2d")
+    (tmp_path / "in/y/a.docx").write_bytes(files.docx_bytes(["three"]))
+    (tmp_path / "in/y/b.pdf").write_bytes(pdf.text_pdf("four")[0])
+    (tmp_path / "in/y/c.zip").write_bytes(b"x")
+    (tmp_path / "in/y/d.txt").write_bytes(b" ")
+    for target, read in (("pdf", lambda b: "\n".join(pdf.page_texts(b))), ("docx", files.docx_text), ("txt", bytes.decode)):
+        got = conversions.convert(spark, str(tmp_path / "in/*"), target, str(tmp_path / target)).orderBy("path").collect()
+        assert [bool(r.error) for r in got] == [False, False, False, True, True] and [r.output is None for r in got] == [False, False, False, True, True]
+        assert got[0].replaced == (target == "pdf") and len({r.output for r in got[:3]}) == 3 and got[2].output == f"b.{target}"
+        assert [read((tmp_path / target / r.output).read_bytes()) for r in got[:3]] == ["one\ntwo " + ("?" if target == "pdf" else "\u4e2d"), "three", "four"]
