@@ -194,7 +194,7 @@ def _(s, d):
     return _clean(s, d)[0].withColumnRenamed(cleaning.RID, "id")
 
 
-@query("clean_invalid_cells", _cleaned + " select id, 'day' as col, (select day from " + messy_sql(ORDERS) + " o where o.id = c.id) as value, 'DATE' as expected from c where day2 is null union all select id, 'price', (select price from " + messy_sql(ORDERS) + " o where o.id = c.id), 'CURRENCY' from c where price2 is null")
+@query("clean_invalid_cells", _cleaned + " select id, 'day' as col, (select day from " + messy_sql(ORDERS) + " o where o.id = c.id) as value, 'DATE' as expected from c where day2 is null union all select id, 'price', (select price from " + messy_sql(ORDERS) + " o where o.id = c.id), 'CURRENCY' from c where price2 is null union all select id, 'price', price2, 'NUMBER' from c where price2::double < 0")
 def _(s, d):
     return _clean(s, d)[1].select(F.col(cleaning.RID).alias("id"), F.col("column").alias("col"), "value", "expected")
 
@@ -506,3 +506,102 @@ def _(s, d):
     got = receipt_tables.extract(scans)
     shown = F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["description"], x["quantity"], x["unit_price"], x["amount"])), ";")
     return got.select("doc_id", "header_found", "aligned", "subtotal", shown.alias("items"))
+
+
+# Counters and changes of a cleaning run.
+def _report(s, d):
+    df = messy(s, d, ORDERS).select("id", "day", "price", "priority").withColumnRenamed("id", cleaning.RID)
+    return cleaning.report(df, cleaning.Options(), {"day": "DATE", "price": "CURRENCY", "priority": "TEXT"})
+
+
+@query(
+    "clean_report_metrics",
+    _cleaned + ", k as (select count(*) as n from (select distinct coalesce(day2, day), coalesce(price2, price), priority from c)) select count(*)::bigint as rows_in, any_value(k.n)::bigint as rows_out, (count(*) - any_value(k.n))::bigint as duplicates_removed,"
+    " count(*) filter (day2 is null)::bigint as dates_unparseable, count(*) filter (day2 <> day)::bigint as dates_standardized, count(*) filter (price2 is null or price2::double < 0)::bigint as invalid_numeric_values, count(*) filter (price2 <> price)::bigint as currency_cells_cleaned from c, k",
+)
+def _(s, d):
+    return _report(s, d)[0].select("rows_in", "rows_out", "duplicates_removed", "dates_unparseable", "dates_standardized", "invalid_numeric_values", "currency_cells_cleaned")
+
+
+@query("clean_change_log", _cleaned + " select id, 'day' as col, day as before, day2 as after, 'date standardized to YYYY-MM-DD' as reason from c where day2 <> day union all select id, 'price', price, price2, 'currency cleaned to numeric' from c where price2 <> price")
+def _(s, d):
+    return _report(s, d)[1].select(F.col(cleaning.RID).alias("id"), F.col("column").alias("col"), "before", "after", "reason")
+
+
+@query("clean_url_flags", "select page_id as id, case when page_id % 3 = 0 then concat('no link ', page_id) else url end as value from pages where page_id % 3 = 0")
+def _(s, d):
+    links = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("no link "), "page_id")).otherwise(F.col("url"))
+    return cleaning.clean(load(s, d, "pages").select(F.col("page_id").alias(cleaning.RID), links.alias("link")), cleaning.Options(), {"link": "URL"})[1].select(F.col(cleaning.RID).alias("id"), "value")
+
+
+@query("emails_rejected", _MAILS + " select distinct doc_id, e as email from v where not good")
+def _(s, d):
+    return emails.extract(load(s, d, "documents"), "text", "doc_id").select("doc_id", F.explode("rejected").alias("email"))
+
+
+# Formulas: a sheet for each part, its size in A1 and its name in A2, a formula in each row of column B.
+def formula_query(name, pairs):
+    def run(s, d):
+        rows = [(0, 0, F.col("p_size").cast("string")), (1, 0, F.col("p_name")), *[(i, 1, F.lit(f)) for i, (f, _) in enumerate(pairs)]]
+        cell = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), v.alias("input")) for r, c, v in rows])).alias("c")
+        sheets = load(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("sheet"), cell).select("sheet", "c.*")
+        return formula.recalculate(sheets).where("col = 1").select("sheet", F.col("row").cast("int").alias("n"), "display")
+
+    shown = ", ".join(f"cast({sql} as varchar)" for _, sql in pairs)
+    query(name, f"select concat('p', p_partkey) as sheet, unnest(range({len(pairs)}))::int as n, unnest([{shown}]) as display from (select p_partkey, p_size::bigint as p_size, p_name from part)")(run)
+
+
+formula_query(
+    "formula_round_family",
+    [("=ROUND(A1/4,0)", "floor(p_size / 4 + 0.5)::bigint"), ("=ROUNDUP(A1/4,0)", "ceil(p_size / 4)::bigint"), ("=ROUNDDOWN(-A1/4,0)", "-(p_size // 4)"), ("=INT(-A1/4)", "floor(-p_size / 4)::bigint"), ("=QUOTIENT(A1,4)", "p_size // 4"), ("=CEILING(A1,7)", "(ceil(p_size / 7) * 7)::bigint"), ("=FLOOR(A1,7)", "(p_size // 7) * 7"), ("=MROUND(A1,7)", "(floor(p_size / 7 + 0.5) * 7)::bigint")],
+)
+formula_query(
+    "formula_numbers",
+    [("=POWER(A1,2)", "p_size * p_size"), ("=SQRT(A1*A1)", "p_size"), ("=SIGN(A1-25)", "sign(p_size - 25)::bigint"), ("=ABS(A1-25)", "abs(p_size - 25)"), ("=GCD(A1,12)", "gcd(p_size, 12)"), ("=LCM(A1,12)", "lcm(p_size, 12)"), ("=ROUND(LOG10(10^A1),6)", "p_size"), ("=ROUND(DEGREES(RADIANS(A1)),6)", "p_size"), ("=MOD(A1,7)", "p_size % 7"), ("=ROUND(EXP(LN(A1)),6)", "p_size")],
+)
+formula_query(
+    "formula_ranked",
+    [("=LARGE(A1,10,20,30,2)", "list_sort([p_size, 10, 20, 30], 'desc')[2]"), ("=SMALL(A1,10,20,30,3)", "list_sort([p_size, 10, 20, 30])[3]"), ("=PERCENTILE(A1,10,20,30,40,0.5)", "list_sort([p_size, 10, 20, 30, 40])[3]"), ("=MEDIAN(A1,10,20)", "list_sort([p_size, 10, 20])[2]"), ("=MAX(A1,25)-MIN(A1,25)", "abs(p_size - 25)")],
+)
+formula_query(
+    "formula_logic",
+    [("=IF(A1>=25,\"big\",\"small\")", "case when p_size >= 25 then 'big' else 'small' end"), ("=IFERROR(1/(A1-A1),\"none\")", "'none'"), ("=AND(A1>10,A1<40)", "upper(cast(p_size > 10 and p_size < 40 as varchar))"), ("=OR(A1<10,A1>40)", "upper(cast(p_size < 10 or p_size > 40 as varchar))"), ("=XOR(ISODD(A1),A1>25)", "upper(cast((p_size % 2 = 1) <> (p_size > 25) as varchar))"), ("=NOT(ISEVEN(A1))", "upper(cast(p_size % 2 = 1 as varchar))")],
+)
+formula_query(
+    "formula_text_family",
+    [("=LEFT(A2,3)", "left(p_name, 3)"), ("=RIGHT(A2,2)", "right(p_name, 2)"), ("=MID(A2,2,3)", "substr(p_name, 2, 3)"), ("=LEN(A2)", "length(p_name)"), ("=UPPER(A2)&\"-\"&A1", "concat(upper(p_name), '-', p_size)"), ("=SUBSTITUTE(A2,\"a\",\"@\")", "replace(p_name, 'a', '@')"), ("=REPT(\"x\",MOD(A1,5))", "repeat('x', (p_size % 5)::int)"), ("=TEXTJOIN(\"/\",TRUE,A1,\"\",A2)", "concat(p_size, '/', p_name)"), ("=EXACT(A2,LOWER(A2))", "upper(cast(p_name = lower(p_name) as varchar))")],
+)
+
+
+# Records of web pages by each strategy: a page of linked data, of microdata and of none for each nation.
+def _site(s, d):
+    n, key = load(s, d, "nation"), F.col("n_nationkey").cast("string")
+    linked = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "P '), "n_name", F.lit('", "url": "/p/'), key, F.lit('", "offers": {"price": '), key, F.lit(', "priceCurrency": "EUR"}}]}</script>'))
+    micro = F.concat(F.lit('<div itemscope><b itemprop="name">M '), "n_name", F.lit('</b><meta itemprop="price" content="'), key, F.lit('"><a itemprop="url" href="m/'), key, F.lit('">x</a><i itemprop="SIZE">'), key, F.lit("</i></div>"))
+    bare = F.concat(F.lit("<title>T "), "n_name", F.lit('</title><meta property="og:description" content="About '), key, F.lit('">'))
+    return n.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"https://x.example/{k}/"), key).alias("url"), v.alias("html")) for k, v in (("l", linked), ("m", micro), ("t", bare))])).alias("p")).select("p.*")
+
+
+@query(
+    "html_strategies",
+    "select concat('https://x.example/l/', n_nationkey) as url, 'json-ld' as strategy, concat('P ', n_name) as name, null as description, concat('EUR ', n_nationkey) as price, concat('https://x.example/p/', n_nationkey) as link from nation"
+    " union all select concat('https://x.example/m/', n_nationkey), 'microdata', concat('M ', n_name), null, concat(n_nationkey, ''), concat('https://x.example/m/m/', n_nationkey) from nation"
+    " union all select concat('https://x.example/t/', n_nationkey), 'page', concat('T ', n_name), concat('About ', n_nationkey), null, concat('https://x.example/t/', n_nationkey) from nation",
+)
+def _(s, d):
+    return records.extract(_site(s, d)).select("url", "strategy", "name", "description", "price", "link")
+
+
+@query("scrape_union_rows", "select concat('https://x.example/', k, '/', n_nationkey) as \"Source\", concat(upper(case k when 'l' then 'p' else k end), ' ', n_name) as \"Name\", case k when 'm' then concat(n_nationkey, '') else '' end as size_ from nation, (values ('l'), ('m'), ('t')) t(k)")
+def _(s, d):
+    return records.flat(records.extract(_site(s, d))).select("Source", "Name", F.col("Size").alias("size_"))
+
+
+from .sources import conversions  # noqa: E402
+
+
+@query("file_kinds", "select p_partkey, case p_partkey % 4 when 0 then 'DOCUMENT' when 1 then 'IMAGE' when 2 then 'UNKNOWN' else 'AUDIO' end as category, case p_partkey % 4 when 0 then 'pdf' when 1 then 'jpeg' when 2 then 'zip' else '' end as extension, case p_partkey % 4 when 2 then 'ZIP archive' end as unsupported from part")
+def _(s, d):
+    k = F.col("p_partkey") % 4
+    extension, mime = F.when(k == 0, " PDF").when(k == 1, "jpeg").when(k == 2, "Zip").otherwise(""), F.when(k == 1, "video/mp4").when(k == 3, "audio/x-odd; rate=1")
+    return load(s, d, "part").select("p_partkey", conversions.detected(extension, mime).alias("d")).select("p_partkey", "d.*")

@@ -133,22 +133,24 @@ def numeric_range(name: str, rule: Rule | None = None) -> tuple[float | None, fl
     return next(((lo, hi) for words, lo, hi in table if any(w in name for w in words)), (None, None))
 
 
-def _text(name: str, kind: str, o: Options) -> Column:
-    """The text of a cell: replaced, stripped, trimmed, collapsed, and in the case asked for."""
+def _text(name: str, kind: str, o: Options) -> tuple[Column, Column, Column]:
+    """(text of a cell: replaced, stripped, trimmed, collapsed, and in the case asked for; replacements; letters stripped)."""
     rule = o.rules.get(name) or Rule()
-    v = F.col(f"`{name}`")
+    v, replaced, stripped = F.col(f"`{name}`"), F.lit(0), F.lit(0)
     if rule.skip:
-        return v
+        return v, replaced, stripped
     for r in o.replaces:
         if r.column is None or r.column == name:
-            v = cells.replace_all(v, r.find, r.to, r.regex, r.ignore_case)
+            before, v = v, cells.replace_all(v, r.find, r.to, r.regex, r.ignore_case)
+            replaced = replaced + F.coalesce((v != before).cast("int"), F.lit(0))
     if o.strip:
-        v = cells.strip_unwanted(v)
+        before, v = v, cells.strip_unwanted(v)
+        stripped = F.coalesce(F.length(before) - F.length(v), F.lit(0))
     if o.trim:
         v = cells.ws_trim(v)
     if o.collapse:
         v = cells.collapse(v)
-    return cells.change_case(v, rule.case or o.case) if kind == "TEXT" else v
+    return (cells.change_case(v, rule.case or o.case) if kind == "TEXT" else v), replaced, stripped
 
 
 def _normal(v: Column, name: str, kind: str, o: Options) -> Column | None:
@@ -156,70 +158,159 @@ def _normal(v: Column, name: str, kind: str, o: Options) -> Column | None:
     if not o.normalise or (o.rules.get(name) or Rule()).skip:
         return None
     if kind == "NUMBER":
-        lo, hi = numeric_range(name, o.rules.get(name))
-        n = v.try_cast("double")
-        inside = F.coalesce((n >= lo) if lo is not None else F.lit(True), F.lit(True)) & F.coalesce((n <= hi) if hi is not None else F.lit(True), F.lit(True))
-        return F.when(inside, v)
+        return F.when(_inside(v.try_cast("double"), name, o), v)
     made = {"EMAIL": cells.normal_email, "PHONE": cells.normal_phone, "DATE": lambda x: cells.normal_date(x, o.month_first), "CURRENCY": cells.normal_currency, "BOOLEAN": lambda x: cells.normal_boolean(x, o.spelling)}
     return made[kind](v) if kind in made else None
 
 
-def clean(df: DataFrame, o: Options = Options(), types: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cleaned table, its invalid cells as (__rid, column, value, expected, reason)).
+# Why a cell was changed, and what is counted for columns of a type: cells changed, cells found invalid.
+CHANGED = {"EMAIL": "email normalized", "PHONE": "phone normalized to 10 digits", "DATE": "date standardized to YYYY-MM-DD", "CURRENCY": "currency cleaned to numeric", "BOOLEAN": "boolean normalized"}
+BLANKED = {"EMAIL": "invalid email blanked", "PHONE": "invalid phone blanked", "DATE": "unparseable date blanked"}
+SYMBOLS = {"ADD": "+", "SUBTRACT": "−", "MULTIPLY": "×", "DIVIDE": "÷"}
+COUNTED = {"PHONE": "phones_normalized", "DATE": "dates_standardized", "CURRENCY": "currency_cells_cleaned", "BOOLEAN": "booleans_normalized"}
+COUNTED_INVALID = {"EMAIL": "invalid_emails", "PHONE": "invalid_phones", "DATE": "dates_unparseable", "CURRENCY": "invalid_numeric_values", "NUMBER": "invalid_numeric_values"}
+# End of fixed values.
+CHANGE = "struct<column:string,before:string,after:string,reason:string>"
 
-    Filling comes before empty rows go, blanked cells count as missing, and links are only reported.
-    """
+
+def _inside(n: Column, name: str, o: Options) -> Column:
+    """Whether a number is in the range of its column; true where there is none."""
+    lo, hi = numeric_range(name, o.rules.get(name))
+    return F.coalesce((n >= lo) if lo is not None else F.lit(True), F.lit(True)) & F.coalesce((n <= hi) if hi is not None else F.lit(True), F.lit(True))
+
+
+def _staged(df: DataFrame, o: Options, kinds: dict[str, str], log: bool) -> DataFrame:
+    """The rows of ``df`` with cleaned cells, written once: ``__bad`` cells, whether the row is to ``__drop`` and why, and
+    with ``log`` also its ``__log`` of changes and ``__count`` of what was done."""
     names = body(df)
-    found = detect(df) if types is None else types
-    kinds = {c: (o.rules[c].type if c in o.rules and o.rules[c].type else "TEXT" if c in o.rules and o.rules[c].skip else found.get(c, "TEXT")) for c in names}
+    skipped = {c for c in names if c in o.rules and o.rules[c].skip}
     # Three projections, so that a text and its normal form are each computed once.
-    out = df.select(RID, *[F.col(f"`{c}`") for c in names], *[_text(c, kinds[c], o).alias(f"__t{i}") for i, c in enumerate(names)])
+    texts = {i: _text(c, kinds[c], o) for i, c in enumerate(names)}
+    tally = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
+    counts = [tally([t[1] for t in texts.values()]).alias("__replaced"), tally([t[2] for t in texts.values()]).alias("__stripped")] if log else []
+    out = df.select(RID, *[F.col(f"`{c}`") for c in names], *[t[0].alias(f"__t{i}") for i, t in texts.items()], *counts)
     normal = {i: n for i, c in enumerate(names) if (n := _normal(F.col(f"__t{i}"), c, kinds[c], o)) is not None}
     out = out.select("*", *[n.alias(f"__n{i}") for i, n in normal.items()])
     bad = {i: ~cells.blank(f"__t{i}") & F.col(f"__n{i}").isNull() for i in normal}
+    # Money is held against its column's range once it is a number; it keeps its normal form.
+    beyond = {i: F.coalesce(~_inside(F.col(f"__n{i}").try_cast("double"), names[i], o), F.lit(False)) for i in normal if kinds[names[i]] == "CURRENCY" and numeric_range(names[i], o.rules.get(names[i])) != (None, None)}
     action = {i: (o.rules.get(names[i]) or Rule()).action or o.action for i in normal}
     reason = lambda i: "out of range" if kinds[names[i]] == "NUMBER" else f"invalid {kinds[names[i]].lower()}"
-    found_bad = [F.when(b, F.struct(F.lit(names[i]).alias("column"), F.col(f"`{names[i]}`").alias("value"), F.lit(kinds[names[i]]).alias("expected"), F.lit(reason(i)).alias("reason"))) for i, b in bad.items()]
+    cell = lambda i, value, kind, why: F.struct(F.lit(names[i]).alias("column"), F.col(value).alias("value"), F.lit(kind).alias("expected"), F.lit(why).alias("reason"))
+    found_bad = [F.when(b, cell(i, f"__t{i}", kinds[names[i]], reason(i))) for i, b in bad.items()] + [F.when(b, cell(i, f"__n{i}", "NUMBER", "out of range")) for i, b in beyond.items()]
     reasons = F.filter(F.array(*found_bad), lambda x: x.isNotNull()) if found_bad else F.array().cast("array<struct<column:string,value:string,expected:string,reason:string>>")
-    dropping = reduce(lambda a, b: a | b, [b for i, b in bad.items() if action[i] == "REMOVE_ROW"], F.lit(False))
+    dropping = reduce(lambda a, b: a | b, [b for found in (bad, beyond) for i, b in found.items() if action[i] == "REMOVE_ROW"], F.lit(False))
+    blanked = {i for i in normal if action[i] == "BLANK" and kinds[names[i]] in BLANKED}
 
     def value(i: int) -> Column:
         text = F.col(f"__t{i}")
         if i not in normal:
             return text
-        instead = F.lit("") if action[i] == "BLANK" and kinds[names[i]] in ("EMAIL", "PHONE", "DATE") else text
-        return F.when(bad[i], instead).otherwise(F.coalesce(F.col(f"__n{i}"), text))
-
-    out = out.select(RID, *[value(i).alias(c) for i, c in enumerate(names)], reasons.alias("__bad"), dropping.alias("__drop"))
+        return F.when(bad[i], F.lit("") if i in blanked else text).otherwise(F.coalesce(F.col(f"__n{i}"), text))
+
+    change = lambda c, before, after, why: F.struct(F.lit(c).alias("column"), before.alias("before"), after.alias("after"), F.lit(why).alias("reason"))
+    made = []
+    for i in normal if log else ():
+        kind, text = kinds[names[i]], F.col(f"__t{i}")
+        if kind in CHANGED:
+            made.append(F.when(~bad[i] & (F.col(f"__n{i}") != text), change(names[i], text, F.col(f"__n{i}"), CHANGED[kind])))
+        if i in blanked:
+            made.append(F.when(bad[i], change(names[i], text, F.lit(""), BLANKED[kind])))
+    some = lambda parts: F.filter(F.array(*parts), lambda x: x.isNotNull()) if parts else F.array().cast(f"array<{CHANGE}>")
+    logged = [some(made).alias("__log"), "__replaced", "__stripped"] if log else []
+    out = out.select(RID, *[value(i).alias(c) for i, c in enumerate(names)], reasons.alias("__bad"), dropping.alias("__drop"), *logged)
     for calc in o.calculated:
-        value = cells.format_number(cells.calculate(cells.parse_number(f"`{calc.a}`"), calc.op, cells.parse_number(f"`{calc.b}`")), calc.decimals)
+        result = cells.format_number(cells.calculate(cells.parse_number(f"`{calc.a}`"), calc.op, cells.parse_number(f"`{calc.b}`")), calc.decimals)
+        result = F.when(result != "", result)
         target = F.col(f"`{calc.target}`")
-        out = out.withColumn(calc.target, F.coalesce(value, target) if calc.overwrite else F.when(cells.blank(target), F.coalesce(value, target)).otherwise(target))
-    if o.missing == "FILL":
-        fills = {c: (o.rules[c].fill if c in o.rules and o.rules[c].fill is not None else o.fill) for c in names if not (c in o.rules and o.rules[c].skip)}
-        out = out.withColumns({c: F.when(cells.blank(f"`{c}`"), fill).otherwise(F.col(f"`{c}`")) for c, fill in fills.items() if fill})
-    elif o.missing == "REMOVE_ROW":
+        new = F.coalesce(result, target) if calc.overwrite else F.when(cells.blank(target), F.coalesce(result, target)).otherwise(target)
+        if log:
+            entry = F.when(~F.coalesce(new.eqNullSafe(target), F.lit(True)), change(calc.target, F.coalesce(target, F.lit("")), new, f"calculated: {calc.a} {SYMBOLS[calc.op]} {calc.b}"))
+            out = out.withColumns({"__log": F.concat("__log", some([entry])), calc.target: new})
+        else:
+            out = out.withColumn(calc.target, new)
+    empty = {c: cells.blank(f"`{c}`") for c in names if c not in skipped}
+    fills = {c: fill for c in empty if (fill := o.rules[c].fill if c in o.rules and o.rules[c].fill is not None else o.fill)} if o.missing == "FILL" else {}
+    if log:
+        out = out.withColumns({"__missing": tally([e.cast("int") for e in empty.values()]), "__filled": tally([empty[c].cast("int") for c in fills])})
+    gaps = F.lit(False)
+    if o.missing == "REMOVE_ROW":
         gaps = reduce(lambda a, b: a | b, [cells.blank(f"`{c}`") for c in (o.required or names)], F.lit(False))
-        out = out.withColumn("__drop", F.col("__drop") | gaps)
+    out = out.withColumns({"__gap": gaps, **{c: F.when(empty[c], fill).otherwise(F.col(f"`{c}`")) for c, fill in fills.items()}})
     # Written once: filters on cleaned cells would else be pushed below the cleaning and repeat it, as would each use below.
-    out = cut(out)
-    invalid = out.select(RID, F.explode("__bad").alias("b")).select(RID, "b.*")
-    if o.drop_empty:
-        out = out.where(reduce(lambda a, b: a | b, [~cells.blank(f"`{c}`") for c in names], F.lit(False)))
-    out = out.where(~F.col("__drop")).drop("__bad", "__drop")
-    keys = list(o.keys) or names
-    if o.exact:
-        out = dedupe.keep_first(out, keys, RID)
-    if o.normalised:
-        out = dedupe.keep_first(out, keys, RID, normalised=True)
-    if o.similar:
-        out = dedupe.drop_similar(out, keys, RID, o.threshold)
-    links = [c for c in names if kinds[c] == "URL"]
+    return cut(out)
+
+
+def _kinds(df: DataFrame, o: Options, types: dict[str, str] | None) -> dict[str, str]:
+    found = detect(df) if types is None else types
+    return {c: (o.rules[c].type if c in o.rules and o.rules[c].type else "TEXT" if c in o.rules and o.rules[c].skip else found.get(c, "TEXT")) for c in body(df)}
+
+
+def _not_empty(staged: DataFrame, names: list[str]) -> DataFrame:
+    return staged.where(reduce(lambda a, b: a | b, [~cells.blank(f"`{c}`") for c in names], F.lit(False)))
+
+
+def _thinned(rows: DataFrame, o: Options, names: list[str]) -> list[DataFrame]:
+    """The rows after each kind of duplicates went: exact, normalised, similar."""
+    keys, out = list(o.keys) or names, [rows]
+    out.append(dedupe.keep_first(out[-1], keys, RID) if o.exact else out[-1])
+    out.append(dedupe.keep_first(out[-1], keys, RID, normalised=True) if o.normalised else out[-1])
+    out.append(dedupe.drop_similar(out[-1], keys, RID, o.threshold) if o.similar else out[-1])
+    return out[1:]
+
+
+def _invalid(staged: DataFrame, out: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    invalid = staged.select(RID, F.explode("__bad").alias("b")).select(RID, "b.*")
+    links = [c for c in kinds if kinds[c] == "URL"]
     if links:
         broken = out.select(RID, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in links])).alias("l")).select(RID, "l.*")
         broken = broken.where(~cells.blank("value") & ~cells.full(cells.ws_trim("value"), cells.URL))
         invalid = invalid.unionByName(broken.select(RID, "column", "value", F.lit("URL").alias("expected"), F.lit("invalid url").alias("reason")))
-    return out, invalid
+    return invalid
+
+
+def clean(df: DataFrame, o: Options = Options(), types: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cleaned table, its invalid cells as (__rid, column, value, expected, reason)).
+
+    Filling comes before empty rows go, blanked cells count as missing, and links are only reported.
+    """
+    names, kinds = body(df), _kinds(df, o, types)
+    staged = _staged(df, o, kinds, log=False)
+    rows = _not_empty(staged, names) if o.drop_empty else staged
+    out = _thinned(rows.where(~(F.col("__drop") | F.col("__gap"))).select(RID, *names), o, names)[-1]
+    return out, _invalid(staged, out, kinds)
+
+
+def report(df: DataFrame, o: Options = Options(), types: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row of counters of what ``clean`` does with ``df``; its changes as (__rid, column, before, after, reason)).
+
+    Counters are sums over the rows, in one pass but for the counts of duplicates. All changes are given; whoever shows
+    them takes as many as there is room for.
+    """
+    names, kinds = body(df), _kinds(df, o, types)
+    staged = _staged(df, o, kinds, log=True)
+    rows = _not_empty(staged, names) if o.drop_empty else staged
+    kept = rows.where(~(F.col("__drop") | F.col("__gap"))).select(RID, *names)
+    exact, _, similar = (frame.count() for frame in _thinned(kept, o, names))
+    kind_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else F.lit(None).cast("map<string,string>")
+    changed = lambda kind: F.coalesce(F.sum(F.size(F.filter("__log", lambda x: x["reason"] == CHANGED[kind]))), F.lit(0))
+    invalid = lambda which: F.coalesce(F.sum(F.size(F.filter("__bad", lambda x: kind_of[x["column"]].isin(which)))), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    missing = total("__missing")
+    first = staged.agg(
+        F.count("*").alias("rows_in"),
+        total("__stripped").alias("unwanted_chars_removed"), total("__replaced").alias("replacements_made"),
+        total(F.size(F.filter("__log", lambda x: x["reason"].startswith("calculated: ")))).alias("calculated_cells_filled"),
+        *[changed(kind).alias(name) for kind, name in COUNTED.items()],
+        *[invalid([k for k, n in COUNTED_INVALID.items() if n == name]).alias(name) for name in dict.fromkeys(COUNTED_INVALID.values())],
+        missing.alias("missing_values_found"), total("__filled").alias("missing_values_filled"), (missing if o.missing == "FLAG" else F.lit(0)).alias("missing_values_flagged"),
+    )
+    second = rows.agg(F.count("*").alias("n"), F.count_if("__drop").alias("bad"), F.count_if(F.col("__gap") & ~F.col("__drop")).alias("gap")).first()
+    left = second["n"] - second["bad"] - second["gap"]
+    more = {"rows_removed_for_invalid_values": second["bad"], "rows_removed_for_missing_values": second["gap"], "exact_duplicates_removed": left - exact, "fuzzy_duplicates_removed": exact - similar, "duplicates_removed": left - similar, "rows_out": similar}
+    counted = first.withColumns({"empty_rows_removed": F.col("rows_in") - second["n"], **{k: F.lit(v) for k, v in more.items()}})
+    counted = counted.select(*[F.col(c).cast("long") for c in counted.columns])
+    return counted, staged.select(RID, F.explode("__log").alias("l")).select(RID, "l.*")
 
 
 def table_quality(df: DataFrame) -> DataFrame:

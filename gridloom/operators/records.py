@@ -21,9 +21,22 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 ENTITY_TYPES = frozenset("Product Article NewsArticle BlogPosting Recipe Event Book Movie JobPosting LocalBusiness Organization Person Course".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 MOST_EXTRAS = 8
+CARD_FIELDS = {
+    "name": "h1, h2, h3, h4, h5, [class*=title], [class*=name], [class*=heading]", "description": "p, [class*=desc], [class*=summary], [class*=subtitle], [class*=excerpt]", "price": "[class*=price], [itemprop=price]",
+    "rating": "[class*=rating], [class*=stars], [aria-label*=rating]", "link": "a[href]", "category": "[class*=category], [class*=tag], [class*=badge], [class*=breadcrumb]",
+}
+CARD_WORDS = frozenset("name title heading description desc summary subtitle excerpt price rating stars link href image img category tag badge breadcrumb".split())
+ATTRIBUTES = {
+    "brand": "Brand", "sku": "SKU", "location": "Location", "address": "Address", "author": "Author", "publisher": "Publisher", "duration": "Duration", "availability": "Availability", "stock": "Stock",
+    "bedroom": "Bedrooms", "bathroom": "Bathrooms", "area": "Area", "salary": "Salary", "employment": "Employment Type", "isbn": "ISBN", "weight": "Weight", "color": "Color", "colour": "Color", "size": "Size",
+    "material": "Material", "warranty": "Warranty", "condition": "Condition", "seller": "Seller", "shipping": "Shipping", "posted": "Posted",
+}
+LABELLED = re.compile(r"\s*([A-Za-z][A-Za-z ]{1,24}?)\s*:\s*(.+\S)\s*")
+LINKED_FIELDS = frozenset("@context @type @id name headline description price lowprice pricecurrency offers aggregaterating image url category articlesection".split())
+PROPERTY_FIELDS = frozenset("name headline title description price lowprice ratingvalue ratingscore url image category".split())
+MONEY = re.compile(r"(?:₹|\$|€|£)\s?[0-9][0-9,.]*")
+RATING = re.compile(r"[0-5](?:\.[0-9])?\s*(?:out of\s*5|stars|★)", re.I)
 # End of fixed values.
-MONEY = re.compile(r"(?:[₹$€£]|\b(?:INR|USD|EUR|GBP|Rs\.?))\s?\d[\d,]*(?:\.\d+)?")
-RATING = re.compile(r"\b(\d(?:\.\d)?)\s*(?:/\s*5|out of 5|stars?)", re.I)
 SCHEMA = "url string, " + ", ".join(f"{f} string" for f in FIELDS) + ", extra array<struct<k:string,v:string>>, strategy string"
 
 
@@ -152,28 +165,39 @@ def image_of(node: Node, base: str) -> str | None:
     return next((urljoin(base, m[1]) for n in (node, *node.walk()) if (m := re.search(r"background(?:-image)?\s*:[^;]*url\([\"']?([^\"')]+)", n.attrs.get("style", "")))), None)
 
 
-def _hinted(node: Node, *words: str) -> Node | None:
-    return next((n for n in node.walk() if any(w in " ".join((n.attrs.get("class", ""), n.attrs.get("itemprop", ""))).lower() for w in words) and n.text()), None)
+def _own_text(node: Node) -> str:
+    return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+
+
+def card_extras(node: Node) -> dict[str, str]:
+    """Up to eight more labels of a card: term lists, class names that tell of attributes, children that say ``Label: value``."""
+    found: list[tuple[str, str]] = []
+    for n in node.walk():
+        if n.tag == "dt":
+            beside = [c for c in n.parent.children if isinstance(c, Node)]
+            after = beside[beside.index(n) + 1 :][:1]
+            found += [(label(n.text()), d.text()) for d in after if d.tag == "dd"]
+    found += [(name, t) for hint, name in ATTRIBUTES.items() if (hits := select(node, f"[class*={hint}]")) and (t := hits[0].text())]
+    for c in node.children:
+        if isinstance(c, Node) and (m := LABELLED.fullmatch(_own_text(c))) and m[1].strip().lower() not in CARD_WORDS:
+            found.append((label(m[1]), m[2]))
+    out: dict[str, str] = {}
+    for name, value in found:
+        if name and value.strip() and len(out) < MOST_EXTRAS:
+            out.setdefault(name, value.strip())
+    return out
 
 
 def card(node: Node, base: str) -> dict:
-    """Fields of a card by headings, links, class names and what looks like money or a rating."""
-    heading = next((n for n in node.walk() if re.fullmatch("h[1-6]", n.tag) and n.text()), None)
-    link = node if node.tag == "a" else next((n for n in node.walk() if n.tag == "a" and n.attrs.get("href")), None)
-    name = heading or _hinted(node, "title", "name") or link
-    text = node.text()
-    price = _hinted(node, "price", "amount")
-    money, stars = MONEY.search(price.text() if price else text), RATING.search(text)
-    rating = _hinted(node, "rating", "stars")
-    description = _hinted(node, "desc", "summary", "excerpt") or next((n for n in node.walk() if n.tag == "p" and n.text()), None)
-    category = _hinted(node, "category", "tag", "genre")
-    extra, terms = [], [n for n in node.walk() if n.tag in ("dt", "dd")]
-    extra += [(a.text().rstrip(":"), b.text()) for a, b in zip(terms, terms[1:]) if a.tag == "dt" and b.tag == "dd"]
-    extra += [(m[1].strip(), m[2].strip()) for n in node.walk() if n.tag in ("li", "span", "div", "p") and not any(isinstance(c, Node) for c in n.children) and (m := re.fullmatch(r"([A-Za-z][\w /-]{1,30}):\s+(.{1,120})", n.text()))]
-    return {
-        "name": name.text() if name else None, "description": description.text() if description else None, "price": money[0] if money else price.text() if price else None, "rating": stars[1] if stars else rating.text() if rating else None,
-        "link": urljoin(base, link.attrs["href"]) if link and link.attrs.get("href") else None, "image": image_of(node, base), "category": category.text() if category else None, "extra": list(dict(extra).items())[:MOST_EXTRAS],
-    }
+    """Fields of a card by tags and class names, money and ratings also by their looks."""
+    first = {name: next(iter(select(node, where)), None) for name, where in CARD_FIELDS.items()}
+    anchor, picture, text = first["link"], next((n for n in node.walk() if n.tag == "img" and n.attrs.get("alt")), None), node.text()
+    seen = lambda pattern: m[0] if (m := pattern.search(text)) else None
+    name = first["name"].text() if first["name"] else (anchor.text() or anchor.attrs.get("title")) if anchor else picture.attrs["alt"] if picture else None
+    price = first["price"].text() if first["price"] else seen(MONEY)
+    rating = (first["rating"].attrs.get("aria-label") or first["rating"].text()) if first["rating"] else seen(RATING)
+    made = {"name": name, "description": first["description"].text() if first["description"] else None, "price": price, "rating": rating, "link": urljoin(base, anchor.attrs["href"]) if anchor else None, "image": image_of(node, base), "category": first["category"].text() if first["category"] else None}
+    return {k: v.strip() or None if v else None for k, v in made.items()} | {"extra": list(card_extras(node).items())}
 
 
 def cards(root: Node, base: str) -> list[dict]:
@@ -189,66 +213,105 @@ def cards(root: Node, base: str) -> list[dict]:
     return [x for x in (card(n, base) for n in best) if any(x[f] for f in FIELDS)]
 
 
-def _plain(v) -> str | None:
-    if isinstance(v, list):
-        v = next(iter(v), None)
-    if isinstance(v, dict):
-        v = v.get("name") or v.get("url") or v.get("@id") or v.get("ratingValue")
-    return None if v is None else str(v)
+def label(name: str) -> str:
+    return " ".join(w[:1].upper() + w[1:] for w in re.split(r"[\s_-]+", name.lower()) if w)
+
+
+def _scalar(v) -> str | None:
+    """A text that is not blank, or a number."""
+    if isinstance(v, str):
+        return v.strip() or None
+    return str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+
+
+def _named(v) -> str | None:
+    return (v.get("name") if isinstance(v.get("name"), str) and v["name"].strip() else None) if isinstance(v, dict) else v if isinstance(v, str) and v.strip() else None
+
+
+def _entity(x: dict, base: str) -> dict:
+    """The record of an entity: fields by their keys, all other properties that have a text as extras."""
+    get = lambda *keys: next((t for k in keys if (t := _scalar(x.get(k)))), None)
+    offers = x.get("offers")
+    offer = next(iter(offers), None) if isinstance(offers, list) else offers
+    price = None
+    if isinstance(offer, dict) and (amount := _scalar(offer.get("price", offer.get("lowPrice")))):
+        price = f"{offer.get('priceCurrency') or ''} {amount}".strip()
+    image = x.get("image")
+    while isinstance(image, list):
+        image = image[0] if image else None
+    image = image.get("url") if isinstance(image, dict) else image
+    rating = x["aggregateRating"].get("ratingValue") if isinstance(x.get("aggregateRating"), dict) else None
+    link = get("url")
+    extra = {}
+    for k, v in x.items():
+        if k.lower() in LINKED_FIELDS or len(extra) >= MOST_EXTRAS:
+            continue
+        if isinstance(v, list):
+            text = ", ".join(t for y in v if (t := _named(y)))
+        else:
+            text = str(v).lower() if isinstance(v, bool) else _named(v) or _scalar(v)
+        if text:
+            extra[label(k)] = text
+    return {
+        "name": get("name", "headline"), "description": get("description"), "price": price or get("price", "lowPrice"), "rating": None if rating is None else str(rating),
+        "link": urljoin(base, link) if link else None, "image": urljoin(base, image) if isinstance(image, str) and image.strip() else None, "category": get("category", "articleSection"), "extra": list(extra.items()),
+    }
 
 
 def json_ld(root: Node, base: str) -> list[dict]:
-    found: list[dict] = []
-
-    def look(x):
-        if isinstance(x, list):
-            for y in x:
-                look(y)
-        elif isinstance(x, dict):
-            types = x.get("@type")
-            if ENTITY_TYPES & set(types if isinstance(types, list) else [types]):
-                offer = x.get("offers")
-                offer = offer[0] if isinstance(offer, list) and offer else offer if isinstance(offer, dict) else {}
-                price = _plain(offer.get("price") or offer.get("lowPrice"))
-                link, image = _plain(x.get("url")), _plain(x.get("image"))
-                found.append(
-                    {
-                        "name": _plain(x.get("name") or x.get("headline") or x.get("title")), "description": _plain(x.get("description")), "price": f"{offer.get('priceCurrency', '')} {price}".strip() if price else None, "rating": _plain(x.get("aggregateRating")),
-                        "link": urljoin(base, link) if link else None, "image": urljoin(base, image) if image else None, "category": _plain(x.get("category") or x.get("articleSection")),
-                        "extra": [(k, p) for k in ("brand", "sku", "author", "datePublished") if (p := _plain(x.get(k)))][:MOST_EXTRAS],
-                    }
-                )
-            for k in ("@graph", "itemListElement", "mainEntity", "item"):
-                if k in x:
-                    look(x[k])
-
+    """Entities of the known types, nested ones too; of those alike in name, link and price the first."""
+    found: dict[tuple, dict] = {}
+    todo: list = []
     for n in root.walk():
         if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json":
             try:
-                look(json.loads(n.raw()))
+                todo.append(json.loads(n.raw()))
             except ValueError:
                 continue
-    return list({(x["name"], x["link"], x["price"]): x for x in reversed(found)}.values())[::-1]
+    todo.reverse()
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, dict):
+            kinds = x.get("@type")
+            if ENTITY_TYPES & {k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}:
+                made = _entity(x, base)
+                if made["extra"] or any(made[f] for f in FIELDS):
+                    found.setdefault((made["name"], made["link"], made["price"]), made)
+            todo += [x[k] for k in ("item", "mainEntity", "itemListElement", "@graph") if k in x and (k != "item" or isinstance(x[k], dict))]
+    return list(found.values())
+
+
+def _property(n: Node, base: str) -> str:
+    """The value of a microdata property."""
+    if n.tag == "img":
+        return (image_of(n, base) or n.attrs.get("content", "")).strip()
+    if n.tag == "a" and "content" not in n.attrs:
+        return urljoin(base, n.attrs.get("href", "")).strip() if n.attrs.get("href") else ""
+    return next((n.attrs[a] for a in ("content", "datetime") if a in n.attrs), None or n.text()).strip()
 
 
 def microdata(root: Node, base: str) -> list[dict]:
-    """Items with itemscope; one or two count only if all are named."""
-    names = {"name": "name", "headline": "name", "description": "description", "price": "price", "ratingValue": "rating", "url": "link", "image": "image", "category": "category"}
+    """A record for each element with itemscope; one or two count only if all are named."""
     out = []
-    for n in root.walk():
-        if "itemscope" in n.attrs and "itemprop" not in n.attrs:
-            x: dict = dict.fromkeys(FIELDS) | {"extra": []}
-            for p in (p for p in n.walk() if p.attrs.get("itemprop")):
-                value = p.attrs.get("content") or p.attrs.get("href") or p.attrs.get("src") or p.text()
-                key = names.get(p.attrs["itemprop"])
-                if key in ("link", "image"):
-                    value = urljoin(base, value)
-                if key and not x[key]:
-                    x[key] = value
-                elif not key and value and len(x["extra"]) < MOST_EXTRAS:
-                    x["extra"].append((p.attrs["itemprop"], value))
-            if any(x[f] for f in FIELDS):
-                out.append(x)
+    for scope in root.walk():
+        if "itemscope" not in scope.attrs:
+            continue
+        inside = [(n.attrs["itemprop"].strip(), n) for n in (scope, *scope.walk()) if (n.attrs.get("itemprop") or "").strip()]
+        first: dict[str, Node] = {}
+        for name, n in inside:
+            first.setdefault(name, n)
+        get = lambda *names: next((v for name in names if name in first and (v := _property(first[name], base))), None)  # noqa: E731, B023
+        anchor = next((n for n in scope.walk() if n.tag == "a" and n.attrs.get("href")), None)
+        extra: dict[str, str] = {}
+        for name, n in inside:
+            if name.lower() not in PROPERTY_FIELDS and len(extra) < MOST_EXTRAS and label(name) not in extra and (v := _property(n, base)):
+                extra[label(name)] = v
+        link = get("url") or (anchor and anchor.attrs["href"])
+        x = {"name": get("name", "headline", "title"), "description": get("description"), "price": get("price", "lowPrice"), "rating": get("ratingValue", "ratingScore"), "link": urljoin(base, link) if link else None, "image": get("image"), "category": get("category"), "extra": list(extra.items())}
+        if extra or any(x[f] for f in FIELDS):
+            out.append(x)
     return out if len(out) >= 3 or all(x["name"] for x in out) else []
 
 

@@ -162,8 +162,16 @@ def test_records(spark):
     ld = '<script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "A", "offers": {"price": 3, "priceCurrency": "EUR"}, "url": "/a"}, {"@type": "Thing"}]}</script>'
     assert [(x["name"], x["price"], x["link"]) for x in records.items(base, ld)[1]] == [("A", "EUR 3", "https://x.example/a")]
     micro = '<div itemscope><span itemprop="name">B</span><meta itemprop="price" content="4"><i itemprop="brand">Z</i></div>'
-    assert records.items(base, micro)[0] == "microdata" and records.items(base, micro)[1][0]["extra"] == [("brand", "Z")]
+    assert records.items(base, micro)[0] == "microdata" and records.items(base, micro)[1][0]["extra"] == [("Brand", "Z")]
     assert records.items(base, '<title>T</title><meta property="og:description" content="d">')[1][0] == {"name": "T", "description": "d", "price": None, "rating": None, "link": base, "image": None, "category": None, "extra": []}
+    more = '<script type="application/ld+json">[{"@type": ["Thing", "Book"], "headline": " B ", "price": 0, "isbn": 12, "inStock": true, "author": [{"name": "X"}, "Y"], "date_published": "2024", "brand": {"name": "Z"}, "aggregateRating": {"ratingValue": 4.5}, "image": [{"url": "i.png"}], "none": null}, {"@type": "Product", "name": "A", "offers": [{"lowPrice": 0, "priceCurrency": "EUR"}]}, {"@type": "Product", "name": "A", "offers": {"price": 0, "priceCurrency": "EUR"}, "sku": "later"}]</script>'
+    first, second = records.items(base, more)[1]
+    assert (first["name"], first["price"], first["rating"], first["image"]) == ("B", "0", "4.5", base + "i.png") and first["extra"] == [("Isbn", "12"), ("Instock", "true"), ("Author", "X, Y"), ("Date Published", "2024"), ("Brand", "Z")]
+    assert (second["price"], second["extra"]) == ("EUR 0", [])
+    shop = "<ul>" + '<li class="c"><span class="title">N</span><a href="/x">go</a><dl><dt>Screen size</dt><dd>5 in</dd></dl><i class="brand-name">Q</i><b class="tag">T</b><span>Rooms: 3</span><span>Price: 9</span><em aria-label="rating 4 of 5">s</em><p>It costs € 5.50</p></li>' * 3 + "</ul>"
+    strategy, made = records.items(base, shop)
+    assert strategy == "cards" and len(made) == 3 and (made[0]["name"], made[0]["price"], made[0]["rating"], made[0]["category"], made[0]["description"]) == ("N", "€ 5.50", "rating 4 of 5", "T", "It costs € 5.50")
+    assert made[0]["extra"] == [("Screen Size", "5 in"), ("Brand", "Q"), ("Rooms", "3")]
     chosen = {"container": "div.c", "title": "b", "price": "[data-p]", "link": "a[href*=go]"}
     assert [(x["name"], x["price"], x["link"]) for x in records.items(base, '<div class="c"><b>N</b><i data-p>9</i><a href="go/1">x</a></div>', chosen)[1]] == [("N", "9", "https://x.example/p/go/1")]
     assert records.tables(records.Tree("<table><tr><th>a<td>b<tr><td>c</table>").root) == [[["a", "b"], ["c"]]] and records.items(base, None) == ("none", [])
@@ -327,3 +335,23 @@ def test_conversions(spark, tmp_path):
         assert [bool(r.error) for r in got] == [False, False, False, True, True] and [r.output is None for r in got] == [False, False, False, True, True]
         assert got[0].replaced == (target == "pdf") and len({r.output for r in got[:3]}) == 3 and got[2].output == f"b.{target}"
         assert [read((tmp_path / target / r.output).read_bytes()) for r in got[:3]] == ["one\ntwo " + ("?" if target == "pdf" else "\u4e2d"), "three", "four"]
+
+
+def test_cleaning_report(spark):
+    rows = [("a  b", "X@Y.com", "(555) 123-4567", "-5", "2", "3"), ("a b", "bad", "12", "$7", "", "4"), ("", "", "", "", "", ""), ("A B", "x@y.com", "5551234567", "7", "5", "")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "__rid long, t string, e string, p string, cost string, q string, total string")
+    types = {"t": "TEXT", "e": "EMAIL", "p": "PHONE", "cost": "CURRENCY", "q": "NUMBER", "total": "NUMBER"}
+    o = cleaning.Options(action="BLANK", normalised=True, keys=("t",), missing="FLAG", calculated=(cleaning.Calculated("total", "q", "MULTIPLY", "cost"),), replaces=(cleaning.Replace("b", "B", column="t"),))
+    counted, changes = cleaning.report(frame, o, types)
+    got = counted.first().asDict()
+    assert {k: got[k] for k in ("rows_in", "rows_out", "empty_rows_removed", "exact_duplicates_removed", "fuzzy_duplicates_removed", "duplicates_removed", "replacements_made", "calculated_cells_filled")} == {"rows_in": 4, "rows_out": 1, "empty_rows_removed": 1, "exact_duplicates_removed": 1, "fuzzy_duplicates_removed": 1, "duplicates_removed": 2, "replacements_made": 2, "calculated_cells_filled": 2}
+    assert {k: got[k] for k in ("invalid_emails", "invalid_phones", "phones_normalized", "currency_cells_cleaned", "invalid_numeric_values", "missing_values_found", "missing_values_flagged", "rows_removed_for_invalid_values")} == {"invalid_emails": 1, "invalid_phones": 1, "phones_normalized": 1, "currency_cells_cleaned": 1, "invalid_numeric_values": 1, "missing_values_found": 9, "missing_values_flagged": 9, "rows_removed_for_invalid_values": 0}
+    assert sorted((r["__rid"], r.column, r.before, r.after, r.reason) for r in changes.collect()) == [
+        (0, "e", "X@Y.com", "x@y.com", "email normalized"), (0, "p", "(555) 123-4567", "5551234567", "phone normalized to 10 digits"), (0, "total", "3", "-10.00", "calculated: q × cost"),
+        (1, "cost", "$7", "7", "currency cleaned to numeric"), (1, "e", "bad", "", "invalid email blanked"), (1, "p", "12", "", "invalid phone blanked"), (3, "total", "", "35.00", "calculated: q × cost"),
+    ]
+    out, invalid = cleaning.clean(frame, o, types)
+    assert out.count() == 1 and sorted((r["__rid"], r.column, r.value, r.expected) for r in invalid.collect()) == [(0, "cost", "-5", "NUMBER"), (1, "e", "bad", "EMAIL"), (1, "p", "12", "PHONE")]
+    gone = cleaning.report(frame, cleaning.Options(action="REMOVE_ROW", missing="REMOVE_ROW", exact=False), types)[0].first()
+    assert (gone.rows_removed_for_invalid_values, gone.rows_removed_for_missing_values, gone.rows_out) == (2, 1, 0)
+    assert cleaning.report(frame.limit(0), o, types)[0].first().rows_out == 0
