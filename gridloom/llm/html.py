@@ -28,7 +28,7 @@ BLOCK = HOLDS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption f
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Words of class and id names that mark what is not the article.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
+    "ad ads adsbygoogle adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar comment comments "
     "commentlist disqus replies respond discussion share sharing social related recommended widget pagination pager login signup search copyright".split()
 )
