@@ -4,7 +4,9 @@ N-grams are counted over all trusted documents, in Arrow batches, and summed by
 them (continuation counts, counts of counts, discounts, sums and numbers of types by context) and the interpolation with
 the lower order are aggregates and joins of tables sharded by n-gram and context. Each document is scored with the
 resulting probabilities and back-off weights; its perplexity for a character is compared with a threshold of its
-language, a quantile of the perplexities of the language's trusted documents.
+language, a quantile of the perplexities of the language's trusted documents, however few. Those are held out: trusted
+documents are dealt by their text to folds, and each is scored by a model of the other folds, as a document would be that
+the model has not seen. Perplexities of the texts that a model was trained on are too low, most of all in small languages.
 
 The scored model is cut into shards of at most ``shard_rows`` rows by the last character of the context: all that one
 position looks up but the single characters, which every shard has, lies in one shard. A shard is broadcast, one at a time;
@@ -30,8 +32,8 @@ SHARD_ROWS = 2_000_000
 #: Share of trusted documents of a language whose perplexity is at or below the threshold, and room above it.
 QUANTILE = 0.995
 ROOM = 1.05
-#: Languages with fewer trusted documents use the threshold over all.
-LEAST_TRUSTED = 50
+#: Parts of the trusted documents, by their text, each of which is held out from a model of the others.
+FOLDS = 5
 #: Perplexities are put in bins of so many to a unit of their logarithm for the quantiles.
 BINS = 1000
 PAD = "\x02"
@@ -51,12 +53,15 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): all n-grams of the column ``text``, each text with order - 1 marks of its start before it."""
+    """(fold, gram, n): all n-grams of the column ``text`` by ``fold``, each text with order - 1 marks of its start before it."""
     head = PAD * (order - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _chunks(batch.column(0).to_pylist()):
+            by_fold: dict[int, list[str]] = {}
+            for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_fold.setdefault(fold, []).append(t)
+            for fold, part in ((f, part) for f, own in by_fold.items() for part in _chunks(own)):
                 points = code_points("".join(head + t for t in part if t))
                 if not len(points):
                     continue
@@ -68,9 +73,9 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 windows = np.lib.stride_tricks.sliding_window_view(points.astype(np.uint32), order)[at[first]]
                 grams = np.ascontiguousarray(windows).tobytes().decode("utf-32-le", "surrogatepass")
                 names = [grams[i : i + order] for i in range(0, len(grams), order)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["fold", "gram", "n"])
 
-    return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text", "fold").mapInArrow(run, "fold int, gram string, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -82,12 +87,13 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.05), i + 0.95)) for i, d in enumerate(out))
 
 
-def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model: rows (gram, logp, backoff); ``backoff`` is the log weight of what follows ``gram`` as a context.
+def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model of ``counts`` (gram, n; a gram may have several rows): rows (gram, logp, backoff).
 
+    ``backoff`` is the log weight of what follows ``gram`` as a context.
     Grams have 1 to ``order`` characters. A gram that is only a context, or only predicted, has a null in the other column.
     """
-    top = cut(ngram_counts(texts, order))
+    top = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
     levels = {order: top}
     for k in range(order - 1, 0, -1):
         # In how many contexts a shorter gram was seen.
@@ -211,12 +217,12 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int
     return each.drop("_n")
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM, least: int = LEAST_TRUSTED) -> DataFrame:
-    """(lang, threshold) from the rows that are ``trusted``; lang null has the one over all.
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM) -> DataFrame:
+    """(lang, threshold) from the rows of ``scored``, for every language that has any; lang null has the one over all.
 
     Quantiles come from counts by bins of the logarithm: exact to a thousandth, the same in whatever order rows come.
     """
-    bins = scored.where("trusted and perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    bins = scored.where("perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     bins = bins.where("lang is not null").unionAll(bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))
     from pyspark.sql.window import Window
 
@@ -225,23 +231,40 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM
     upto = whole_lang.orderBy("bin")
     bins = bins.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole_lang).alias("all"))
     found = bins.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang", "all").agg(F.min("bin").alias("bin"))
-    return found.where((F.col("all") >= least) | F.col("lang").isNull()).select("lang", (F.exp((F.col("bin") + 1) / BINS) * room).alias("threshold"))
+    return found.select("lang", (F.exp((F.col("bin") + 1) / BINS) * room).alias("threshold"))
+
+
+def held_out(trusted: DataFrame, counts: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame | None:
+    """(lang, perplexity) of each row of ``trusted`` (lang, size, fold, _text) by a model of the other folds' ``counts``.
+
+    None if no fold has others: a single text cannot be held out from anything.
+    """
+    folds = sorted(r[0] for r in counts.select("fold").distinct().collect())  # FOLDS at most
+    if len(folds) < 2:
+        return None
+    perplexity = F.exp(-F.col("lp") / F.col("size")).alias("perplexity")
+    parts = [cut(score(trusted.where(F.col("fold") == f).select("lang", "size", "_text"), train(counts.where(F.col("fold") != f), order), order, shard_rows).select("lang", perplexity)) for f in folds]
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, trusted, perplexity, threshold, kept.
 
     ``trusted`` has the doc_id of the documents to train on; ids that are null or not in ``docs`` are ignored. Null and
-    empty texts have no perplexity and are not kept. A language without enough trusted documents, and a null one, have
-    the threshold over all. Without any trusted text the threshold is null and every text is kept. Repeated rows stay.
+    empty texts have no perplexity and are not kept. A language without trusted documents, and a null one, have the
+    threshold over all. Without two trusted texts in different folds the threshold is null and every text is kept.
+    Perplexities are by the model of all trusted documents, thresholds from held-out ones. Repeated rows stay.
     """
     ids = small(trusted.select(F.col(doc_id).cast("long").alias("_trusted")).where("_trusted is not null").distinct(), 1_000_000)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), whole(text).alias("_text"))
     base = base.join(ids, F.col("doc_id").cast("long") == F.col("_trusted"), "left").select("doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), F.length("_text").alias("size"), "_text")
-    model = train(base.where("trusted").select("_text"), order)
-    scored = score(base, model, order, shard_rows)
+    # Copies of a text are in one fold: none is scored by a model that has seen it.
+    learned = base.where("trusted and size > 0").select("lang", "size", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("fold"), "_text")
+    counts = cut(ngram_counts(learned.select(F.col("_text").alias("text"), "fold"), order))
+    scored = score(base, train(counts, order), order, shard_rows)
     scored = cut(scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("lp") / F.col("size")))))
-    limits = cut(thresholds(scored))
+    unseen = held_out(learned, counts, order, shard_rows)
+    limits = cut(thresholds(scored.limit(0) if unseen is None else unseen))
     overall = limits.where("lang is null").first()
     own = small(limits.where("lang is not null"), 100_000)
     threshold = F.coalesce("threshold", F.lit(overall["threshold"] if overall else None).cast("double"))

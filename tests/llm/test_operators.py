@@ -309,6 +309,21 @@ def test_quality_without_trusted_or_rows(spark):
     assert quality.classify(docs(spark, []), none, order=3).count() == 0
 
 
+def test_quality_small_languages_have_their_own_held_out_threshold(spark):
+    rng = random.Random(5)
+    french = "rivière maison forêt lumière pierre arbre ciel été neige pluie vent montagne vallée chemin pont village champ fleur oiseau nuage soleil lune étoile matin soir hiver automne printemps jardin porte".split()
+    clean = lambda: " ".join(rng.choice(french) for _ in range(14))
+    rows = [(i, f"the {rng.choice(['river', 'stone', 'house'])} of {rng.choice(['light', 'sky'])} and the {rng.choice(WORDS[5:9])} trees", "en", "a") for i in range(400)]
+    rows += [(1000 + i, clean(), "fr", "a") for i in range(20)] + [(2000 + i, clean(), "fr", "a") for i in range(20)] + [(3000, "XQ!! ZZ%% 77 @@ KJ", "fr", "a"), (3001, rows[0][1], None, "a")]
+    trusted = spark.createDataFrame([(r[0],) for r in rows if r[0] < 2000], "doc_id long")
+    got = quality.classify(docs(spark, rows), trusted, order=3).collect()
+    limit = {r.lang: r.threshold for r in got}
+    assert limit["fr"] > max(limit["en"], limit[None]) and len({r.threshold for r in got}) == 3
+    assert sum(r.kept for r in got if 2000 <= r.doc_id < 3000) >= 19 and not any(r.kept for r in got if r.doc_id == 3000)
+    alone = quality.classify(docs(spark, rows[400:403]), spark.createDataFrame([(1000,)], "doc_id long"), order=3).collect()
+    assert all(r.kept and r.threshold is None for r in alone)
+
+
 def test_lines_by_brute_force(spark):
     rows = [(i, "\n".join(["menu", f" body {i} ", "", "rare" if i == 3 else "x" * i, "menu" if i % 2 else "often" if i % 5 == 0 else f"u{i}"]), "en", "big" if i < 60 else "small") for i in range(70)]
     rows += [(100, None, "en", "big"), (101, "", "en", None), (102, "menu", "en", "big"), (102, "menu", "en", "big"), (103, LONG.replace(" ", "\n"), "en", "big")]
