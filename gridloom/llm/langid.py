@@ -26,6 +26,11 @@ START = "▁"
 #: Letters that one forward pass takes; a longer run of letters is scored in parts, which keeps products above zero.
 LONGEST = 30
 UNKNOWN = 1e-7
+#: The background's urn: the weight of letters not seen yet, how many a script has, and the same for ideographs and syllables.
+URN = 32.0
+ALPHABET = 128
+IDEOGRAPHS = 0x2E80
+IDEOGRAPH_LETTERS = 30_000
 ROUNDS = 1
 #: Characters of text that a worker looks at together.
 CHUNK_CHARS = 4_000_000
@@ -240,9 +245,33 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
     return pieces, languages, table
 
 
-def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+def background(text: str) -> float:
+    """Log likelihood of the words of a text in no language: letters (and starts of words) drawn one by one from an urn.
+
+    A letter comes as often as it has come before in the text, or anew from the letters of its kind of script, so the
+    model needs no training and knows every script. It knows no order of letters: that is what a language must explain
+    better. The order of the letters does not matter, so that their counts are enough.
+    """
+    n = np.bincount(code_points(text).astype(np.int64))
+    letters = np.flatnonzero(n)
+    n = n[letters]
+    fresh = URN / np.where(letters < IDEOGRAPHS, ALPHABET, IDEOGRAPH_LETTERS)
+    return float((_log_gamma(n + fresh) - _log_gamma(fresh)).sum() - _log_gamma(np.array([n.sum() + URN]))[0] + _log_gamma(np.array([URN]))[0])
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, after moving up by eight: to some 1e-9."""
+    x = x.astype(float)
+    up = sum(np.log(x + i) for i in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
+
+
+def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score", unknown: bool = False) -> DataFrame:
     """``docs`` with ``out``, the likeliest language, and ``score``, its posterior among the languages (0 to 1).
 
+    With ``unknown``, the posterior is among the languages and ``background``, so that it falls to 0 for texts in none.
+
     Texts that are null or without letters, and all texts if no language was learned, get ``und`` and 0. Equal
     likelihoods go to the first language by name. Columns of those names are replaced; everything else stays as it is.
     """
@@ -261,7 +290,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
                 words: dict[str, int] = {}
                 each = [[words.setdefault(w, len(words)) for w in words_of(texts[i])] for i in part]
                 scores = likelihoods(known, table, list(words)) if words and languages else None
-                names, likely = [], []
+                names, likely, names_of = [], [], list(words)
                 for ids in each:
                     if not ids or scores is None:
                         names.append("und")
@@ -270,7 +299,11 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
                     total = scores[ids].sum(axis=0)
                     best = int(total.argmax())
                     names.append(languages[best])
-                    likely.append(float(1 / np.exp(total - total[best]).sum()))
+                    rivals = total - total[best]
+                    if unknown:
+                        none = background(START + START.join(names_of[i] for i in ids))
+                        rivals = np.append(rivals, min(none - total[best], 700.0))
+                    likely.append(float(1 / np.exp(rivals).sum()))
                 kept = [c.slice(part.start, len(part)) for c in batch.columns[:last]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(likely, pa.float64())], names=[*batch.schema.names[:last], out, score])
         tidy()
@@ -283,12 +316,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, vocabulary: str | None = None, unknown: bool = False) -> DataFrame:
     """Learn from the documents that are not held out and predict all: the columns of ``docs``, lang_pred and score."""
-    return predict(docs, train(docs.where(~held_out()), vocabulary=vocabulary))
+    return predict(docs, train(docs.where(~held_out()), vocabulary=vocabulary), unknown=unknown)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str | None = None) -> DataFrame:
-    """The documents whose language is recognised with a score of ``least`` or more, with it as ``lang``; the rest goes."""
-    found = identify(docs, vocabulary).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    """The documents whose language is recognised with a score of ``least`` or more, with it as ``lang``; the rest goes.
+
+    The score is among the learned languages and none of them, so texts in other languages and random letters go.
+    """
+    found = identify(docs, vocabulary, unknown=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)

@@ -237,6 +237,26 @@ def test_langid_accuracy_and_edges(spark, tmp_path):
     assert {r.lang_pred for r in langid.identify(docs(spark, [(1, "word", None, "a")])).collect()} == {"und"}
 
 
+def test_langid_rejects_what_is_in_no_learned_language(spark):
+    import math
+
+    d = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    foreign = [
+        "Вчера вечером мы долго гуляли по берегу реки и говорили о том, что будет с нами через несколько лет. " * 8,
+        "Χθες το βράδυ περπατήσαμε πολλή ώρα δίπλα στο ποτάμι και μιλήσαμε για όσα θα γίνουν στα επόμενα χρόνια. " * 8,
+        "昨天晚上我们沿着河边走了很久，谈论几年以后我们会怎么样，城市里的灯光照在水面上，风很轻。" * 8,
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(3, 14))) for _ in range(200)),
+    ]
+    more = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    clean = d.where("length(text) > 400 and lang is not null")
+    kept = langid.keep_identified(clean.unionByName(more)).collect()
+    assert not [r for r in kept if r.doc_id >= 10_000_000]
+    assert len(kept) >= 0.98 * clean.count()
+    x = np.array([0.25, 1.0, 7.5, 300.0, 1e6])
+    assert np.allclose(langid._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-8)
+
+
 def test_langid_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
     table = np.array([[0.1], [0.2], [0.05], [0.15], [0.2], [0.1], [0.1], [1e-7]])
