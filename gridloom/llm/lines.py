@@ -16,6 +16,8 @@ from .common import cut
 RATIO = 0.1
 #: Hosts with fewer pages than this have no boilerplate: shares of so few pages mean nothing.
 LEAST_PAGES = 20
+#: Pages of a host that a line must be on to be boilerplate in the pipeline, where hosts of any size are cleaned.
+LEAST_WITH = 3
 #: Hosts with boilerplate that are broadcast, and lines in all; beyond it they are joined by host.
 BROADCAST_HOSTS = 10_000
 BROADCAST_LINES = 200_000
@@ -31,19 +33,19 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(F.lit(1), bare).alias("a"), F.xxhash64(F.lit(2), bare).alias("b")))
 
 
-def boilerplate(pages: DataFrame, text: str, host: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, text: str, host: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with: int = 1) -> DataFrame:
     """(host, keys): for each host that has some, the digests of its boilerplate lines. A null host is one host."""
     own = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
     totals = own.groupBy("host").agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), line_key), lambda k: k.isNotNull()))
     counts = own.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("with_line"))
     # A line on a share of the pages of any host with enough pages is on so many pages: most counts go before the join.
-    counts = counts.where(F.col("with_line") > ratio * least_pages)
+    counts = counts.where((F.col("with_line") > ratio * least_pages) & (F.col("with_line") >= least_with))
     frequent = counts.join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("with_line") > ratio * F.col("pages"))
     return frequent.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None = None, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None = None, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with: int = 1) -> DataFrame:
     """``pages`` with ``text`` less its boilerplate lines, and ``n_lines`` and ``n_dropped``, in the page's line order.
 
     Every row is a page. A line counts once for a page, without the spaces around it. Blank lines stay. A null text stays
@@ -51,7 +53,7 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None =
     Columns named n_lines or n_dropped are replaced, others stay as they are.
     """
     host = F.col("source") if host is None else host
-    lists = cut(boilerplate(pages, text, host, ratio, least_pages))
+    lists = cut(boilerplate(pages, text, host, ratio, least_pages, least_with))
     hosts, lines = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     lists = lists.select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
     if hosts <= BROADCAST_HOSTS and lines <= BROADCAST_LINES:
@@ -67,8 +69,11 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None =
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, texts without their source's boilerplate lines; n_chars follows where it is a column."""
-    out = drop_boilerplate(docs)
+    """The columns of ``docs``, texts without their source's boilerplate lines; n_chars follows where it is a column.
+
+    Hosts of any size are judged by the ratio; a line must be on ``LEAST_WITH`` pages of its host.
+    """
+    out = drop_boilerplate(docs, least_pages=1, least_with=LEAST_WITH)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -362,6 +362,12 @@ def test_lines_by_brute_force(spark):
     assert lines.clean_documents(docs(spark, rows)).columns == docs(spark, []).columns and lines.clean_documents(docs(spark, [])).count() == 0
 
 
+def test_clean_documents_cleans_small_hosts(spark):
+    rows = [(i, f"menu\nbody {i}", "en", "small") for i in range(5)] + [(10 + i, f"twice\nown {i}", "en", "pair") for i in range(2)] + [(20 + i, f"{'rare' if i < 3 else i}\ntext {i}", "en", "big") for i in range(40)]
+    got = {r.doc_id: r.text for r in lines.clean_documents(docs(spark, rows)).collect()}
+    assert all(got[i] == f"body {i}" for i in range(5)) and all(got[r[0]] == r[1] for r in rows[5:])
+
+
 def fill(total, children):
     """Water filling by definition: shares by weight, those that fall short first."""
     out, left = {}, dict(children)
