@@ -50,16 +50,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_in > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and ``keys``, which are longs): the fingerprint of every row's whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *keys])
         tidy()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"), *keys).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keys)))
 
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +172,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate class the document with the smallest id.
+    """One row of ``docs`` of each near-duplicate class: the one with the smallest id, a row without id only if none has one.
 
-    Rows without an id stay only in a class without ids. Columns are unchanged.
+    Of several rows with that id the one with the smallest digest of all its columns stays, and of rows alike in all
+    columns (but maps, which are not compared) any one. Columns are unchanged.
     """
-    found = near_duplicates(docs.select(doc_id, text), text, doc_id)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col("_drop")), "left_anti")
+    compared = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(n), *[x for c in compared for x in (c.isNull(), c)]) for n, k in enumerate(("_row_a", "_row_b"))})
+    rows = cut(fingerprints(keyed, text, doc_id, ("_row_a", "_row_b")))
+    # Rows that are alike become one with their number; the first of a fingerprint, then of a class, is a minimum.
+    alike = cut(rows.groupBy("fp", "doc_id", "_row_a", "_row_b").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row_a", "_row_b", "n")).alias("first")
+    classes = cut(alike.groupBy("fp").agg(first))
+    roots = components(links(classes)).select(F.col("node").alias("fp"), "root")
+    best = cut(classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*"))
+    dropped = alike.join(best.select("_row_a", "_row_b"), ["_row_a", "_row_b"], "left_anti").select("_row_a", "_row_b")
+    kept = keyed.join(dropped, ["_row_a", "_row_b"], "left_anti")
+    again = cut(best.where("n > 1").select("_row_a", "_row_b"))
+    if not again.isEmpty():
+        repeated = kept.join(again, ["_row_a", "_row_b"], "left_semi").dropDuplicates(["_row_a", "_row_b"])
+        kept = kept.join(again, ["_row_a", "_row_b"], "left_anti").unionByName(repeated)
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -118,6 +118,13 @@ def test_simhash_by_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [(None, "a b", "en", "a"), (2, "a b", "en", "a"), (2, "a b", "en", "a")])).select("component_id").distinct().count() == 1
 
 
+def test_keep_one_keeps_one_row_of_each_class(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(1, a, "en", "s"), (None, a, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (None, c, "en", "t"), (7, a, "en", "s"), (7, d, "en", "s"), (9, LONG, "en", "s"), (9, LONG, "en", "s"), (9, LONG, "fr", "s")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (None, b), (None, c), (7, d), (9, LONG)], key=repr)
+
+
 @pytest.mark.parametrize("dense", [1024, 3])
 def test_simhash_links_dense_lists(spark, dense):
     rng = np.random.default_rng(3)
