@@ -32,8 +32,21 @@ NAMES = frozenset(
     "newsletter subscribe subscription sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar comment comments "
     "commentlist disqus replies respond discussion share sharing social related recommended widget pagination pager login signup search copyright".split()
 )
+#: Those of them that mark contents beside the article; the rest say how a page is laid out, and an article may lie below them.
+OTHERS = frozenset(
+    "ad ads adsbygoogle adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion comment comments "
+    "commentlist disqus replies respond discussion share sharing social related recommended widget hidden".split()
+)
+#: Blocks that a following one of the same kind ends, and the lists in which they are.
+ITEMS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",))}
+#: Elements within a line; those with a mark are blocks of their own.
+INLINE = frozenset("span a b strong em i u small label ins font sup sub".split())
+#: Elements that are no part of a page's layout, whatever their names.
+TITLES = INLINE | frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|$)", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "named", "article", "page_has_article")
 
 
@@ -47,27 +60,53 @@ class Block:
     article: bool
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a tag is page furniture by itself or its role, and by its class or id."""
+#: How strongly a class, an id or ``hidden`` marks a tag: as one that an article may lie below, or as none of the article.
+LAYOUT, OTHER = 1, 2
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether a tag is page furniture by itself or its role, and how its class or id marks it (0: not)."""
     furniture = tag in FURNITURE
-    named = False
+    named = 0
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 furniture |= value.strip().lower() in ROLES
             elif name in ("class", "id"):
-                named |= any(w.lower() in NAMES for w in WORDS_OF_NAME.findall(value))
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                named = True
+                for w in map(str.lower, WORDS_OF_NAME.findall(value)):
+                    if w in NAMES:
+                        named = max(named, OTHER if w in OTHERS else LAYOUT)
+            elif name == "aria-hidden" and value == "true":
+                named = OTHER
+        if HIDDEN.search(QUOTED.sub("", attributes)):
+            named = OTHER
+    if named == LAYOUT and tag in TITLES:
+        named = 0  # a head line or a word called header is none of the page
     return furniture, named
 
 
+def _end_implied(stack: list[tuple], tag: str) -> None:
+    """End what an opening block ends without a tag: a paragraph, and an item before the next one of its list."""
+    i = len(stack) - 1
+    while i >= 0 and stack[i][0] in INLINE:
+        i -= 1
+    if i >= 0 and stack[i][0] == "p":
+        del stack[i:]
+    ends, lists = ITEMS.get(tag, ((), ()))
+    for i in range(len(stack) - 1, -1, -1) if ends else ():
+        if stack[i][0] in lists:
+            break
+        if stack[i][0] in ends:
+            del stack[i:]
+            break
+
+
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page in order; null counts as empty. Tags need not be balanced."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool]] = []
     state = (False, False, False)
     parts: list[str] = []
     linked = 0
@@ -111,25 +150,32 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         if tag not in BLOCK and tag not in SILENT:
-            continue
+            if tag not in INLINE:
+                continue
+            # Unmarked ones only count within a marked one, whose end must be told from theirs.
+            if not any(x[0] == tag for x in stack) and (closing or not any(_marks(tag, m[3]))):
+                continue
         end_block()
         if tag in BLOCK:
             in_link = False
-        if tag not in HOLDS and tag not in SILENT:
-            continue
-        if closing:
+        if not closing and tag in BLOCK:
+            _end_implied(stack, tag)
+        if tag == "hr":
+            pass  # it holds nothing
+        elif closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
         else:
             furniture, named = _marks(tag, m[3])
-            inside = stack[-1][1:] if stack else (False, False, False)
+            inside = stack[-1][1:] if stack else (False, 0, False)
             if tag == "header" and inside[2]:
                 furniture = False  # an article's own header is a part of it
-            named = named and tag not in ("body", "article", "main")
-            stack.append((tag, inside[0] or furniture or tag in SILENT, inside[1] or named, inside[2] or tag in ARTICLE))
-        state = stack[-1][1:] if stack else (False, False, False)
+            named = 0 if tag in ("html", "body", "article", "main") else named
+            above = 0 if tag == "main" or tag == "article" and inside[1] < OTHER else inside[1]
+            stack.append((tag, inside[0] or furniture or tag in SILENT, max(above, named), inside[2] or tag in ARTICLE))
+        state = (stack[-1][1], stack[-1][2] > 0, stack[-1][3]) if stack else (False, False, False)
     end_block()
     return out
 
@@ -153,6 +199,7 @@ LABELLED = (
     '<body><nav><a href="/">up</a> <a href="/2">next</a></nav><article><h1>=Night trains</h1><p>=They run again.</p><p>=From the capital to the coast takes nine hours, with a stop at the border for the papers.</p><aside><p>Tickets from nine, book early to be sure of a bed.</p></aside><p>=Sleep well.</p><div class="comments"><p>My train was late by three hours and nobody told us why that was.</p></div></article><footer>One two three.</footer></body>',
     '<body><div><a href="/1">one</a> <a href="/2">two</a> <a href="/3">three</a></div><div><p>=A page without an article tag has long paragraphs of plain words that are its text, as this one has.</p><p>=Short ones too.</p></div><div><a href="/t">terms of use</a> <a href="/p">privacy</a></div></body>',
     '<body><article><p>=The first line.</p><p>=The second line, with some more words than the first one had in it.</p></article><article><p>=The last line.</p></article><div><p>The site is run by friends.</p></div><div><a href="/m">more</a></div></body>',
+    '<body><div class="layout has-sidebar"><article><h1>=The ferry</h1><p>=The ferry crosses four times a day, and once more on market days.</p><p class="advert">Rent a boat for the whole of the summer from our partners by the lake.</p><p>=Bring a coat.</p><ul><li>=bread</li><li class="comment">I took it twice and was sick both times, but the view is good.</li></ul><h3 class="related">More about boats</h3><p hidden>This text is not shown to anyone who reads the page.</p></article></div><footer>Two friends made this.</footer></body>',
 )
 
 

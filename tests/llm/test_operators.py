@@ -222,6 +222,19 @@ def test_html_extraction(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_html_marks_of_single_blocks_and_of_wrappers():
+    tree = html.trained()
+    page = (
+        '<body><div class="layout has-sidebar"><article><h1>A head line</h1><p>The first paragraph has quite a few words in it, as they do.</p><p class="advert">Buy a new hat from us before the end of this week or never.'
+        '<p>The second one follows an open advert and is text.</p><ul><li class="comment">I do not agree with any of this at all.<ul><li>nested</li></ul></li><li>an item</li></ul><h3 class="related">Read these too</h3>'
+        '<p hidden>Nobody sees this line of words.</p><p>A line <b>goes</b> on. <span class="ad">Half <span>price</span> hats here.</span></p><p>It ends with <a href="/x">a link to words</a> and more.</p><a class="share" href="/s">Share it with all</a></article></div>'
+        '<div id="comments"><article><p>A comment in an article of its own, as some sites have them, is none.</p></article></div></body>'
+    )
+    want = ["A head line", "The first paragraph has quite a few words in it, as they do.", "The second one follows an open advert and is text.", "an item", "A line goes on.", "It ends with a link to words and more."]
+    assert html.main_text(page, tree).split("\n") == want
+    assert [b.named for b in html.blocks(page)] == [b.text not in want for b in html.blocks(page)]
+
+
 def test_html_tree_fits_its_table():
     x, y = html.labelled()
     tree = html.trained()
