@@ -95,6 +95,23 @@ def test_similar_rows_are_greedy(spark):
         assert sorted(r[0] for r in dedupe.drop_similar(frame, ["name"], "__rid", threshold).collect()) == kept
 
 
+def test_masks_of_all_documents(spark):
+    import re
+
+    from gridloom import catalog
+
+    def brute(t):
+        t = re.sub(r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", r"\1***@\2", t[:300])
+        return re.sub(r"\b(?:[0-9][ -]?){12,19}\b", lambda m: "••••" + re.sub("[^0-9]", "", m[0])[-4:], t)
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r.masked for r in catalog.QUERIES["privacy_mask_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in texts.items()}
+    odd = ["1234 5678 9012 3456 and so on", "card 1234-5678-9012, 12345678901", "1" * 19, "1" * 20, "1" * 25 + " x", "1234567890123456x", "call 4111111111111111."]
+    made = spark.createDataFrame(list(enumerate(odd)), "i long, text string").select("i", cells.masked("text").alias("m"))
+    assert {r.i: r.m for r in made.collect()} == {i: brute(t) for i, t in enumerate(odd)}
+
+
 GOLD = {
     "-2^2": "-4", "2^-1": "0.5", "2^3^2": "512", "50%": "0.5", "50%^2": "#NAME?", "1/0": "#DIV/0!", "IFERROR(1/0,0)": "0", "IF(FALSE,1)": "FALSE", "MOD(-7,3)": "2", "MOD(7,-3)": "-2", "ROUND(-2.5,0)": "-2", "ROUND(2.5,0)": "3", "INT(-1.5)": "-2", "QUOTIENT(-7,2)": "-3",
     "MEDIAN(1,2,4,9)": "3", "MODE(2,2,1,1)": "2", "MODE(1,2)": "#N/A", "PERCENTILE(1,2,4,0.25)": "1.5", "LARGE(5,1,3,2)": "3", "SMALL(5,1,3,4)": "#NUM!", 'PROPER("o\'neil x-y")': "O'Neil X-Y", 'SUBSTITUTE("a-b-c","-","+",2)': "a-b+c", 'TEXT(1234.5,"#,##0.00")': "1,234.50", 'TEXT(0.256,"0%")': "26%",
