@@ -51,25 +51,27 @@ def _pairs(keyed: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 
-def drop_similar(df: DataFrame, keys: list[str], rid: str, threshold: float = 0.92, rounds: int = 200) -> DataFrame:
+def drop_similar(df: DataFrame, keys: list[str], rid: str, threshold: float = 0.92) -> DataFrame:
     """Drop a row if its key is similar to the key of an earlier row that stays.
 
     Rows are decided in rounds: one stays when all its earlier neighbours are dropped, one goes when an earlier
-    neighbour stays; the earliest open row can always be decided. Equal keys are brought together first.
+    neighbour stays; the earliest open row can always be decided, so rounds go on until no pair is open, however long a
+    chain is. Equal keys are brought together first.
     """
     key = reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.lower(ws_trim(F.coalesce(F.col(k), F.lit("")))) for k in keys])
     keyed = df.select(F.col(rid).alias("rid"), key.alias("key"))
     distinct = cut(keyed.groupBy("key").agg(F.min("rid").alias("rid")).select("rid", "key"))
     pairs = cut(_pairs(distinct, threshold))
-    dropped, kept = None, None
+    dropped, rounds = None, 0
     open_ = pairs
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         waiting = open_.select(F.col("b").alias("r")).distinct()
         stays = open_.select(F.col("a").alias("r")).distinct().join(waiting, "r", "left_anti")
         goes = cut(open_.join(stays, F.col("a") == F.col("r"), "left_semi").select(F.col("b").alias("r")).distinct())
+        rounds += 1
         dropped = goes if dropped is None else dropped.unionAll(goes)
+        if rounds % 50 == 0:  # else the plan grows with the rounds
+            dropped = cut(dropped)
         gone = goes.unionAll(stays)
         open_ = cut(open_.join(gone.select(F.col("r").alias("a")), "a", "left_anti").join(goes.select(F.col("r").alias("b")), "b", "left_anti").select("a", "b"))
     firsts = distinct if dropped is None else distinct.join(dropped, F.col("rid") == F.col("r"), "left_anti")

@@ -112,6 +112,19 @@ def test_masks_of_all_documents(spark):
     assert {r.i: r.m for r in made.collect()} == {i: brute(t) for i, t in enumerate(odd)}
 
 
+def test_similar_rows_of_a_long_chain(spark):
+    from gridloom.operators import dedupe
+
+    # Each key differs by one letter from the one before it and by two from all others.
+    base, n = "a" * 24, 460
+    names = [base]
+    for i in range(1, n):
+        at, old = (i - 1) % 24, names[-1]
+        names.append(old[:at] + chr(ord(old[at]) + 1) + old[at + 1 :])
+    frame = spark.createDataFrame(list(enumerate(names)), "__rid long, name string")
+    assert sorted(r[0] for r in dedupe.drop_similar(frame, ["name"], "__rid", 0.95).collect()) == list(range(0, n, 2))
+
+
 GOLD = {
     "-2^2": "-4", "2^-1": "0.5", "2^3^2": "512", "50%": "0.5", "50%^2": "#NAME?", "1/0": "#DIV/0!", "IFERROR(1/0,0)": "0", "IF(FALSE,1)": "FALSE", "MOD(-7,3)": "2", "MOD(7,-3)": "-2", "ROUND(-2.5,0)": "-2", "ROUND(2.5,0)": "3", "INT(-1.5)": "-2", "QUOTIENT(-7,2)": "-3",
     "MEDIAN(1,2,4,9)": "3", "MODE(2,2,1,1)": "2", "MODE(1,2)": "#N/A", "PERCENTILE(1,2,4,0.25)": "1.5", "LARGE(5,1,3,2)": "3", "SMALL(5,1,3,4)": "#NUM!", 'PROPER("o\'neil x-y")': "O'Neil X-Y", 'SUBSTITUTE("a-b-c","-","+",2)': "a-b+c", 'TEXT(1234.5,"#,##0.00")': "1,234.50", 'TEXT(0.256,"0%")': "26%",
