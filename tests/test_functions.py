@@ -253,6 +253,13 @@ def test_layout():
     word = lambda t, x, y, w=60: (t, x, y, x + w, y + 20)
     page = [word("Report", 0, 0), word("of", 70, 0, 20), word("May", 100, 0)] + [word(t, 300 * j, 60 + 30 * i) for i, r in enumerate((("Item", "Price"), ("Tea", "4.00"), ("Cake", "2.00"))) for j, t in enumerate(r)] + [word("big", 0, 150), word("Bye", 0, 400)]
     assert layout.layout_text(page) == "Report of May\n\nItem\tPrice\nTea\t4.00\nCake\t2.00\n\nbig\nBye"
+    grid = lambda *rows: [word(t, x, 30 * i) for i, r in enumerate(rows) for t, x in r]
+    wide = [("Total", 0), ("12", 300)]
+    assert layout.layout_text(grid([("Item", 0), ("Price", 300)], [("Tea", 5), ("4", 310)], wide) + [word("far", 0, 400), word("off", 300, 400)]) == "Item\tPrice\nTea\t4\nTotal\t12\n\nfar off"
+    # A row whose cell stands over two columns ends the table; cells without a column go to the nearest.
+    assert layout.layout_text(grid([("a", 0), ("b", 150), ("c", 300)], [("d", 0), ("e", 150), ("f", 300)], [("g", 0), ("h", 300)]) + [word("i", 40, 90, 170), word("j", 290, 90, 60)]) == "a\tb\tc\nd\te\tf\ng\t\th\n\ni j"
+    assert layout.layout_text(grid([("one", 0), ("two", 100)], *[[("x", 0)]] * 6), "prose") == "prose"
+    assert [(c.text, c.left, c.right) for c in layout.joined_cells([("b", 40, 0, 60, 9), ("a", 0, 0, 50, 9), ("c", 100, 0, 110, 9)], 20)] == [("a b", 0, 60), ("c", 100, 110)] and layout.joined_cells([], 3) == []
     assert layout.layout_text(page[:4], "few") == "few" and layout.table_rows("x\na\tb\ny\nc\td\te") == [["a", "b", ""], ["", "", ""], ["c", "d", "e"]]
 
 
@@ -264,10 +271,19 @@ def test_book(spark):
         line("12", 290, 10, 20), line("Chapter One", 200, 100, 200, 32), line("Of tea", 200, 140, 200, 32), line("T", 50, 200, 40, 60, 9), line("he pot was hy-", 100, 210, b=1), line("phenated here", 100, 232, b=1),
         line("and went on.", 100, 254, 150, b=1), line("A new one", 100, 276, b=1), line("it joins", 100, 500, b=2), line("INNER WORDS", 100, 600, 200, b=3), line("Last", 100, 650, b=4),
     ]
-    assert book.book_text(page, 600, 1000) == "# Chapter One Of tea\n\nThe pot was hyphenated here and went on.\n\nA new one it joins\n\n### INNER WORDS\n\nLast"
-    assert book.book_text([line("7", 0, 980)], 600, 1000, "none") == "none" and book.book_text([], fallback="x") == "x"
-    frame = spark.createDataFrame([(1, [page[1], page[-1]], "f"), (2, None, "f"), (3, [], None)], f"page_id int, lines array<{book.LINE}>, text string")
-    assert {r.page_id: r.text for r in book.extract(frame).collect()} == {1: "Chapter One\n\nLast", 2: "f", 3: ""}
+    sized = spark.createDataFrame([(1, page, "none", 600, 1000), (2, [line("7", 0, 980)], "none", 600, 1000)], f"page_id int, lines array<{book.LINE}>, text string, w int, h int")
+    got = {r.page_id: r.text for r in book.extract(sized, width="w", height="h").collect()}
+    assert got == {1: "# Chapter One Of tea\n\nThe pot was hyphenated here and went on.\n\nA new one it joins\n\n### INNER WORDS\n\nLast", 2: "none"}
+    more = [
+        ([line("INTRODUCTION", 100, 100), line("of words", 100, 122), line("1.2 Names", 100, 300, 200, 22), line("ends:", 100, 400), line("New", 100, 422)], "INTRODUCTION of words\n\n### 1.2 Names\n\nends:\n\nNew"),
+        ([line("a", 0, 100), line("b", 0, 100, b=1), line("C", 0, 140, b=2)], "a b\n\nC"),
+        ([line("So", 0, 50, 40, 70), line("me", 0, 130, h=20), line("X", 0, 160, 40, 70), line("A TITLE", 0, 240, 100, 40), line("yz", 0, 300)], "Some\n\n# A TITLE\n\nXyz"),
+        ([line("half-", 0, 100), line("Way", 0, 122), line("won\u00ad", 0, 144), line("der", 0, 166)], "half- Way wonder"),
+    ]
+    frame = spark.createDataFrame([(1, [page[1], page[-1]], "f"), (2, None, "f"), (3, [], None), (4, [(" ", 0, 0, 1, 1, 0), (None, 0, 0, 1, 1, 0)], "f"), (1, [page[1], page[-1]], "f"), *[(10 + i, ls, "f") for i, (ls, _) in enumerate(more)]], f"page_id int, lines array<{book.LINE}>, text string")
+    rows = [(r.page_id, r.text) for r in book.extract(frame).collect()]
+    assert sorted(rows) == sorted([(1, "Chapter One\n\nLast"), (1, "Chapter One\n\nLast"), (2, "f"), (3, ""), (4, "f"), *[(10 + i, text) for i, (_, text) in enumerate(more)]])
+    assert not any("Python" in line or "InPandas" in line or "Exchange" in line for line in book.extract(sized)._jdf.queryExecution().executedPlan().toString().splitlines())
     pages = [("a", 1, "# Top\n\nIt was a won-"), ("a", 2, " "), ("a", 3, "derful"), ("a", 4, "day.\n\nNext"), ("a", 5, "Upper"), ("a", 6, None), ("b", 1, "# H"), ("b", 2, "low"), ("b", 3, "er")]
     got = book.glued(spark.createDataFrame(pages, "book string, page int, text string"), "book", "page").orderBy("book", "page").collect()
     assert {b: "".join(r.glue + r.text for r in got if r.book == b) for b in "ab"} == {"a": "# Top\n\nIt was a wonderful day.\n\nNext\n\nUpper", "b": "# H\n\nlow er"}
