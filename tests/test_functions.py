@@ -275,9 +275,9 @@ def test_book(spark):
     got = {r.page_id: r.text for r in book.extract(sized, width="w", height="h").collect()}
     assert got == {1: "# Chapter One Of tea\n\nThe pot was hyphenated here and went on.\n\nA new one it joins\n\n### INNER WORDS\n\nLast", 2: "none"}
     more = [
-        ([line("INTRODUCTION", 100, 100), line("of words", 100, 122), line("1.2 Names", 100, 300, 200, 22), line("ends:", 100, 400), line("New", 100, 422)], "INTRODUCTION of words\n\n### 1.2 Names\n\nends:\n\nNew"),
+        ([line("INTRODUCTION", 100, 100), line("of words", 100, 122), line("1.2 Names", 100, 300, 200, 22), line("ends:", 100, 400), line("New", 100, 422)], "# INTRODUCTION\n\nof words\n\n### 1.2 Names\n\nends: New"),
         ([line("a", 0, 100), line("b", 0, 100, b=1), line("C", 0, 140, b=2)], "a b\n\nC"),
-        ([line("So", 0, 50, 40, 70), line("me", 0, 130, h=20), line("X", 0, 160, 40, 70), line("A TITLE", 0, 240, 100, 40), line("yz", 0, 300)], "Some\n\n# A TITLE\n\nXyz"),
+        ([line("So", 0, 50, 40, 70), line("mebody said it once or twice", 0, 130), line("X", 0, 160, 40, 70), line("A TITLE", 0, 240, 100, 40), line("yz is the end of it", 0, 300)], "Somebody said it once or twice\n\n# A TITLE\n\nXyz is the end of it"),
         ([line("half-", 0, 100), line("Way", 0, 122), line("won\u00ad", 0, 144), line("der", 0, 166)], "half- Way wonder"),
     ]
     frame = spark.createDataFrame([(1, [page[1], page[-1]], "f"), (2, None, "f"), (3, [], None), (4, [(" ", 0, 0, 1, 1, 0), (None, 0, 0, 1, 1, 0)], "f"), (1, [page[1], page[-1]], "f"), *[(10 + i, ls, "f") for i, (ls, _) in enumerate(more)]], f"page_id int, lines array<{book.LINE}>, text string")
