@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import cells
 from .operators import cleaning, dedupe, emails, history
@@ -120,16 +121,16 @@ cell_query("clean_date_month_first", ORDERS, "day", lambda c: cells.normal_date(
 cell_query("clean_currency_normalize", ORDERS, "price", cells.normal_currency, CURRENCY_SQL)
 cell_query("parse_number", ORDERS, "price", cells.parse_number, NUMBER_SQL)
 cell_query("csv_sanitize", ORDERS, "quantity", lambda c: cells.guarded(F.concat(F.lit("="), c)), "case when length(@@) > 0 then concat(chr(39), '=', @@) else concat('=', @@) end")
-cell_query("sha256_key", CUSTOMER, "name", lambda c: F.sha2(c, 256), "sha256(@@)")
-cell_query("missing_fill", EVENTS, "kind", lambda c: F.when(cells.blank(c), "unknown").otherwise(c), "case when trim(@@) = '' then 'unknown' else @@ end")
-cell_query("missing_flag", EVENTS, "kind", cells.blank, "trim(@@) = ''")
+cell_query("sha256_key", CUSTOMER, "name", cells.content_key, "sha256(@@)")
 cell_query("format_number", CUSTOMER, "id", lambda c: cells.format_number(c / 7.0), "printf('%.2f', floor(@@ / 7.0 * 100.0 + 0.5) / 100.0)")
 cell_query("quality_label", CUSTOMER, "id", lambda c: cells.quality_label(c % 101), "case when @@ % 101 >= 85 then 'Excellent' when @@ % 101 >= 65 then 'Good' when @@ % 101 >= 40 then 'Fair' else 'Poor' end")
-cell_query("duration_text", CUSTOMER, "id", lambda c: cells.duration_text(c * 250), "case when @@ * 250 < 1000 then concat(@@ * 250, ' ms') else printf('%.1f s', floor(@@ * 250 / 100.0 + 0.5) / 10.0) end")
+cell_query("duration_text", CUSTOMER, "id", lambda c: cells.duration_text(c * 250), "case when @@ * 250 < 1000 then concat(@@ * 250, 'ms') else printf('%.1fs', floor(@@ * 250 / 100.0 + 0.5) / 10.0) end")
 cell_query("numeric_range_flags", CUSTOMER, "amount", lambda c: c.try_cast("double") < F.lit(cleaning.numeric_range("amount")[0]), "try_cast(@@ as double) < 0")
 cell_query("approximately_equal", CUSTOMER, "id", lambda c: cells.nearly(c.cast("double"), c * 1.0 + c % 5), "abs(@@ - (@@ * 1.0 + @@ % 5)) <= greatest(0.02, (@@ * 1.0 + @@ % 5) * 0.01)")
-cell_query("cell_reference", CUSTOMER, "id", lambda c: cells.cell_column(F.concat(F.char(65 + c % 26), F.char(65 + c % 7), c.cast("string"))), "(1 + @@ % 26) * 26 + @@ % 7")
-cell_query("retry_backoff", CUSTOMER, "id", lambda c: F.least(F.lit(8000.0), 500.0 * F.pow(F.lit(2.0), (c % 8).cast("double"))), "least(8000.0, 500.0 * pow(2.0, @@ % 8))::double")
+_ref = lambda c: F.concat(F.char(65 + c % 26), F.char(65 + c % 7), c.cast("string"))
+cell_query("cell_reference", CUSTOMER, "id", lambda c: cells.cell_column(_ref(c)).cast("long") * 10_000_000 + cells.cell_row(_ref(c)), "((1 + @@ % 26) * 26 + @@ % 7) * 10000000::bigint + @@ - 1")
+cell_query("size_text", CUSTOMER, "id", lambda c: cells.size_text(c * 1700), "case when @@ * 1700 >= 1000000 then printf('%.1f MB', floor(@@ * 1700 / 100000.0 + 0.5) / 10.0) when @@ > 0 then printf('%.1f KB', floor(@@ * 1700 / 100.0 + 0.5) / 10.0) else '0 B' end")
+cell_query("sheet_name", CUSTOMER, "name", lambda c: cells.safe_sheet_name(F.concat(c, F.lit(":/[x]*?"), c)), "substring(regexp_replace(concat(@@, ':/[x]*?', @@), '[\\\\/?*\\[\\]:]', '_', 'g'), 1, 31)")
 
 
 @query("clean_calculated_column", "select l_orderkey, l_linenumber, printf('%.2f', floor(cast(l_quantity as double) * l_discount * 100.0 + 0.5) / 100.0) as value from lineitem")
@@ -143,20 +144,41 @@ def _(s, d):
     return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", cells.calculate(F.col("l_tax"), "DIVIDE", F.col("l_discount")).alias("value"))
 
 
-@query("drop_empty_rows", f"select * from {messy_sql(EVENTS)} where trim(kind) <> '' or trim(who) <> '' or trim(note) <> ''")
-def _(s, d):
-    return messy(s, d, EVENTS).where(~(cells.blank("kind") & cells.blank("who") & cells.blank("note")))
+_EVENT = f"(select id, regexp_replace(trim(kind), '\\s+', ' ', 'g') as kind, regexp_replace(trim(who), '\\s+', ' ', 'g') as who, regexp_replace(trim(note), '\\s+', ' ', 'g') as note from {messy_sql(EVENTS)})"
+_AS_TEXT = dict.fromkeys(("kind", "who", "note"), "TEXT")
+
+
+def _events(s, d, o: cleaning.Options):
+    df = messy(s, d, EVENTS).withColumnRenamed("id", cleaning.RID)
+    return cleaning.clean(df, o, _AS_TEXT)[0].withColumnRenamed(cleaning.RID, "id")
+
 
+query("drop_empty_rows", f"select * from {_EVENT} where kind <> '' or who <> '' or note <> ''")(lambda s, d: _events(s, d, cleaning.Options(exact=False)))
+query("drop_missing_required", f"select * from {_EVENT} where kind <> ''")(lambda s, d: _events(s, d, cleaning.Options(exact=False, missing="REMOVE_ROW", required=("kind",))))
+# Gaps are filled before empty rows go, so that there are none.
+query("missing_fill", f"select id, case when kind = '' then 'unknown' else kind end as kind, case when who = '' then 'unknown' else who end as who, case when note = '' then 'unknown' else note end as note from {_EVENT}")(lambda s, d: _events(s, d, cleaning.Options(exact=False, missing="FILL", fill="unknown")))
 
-@query("drop_missing_required", f"select * from {messy_sql(EVENTS)} where trim(kind) <> ''")
+
+@query("missing_flag", f"select sum((kind = '')::int + (who = '')::int + (note = '')::int)::bigint as missing_values_found, sum((kind = '')::int + (who = '')::int + (note = '')::int)::bigint as missing_values_flagged, 0::bigint as missing_values_filled, count(*) filter (kind = '' and who = '' and note = '')::bigint as empty_rows_removed from {_EVENT}")
 def _(s, d):
-    return messy(s, d, EVENTS).where(~cells.blank("kind"))
+    df = messy(s, d, EVENTS).withColumnRenamed("id", cleaning.RID)
+    return cleaning.report(df, cleaning.Options(exact=False, missing="FLAG"), _AS_TEXT)[0].select("missing_values_found", "missing_values_flagged", "missing_values_filled", "empty_rows_removed")
+
+
+def _votes_sql() -> str:
+    """The vote of each column's first 50 values: the best type of those whose pattern the most match, the earlier on ties."""
+    columns = list(CUSTOMER[1])
+    long = " union all ".join(f"select id, '{c}' as col, trim(concat({c}, '')) as v from {messy_sql(CUSTOMER)}" for c in columns)
+    shares = ", ".join(f"avg(regexp_full_match(v, '{p.replace(chr(39), chr(39) * 2)}')::int) as s{i}" for i, p in enumerate(cells.TYPES.values()))
+    best = f"greatest({', '.join(f's{i}' for i in range(len(cells.TYPES)))})"
+    named = " ".join(f"when s{i} = {best} then '{t}'" for i, t in enumerate(cells.TYPES))
+    return f"with l as ({long}), f as (select * from (select *, row_number() over (partition by col order by id) as n from l where v <> '') where n <= 50), s as (select col, {shares} from f group by col) select col, case when {best} < 0.8 then 'TEXT' else case {named} end end as type from s"
 
 
-@query("detect_column_types", "select * from (values ('id', 'NUMBER'), ('name', 'TEXT'), ('email', 'TEXT'), ('phone', 'PHONE'), ('segment', 'TEXT'), ('member', 'BOOLEAN'), ('amount', 'NUMBER')) t(col, type) where col in ('id', 'segment', 'name', 'amount', 'phone', 'email')")
+@query("detect_column_types", _votes_sql())
 def _(s, d):
     found = cleaning.detect(cleaning.with_ordinals(messy(s, d, CUSTOMER), "id"))
-    return s.createDataFrame([(c, t) for c, t in found.items() if c != "member"], "col string, type string")
+    return s.createDataFrame(list(found.items()), "col string, type string")
 
 
 @query("dedupe_exact", "select min(doc_id) as doc_id, text from documents group by text")
@@ -174,9 +196,20 @@ def _(s, d):
     return dedupe.keep_first(messy(s, d, CUSTOMER).select("id", "segment", "member"), ["segment", "member"], "id", normalised=True)
 
 
-@query("dedupe_similarity")
+# Three names for each customer: the second is near the first, the third near the second, and for some near the first too.
+_NAMES = "(select c_custkey * 3 + k as id, case k when 0 then m when 1 then concat('zz', substring(m, 3)) when 2 then concat('zz', substring(m, 3, case c_custkey % 3 when 0 then 30 else 28 end), case c_custkey % 3 when 0 then '' else 'yy' end) end as name from (select c_custkey, md5(concat('', c_custkey)) as m, k from customer, (values (0), (1), (2)) t(k)))"
+_FAR = "1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) < 0.92"
+
+
+@query(
+    "dedupe_similarity",
+    f"with n as {_NAMES}, w as (select id // 3 as c, max(name) filter (id % 3 = 0) as a, max(name) filter (id % 3 = 1) as b, max(name) filter (id % 3 = 2) as d from n group by 1),"
+    f" k as (select *, {_FAR.format('a', 'b')} as keep_b from w), l as (select *, {_FAR.format('a', 'd')} and (not keep_b or {_FAR.format('b', 'd')}) as keep_d from k)"
+    " select id, name from n join l on l.c = n.id // 3 where n.id % 3 = 0 or n.id % 3 = 1 and keep_b or n.id % 3 = 2 and keep_d",
+)
 def _(s, d):
-    names = load(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    one = load(s, d, "customer").selectExpr("c_custkey", "md5(concat('', c_custkey)) as m", "explode(array(0, 1, 2)) as k")
+    names = one.selectExpr("c_custkey * 3 + k as id", "case k when 0 then m when 1 then concat('zz', substring(m, 3)) else concat('zz', substring(m, 3, case c_custkey % 3 when 0 then 30 else 28 end), case c_custkey % 3 when 0 then '' else 'yy' end) end as name")
     return dedupe.drop_similar(names, ["name"], "id")
 
 
@@ -220,7 +253,7 @@ def _(s, d):
 
 @query("word_char_count", r"select doc_id, len(regexp_extract_all(text, '\S+'))::int as words, length(text)::int as chars from documents")
 def _(s, d):
-    return load(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("words"), F.length("text").alias("chars"))
+    return load(s, d, "documents").select("doc_id", cells.word_count("text").alias("words"), cells.char_count("text").alias("chars"))
 
 
 _MAILS = rf"""with t as (select doc_id, unnest(regexp_split_to_array(text, '\s+')) as token from documents),
@@ -243,12 +276,7 @@ def _(s, d):
     return emails.list_quality(messy(s, d, CUSTOMER))
 
 
-@query("privacy_mask", r"select doc_id, regexp_replace(substring(text, 1, 300), '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***@\2', 'g') as masked from documents where not regexp_matches(substring(text, 1, 300), '[0-9][ -]?[0-9]')")
-def _(s, d):
-    return load(s, d, "documents").where(~F.substring("text", 1, 300).rlike("[0-9][ -]?[0-9]")).select("doc_id", cells.masked("text").alias("masked"))
-
-
-@query("privacy_mask_all")
+@query("privacy_mask", r"select doc_id, regexp_replace(regexp_replace(substring(text, 1, 300), '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***@\2', 'g'), '\b(?:\d[ -]?){8,15}(\d)[ -]?(\d)[ -]?(\d)[ -]?(\d)[ -]?\b', '••••\1\2\3\4', 'g') as masked from documents")
 def _(s, d):
     return load(s, d, "documents").select("doc_id", cells.masked("text").alias("masked"))
 
@@ -348,28 +376,48 @@ def _(s, d):
     return load(s, d, "documents").select("doc_id", text.alias("text"), n.alias("n"))
 
 
-# Formulas over columns; the evaluator's own values are tested by their published results.
-@query("formula_stats", "select l_returnflag, sum(l_quantity) as total, avg(l_quantity) as mean, min(l_quantity) as low, max(l_quantity) as high, median(l_quantity) as middle, quantile_cont(l_quantity, 0.9) as p90, var_samp(l_quantity) as var, stddev_pop(l_quantity) as sd from lineitem group by 1")
-def _(s, d):
-    q = F.col("l_quantity")
-    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.sum(q).alias("total"), F.avg(q).alias("mean"), F.min(q).alias("low"), F.max(q).alias("high"), F.median(q).alias("middle"), F.percentile(q, F.lit(0.9)).alias("p90"), F.var_samp(q).alias("var"), F.stddev_pop(q).alias("sd"))
+# Formulas by the engine: a sheet for each nation with the balances of its customers in column A, formulas over them in B.
+_OVER = "=AVERAGE(@)|=SUM(@)|=MIN(@)|=MAX(@)|=MEDIAN(@)|=PERCENTILE(@,0.9)|=VAR(@)|=VARP(@)|=STDEV(@)|=STDEVP(@)|=SUMSQ(@)|=COUNT(@)|=COUNTA(@)|=COUNTBLANK(@,C9)|=COUNTIF(@,\">=5000\")|=SUMIF(@,\">=5000\")|=AVERAGEIF(@,\"<1000\")|=LARGE(@,2)|=SMALL(@,3)".split("|")
 
 
-@query("formula_countif_sumif", "select l_returnflag, count(*) filter (l_quantity >= 30) as countif, sum(case when l_quantity >= 30 then l_quantity end) as sumif, avg(l_quantity) filter (l_quantity < 10) as averageif from lineitem group by 1")
+@query(
+    "formula_stats",
+    "with b as (select c_nationkey as k, floor(c_acctbal) as x from customer), s as (select k, [avg(x), sum(x), min(x), max(x), median(x), quantile_cont(x, 0.9), var_samp(x), var_pop(x), stddev_samp(x), stddev_pop(x), sum(x * x), count(*), count(*), 1,"
+    " count(*) filter (x >= 5000), sum(x) filter (x >= 5000), avg(x) filter (x < 1000), list_sort(list(x), 'desc')[2], list_sort(list(x))[3]] as v from b group by k having count(*) filter (x >= 5000) > 0 and count(*) filter (x < 1000) > 0 and count(*) > 3)"
+    f" select k::int as nation, unnest(range({len(_OVER)}))::int as n, round(unnest(v), 3) as value from s",
+)
 def _(s, d):
-    q = F.col("l_quantity")
-    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(q >= 30).alias("countif"), F.sum(F.when(q >= 30, q)).alias("sumif"), F.avg(F.when(q < 10, q)).alias("averageif"))
+    balances = load(s, d, "customer").select(F.col("c_nationkey").cast("string").alias("sheet"), F.floor("c_acctbal").alias("x"), "c_custkey")
+    place = F.row_number().over(Window.partitionBy("sheet").orderBy("c_custkey")) - 1
+    values = balances.select("sheet", place.cast("int").alias("row"), F.lit(0).alias("col"), F.col("x").cast("string").alias("input"))
+    size = balances.groupBy("sheet").agg(F.count("*").alias("n"), F.count_if(F.col("x") >= 5000).alias("high"), F.count_if(F.col("x") < 1000).alias("low")).where("n > 3 and high > 0 and low > 0")
+    formulas = size.select("sheet", F.posexplode(F.array(*[F.lit(f) for f in _OVER])).alias("row", "f"), F.lit(1).alias("col"), "n")
+    formulas = formulas.select("sheet", "row", "col", F.replace("f", F.lit("@"), F.concat(F.lit("A1:A"), "n")).alias("input"))
+    done = formula.recalculate(values.join(size.select("sheet"), "sheet", "left_semi").unionAll(formulas)).where("col = 1")
+    return done.select(F.col("sheet").cast("int").alias("nation"), F.col("row").alias("n"), F.round(F.col("display").cast("double"), 3).alias("value"))
+
+
+# A sheet for each order, the quantities of its lines in column A.
+_LINES = "(select l_orderkey as id, l_quantity::bigint as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place from lineitem)"
+
+
+def order_sheets(s, d, *formulas: str):
+    """(id, displays) of formulas over the quantities of each order, for which an @ stands."""
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = load(s, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("sheet"), (F.row_number().over(along) - 1).alias("row"), F.lit(0).alias("col"), F.col("l_quantity").cast("long").cast("string").alias("input"))
+    heads = lines.groupBy("sheet").agg(F.concat(F.lit("A1:A"), F.max("row") + 1).alias("over")).select("sheet", F.posexplode(F.array(*[F.replace(F.lit(f), F.lit("@"), F.col("over")) for f in formulas])).alias("row", "input"), F.lit(1).alias("col"))
+    done = formula.recalculate(lines.unionByName(heads)).where("col = 1").groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row", "display"))).alias("x"))  # as many as formulas
+    return done.select(F.expr("cast(substring(sheet, 2) as bigint)").alias("id"), F.transform("x", lambda x: x["display"]).alias("displays"))
 
 
-@query("formula_mode", "select l_returnflag, l_quantity as value from (select l_returnflag, l_quantity, row_number() over (partition by l_returnflag order by count(*) desc, l_quantity) as n from lineitem group by 1, 2) where n = 1")
+@query("formula_mode", f"select id, coalesce(max(q) filter (r = 1 and n > 1)::varchar, '#N/A') as display from (select *, row_number() over (partition by id order by n desc, first) as r from (select id, q, count(*) as n, min(place) as first from {_LINES} group by 1, 2)) group by id")
 def _(s, d):
-    counts = load(s, d, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
-    return counts.groupBy("l_returnflag").agg(F.max_by("l_quantity", F.struct("n", -F.col("l_quantity"))).alias("value"))
+    return order_sheets(s, d, "=MODE(@)").select("id", F.get("displays", F.lit(0)).alias("display"))
 
 
-@query("formula_mod", "select p_partkey, p_size - (-7.0) * floor(p_size / -7.0) as value from part")
+@query("formula_countif_sumif", f"select id, concat_ws('|', count(*) filter (q >= 30), coalesce(sum(q) filter (q >= 30), 0), count(*) filter (q <> 7), coalesce(round(avg(q) filter (q < 10))::bigint::varchar, '#DIV/0!')) as line from {_LINES} group by 1")
 def _(s, d):
-    return load(s, d, "part").select("p_partkey", (F.col("p_size") - F.lit(-7.0) * F.floor(F.col("p_size") / -7.0)).cast("double").alias("value"))
+    return order_sheets(s, d, '=COUNTIF(@,">=30")', '=SUMIF(@,">=30")', '=COUNTIF(@,"<>7")', '=ROUND(AVERAGEIF(@,"<10"),0)').select("id", F.concat_ws("|", "displays").alias("line"))
 
 
 @query("formula_workbook", "select concat('p', p_partkey) as sheet, cast(p_size * 2 + 1 as varchar) as display from part")
@@ -390,7 +438,12 @@ def _(s, d):
     return load(s, d, "pages").select("page_id", F.explode(records.links(F.col("html"))).alias("link"))
 
 
-@query("html_text")
+_TEXT_SQL = r"trim(regexp_replace(@@, '[\s\p{Z}]+', ' ', 'g'))"
+_BODY_SQL = r"regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?i)</?(?:b|i|em|strong|a|span|u|small|code)\b[^>]*>', '', 'g')"
+_VISIBLE_SQL = _TEXT_SQL.replace("@@", "replace(" * 8 + f"regexp_replace({_BODY_SQL}, '<[^>]*>', ' ', 'g')" + "".join(f", '&{n};', '{m}')" for n, m in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&"))))
+
+
+@query("html_text", f"select page_id, {_VISIBLE_SQL} as text from pages")
 def _(s, d):
     return load(s, d, "pages").select("page_id", records.visible_text(F.col("html")).alias("text"))
 
@@ -539,9 +592,13 @@ def _(s, d):
     return cleaning.clean(load(s, d, "pages").select(F.col("page_id").alias(cleaning.RID), links.alias("link")), cleaning.Options(), {"link": "URL"})[1].select(F.col(cleaning.RID).alias("id"), "value")
 
 
-@query("emails_rejected", _MAILS + " select distinct doc_id, e as email from v where not good")
+# Mails in which every second address is none: dots side by side, at an end, or labels that start with a hyphen.
+_LETTERS = "concat('Write to ', c_name, ' at c', c_custkey, case c_custkey % 4 when 0 then '..x@mail.org' when 1 then '@-mail.org' when 2 then '.@mail.org' else '@mail.org' end, ', or Ask@mail', c_custkey, '.com; ask@MAIL', c_custkey, '.com') as text"
+
+
+@query("emails_rejected", "select id, concat('c', id, case id % 4 when 0 then '..x@mail.org' when 1 then '@-mail.org' else '.@mail.org' end) as email from (select c_custkey as id from customer) where id % 4 <> 3")
 def _(s, d):
-    return emails.extract(load(s, d, "documents"), "text", "doc_id").select("doc_id", F.explode("rejected").alias("email"))
+    return emails.extract(load(s, d, "customer").selectExpr("c_custkey as id", _LETTERS), "text", "id").select("id", F.explode("rejected").alias("email"))
 
 
 # Formulas: a sheet for each part, its size in A1 and its name in A2, a formula in each row of column B.
@@ -610,3 +667,6 @@ def _(s, d):
     k = F.col("p_partkey") % 4
     extension, mime = F.when(k == 0, " PDF").when(k == 1, "jpeg").when(k == 2, "Zip").otherwise(""), F.when(k == 1, "video/mp4").when(k == 3, "audio/x-odd; rate=1")
     return load(s, d, "part").select("p_partkey", conversions.detected(extension, mime).alias("d")).select("p_partkey", "d.*")
+
+
+from . import catalog_more  # noqa: E402, F401

@@ -222,8 +222,41 @@ def quality_label(score: Column) -> Column:
     return F.when(score >= 85, "Excellent").when(score >= 65, "Good").when(score >= 40, "Fair").otherwise("Poor")
 
 
+def content_key(c: Column | str) -> Column:
+    """The digest by which equal inputs are known."""
+    return F.sha2(col(c), 256)
+
+
+def word_count(c: Column | str) -> Column:
+    return F.regexp_count(col(c), F.lit(r"\S+"))
+
+
+def char_count(c: Column | str) -> Column:
+    return F.length(col(c))
+
+
 def duration_text(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(F.format_string("%.1f s", F.floor(ms / 100.0 + 0.5) / 10.0))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", ms / 1000.0))
+
+
+def size_text(size: Column) -> Column:
+    """Bytes as B, KB or MB of a thousand each."""
+    return F.when(size >= 1_000_000, F.format_string("%.1f MB", size / 1e6)).when(size >= 1000, F.format_string("%.1f KB", size / 1e3)).otherwise(F.concat(size.cast("string"), F.lit(" B")))
+
+
+def safe_extension(c: Column | str) -> Column:
+    """``.ext`` for up to eight letters and digits, else ``.tmp``."""
+    bare = F.regexp_replace(col(c), r"\A\.", "")
+    return F.when(bare.rlike(r"\A[\p{L}\p{Nd}]{1,8}\z"), F.concat(F.lit("."), bare)).otherwise(".tmp")
+
+
+def output_name(c: Column | str) -> Column:
+    """A name that stays in its folder: no path, no reserved or control characters, 120 characters at most with its extension."""
+    bare = F.regexp_replace(F.regexp_replace(col(c), r"\A(?s:.*)[/\\]", ""), r"[\x00-\x1F\x7F<>:\"|?*]", "_")
+    bare = F.regexp_replace(ws_trim(bare), r"\A\.+|\.+\z", "")
+    bare = F.when(blank(bare), "output").otherwise(bare)
+    extension = F.regexp_extract(bare, r"\A.+(\.[^.]{0,9})\z", 1)
+    return F.when(F.length(bare) > 120, F.concat(F.substring(bare, F.lit(1), 120 - F.length(extension)), extension)).otherwise(bare)
 
 
 def safe_sheet_name(c: Column | str) -> Column:

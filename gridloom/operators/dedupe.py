@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.cells import ws_trim
 from .lineage import cut
@@ -22,32 +23,50 @@ def keep_first(df: DataFrame, keys: list[str], rid: str, normalised: bool = Fals
     return df.join(first, rid, "left_semi")
 
 
+#: Parts of a key beyond those that edits can touch, so that its most frequent parts need not be looked up.
+SPARE = 2
+
+
+def _parts(m: Column, threshold: float) -> tuple[Column, Column, Column]:
+    """(edits, number of parts, their size) of a key of m letters as the shorter of two similar ones."""
+    slack = 1.0 - threshold
+    edits = F.floor(F.lit(slack) * F.floor(m / threshold + 1e-9) + 1e-9).cast("int")
+    count = edits + 1 + F.when(m >= 4 * (edits + 1 + SPARE), SPARE).otherwise(0)
+    return edits, count, F.greatest(F.lit(1), F.floor(m / count).cast("int"))
+
+
 def _pairs(keyed: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: ordinals of rows whose keys are similar.
 
-    Keys of one length n can only be similar to keys of threshold * n letters and more; a key that differs by at most d
-    edits shares one of d + 1 parts of the other within d places (Levenshtein leaves a part untouched). Both go into the join
-    as equalities, so that only rows that share a part are compared.
+    A key of m letters that is at most d edits from one of n letters is cut into d + 1 parts and some to spare. An edit
+    touches one part, so the longer key holds all but d of them, each s places from where it stands in the shorter one,
+    with abs(s) + abs(n - m - s) edits before and after it at least, which leaves d + 1 places at most. Of the parts of a
+    key the d + 1 rarest are enough to look up; parts go into the join as equalities with their numbers and m, so that
+    only rows that share a rare part are compared.
     """
     if not 0.5 < threshold <= 1.0:
         raise ValueError("the threshold must lie above 0.5, so that a key has more letters than edits")
-    slack = 1.0 - threshold
-    # d of the longer of two similar keys: part the shorter one by the d of the longest key it may be similar to.
-    edits = F.floor(slack * F.floor(F.length("key") / threshold + 1e-9) + 1e-9).cast("int")
-    parted = keyed.withColumn("n", F.length("key")).withColumn("d", edits)
-    size = F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("d") + 1)).cast("int"))
-    spans = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct((i * F.col("size")).alias("at"), i.alias("i")))
-    short = parted.withColumn("size", size).withColumn("s", F.explode(spans)).select("rid", "key", "n", "size", "s.at", F.expr("substring(key, s.at + 1, size)").alias("part")).where("length(part) = size or n = 0")
-    lengths = parted.select("n", "d", size.alias("size")).distinct()
-    # Every key, as the longer one, offers its substrings of the sizes that shorter keys are cut into.
-    longer = parted.select("rid", "key", "n")
-    offers = longer.join(F.broadcast(lengths.select(F.col("n").alias("m"), "d", "size")), (F.col("m") <= F.col("n")) & (F.col("m") >= F.col("n") * threshold - 1e-9))
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - F.col("size")))
-    offers = offers.withColumn("p", F.explode(at)).select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n"), "m", "d", F.col("p"), F.expr("substring(key, p + 1, size)").alias("part"))
-    met = short.join(offers, (short["n"] == offers["m"]) & (short["part"] == offers["part"])).where((F.col("rid") != F.col("other")) & (F.abs(F.col("at") - F.col("p")) <= F.col("d")))
+    some = keyed.where("key <> ''").select("rid", "key", F.length("key").alias("n"))
+
+    def cut_up(rows: DataFrame) -> DataFrame:
+        edits, count, size = _parts(F.col("m"), threshold)
+        return rows.withColumns({"d": edits, "count": count, "size": size}).withColumn("i", F.explode(F.expr("sequence(0, least(count, m) - 1)")))
+
+    part = lambda at: F.substring("key", at + 1, F.col("size")).alias("part")
+    short = cut_up(some.withColumn("m", F.col("n"))).select("rid", "key", "n", "m", "d", "count", "i", part(F.col("i") * F.col("size")))
+    longer = some.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.col("n"))))
+    longer = cut_up(longer).where("n - m <= d").withColumn("s", F.explode(F.expr("sequence(-((d - n + m) div 2), (d + n - m) div 2)")))
+    at = F.col("i") * F.col("size") + F.col("s")
+    offers = longer.where((at >= 0) & (at + F.col("size") <= F.col("n"))).select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n"), "m", "i", part(at.cast("int"))).distinct()
+    often = offers.groupBy("m", "i", "part").agg(F.count("*").alias("often"))
+    # A key has as many rows as parts here.
+    rarest = Window.partitionBy("rid").orderBy("often", "i")
+    wanted = short.join(often, ["m", "i", "part"]).withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("d") + 1)
+    met = wanted.drop("often", "rank", "count").join(offers, ["m", "i", "part"]).where((F.col("rid") != F.col("other")) & (F.col("other_n") - F.col("n") <= F.col("d")))
+    met = met.select("rid", "other", "key", "other_key", "other_n", "d").dropDuplicates(["rid", "other"])
     # Beyond d edits a pair is too far apart: the distance is then -1 and was not worked out to its end.
     met = met.withColumn("edits", F.expr("levenshtein(key, other_key, d)"))
-    near = met.where(F.when(F.col("other_n") == 0, True).otherwise((F.col("edits") >= 0) & (1.0 - F.col("edits") / F.greatest("n", "other_n") >= threshold)))
+    near = met.where((F.col("edits") >= 0) & (1.0 - F.col("edits") / F.col("other_n") >= threshold))
     return near.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 

@@ -1,7 +1,7 @@
 """Spreadsheet formulas: a Pratt parser, an evaluator for whole sheets, and sheets as rows (sheet, row, col, input).
 
 Values are None (empty), float, str, bool and Err. A sheet is evaluated in one group, since any cell may refer to any other;
-sheets are bounded by MOST_CELLS and evaluated in parallel.
+sheets are bounded by MOST_CELLS and evaluated in parallel. After edits only what depends on them is worked out again.
 """
 
 from __future__ import annotations
@@ -572,34 +572,121 @@ def evaluate(formula: str, inputs: dict[tuple[int, int], str] | None = None):
     return Sheet({**(inputs or {}), home: "=" + formula.removeprefix("=")}).value(home)
 
 
-def recalculate(cells: DataFrame) -> DataFrame:
-    """(sheet, row, col, input) to (sheet, row, col, input, display) with every formula worked out.
+def references(formula: str) -> list[tuple[int, int, int, int]]:
+    """The cells and ranges (top, left, bottom, right) that a formula names; none of one that cannot be read."""
+    try:
+        left = [parse(formula.removeprefix("="))]
+    except (Syntax, IndexError, RecursionError):
+        return []
+    out = []
+    while left:
+        node = left.pop()
+        if node[0] == "cell":
+            out.append((*node[1], *node[1]))
+        elif node[0] == "range":
+            out.append(node[1:])
+        else:
+            left += [x for part in node[1:] for x in (part if isinstance(part, list) else [part]) if isinstance(x, tuple)]
+    return out
+
+
+def dependents(inputs: dict[tuple[int, int], str], edited: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The formula cells that name an edited cell, or one that does, and so on."""
+    by_column: dict[int, list[tuple[int, int, tuple[int, int]]]] = {}
+    for at, text in inputs.items():
+        if text.startswith("=") and len(text) > 1:
+            for r0, c0, r1, c1 in references(text):
+                for c in range(c0, c1 + 1):
+                    by_column.setdefault(c, []).append((r0, r1, at))
+    # Columns where formulas name single rows only are looked up by row.
+    single = {c: {} for c, named in by_column.items() if all(r0 == r1 for r0, r1, _ in named)}
+    for c, rows in single.items():
+        for r, _, at in by_column[c]:
+            rows.setdefault(r, []).append(at)
+    found, frontier = set(), list(edited)
+    while frontier:
+        r, c = frontier.pop()
+        named = single[c].get(r, ()) if c in single else [at for r0, r1, at in by_column.get(c, ()) if r0 <= r <= r1]
+        new = set(named) - found - edited
+        found |= new
+        frontier += new
+    return found
+
+
+def _by_sheet(cells: DataFrame, fields: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work`` (name, rows of ``fields``) to rows of ``schema`` for every sheet.
 
     Sheets are dealt by name and read one after the other from sorted partitions, so that many small sheets share a batch
-    and a worker holds one sheet at a time. Null names are one sheet.
+    and a worker holds one sheet at a time.
     """
-
-    def shown_rows(name, rows):
-        sheet = Sheet({(r, c): t for r, c, t in rows})
-        return [(name, r, c, t, shown(sheet.value((r, c))) if t.startswith("=") and len(t) > 1 else t.removeprefix("'")) for r, c, t in rows]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         name, rows, out = None, [], []
         for batch in batches:
-            for s, r, c, t in zip(*(batch[k] for k in ("sheet", "row", "col", "input"))):
+            for s, *row in zip(*(batch[k] for k in ("sheet", *fields))):
                 if s != name and rows:
-                    out += shown_rows(name, rows)
+                    out += work(name, rows)
                     rows = []
                     if len(out) > 10_000:
-                        yield pd.DataFrame(out, columns=["sheet", "row", "col", "input", "display"])
+                        yield pd.DataFrame(out, columns=names)
                         out = []
                 name = s
-                rows.append((int(r), int(c), t or ""))
-        out += shown_rows(name, rows)
-        yield pd.DataFrame(out, columns=["sheet", "row", "col", "input", "display"])
+                rows.append(row)
+        out += work(name, rows)
+        yield pd.DataFrame(out, columns=names)
+
+    return cells.select("sheet", *fields).repartition("sheet").sortWithinPartitions("sheet").mapInPandas(run, schema)
+
+
+def _display(sheet: Sheet, at: tuple[int, int], text: str) -> str:
+    return shown(sheet.value(at)) if text.startswith("=") and len(text) > 1 else text.removeprefix("'")
+
+
+SHEET = (("sheet", "string"), ("row", "int"), ("col", "int"), ("input", "string"))
+
+
+def _typed(cells: DataFrame, **more: str):
+    """The columns of a sheet with their types; null names are one sheet, null inputs empty."""
+    text = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit("")).alias(c) if t == "string" else F.col(c).cast(t).alias(c)
+    return cells.select(*[text(c, t) for c, t in (*SHEET, *more.items())])
+
+
+def recalculate(cells: DataFrame) -> DataFrame:
+    """(sheet, row, col, input) to (sheet, row, col, input, display) with every formula worked out; null names are one sheet."""
+
+    def work(name, rows):
+        sheet = Sheet({(int(r), int(c)): t for r, c, t in rows})
+        return [(name, r, c, t, _display(sheet, (r, c), t)) for r, c, t in rows]
+
+    return _by_sheet(_typed(cells), ["row", "col", "input"], work, "sheet string, row int, col int, input string, display string")
+
+
+def edited(cells: DataFrame, edits: DataFrame) -> DataFrame:
+    """(sheet, row, col, input, display, changed) after ``edits`` (sheet, row, col, input) to ``cells``, which were worked out before.
+
+    Only edited cells and their dependents are worked out again (``changed``); all others keep their display. Of several
+    edits of a cell the last by its text counts. An edit may be of a cell that was empty.
+    """
+    new = _typed(edits).groupBy("sheet", "row", "col").agg(F.max("input").alias("new"))
+    both = _typed(cells, display="string").join(new, ["sheet", "row", "col"], "full")
+    both = both.select("sheet", "row", "col", F.coalesce("new", "input", F.lit("")).alias("input"), F.coalesce("display", F.lit("")).alias("display"), F.col("new").isNotNull().alias("changed"))
+
+    def work(name, rows):
+        inputs = {(int(r), int(c)): t for r, c, t, _, _ in rows}
+        sheet, own = Sheet(inputs), {(int(r), int(c)) for r, c, _, _, new in rows if new}
+        again = own | dependents(inputs, own) if own else own
+        return [(name, r, c, t, _display(sheet, (r, c), t) if (r, c) in again else shown_before, (r, c) in again) for r, c, t, shown_before, _ in rows]
+
+    return _by_sheet(both, ["row", "col", "input", "display", "changed"], work, "sheet string, row int, col int, input string, display string, changed boolean")
+
 
-    chosen = cells.select(F.coalesce(F.col("sheet"), F.lit("")).alias("sheet"), F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce(F.col("input").cast("string"), F.lit("")).alias("input"))
-    return chosen.repartition("sheet").sortWithinPartitions("sheet").mapInPandas(run, "sheet string, row int, col int, input string, display string")
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """(sheet, row, cells): the used range of each sheet as rows of displayed texts, gaps as empty ones."""
+    filled = cells.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "display"))).alias("by"))  # a row of a sheet
+    rows = used_range(cells).withColumn("row", F.explode(F.sequence("top", "bottom"))).join(filled, ["sheet", "row"], "left")
+    by = F.coalesce("by", F.create_map().cast("map<int,string>"))
+    return rows.select("sheet", "row", F.transform(F.sequence("left", "right"), lambda c: F.coalesce(F.try_element_at(by, c), F.lit(""))).alias("cells"))
 
 
 def used_range(cells: DataFrame) -> DataFrame:

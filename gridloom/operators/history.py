@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import masked
+
 COLUMNS = "id bigint, feature string, inputHash string, inputLabel string, outputPreview string, outputPath string, qualityScore int, status string, retryCount int, durationMs bigint, timestamp bigint"
 
 
@@ -60,3 +62,47 @@ def updated(rows: DataFrame, key: str, value, **changes) -> DataFrame:
 
 def run_quality(ok: int, steps: int) -> int:
     return ok * 100 // steps if steps else 0
+
+
+def recorded(runs: DataFrame) -> DataFrame:
+    """Rows as the history keeps them: previews cut and masked, scores from 0 to 100."""
+    return runs.withColumns({"outputPreview": masked("outputPreview"), "qualityScore": F.greatest(F.lit(0), F.least(F.lit(100), F.col("qualityScore")))})
+
+
+def inserted(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """``rows`` with ``more`` added; columns by name, those that ``more`` lacks are null."""
+    return rows.unionByName(more, allowMissingColumns=True)
+
+
+def deleted(rows: DataFrame, key: str, value) -> DataFrame:
+    return rows.where(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def emptied(rows: DataFrame) -> DataFrame:
+    return rows.where(F.lit(False))
+
+
+#: Saved workflows that are listed, that there may be, and the length of their names.
+MOST_LISTED, MOST_SAVED, LONGEST_NAME = 500, 200, 80
+
+
+def listed(saved: DataFrame, n: int = MOST_LISTED) -> DataFrame:
+    """Saved workflows, the newest first."""
+    return saved.orderBy(F.desc("createdAt"), F.desc("id")).limit(n)
+
+
+def counted(saved: DataFrame) -> DataFrame:
+    return saved.agg(F.count("*").alias("n"))
+
+
+def by_id(saved: DataFrame, value) -> DataFrame:
+    return saved.where(F.col("id") == value).limit(1)
+
+
+def saved(rows: DataFrame, name: str, steps_json: str, step_count: int, now_ms: int) -> DataFrame:
+    """``rows`` (id, name, stepsJson, stepCount, createdAt, lastRunAt) with one more workflow; raises when there are MOST_SAVED."""
+    if rows.count() >= MOST_SAVED:
+        raise ValueError("too many saved workflows: delete one first")
+    new_id = (rows.agg(F.max("id")).first()[0] or 0) + 1
+    title = (name.strip() or "Untitled workflow")[:LONGEST_NAME]
+    return inserted(rows, rows.sparkSession.createDataFrame([(new_id, title, steps_json, step_count, now_ms)], "id long, name string, stepsJson string, stepCount int, createdAt long"))

@@ -63,3 +63,9 @@ def checked(invoices: DataFrame) -> DataFrame:
 def export_rows(invoices: DataFrame, *fields: str) -> DataFrame:
     """A row for each item with the invoice's fields; an invoice without items is one row."""
     return invoices.select(*fields, F.explode_outer("items").alias("i")).select(*fields, *[F.coalesce(F.col(f"i.{c}"), F.lit("")).alias(c) for c in ("description", "quantity", "unit_price", "amount")])
+
+
+def quality(invoices: DataFrame, fields: tuple[str, ...] = ("company", "number", "date", "customer", "total")) -> DataFrame:
+    """``invoices`` with ``quality``: how many of a hundred of the key fields were found."""
+    found = sum((F.when(blank(c), 0).otherwise(1) for c in fields), F.lit(0))
+    return invoices.withColumn("quality", F.floor(found * 100 / len(fields)).cast("int"))

@@ -382,7 +382,51 @@ def page_tables(pages: DataFrame) -> DataFrame:
 
 
 def flat(records: DataFrame, most_labels: int = 200) -> DataFrame:
-    """Fields and extra labels as columns, blanks for what a record lacks; labels are counted before they become columns."""
-    labels = [r["k"] for r in records.select(F.explode("extra").alias("e")).groupBy("e.k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(most_labels).collect()]
+    """Fields and extra labels as columns, blanks for what a record lacks; labels are counted before they become columns.
+
+    The ``most_labels`` commonest labels are columns; if there are more, a map column ``More`` has the others' values.
+    """
+    ranked = [r["k"] for r in records.select(F.explode("extra").alias("e")).groupBy("e.k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(most_labels + 1).collect()]
+    taken = {f.capitalize() for f in FIELDS} | {"Source"}
+    labels = [k for k in ranked[:most_labels] if k.capitalize() not in taken]
     extra = F.map_from_entries("extra")
-    return records.select(F.col("url").alias("Source"), *[F.coalesce(F.col(f), F.lit("")).alias(f.capitalize()) for f in FIELDS], *[F.coalesce(F.try_element_at(extra, F.lit(k)), F.lit("")).alias(k) for k in labels if k.capitalize() not in {f.capitalize() for f in FIELDS} | {"Source"}])
+    others = [F.map_filter(extra, lambda k, v: ~k.isin(ranked[:most_labels])).alias("More")] if len(ranked) > most_labels else []
+    return records.select(F.col("url").alias("Source"), *[F.coalesce(F.col(f), F.lit("")).alias(f.capitalize()) for f in FIELDS], *[F.coalesce(F.try_element_at(extra, F.lit(k)), F.lit("")).alias(k) for k in labels], *others)
+
+
+def absolute(link: Column, base: Column) -> Column:
+    """A link as it stands on a page, made absolute; null where that cannot be read."""
+    bare, site = F.trim(link), F.regexp_extract(base, r"(?i)\A([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#](?s:.*)\z", ""), r"(?<=[^/:]/)[^/]*\z", "")
+    folder = F.when(folder.rlike(r"(?i)\A[a-z][a-z0-9+.-]*://[^/]*\z"), F.concat(folder, F.lit("/"))).otherwise(folder)
+    return (
+        F.when(bare.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:"), bare)
+        .when(bare.startswith("//"), F.concat(F.regexp_extract(base, r"(?i)\A([a-z][a-z0-9+.-]*:)", 1), bare))
+        .when(bare.startswith("/"), F.concat(site, bare))
+        .when(bare.startswith("#"), F.concat(F.regexp_replace(base, r"#(?s:.*)\z", ""), bare))
+        .when(bare.startswith("?"), F.concat(F.regexp_replace(base, r"[?#](?s:.*)\z", ""), bare))
+        .otherwise(F.concat(folder, bare))
+    )
+
+
+def _described(pages: DataFrame) -> DataFrame:
+    html = F.coalesce(F.col("html"), F.lit(""))
+    found = F.array_distinct(F.transform(links(html), lambda x: absolute(x, F.col("url"))))
+    return pages.select(F.col("url"), page_title(html).alias("title"), found.alias("links"), F.regexp_count(html, F.lit(r"(?i)<table\b")).alias("tables"), visible_text(html).alias("text"))
+
+
+def fallback(pages: DataFrame, preview: int = 300) -> DataFrame:
+    """A row for each page without records: Title, Source URL, Links Found, Tables Found, Text Preview."""
+    return _described(pages).select(F.col("title").alias("Title"), F.col("url").alias("Source URL"), F.size("links").cast("string").alias("Links Found"), F.col("tables").cast("string").alias("Tables Found"), F.substring("text", 1, preview).alias("Text Preview"))
+
+
+def summary(pages: DataFrame, preview: int = 500) -> DataFrame:
+    """(url, place, Field, Value): what is known of a page without records, as a small table in order."""
+    rows = (("Title", F.col("title")), ("URL", F.col("url")), ("Links found", F.size("links").cast("string")), ("Text preview", F.substring("text", 1, preview)))
+    return _described(pages).select("url", F.posexplode(F.array(*[F.struct(F.lit(k).alias("Field"), v.alias("Value")) for k, v in rows])).alias("place", "f")).select("url", "place", "f.*")
+
+
+def report(pages: DataFrame) -> DataFrame:
+    """(url, report): address, title, text and links of each page as a text."""
+    lines = F.concat(F.lit("URL: "), F.col("url"), F.lit("\nTitle: "), F.col("title"), F.lit("\n\n"), F.col("text"), F.lit("\n\n--- LINKS ---\n"), F.array_join(F.transform("links", lambda x: F.concat(x, F.lit("\n"))), ""))
+    return _described(pages).select("url", lines.alias("report"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import cleaning, emails
-from ..sources import files, pdf
+from ..sources import files, pdf, tables
 
 RID = cleaning.RID
 NONE, TEXT, TABLE, EMAILS = "NONE", "TEXT", "TABLE", "EMAILS"
@@ -29,6 +29,11 @@ KINDS = {
 }
 REQUIRED = {"FIND_REPLACE": ("find",), "FILTER_ROWS": ("value",), "SORT_TABLE": ("column",), "KEEP_COLUMNS": ("columns",), "LOAD_PDF": ("path",), "LOAD_SHEET": ("path",), "SCRAPE_URL": ("path",)}
 MOST_STEPS, LONGEST_FIELD = 40, 20_000
+STYLES = ("auto", "book", "table", "plain")
+DOMAINS = {
+    "SCAN_IMAGES": {"mode": ("layout", "book", "plain")}, "TEXT_TO_TABLE": {"delimiter": ("auto", "tab", "comma", "semicolon", "spaces")}, "TABLE_TO_TEXT": {"separator": ("tab", "comma", "pipe")},
+    "FIND_REPLACE": {"case": ("ignore", "match")}, "FILTER_ROWS": {"rule": ("contains", "not", "equals", "starts")}, "SORT_TABLE": {"order": ("asc", "desc")}, "EXPORT_PDF": {"style": STYLES}, "EXPORT_DOCX": {"style": STYLES},
+}
 # End of fixed values.
 
 
@@ -68,6 +73,26 @@ def decode(text: str) -> list[Step]:
     return [Step(s["kind"], str(s.get("textInput", "")), {str(k): str(v) for k, v in (s.get("options") or {}).items()}) for s in rows[:MOST_STEPS]]
 
 
+def appended(steps: list[Step], kind: str) -> list[Step]:
+    """A plan with a step more, whose options are the first legal ones."""
+    if kind not in KINDS:
+        raise PlanError(f"unknown kind {kind}")
+    return [*steps, Step(kind, options={name: values[0] for name, values in DOMAINS.get(kind, {}).items()})]
+
+
+def removed(steps: list[Step], at: int) -> list[Step]:
+    return steps[:at] + steps[at + 1 :]
+
+
+def truncated(steps: list[Step], at: int) -> list[Step]:
+    return steps[:at]
+
+
+def projected(steps: list[Step]) -> str:
+    """What the last step gives, which the next one has to take."""
+    return KINDS[steps[-1].kind][1] if steps else NONE
+
+
 def moved(steps: list[Step], at: int, to: int) -> list[Step]:
     rest = steps[:at] + steps[at + 1 :]
     return [*rest[:to], steps[at], *rest[to:]]
@@ -91,6 +116,9 @@ def validate(steps: list[Step]) -> None:
             raise PlanError(f"step {n}: {s.kind} takes {' or '.join(takes)}, not {given}")
         if missing := [o for o in REQUIRED.get(s.kind, ()) if not s.opt(o)]:
             raise PlanError(f"step {n}: {s.kind} needs {', '.join(missing)}")
+        for name, values in DOMAINS.get(s.kind, {}).items():
+            if s.opt(name, values[0]) not in values:
+                raise PlanError(f"step {n}: {name} must be {' or '.join(values)}")
         given = gives
 
 
@@ -244,16 +272,15 @@ def run_step(spark: SparkSession, s: Step, data: Data) -> Data:
         texts = pages.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
         return Data(TEXT, texts.select(F.xxhash64("path").alias("doc_id"), "text"))
     if s.kind == "LOAD_SHEET":
-        path = s.opt("path")
-        loaded = {"JSON": files.read_json, "TXT": files.read_text}.get(files.format_of(path), files.read_csv)
-        if files.format_of(path) == "XLSX":
-            content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-            return Data(TABLE, files.to_table(spark, files.xlsx_rows(bytes(content))))
-        return Data(TABLE, cleaning.with_ordinals(loaded(spark, path)))
+        return Data(TABLE, tables.read_table(spark, s.opt("path")))
     if s.kind == "SCRAPE_URL":
         from ..operators import records
 
-        return Data(TABLE, cleaning.with_ordinals(records.flat(records.extract(spark.read.parquet(s.opt("path"))))))
+        pages = spark.read.parquet(s.opt("path"))
+        found = records.extract(pages)
+        if found.where("strategy not in ('page', 'none')").isEmpty():
+            return Data(TABLE, records.summary(pages).orderBy("url", "place").withColumn(RID, F.monotonically_increasing_id()).select(RID, "Field", "Value"))
+        return Data(TABLE, cleaning.with_ordinals(records.flat(found)))
     if s.kind == "CLEAN_TABLE":
         return Data(TABLE, cleaning.clean(df)[0])
     if s.kind == "EXTRACT_EMAILS":

@@ -96,8 +96,9 @@ def to_table(spark: SparkSession, rows: list[list[str]], rid: str = "__rid") ->
     return spark.createDataFrame(frame, ", ".join([f"{rid} long", *(f"`{n.replace('`', '``')}` string" for n in names)]))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep).csv(path).na.fill("")
+def read_csv(spark: SparkSession, path: str, sep: str = ",", quoted_newlines: bool = True) -> DataFrame:
+    """CSV by Spark's reader; files whose quoted fields hold no ends of lines are split among tasks."""
+    return spark.read.option("header", True).option("multiLine", quoted_newlines).option("quote", '"').option("escape", '"').option("sep", sep).csv(path).na.fill("")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -113,9 +114,10 @@ def csv_line(fields: list[str]) -> str:
 
 
 def write_csv(df: DataFrame, path: str, rid: str = "__rid") -> None:
-    """Every cell guarded against being read as a formula; rows by ordinal in ranges."""
+    """Every cell and name guarded against being read as a formula; rows by ordinal in ranges."""
     body = df.orderBy(rid).drop(rid) if rid in df.columns else df
-    body.select(*[guarded(F.col(f"`{c}`").cast("string")).alias(c) for c in body.columns]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    names = body.sparkSession.range(1).select(*[guarded(F.lit(c)).alias(str(i)) for i, c in enumerate(body.columns)]).first() if body.columns else ()
+    body.select(*[guarded(F.col(f"`{c}`").cast("string")).alias(n) for c, n in zip(body.columns, names)]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, rid: str = "__rid") -> None:

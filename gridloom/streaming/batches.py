@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import socket
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.cells import masked, text_quality
+from ..functions.cells import content_key, masked, text_quality
 
 ATTEMPTS, FIRST_MS, LONGEST_MS = 3, 500, 8000
 
@@ -18,7 +20,20 @@ def backoff_ms(attempt: int, first: int = FIRST_MS, longest: int = LONGEST_MS) -
     return min(longest, first * 2**attempt)
 
 
-def with_retry(work: Callable, attempts: int = ATTEMPTS, retryable: Callable[[Exception], bool] = lambda e: isinstance(e, OSError), sleep=time.sleep):
+def retry_pause(attempt: Column, first: int = FIRST_MS, longest: int = LONGEST_MS) -> Column:
+    """``backoff_ms`` as an expression."""
+    return F.least(F.lit(float(longest)), float(first) * F.pow(F.lit(2.0), attempt.cast("double")))
+
+
+def may_pass(error: Exception) -> bool:
+    """Whether trying again may help: not for what is wrong in itself (values, names that are not known), nor for answers below 500 but 429."""
+    status = getattr(error, "code", None) or getattr(error, "status", None)
+    if isinstance(status, int):
+        return status >= 500 or status == 429
+    return not isinstance(error, (ValueError, TypeError, socket.gaierror, FileNotFoundError))
+
+
+def with_retry(work: Callable, attempts: int = ATTEMPTS, retryable: Callable[[Exception], bool] = may_pass, sleep=time.sleep):
     """What ``work`` gives, tried again after growing pauses while its errors may pass."""
     for attempt in range(attempts):
         try:
@@ -29,10 +44,35 @@ def with_retry(work: Callable, attempts: int = ATTEMPTS, retryable: Callable[[Ex
             sleep(backoff_ms(attempt) / 1000)
 
 
-def scored(texts: DataFrame) -> DataFrame:
+def scored(texts: DataFrame, feature: str = "BATCH_TEXT") -> DataFrame:
     """(path, text) as history rows; a text that is blank counts as failed."""
     quality = text_quality("text")
-    return texts.select(F.lit("BATCH_TEXT").alias("feature"), F.sha2("text", 256).alias("inputHash"), F.col("path").alias("inputLabel"), masked("text").alias("outputPreview"), quality.alias("qualityScore"), F.when(quality > 0, "SUCCESS").otherwise("FAILED").alias("status"))
+    return texts.select(F.lit(feature).alias("feature"), content_key("text").alias("inputHash"), F.col("path").alias("inputLabel"), masked("text").alias("outputPreview"), quality.alias("qualityScore"), F.when(quality > 0, "SUCCESS").otherwise("FAILED").alias("status"))
+
+
+def pdf_texts(found: DataFrame) -> DataFrame:
+    """(path, text) of files (path, content) in PDF, each read again after a pause while its errors may pass; what cannot be read is blank."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..sources import pdf
+
+        def text(data: bytes) -> str:
+            try:
+                return with_retry(lambda: "\n".join(pdf.page_texts(data)))
+            except Exception:  # one file never fails the batch
+                return ""
+
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "text": [text(bytes(c)) for c in batch["content"]]})
+
+    return found.select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def run_pdfs(spark: SparkSession, folder: str, history: str, checkpoint: str) -> StreamingQuery:
+    """Work on the PDF files of ``folder`` that were not worked on before and append them to ``history`` (Parquet)."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.pdf").load(folder)
+    return scored(pdf_texts(found), "BATCH_PDF_TEXT").writeStream.format("parquet").option("path", history).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
 def run_files(spark: SparkSession, folder: str, history: str, checkpoint: str) -> StreamingQuery:
