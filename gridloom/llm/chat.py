@@ -12,12 +12,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, cut, running, whole
 
 QUOTE = r"^[ \t]*(?:>[ \t]*)+"
-#: Turns that one task holds of a conversation, and of a hash in it.
+#: Turns that one task holds of a conversation, of a thread, and of a hash in it.
 RANGE = 256
+#: The turn of rows that have none, before all others.
+NO_TURN = -(1 << 62)
+#: What tells messages apart: conversation, turn, and a digest of role and text.
+MESSAGE = ("_conv", "_turn", "_id")
 
 
 def level_of(line: Column) -> Column:
@@ -29,7 +34,7 @@ def normal(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, at, lines): each message's passages in order; blank lines are unquoted and part passages."""
+    """(_conv, _turn, _id, at, level, lines): each message's passages in order; blank lines are unquoted and part passages."""
     line = F.transform(F.split("_text", r"\r\n|\r|\n", -1), lambda x: F.struct(level_of(x).alias("level"), F.regexp_replace(x, QUOTE, "").alias("body")))
     empty = F.array().cast("array<struct<level:int,lines:array<string>>>")
     begin = F.struct(F.lit(-1).alias("level"), F.array().cast("array<string>").alias("lines"), empty.alias("done"))
@@ -46,53 +51,82 @@ def passages(messages: DataFrame) -> DataFrame:
         )
 
     found = F.aggregate(line, begin, step, close)
-    return messages.select("_conv", "_turn", F.posexplode(found).alias("at", "passage")).select("_conv", "_turn", "at", "passage.level", "passage.lines")
+    return messages.select(*MESSAGE, F.posexplode(found).alias("at", "passage")).select(*MESSAGE, "at", "passage.level", "passage.lines")
 
 
 def _keys(parts: DataFrame) -> DataFrame:
     """Hashes of a passage as a whole (kind 0) and of its lines (kind 1); texts that normalise to nothing have none."""
     each = F.concat(F.array(F.struct(F.lit(0).alias("kind"), normal(F.array_join("lines", " ")).alias("t"))), F.transform("lines", lambda x: F.struct(F.lit(1).alias("kind"), normal(x).alias("t"))))
     keyed = parts.withColumn("k", F.explode(each)).where("k.t <> ''")
-    return keyed.select("_conv", "_turn", "level", "at", F.col("k.kind").alias("kind"), F.struct(F.xxhash64(F.lit(1), "k.t").alias("a"), F.xxhash64(F.lit(2), "k.t").alias("b")).alias("key"))
+    return keyed.select(*MESSAGE, "level", "at", F.col("k.kind").alias("kind"), F.struct(F.xxhash64(F.lit(1), "k.t").alias("a"), F.xxhash64(F.lit(2), "k.t").alias("b")).alias("key"))
 
 
-def conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row for each row of ``messages``: conv_id, turn, role, text (without quotes), n_quotes, n_linked, reply_to,
-    thread_turn, position, formatted.
-
-    ``reply_to`` is the turn of the message that is answered (null: none is quoted), ``thread_turn`` the first turn of the thread and
-    ``position`` the place in the conversation from 0 on; ``formatted`` is the message with its role's mark. Null texts
-    count as empty, null roles as user; rows with a null conversation or turn are conversations and turns of their own
-    number -1. Rows that repeat a turn are told apart by their text only in order: equal ones take places next to each other. Empty tables
-    give no rows; other columns are left alone.
-    """
-    base = messages.select(F.coalesce(F.col(conv_id).cast("long"), F.lit(-1)).alias("_conv"), F.coalesce(F.col(turn).cast("long"), F.lit(-1)).alias("_turn"), F.coalesce(F.col(role).cast("string"), F.lit("user")).alias("role"), whole(text).alias("_text"))
-    quoting = base.where(F.col("_text").rlike(r"(?m)^[ \t]*>"))
-    parts = passages(base.join(quoting.select("_conv").distinct(), "_conv", "left_semi"))
+def links(parts: DataFrame) -> DataFrame:
+    """(_conv, _turn, _id, level, at, origin): the quoted passages that have an original, with its turn."""
     own = parts.where("level = 0")
-    all_own = own.groupBy("_conv", "_turn").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("p"))
-    all_own = all_own.select("_conv", "_turn", F.lit(0).alias("level"), F.lit(0).alias("at"), F.flatten(F.transform("p", lambda x: x["lines"])).alias("lines"))
-    originals = _keys(own.select("_conv", "_turn", "level", "at", "lines").unionByName(all_own)).select("_conv", "_turn", "key").distinct().withColumn("from", F.col("_turn"))
+    whole_own = own.groupBy(*MESSAGE).agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("p"))  # a message's own lines
+    whole_own = whole_own.select(*MESSAGE, F.lit(0).alias("level"), F.lit(0).alias("at"), F.flatten(F.transform("p", lambda x: x["lines"])).alias("lines"))
+    originals = _keys(own.unionByName(whole_own)).select("_conv", "_turn", "key").distinct().withColumn("from", F.col("_turn"))
     quotes = _keys(parts.where("level > 0"))
     # The latest original before each quote: one pass over both along the turns, never pairs of them.
-    both = originals.select("_conv", "key", "_turn", "from", *[F.lit(None).cast("int").alias(c) for c in ("level", "at", "kind")]).unionByName(quotes.select("_conv", "key", "_turn", F.lit(None).cast("long").alias("from"), "level", "at", "kind"))
+    nothing = {"_id": "struct<a:bigint,b:bigint>", "level": "int", "at": "int", "kind": "int"}
+    both = originals.select("_conv", "key", "_turn", "from", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    both = both.unionByName(quotes.select("_conv", "key", "_turn", F.lit(None).cast("long").alias("from"), *nothing))
     # At one turn quotes come before originals: a message does not quote itself.
-    linked = running(both, ["_conv", "key"], ["_turn", F.col("from").isNotNull()], F.floor(F.col("_turn") / RANGE), F.col("from"), "origin", F.max).where("level is not null and origin is not null and origin < _turn")
-    linked = cut(linked.groupBy("_conv", "_turn", "level", "at").agg(F.min(F.struct("kind", -F.col("origin"))).alias("o")).select("_conv", "_turn", "level", "at", (-F.col("o.col2")).alias("origin")))
-    answers = linked.groupBy("_conv", "_turn").agg(F.min(F.struct("level", "at", "origin")).alias("o"), F.count("*").alias("n_linked")).select("_conv", "_turn", F.col("o.origin").alias("reply_to"), "n_linked")
-    answers = cut(answers)
+    found = running(both, ["_conv", "key"], ["_turn", F.col("from").isNotNull()], F.floor(F.col("_turn") / RANGE), F.col("from"), "origin", F.max).where("level is not null and origin is not null and origin < _turn")
+    return found.groupBy(*MESSAGE, "level", "at").agg(F.min(F.struct("kind", -F.col("origin"))).alias("o")).select(*MESSAGE, "level", "at", (-F.col("o.col2")).alias("origin"))
+
+
+def placed(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``position``: threads by their first turn, in each its messages by turn; no task holds a conversation or a thread."""
+    ranged = messages.withColumn("_part", F.floor(F.col("_turn") / RANGE))
+    sizes = cut(ranged.groupBy("_conv", "thread_turn", "_part").agg(F.count("*").alias("_n")))
+    threads = sizes.groupBy("_conv", "thread_turn").agg(F.sum("_n").alias("_n"))
+    ahead = running(threads, ["_conv"], ["thread_turn"], F.floor(F.col("thread_turn") / RANGE), F.col("_n"), "_ahead").select("_conv", "thread_turn", F.coalesce("_ahead", F.lit(0)).alias("_ahead"))
+    before = Window.partitionBy("_conv", "thread_turn").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(ahead, ["_conv", "thread_turn"])
+    inside = Window.partitionBy("_conv", "thread_turn", "_part").orderBy("_turn", "_id")
+    place = F.col("_ahead") + F.col("_before") + F.row_number().over(inside) - 1
+    return ranged.join(sizes, ["_conv", "thread_turn", "_part"]).withColumn("position", place.cast("long"))
+
+
+def conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row for each row of ``messages``: conv_id, turn, role, text (without quotes), n_quotes, n_linked, reply_to,
+    thread_turn, position, unlinked, formatted.
+
+    ``n_quotes`` and ``n_linked`` are the row's own quoted passages and those of them that have an original. ``reply_to`` is
+    the turn of the message that is answered (null: none is quoted), ``thread_turn`` the first turn of the thread and
+    ``position`` the place in the conversation from 0 on; ``unlinked`` holds the quoted lines that were left out of the text
+    without having an original (null: none), such as the prompts of a program; ``formatted`` is the message with its
+    role's mark. Conversations may have ids of any type, turns are whole numbers. Null texts count as empty, null roles as
+    user. Rows with a null conversation are one conversation; rows with a turn that is null or no number come first in
+    theirs, answer nothing and are answered by nothing. Ids and turns are given back as they are. Rows that repeat a turn
+    are messages of their own, in the order of their digests; rows alike in all come next to each other with the same
+    links. Empty tables give no rows; other columns are left alone.
+    """
+    named = F.coalesce(F.concat(F.lit("="), F.col(conv_id).cast("string")), F.lit(""))
+    base = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), named.alias("_conv"), F.coalesce(F.col(turn).try_cast("long"), F.lit(NO_TURN)).alias("_turn"), F.coalesce(F.col(role).cast("string"), F.lit("user")).alias("role"), whole(text).alias("_text"))
+    base = base.withColumn("_id", F.struct(F.xxhash64(F.lit(1), "role", "_text").alias("a"), F.xxhash64(F.lit(2), "role", "_text").alias("b")))
+    quoting = base.where(F.col("_text").rlike(r"(?m)^[ \t]*>") & (F.col("_turn") > NO_TURN))
+    # Rows alike in all are one message here, and each of them has its links.
+    able = base.where(F.col("_turn") > NO_TURN).join(quoting.select("_conv").distinct(), "_conv", "left_semi").dropDuplicates(list(MESSAGE))
+    parts = cut(passages(able))
+    linked = cut(links(parts))
+    answers = cut(linked.groupBy(*MESSAGE).agg(F.min(F.struct("level", "at", "origin")).alias("o"), F.count("*").alias("n_linked")).select(*MESSAGE, F.col("o.origin").alias("reply_to"), "n_linked"))
     node = lambda t: F.struct(F.col("_conv").alias("c"), F.col(t).alias("t"))
     threads = components(answers.select(node("_turn").alias("a"), node("reply_to").alias("b"))).select(F.col("node.c").alias("_conv"), F.col("node.t").alias("_turn"), F.col("root.t").alias("thread_turn"))
     lines = F.split("_text", r"\r\n|\r|\n", -1)
     unquoted = F.trim(F.regexp_replace(F.array_join(F.filter(lines, lambda x: level_of(x) == 0), "\n"), r"^\s+|\s+$", ""))
-    quoted = F.filter(lines, lambda x: level_of(x) > 0)
-    counts = parts.where("level > 0").groupBy("_conv", "_turn").agg(F.count("*").alias("n_quotes"))
-    out = base.select("_conv", "_turn", "role", F.when(F.size(quoted) > 0, unquoted).otherwise(F.col("_text")).alias("text"))
-    for extra in (counts, answers, threads):
-        out = out.join(extra, ["_conv", "_turn"], "left")
-    out = out.withColumn("thread_turn", F.coalesce("thread_turn", "_turn"))
-    placed = running(out.withColumn("one", F.lit(1)), ["_conv"], ["thread_turn", "_turn", F.xxhash64("role", "text")], F.floor(F.col("thread_turn") / RANGE), F.col("one"), "position")
-    return placed.select(
-        F.col("_conv").alias("conv_id"), F.col("_turn").alias("turn"), "role", "text", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", "thread_turn",
-        F.coalesce("position", F.lit(0)).cast("long").alias("position"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")).alias("formatted"),
+    quoted = F.exists(lines, lambda x: level_of(x) > 0)
+    quotes = parts.where("level > 0")
+    lost = quotes.join(linked.select(*MESSAGE, "at"), [*MESSAGE, "at"], "left_anti").groupBy(*MESSAGE).agg(F.sort_array(F.collect_list(F.struct("at", "level", "lines"))).alias("p"))
+    marked = F.flatten(F.transform("p", lambda x: F.transform(x["lines"], lambda y: F.concat(F.repeat(F.lit(">"), x["level"]), F.lit(" "), y))))
+    out = base.select("conv_id", "turn", *MESSAGE, "role", F.when(quoted, unquoted).otherwise(F.col("_text")).alias("text"))
+    for extra in (quotes.groupBy(*MESSAGE).agg(F.count("*").alias("n_quotes")), answers, lost.select(*MESSAGE, F.array_join(marked, "\n").alias("unlinked"))):
+        out = out.join(extra, list(MESSAGE), "left")
+    out = out.join(threads, ["_conv", "_turn"], "left").withColumn("thread_turn", F.coalesce("thread_turn", "_turn"))
+    given = F.when(F.col("thread_turn") > NO_TURN, F.col("thread_turn"))
+    return placed(out).select(
+        "conv_id", "turn", "role", "text", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", given.alias("thread_turn"),
+        "position", "unlinked", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")).alias("formatted"),
     )
