@@ -1,13 +1,21 @@
 """HTML extraction: flat text blocks, classified by a decision tree over their and their neighbours' features.
 
 A page is cut into flat blocks at block-level tags. A block has the number of its words, the share of them in links, the
-same of the blocks before and after it, and what encloses it: page furniture by tag or role, by class or id, an article. A decision
-tree (Gini) over these features, grown here from the small labelled table below, tells main text from the rest.
+same of the blocks before and after it, and three features of what encloses it: page furniture by tag or role, a class or id
+that names such, an article. A name is no verdict: a marked element counts the less, the more of the page's words it holds,
+unless an article lies outside it, so that a form or a "page-header-content" around everything is none. A decision
+tree (Gini) over these features, grown here from the small labelled table below, tells main text from the rest. Each page
+of the table is used with its marks and once more without any, as bare ``div``s, where word counts and links must do alone.
+
+Reading a page takes time in proportion to its length, whatever it holds. Elements nested deeper than DEEPEST are read as
+if they were not nested further, as browsers do.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,37 +25,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+from .common import tidy
+
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag, up to its end: a quote matters after an equals sign only.
+REST = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object head title select option textarea button datalist canvas audio video".split())
+#: Those whose content is skipped up to their closing tag, and of them those without which the page ends (the others are then passed over).
 RAW = frozenset("script style noscript template textarea title svg math iframe".split())
+TO_THE_END = frozenset("script style textarea".split())
+#: What a head may hold; anything else, and text, ends it.
+OF_HEAD = frozenset("title meta link base script style noscript template".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 ARTICLE = frozenset("article main".split())
 HOLDS = FURNITURE | ARTICLE | frozenset("div section ul ol dl table td th tr tbody thead figure details fieldset blockquote body".split())
 BLOCK = HOLDS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption figcaption html head summary center legend tfoot".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words of class and id names that mark what is not the article.
+#: Words of class and id names that mark what is not the article, and words that mark an article; the first of them in a name counts.
 NAMES = frozenset(
     "ad ads adsbygoogle adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar comment comments "
     "commentlist disqus replies respond discussion share sharing social related recommended widget pagination pager login signup search copyright".split()
 )
-#: Those of them that mark contents beside the article; the rest say how a page is laid out, and an article may lie below them.
-OTHERS = frozenset(
-    "ad ads adsbygoogle adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion comment comments "
-    "commentlist disqus replies respond discussion share sharing social related recommended widget hidden".split()
-)
+MAIN_NAMES = frozenset("article content main post story entry body text".split())
+#: Words after which a name says what an element has or lacks.
+HAVING = frozenset("has with no without".split())
+#: Names that say how a page is laid out: on a head line or a word in a line they mean nothing.
+LAYOUTS = frozenset("banner notice notices sidebar aside rail nav navbar navigation menu footer header masthead toolbar login signup search".split())
 #: Blocks that a following one of the same kind ends, and the lists in which they are.
 ITEMS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",))}
 #: Elements within a line; those with a mark are blocks of their own.
 INLINE = frozenset("span a b strong em i u small label ins font sup sub".split())
-#: Elements that are no part of a page's layout, whatever their names.
 TITLES = INLINE | frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+QUOTED = re.compile(r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|$)", re.I)
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "named", "article", "page_has_article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "named", "article", "articles")
+DEEPEST = 256
 
 
 @dataclass
@@ -55,138 +71,241 @@ class Block:
     text: str
     words: int
     linked: int
-    furniture: bool
-    named: bool
+    marks: tuple[int, ...]
     article: bool
+    silent: bool
 
 
-#: How strongly a class, an id or ``hidden`` marks a tag: as one that an article may lie below, or as none of the article.
-LAYOUT, OTHER = 1, 2
-
-
-def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether a tag is page furniture by itself or its role, and how its class or id marks it (0: not)."""
-    furniture = tag in FURNITURE
-    named = 0
+@dataclass
+class Page:
+    """The blocks of a page, and of each marked element whether its mark is a name, its words, and the articles in it."""
+
+    blocks: list[Block]
+    named: list[bool]
+    words: list[int]
+    held: list[int]
+    articles: int
+
+
+def _first_mark(name: str, layouts: bool) -> int:
+    """-1 if the first telling word of a name marks what is not the article, 1 if it marks one, else 0."""
+    before = ""
+    for w in map(str.lower, WORDS_OF_NAME.findall(name)):
+        if before not in HAVING:
+            if w in NAMES and (layouts or w not in LAYOUTS):
+                return -1
+            if w in MAIN_NAMES:
+                return 1
+        before = w
+    return 0
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a tag is page furniture by itself or its role, and whether its names mark it."""
+    furniture, named = tag in FURNITURE, False
     if attributes:
+        found = []
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 furniture |= value.strip().lower() in ROLES
             elif name in ("class", "id"):
-                for w in map(str.lower, WORDS_OF_NAME.findall(value)):
-                    if w in NAMES:
-                        named = max(named, OTHER if w in OTHERS else LAYOUT)
-            elif name == "aria-hidden" and value == "true":
-                named = OTHER
-        if HIDDEN.search(QUOTED.sub("", attributes)):
-            named = OTHER
-    if named == LAYOUT and tag in TITLES:
-        named = 0  # a head line or a word called header is none of the page
+                found += [_first_mark(v, tag not in TITLES) for v in value.split()]
+            elif name == "aria-hidden":
+                named |= value == "true"
+        named |= -1 in found and sum(found) < (0 if tag in ARTICLE else 1)
+        named |= HIDDEN.search(QUOTED.sub("", attributes)) is not None
     return furniture, named
 
 
-def _end_implied(stack: list[tuple], tag: str) -> None:
-    """End what an opening block ends without a tag: a paragraph, and an item before the next one of its list."""
-    i = len(stack) - 1
-    while i >= 0 and stack[i][0] in INLINE:
-        i -= 1
-    if i >= 0 and stack[i][0] == "p":
-        del stack[i:]
-    ends, lists = ITEMS.get(tag, ((), ()))
-    for i in range(len(stack) - 1, -1, -1) if ends else ():
-        if stack[i][0] in lists:
-            break
-        if stack[i][0] in ends:
-            del stack[i:]
-            break
-
-
-def blocks(page: str | None) -> list[Block]:
-    """The flat text blocks of a page in order; null counts as empty. Tags need not be balanced."""
-    page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []
-    state = (False, False, False)
-    parts: list[str] = []
-    linked = 0
-    in_link = False
-    at = 0
-
-    def end_block():
-        nonlocal linked
-        if parts:
-            words = entities.unescape("".join(parts)).split()
-            if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), *state))
-            parts.clear()
-        linked = 0
+@functools.cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I)
 
-    def say(piece: str):
-        nonlocal linked
-        parts.append(piece)
-        if in_link:
-            linked += len(piece.split())
 
-    end = len(page)
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): text, start and end tags in order; comments and what is skipped are left out."""
+    at, end = 0, len(page)
+    quotes, absent = True, set()
     while at < end:
-        m = TOKEN.search(page, at)
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", "", page[at:]
+            return
+        if start > at:
+            yield "text", "", page[at:start]
+        m = TAG.match(page, start)
         if m is None:
-            say(page[at:])
-            break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        closing = bool(m[1])
-        if tag in RAW and not closing and not m[3].endswith("/"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if page.startswith("<!--", start):
+                # An empty comment may end at once; one without an end goes to the end of the page.
+                close = page.find(">", start) if page.startswith((">", "->"), start + 4) else page.find("-->", start + 4)
+                at = end if close < 0 else page.index(">", close) + 1
+            elif page.startswith(("<!", "<?", "</"), start):
+                close = page.find(">", start)
+                at = end if close < 0 else close + 1
+            else:
+                yield "text", "", "<"
+                at = start + 1
             continue
-        if tag == "a":
-            in_link = not closing
-        elif tag == "br":
-            parts.append(" ")
+        rest = REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            # Without an end outside quotes the quotes are broken: from here on tags end at the next sign.
+            quotes = False
+            close = page.find(">", m.end())
+            if close < 0:
+                return  # the page ends within a tag
+        else:
+            close = rest.end() - 1
+        tag, attributes = m[2].lower(), page[m.end() : close]
+        at = close + 1
+        if tag not in RAW:
+            yield ("end" if m[1] else "start"), tag, attributes
+        elif not m[1] and not attributes.endswith("/") and tag not in absent:
+            found = _closing(tag).search(page, at)
+            if found:
+                yield "start", tag, attributes
+                yield "end", tag, ""
+                at = found.end()
+            elif tag in TO_THE_END:
+                return
+            else:
+                absent.add(tag)
+
+
+class _Reader:
+    """Flat blocks from tokens. An element on the stack is (tag, marks, article, silent) as they hold inside it."""
+
+    def __init__(self):
+        self.page = Page([], [], [], [], 0)
+        self.stack: list[tuple[str, tuple[int, ...], bool, bool]] = []
+        self.open: dict[str, int] = {}
+        self.parts: list[str] = []
+        self.linked = 0
+        self.link = -1  # how many elements are around the open link, -1: none is open
+
+    def inside(self) -> tuple[tuple[int, ...], bool, bool]:
+        return self.stack[-1][1:] if self.stack else ((), False, False)
+
+    def end_block(self) -> None:
+        if self.parts:
+            words = entities.unescape("".join(self.parts)).split()
+            if words:
+                marks, article, silent = self.inside()
+                self.page.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), marks, article, silent))
+                if not silent:
+                    for m in marks:
+                        self.page.words[m] += len(words)
+            self.parts.clear()
+        self.linked = 0
+
+    def leave(self, depth: int) -> None:
+        """End the elements from that depth on."""
+        while len(self.stack) > depth:
+            self.open[self.stack.pop()[0]] -= 1
+        if self.link > len(self.stack):
+            self.link = -1
+
+    def text(self, piece: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not piece.isspace():
+            self.leave(len(self.stack) - 1)
+        self.parts.append(piece)
+        if self.link >= 0:
+            self.linked += len(piece.split())
+
+    def _end_implied(self, tag: str) -> None:
+        """End what an opening block ends without a tag: a head, a paragraph, and an item before the next one of its list."""
+        if self.stack and self.stack[-1][0] == "head" and tag not in OF_HEAD:
+            self.leave(len(self.stack) - 1)
+        if self.open.get("p"):
+            i = len(self.stack) - 1
+            while i >= 0 and self.stack[i][0] in INLINE:
+                i -= 1
+            if i >= 0 and self.stack[i][0] == "p":
+                self.leave(i)
+        ends, lists = ITEMS.get(tag, ((), ()))
+        if any(self.open.get(e) for e in ends):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] in lists:
+                    break
+                if self.stack[i][0] in ends:
+                    self.leave(i)
+                    break
+
+    def tag(self, tag: str, attributes: str, closing: bool) -> None:
+        if tag == "br":
+            self.parts.append(" ")
+        marked = None
         if tag not in BLOCK and tag not in SILENT:
             if tag not in INLINE:
-                continue
+                return
             # Unmarked ones only count within a marked one, whose end must be told from theirs.
-            if not any(x[0] == tag for x in stack) and (closing or not any(_marks(tag, m[3]))):
-                continue
-        end_block()
-        if tag in BLOCK:
-            in_link = False
-        if not closing and tag in BLOCK:
-            _end_implied(stack, tag)
+            if not self.open.get(tag):
+                marked = (False, False) if closing else _marks(tag, attributes)
+                if not any(marked):
+                    if tag == "a":
+                        self.link = -1 if closing else len(self.stack)
+                    return
+        self.end_block()
+        if not closing and (tag in BLOCK or tag in SILENT):
+            self._end_implied(tag)
         if tag == "hr":
-            pass  # it holds nothing
-        elif closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            return
+        if closing:
+            if self.open.get(tag):
+                i = len(self.stack) - 1
+                while self.stack[i][0] != tag:
+                    i -= 1
+                self.leave(i)
+            if tag == "a":
+                self.link = -1
+            return
+        furniture, named = marked or _marks(tag, attributes)
+        marks, article, silent = self.inside()
+        if tag == "header" and article:
+            furniture = False  # an article's own header is a part of it
+        if tag in ARTICLE and not silent:
+            self.page.articles += 1
+            for m in marks:
+                self.page.held[m] += 1
+        if len(self.stack) < DEEPEST:
+            for is_name in [False] * furniture + [True] * (named and tag not in ("html", "body", "main")):
+                marks = (*marks, len(self.page.named))
+                self.page.named.append(is_name)
+                self.page.words.append(0)
+                self.page.held.append(tag in ARTICLE)
+            self.stack.append((tag, marks, article or tag in ARTICLE, silent or tag in SILENT))
+            self.open[tag] = self.open.get(tag, 0) + 1
+        if tag == "a":
+            self.link = len(self.stack)
+
+
+def read(page: str | None) -> Page:
+    """The flat text blocks of a page in order; null counts as empty. Tags need not be balanced, nor be there at all."""
+    reader = _Reader()
+    for kind, name, rest in tokens(page or ""):
+        if kind == "text":
+            reader.text(rest)
         else:
-            furniture, named = _marks(tag, m[3])
-            inside = stack[-1][1:] if stack else (False, 0, False)
-            if tag == "header" and inside[2]:
-                furniture = False  # an article's own header is a part of it
-            named = 0 if tag in ("html", "body", "article", "main") else named
-            above = 0 if tag == "main" or tag == "article" and inside[1] < OTHER else inside[1]
-            stack.append((tag, inside[0] or furniture or tag in SILENT, max(above, named), inside[2] or tag in ARTICLE))
-        state = (stack[-1][1], stack[-1][2] > 0, stack[-1][3]) if stack else (False, False, False)
-    end_block()
-    return out
-
-
-def features(found: list[Block]) -> np.ndarray:
-    """One row for each block, by FEATURES; beyond the ends there are no words and no links."""
+            reader.tag(name, rest, kind == "end")
+    reader.end_block()
+    reader.page.blocks = [b for b in reader.page.blocks if not b.silent]
+    return reader.page
+
+
+def features(page: Page) -> np.ndarray:
+    """One row for each block, by FEATURES; beyond the ends there are no words and no links.
+
+    ``furniture`` and ``named`` are 0 outside marked elements, 1 in one that an article lies outside of, and else the share
+    of the page's words that is outside it, half of it if it holds all of the page's articles. ``articles`` is the share of the page's words that articles hold.
+    """
+    found = page.blocks
     words = np.array([0, *(b.words for b in found), 0], float)
     share = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    has = float(any(b.article for b in found))
-    flags = np.array([(b.furniture, b.named, b.article, has) for b in found], float).reshape(-1, 4)
-    return np.column_stack((words[1:-1], share[1:-1], words[:-2], share[:-2], words[2:], share[2:], flags))
+    total = max(1, sum(b.words for b in found))
+    doubt = [1.0 if held < page.articles else (1 - n / total) / (2 if page.articles else 1) for n, held in zip(page.words, page.held)]
+    flags = np.array([(max((doubt[m] for m in b.marks if not page.named[m]), default=0.0), max((doubt[m] for m in b.marks if page.named[m]), default=0.0), b.article) for b in found], float).reshape(-1, 3)
+    inside = np.full(len(found), sum(b.words for b in found if b.article) / total)
+    return np.column_stack((words[1:-1], share[1:-1], words[:-2], share[:-2], words[2:], share[2:], flags, inside))
 
 
 #: The labelled table: pages written for this purpose; blocks that start with "=" are main text (the mark is taken off).
@@ -199,27 +318,69 @@ LABELLED = (
     '<body><nav><a href="/">up</a> <a href="/2">next</a></nav><article><h1>=Night trains</h1><p>=They run again.</p><p>=From the capital to the coast takes nine hours, with a stop at the border for the papers.</p><aside><p>Tickets from nine, book early to be sure of a bed.</p></aside><p>=Sleep well.</p><div class="comments"><p>My train was late by three hours and nobody told us why that was.</p></div></article><footer>One two three.</footer></body>',
     '<body><div><a href="/1">one</a> <a href="/2">two</a> <a href="/3">three</a></div><div><p>=A page without an article tag has long paragraphs of plain words that are its text, as this one has.</p><p>=Short ones too.</p></div><div><a href="/t">terms of use</a> <a href="/p">privacy</a></div></body>',
     '<body><article><p>=The first line.</p><p>=The second line, with some more words than the first one had in it.</p></article><article><p>=The last line.</p></article><div><p>The site is run by friends.</p></div><div><a href="/m">more</a></div></body>',
+    '<body><div class="page"><div class="top"><a href="/">The Valley Post</a> <a href="/w">Weather</a></div><div class="story"><h1>=Rain at last</h1><p>=After forty dry days the first rain fell on the valley in the night to Sunday, and it fell until noon.</p><p>=Farmers stood in it.</p><p>=More of it is to come in the week, as <a href="/f">the office of forecasts</a> said on Monday, though less than the fields would need.</p></div><div class="more"><a href="/1">Ten years of drought</a> <a href="/2">Where the water went</a></div></div></body>',
+    '<body><form id="aspnetForm" action="/"><div class="nav"><a href="/">Start</a> <a href="/k">Contact</a></div><div><h1>=Old stairs</h1><p>=The stairs behind the church have two hundred steps, and nobody alive has seen them all repaired.</p><p>=Some are missing.</p><p>=The town has asked a mason from the south to look at what is left of the lower half before the winter.</p></div><div class="footer">Town of the old stairs</div></form></body>',
+    '<head><title>Bees</title><body><ul><li><a href="/">Home</a></li><li><a href="/bees">Bees</a></li><li><a href="/honey">Honey</a></li></ul><div><h2>=Bees in May</h2><p>=In May the colony grows by a thousand bees a day, and the keeper looks for queens each week.</p><p>=Swarms leave at noon.</p><p>=A swarm that hangs in a low tree is easily caught in a box, if it is not windy and the box is dark.</p></div><ul><li><a href="/a">April</a></li><li><a href="/j">June</a></li></ul></body>',
+    '<body><div class="page-header-content article-with-comments"><h1>=The clock</h1><p>=The clock in the tower has been four minutes late since the repair, which cost more than a new one.</p><p>=People like it.</p><p>=The council will not have it set, since half of the town has set its own clocks by it for so many years.</p><div class="comments"><p>Mine is five minutes late and I like it too.</p></div></div></body>',
+    '<body><header><a href="/">The Beekeeper</a></header><nav><a href="/">Home</a> <a href="/all">All posts</a></nav><article><h1><a href="/honey">=Honey in the comb</a></h1><p>=Honey in the comb keeps for years if the wax is whole.</p><p>=Sources:</p><ul><li><a href="/s1">=The old book of bees</a></li><li><a href="/s2">=A letter on wax</a></li></ul><p>=Written down in May.</p></article><div><a href="/n">Next: the smoker</a></div><div>Written in a garden.</div></body>',
+    '<body><nav><a href="/">Start page</a> <a href="/town">The town</a> <a href="/hours">Opening hours</a></nav><form action="/post" id="f"><article><h1>=The new well</h1><p>=The well on the square gives water again after ten years.</p><p>=Bring a jug.</p></article></form><footer>Office of the town, second floor, open on two days of the week.</footer></body>',
+    '<body><div class="header"><a href="/">Salt and stone</a></div><div class="content"><h1>=How salt is dug</h1><p>=Salt lies in thick layers below the hills, left there by a sea that dried up long before there were people.</p><p>=It is dug with machines now.</p></div><div id="comments"><h3>Two answers</h3><article><p>My father dug salt by hand for thirty years in that mine.</p></article><article><p>Well told!</p></article></div></body>',
+    '<body><nav><a href="/">Museum</a> <a href="/v">Visit</a> <a href="/c">Collection</a></nav><div class="page-header-content"><h1>=The blue cup</h1><p>=The blue cup was found in a garden, where a family had used it to water flowers for two generations.</p><p>=It is whole.</p><p>=Nobody knows who made it or for whom, but the glaze is that of the northern kilns.</p></div><footer><p>Closed on Mondays.</p></footer></body>',
+    '<body><div class="sidebar-layout"><div class="sidebar"><p>Open from ten to six.</p><a href="/t">Tickets</a></div><div><h1>=Two paintings return</h1><p>=Two paintings that were lent to a museum abroad hang in the small hall again.</p><p>=They were missed.</p></div></div><footer>The friends of the museum</footer></body>',
     '<body><div class="layout has-sidebar"><article><h1>=The ferry</h1><p>=The ferry crosses four times a day, and once more on market days.</p><p class="advert">Rent a boat for the whole of the summer from our partners by the lake.</p><p>=Bring a coat.</p><ul><li>=bread</li><li class="comment">I took it twice and was sick both times, but the view is good.</li></ul><h3 class="related">More about boats</h3><p hidden>This text is not shown to anyone who reads the page.</p></article></div><footer>Two friends made this.</footer></body>',
 )
 
 
-#: Each page is used so often, with its texts repeated anew: what encloses a text shall count for more than its length.
-VARIANTS = 6
+BARE = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section|form)\b[^>]*>|<(div|p|ul|li|h[1-6]|span)\b[^>]*>")
+
+
+def bare(page: str) -> str:
+    """A page without any marks: elements that mean something become plain ones, attributes go but those of links."""
+    return BARE.sub(lambda m: f"<{m[2]}>" if m[2] else f"<{m[1]}div>", page)
+
+
+def cropped(page: str) -> list[str]:
+    """A page without what comes before its main text, without what comes after it, and without both."""
+    first, last = re.search(r"<[^<>]*>(?=(?:<[^<>]*>)*=)", page).start(), page.rindex(">=")
+    last = page.index("<", last + 2)
+    return [page[first:], page[:last], page[first:last]]
+
+
+def fragments(page: str) -> list[str]:
+    """Pages that hold one to three of its main blocks, one after the other, and nothing else: what has no company is main text."""
+    main = re.findall(r">(=[^<>]+)<", page)
+    return ["".join(f"<p>{t}</p>" for t in main[i : i + n]) for n in (1, 2, 3) for i in range(len(main) - n + 1)]
+
+
+#: Each page is used so often with marks, its texts cut or repeated to lengths at random: what encloses a text shall count for
+#: more than its length where there is something.
+VARIANTS = 24
+LENGTHS = (1, 2, 3, 5, 8, 13, 21, 34)
+
+
+def varied(page: str, seed: int) -> str:
+    rng = random.Random(seed)
+
+    def resized(m: re.Match) -> str:
+        words, length = m[1].lstrip("=").split(), rng.choice(LENGTHS)
+        return f">{'=' * m[1].startswith('=')}{' '.join((words * length)[:length])}<"
+
+    return re.sub(r">([^<>]+)<", resized, page)
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the labelled table, with marks in variants of length, and bare; whole and cropped."""
     rows, labels = [], []
     for page in LABELLED:
-        for v in range(VARIANTS):
-            n = iter(range(10_000))
-            varied = re.sub(r">([^<>]+)<", lambda m: f">{' '.join([m[1]] * (1 + (5 * next(n) + 7 * v) % (v + 1)))}<", page)
-            found = blocks(varied)
-            labels += [b.text.startswith("=") for b in found]
+        parts = [page, *cropped(page)]
+        made = [*parts, *map(bare, parts), *fragments(page), *(varied(parts[v % 4], v) for v in range(VARIANTS)), *(varied(f, v) for v, f in enumerate(fragments(page)))]
+        for found in map(read, made):
+            labels += [b.text.startswith("=") for b in found.blocks]
             rows.append(features(found))
     return np.vstack(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, deepest: int = 6, least: int = 4):
+def grow(x: np.ndarray, y: np.ndarray, deepest: int = 9, least: int = 12):
     """A tree by Gini impurity: a float (the share of main text) or (feature, threshold, below or at, above)."""
     share = float(y.mean())
     if deepest == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
@@ -250,8 +411,8 @@ def is_main(tree, row) -> bool:
 
 def main_text(page: str | None, tree) -> str:
     """The blocks of main text in page order, one to a line; empty if there are none."""
-    found = blocks(page)
-    return "\n".join(b.text for b, row in zip(found, features(found).tolist()) if is_main(tree, row)) if found else ""
+    found = read(page)
+    return "\n".join(b.text for b, row in zip(found.blocks, features(found).tolist()) if is_main(tree, row)) if found.blocks else ""
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -272,5 +433,6 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
                 part = batch.slice(at, 1000)
                 texts = [main_text(p.as_py(), tree) for p in part.column(last)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:last], out, "n_chars"])
+        tidy()
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField(out, StringType()), StructField("n_chars", LongType())]))
