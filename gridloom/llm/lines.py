@@ -14,13 +14,13 @@ from .common import cut
 
 #: Share of the host's pages beyond which a line is boilerplate.
 RATIO = 0.1
-#: Hosts with fewer pages than this have no boilerplate: shares of so few pages mean nothing.
-LEAST_PAGES = 20
-#: Pages of a host that a line must be on to be boilerplate in the pipeline, where hosts of any size are cleaned.
+#: Pages of its host that a line must be on at least: what is on one or two pages is no evidence, whatever their share.
 LEAST_WITH = 3
 #: Hosts with boilerplate that are broadcast, and lines in all; beyond it they are joined by host.
 BROADCAST_HOSTS = 10_000
 BROADCAST_LINES = 200_000
+#: Parts into which the pages of a host go where they are joined, so that a large host is no single task.
+SALTS = 64
 
 
 def split_lines(text: Column) -> Column:
@@ -33,32 +33,36 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(F.lit(1), bare).alias("a"), F.xxhash64(F.lit(2), bare).alias("b")))
 
 
-def boilerplate(pages: DataFrame, text: str, host: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with: int = 1) -> DataFrame:
+def boilerplate(pages: DataFrame, text: str, host: Column, ratio: float = RATIO, least_with: int = LEAST_WITH) -> DataFrame:
     """(host, keys): for each host that has some, the digests of its boilerplate lines. A null host is one host."""
     own = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
     totals = own.groupBy("host").agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), line_key), lambda k: k.isNotNull()))
     counts = own.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("with_line"))
-    # A line on a share of the pages of any host with enough pages is on so many pages: most counts go before the join.
-    counts = counts.where((F.col("with_line") > ratio * least_pages) & (F.col("with_line") >= least_with))
-    frequent = counts.join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("with_line") > ratio * F.col("pages"))
+    # Most lines are on one page: they go before the join.
+    frequent = counts.where(F.col("with_line") >= least_with).join(totals, "host").where(F.col("with_line") > ratio * F.col("pages"))
     return frequent.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None = None, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_with: int = 1) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None = None, ratio: float = RATIO, least_with: int = LEAST_WITH, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``pages`` with ``text`` less its boilerplate lines, and ``n_lines`` and ``n_dropped``, in the page's line order.
 
-    Every row is a page. A line counts once for a page, without the spaces around it. Blank lines stay. A null text stays
-    null with no lines; a text of boilerplate alone becomes empty; its row stays. Repeated rows are pages of their own.
+    Every row is a page, and hosts of any size are judged alike: a line goes if it is on more than ``ratio`` of its host's
+    pages and on ``least_with`` or more. A line counts once for a page, without the spaces around it. Blank lines stay. A
+    null text stays null with no lines; null hosts are one host; a text of boilerplate alone becomes empty; its row stays. Repeated rows are pages of their own.
     Columns named n_lines or n_dropped are replaced, others stay as they are.
     """
     host = F.col("source") if host is None else host
-    lists = cut(boilerplate(pages, text, host, ratio, least_pages, least_with))
+    lists = cut(boilerplate(pages, text, host, ratio, least_with))
     hosts, lines = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     lists = lists.select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    if hosts <= BROADCAST_HOSTS and lines <= BROADCAST_LINES:
-        lists = F.broadcast(lists)
-    joined = pages.withColumn("_own", F.coalesce(host.cast("string"), F.lit(""))).join(lists, F.col("_own") == F.col("_host"), "left")
+    own = pages.withColumn("_own", F.coalesce(host.cast("string"), F.lit("")))
+    if hosts <= broadcast_hosts and lines <= BROADCAST_LINES:
+        joined = own.join(F.broadcast(lists), F.col("_own") == F.col("_host"), "left")
+    else:
+        salted = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        joined = own.join(salted, (F.col("_own") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
     parts = split_lines(F.col(text))
     kept = F.filter(parts, lambda line: F.coalesce(~F.array_contains("_keys", line_key(line)), F.lit(True)))
     lean = F.when(F.col("_keys").isNull(), parts).otherwise(kept)
@@ -71,15 +75,16 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: Column | None =
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, texts without their source's boilerplate lines; n_chars follows where it is a column.
 
-    Hosts of any size are judged by the ratio; a line must be on ``LEAST_WITH`` pages of its host.
+    Nulls, empty texts and repeated rows are as in ``drop_boilerplate``; every row stays.
     """
-    out = drop_boilerplate(docs, least_pages=1, least_with=LEAST_WITH)
+    out = drop_boilerplate(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, source, n_lines, n_dropped and text of every row, as ``drop_boilerplate`` leaves them; null ids stay null."""
     return drop_boilerplate(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), "text")
 
 
@@ -92,7 +97,7 @@ with lines as (
   select l.host, l.line, count(*) as with_line, any_value(t.pages) as pages
   from (select distinct doc_id, host, line from lines where line <> '') l join totals t on t.host = l.host group by 1, 2
 ), boiler as (
-  select host, list(line) as boiler from counted where pages >= {LEAST_PAGES} and with_line > {RATIO} * pages group by host
+  select host, list(line) as boiler from counted where with_line >= {LEAST_WITH} and with_line > {RATIO} * pages group by host
 ), split as (
   select doc_id, source, text, string_split(text, chr(10)) as ls, coalesce(b.boiler, []) as boiler
   from documents d left join boiler b on b.host = coalesce(d.source, '')
