@@ -15,9 +15,11 @@ from pyspark.sql.window import Window
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset and all is on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
 
 
@@ -110,6 +112,20 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread_join(df: DataFrame, side: DataFrame, key: str, weight: str, hot: int = 1000) -> DataFrame:
+    """``df`` joined with ``side``, which has one row for each value of ``key`` and in ``weight`` how many rows of ``df`` have it.
+
+    Values that one in ``hot`` of all rows have, of which there are as many at most, are broadcast, so that no task gets
+    all rows of a frequent value; the others are joined by shuffling.
+    """
+    side = cut(side)
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    frequent = F.broadcast(side.where(F.col(weight) * hot >= total).drop(weight))
+    rest = df.join(frequent.select(key), key, "left_anti").join(side.where(F.col(weight) * hot < total).drop(weight), key)
+    both = df.join(frequent, key)
+    return both.unionByName(rest)
+
+
 def tidy() -> None:
     """Give memory that a worker no longer needs back to the system, at the end of a task: idle workers keep it otherwise."""
     gc.collect()

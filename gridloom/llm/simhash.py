@@ -7,8 +7,9 @@ positional bytes: exactly the pairs with a tally of four or more shared position
 tally is then counted on the pair, and pairs that reach it are verified by their differing bits.
 
 Lists are worked on by sorted runs and give links of a spanning forest, not pairs. A list of over ``dense`` fingerprints
-is never held: it goes, exactly, by midpoints. Two fingerprints are at most four bits apart if and only if some point is
-at most two bits from both, and all that are that near to one point are linked, so each links to the point's smallest.
+is not held: it goes through the same index once more with finer parts. Its members share four bytes, and of the eight
+half bytes of the others two that are near enough share four or more at their positions, so it is posted under the 70 sets
+of four of those. Members of such a list share 48 bits, so there are 65,536 of them at most.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, tidy, whole
+from .common import components, cut, spread_join, tidy, whole
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
 LEAST_BYTES = 8 - MOST_BITS
 SETS = list(itertools.combinations(range(8), LEAST_BYTES))
-#: From about this length on, the 529 points within two bits in the free half are fewer than a list's pairs.
+#: Fingerprints of a list that are compared at once; longer lists go through the finer index. It changes no result.
 DENSE = 1024
 
 
@@ -94,6 +95,19 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint of a long list under each set of four half bytes of those that the list does not share; lists stay apart."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 20_000):
+            keys, fps = (batch.column(i).slice(at, 20_000).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            each = fps.view(np.uint8).reshape(-1, 8)
+            rest = np.array([[p for p in range(8) if p not in s] for s in SETS])[keys >> 32]
+            free = np.take_along_axis(each, rest, axis=1).astype(np.int64)
+            halves = np.concatenate((free & 15, free >> 4), axis=1)
+            posts = np.stack([(keys << 23) | (n << 16) | sum((halves[:, p] << (4 * i) for i, p in enumerate(chosen)), np.int64(0)) for n, chosen in enumerate(SETS)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(posts.ravel()), pa.array(np.repeat(fps, len(SETS)))], names=["key", "fp"])
+
+
 def _lists(dense: int):
     """Sorted posts to rows (key, a, b): links, or for a list of over ``dense`` the fingerprint a and no b."""
 
@@ -130,28 +144,18 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "a", "b"])
 
 
-def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every fingerprint of a long list to the points within two bits of it that share the list's bytes."""
-    for batch in batches:
-        for key, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            free = [8 * p + b for p in range(8) if p not in SETS[key >> 32] for b in range(8)]
-            bits = np.uint64(1) << np.array(free, np.uint64)
-            two = [bits[i] | bits[j] for i in range(len(free)) for j in range(i)]
-            points = np.concatenate((np.zeros(1, np.uint64), bits, np.array(two, np.uint64))) ^ np.array([fp], np.int64).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(np.full(len(points), fp))], names=["point", "fp"])
-
-
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): links that connect exactly what pairs of fingerprints with at most four differing bits connect."""
-    posts = distinct.select("fp").mapInArrow(_posts, "key long, fp long")
-    found = cut(posts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_lists(dense), "key long, a long, b long"))
+
+    def worked(posts: DataFrame, held: int) -> DataFrame:
+        return cut(posts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_lists(held), "key long, a long, b long"))
+
+    found = worked(distinct.select("fp").mapInArrow(_posts, "key long, fp long"), dense)
     near = found.where("b is not null").select("a", "b")
     long = found.where("b is null").select("key", F.col("a").alias("fp"))
     if long.isEmpty():
         return near
-    points = cut(long.mapInArrow(_midpoints, "point long, fp long").distinct())
-    low = points.groupBy("point").agg(F.min("fp").alias("low"))
-    return near.unionAll(points.join(low, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
+    return near.unionAll(worked(long.mapInArrow(_finer, "key long, fp long"), 1 << 16).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dense: int = DENSE) -> DataFrame:
@@ -163,12 +167,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     class of null ids only. Repeated rows stay; other columns are left alone; empty tables give no rows.
     """
     fps = cut(fingerprints(docs, text, doc_id))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(classes, dense)).select(F.col("node").alias("fp"), "root")
-    labelled = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = cut(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = spread_join(labelled, lowest, "root", "members").select("fp", "component_id", "copies")
+    return spread_join(fps, named, "fp", "copies").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
