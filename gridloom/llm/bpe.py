@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The vocabulary is a file of ranks (base64 of the bytes, rank). A byte-level BPE maps each byte to a printable character,
-so a text is a string of such characters and a token is one too; the byte table is applied to pieces, its reverse to
-tokens. Each match of the split pattern is encoded on its own. All ways to split a token into two tokens are merges, in
+so a piece is a string of such characters and a token is one too; the byte table is applied to pieces before the library
+merges them, and decoding joins tokens and applies the reverse of the table. Each match of the split pattern is encoded on its own. All ways to split a token into two tokens are merges, in
 the order of ranks, and a piece that is itself a token is taken whole: this gives the ids that merging by rank gives.
 """
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import once, tidy, whole
 
 #: Distinct pieces that a worker remembers; beyond it the memory is emptied. It changes nothing but speed.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Texts at a time, in characters: bounds what a worker holds at once (one text is never cut).
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -55,60 +55,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def build(ranks: dict[bytes, int]) -> str:
     """The tokenizer for single pieces, as JSON."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models
 
     table = byte_table()
     shown = {token: "".join(table[b] for b in token) for token in ranks}
     merges = [(shown[token[:i]], shown[token[i:]]) for token in sorted(ranks, key=ranks.__getitem__) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-    made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return made.to_str()
+    return Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)).to_str()
 
 
 class Codec:
-    """Encodes and decodes texts in a worker; built once there from what the driver broadcasts."""
+    """Encodes and decodes texts in a worker; built once there from what the driver broadcasts.
+
+    ``tokens`` are the tokens' bytes by id, None for ids that are not used. Those, and ids beyond them, decode to the
+    replacement character.
+    """
 
     def __init__(self, tokenizer: str, tokens: list[bytes | None], pattern: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokens = tokens
+        self.model = Tokenizer.from_str(tokenizer).model
         # White space as Unicode defines it, as the library of the ranks reads \s.
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        self.table = byte_table()
+        self.reverse = np.zeros(512, np.uint8)
+        self.reverse[[ord(c) for c in self.table]] = np.arange(256)
+        self.shown = [self.as_characters("\ufffd".encode() if t is None else t) for t in [*tokens, None]]
         self.known: dict[str, bytes] = {}
 
+    def as_characters(self, data: bytes) -> str:
+        return "".join(map(self.table.__getitem__, data))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Pieces are remembered as packed ids, which takes a sixth of the room of lists."""
-        known, out = self.known, []
+        known, merge = self.known, self.model.tokenize
         split = [self.pieces(t) for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update(zip(part, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        for pieces in split:
-            out.append(np.frombuffer(b"".join([known[p] for p in pieces]), np.int32))
+        for p in {p for pieces in split for p in pieces if p not in known}:
+            known[p] = array("i", [t.id for t in merge(self.as_characters(p.encode()))]).tobytes()
+        out = [np.frombuffer(b"".join([known[p] for p in pieces]), np.int32) for pieces in split]
         if len(known) > REMEMBERED:
             known.clear()
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens: joined before any character is read, so a character split between tokens is whole."""
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+        last, shown = len(self.shown) - 1, self.shown
+        text = "".join([shown[i] for i in np.where((ids < 0) | (ids > last), last, ids).tolist()])
+        return self.reverse[np.frombuffer(text.encode("utf-16-le"), np.uint16)].tobytes()
 
     def offsets(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Start and end of each token in characters; a token that ends inside a character covers all of it."""
-        out, at, chars = [], 0, [0]
-        data = self.decode(ids)
-        for byte in data:
-            chars.append(chars[-1] + (byte & 0xC0 != 0x80))
-        for i in ids.tolist():
-            end = at + len(self.tokens[i])
-            starts = chars[at] if at < len(data) and data[at] & 0xC0 != 0x80 else chars[at] - 1
-            out.append((max(starts, 0), chars[end]))
-            at = end
-        return out
+        data = np.frombuffer(self.decode(ids), np.uint8)
+        begins = (data & 0xC0) != 0x80
+        chars = np.concatenate(([0], np.cumsum(begins)))
+        ends = np.cumsum([len(self.shown[i]) for i in ids.tolist()], dtype=np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        inside = ~begins[np.minimum(starts, max(0, len(data) - 1))] if len(data) else np.zeros(0, bool)
+        return list(zip(np.maximum(chars[starts] - inside, 0).tolist(), chars[ends].tolist())) if len(ids) else []
 
 
 def _shared(spark: SparkSession, vocabulary: str | None, pattern: str | None):
@@ -171,18 +174,24 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, p
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """``encoded`` with the decoded text; bytes that are not UTF-8 become replacement characters. Null ids give null."""
+    """``encoded`` with the decoded text.
+
+    Bytes that are not UTF-8, ids without a token and nulls among the ids become replacement characters. Null ids give
+    null. Columns named ``out`` are replaced; other columns, rows and repeated rows stay as they are.
+    """
     from pyspark.sql.types import StringType, StructField, StructType
 
     shared = _shared(encoded.sparkSession, vocabulary, None)
     kept = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != out], F.col(ids).cast("array<int>").alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value[1]
+        codec = once(shared, lambda made: Codec(*made))
         for batch in batches:
             last = batch.num_columns - 1
-            texts = [None if i.as_py() is None else b"".join([tokens[k] for k in i.as_py()]).decode("utf-8", "replace") for i in batch.column(last)]
+            each = (i.values for i in batch.column(last))
+            texts = [None if i is None else codec.decode(pc.fill_null(i, -1).to_numpy(zero_copy_only=False)).decode("utf-8", "replace") for i in each]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(texts, pa.string())], names=[*batch.schema.names[:last], out])
+        tidy()
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField(out, StringType())]))
 
