@@ -4,40 +4,46 @@ Each language has a probability for every piece of the vocabulary. The likelihoo
 cut it into pieces of the product of their probabilities (a forward pass over its characters), that of a text the product
 over its words. Probabilities come from EM on the training texts: a forward-backward pass gives the expected number of
 times that each piece is used, again over all segmentations. A character outside the vocabulary is a piece of its own
-with the same small probability in every language. Words are runs of letters, lower-cased; each batch scores a word once.
+with the same small probability in every language. Words are runs of letters, lower-cased, of any length; a worker scores
+a word once. Languages are independent of one another, so any number of them goes in passes over some of them each.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Index, code_points, once, tidy, whole
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A run of letters, with the marks that combine with them and the joiners between them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 START = "▁"
-#: Letters that one forward pass takes; a longer run of letters is scored in parts, which keeps products above zero.
-LONGEST = 30
 UNKNOWN = 1e-7
+#: Up to so many letters the products of a word's probabilities are plain numbers (UNKNOWN to this power is above zero), beyond it logarithms.
+PLAIN = 32
 #: The background's urn: the weight of letters not seen yet, how many a script has, and the same for ideographs and syllables.
 URN = 32.0
 ALPHABET = 128
 IDEOGRAPHS = 0x2E80
 IDEOGRAPH_LETTERS = 30_000
 ROUNDS = 1
-#: Characters of text that a worker looks at together.
-CHUNK_CHARS = 4_000_000
-#: Distinct words whose segmentations are held at once: some 100 MB.
-BLOCK_WORDS = 100_000
-#: Languages at most: bounds the model, which is broadcast (pieces x languages), and what EM sends to the driver.
-MOST_LANGUAGES = 500
+#: Bytes of text that a worker looks at together, letters of distinct words whose segmentations it holds at once, and
+#: languages whose sums it holds at once. They bound its memory (some 60 MB) and change no result.
+CHUNK_CHARS = 1_000_000
+BLOCK_CHARS = 150_000
+LANGUAGES = 16
+#: Numbers that a worker remembers of words that it has scored; beyond it the memory is emptied.
+REMEMBERED = 400_000
+#: Languages whose probabilities are broadcast together; more go in as many passes as they need.
+BROADCAST_LANGUAGES = 256
 
 
 def default_vocabulary() -> str:
@@ -62,11 +68,10 @@ def words_of(text: str | None) -> list[str]:
 class Lattice:
     """Where pieces lie in a list of words: for each length of a piece, its number at each position (-1: none)."""
 
-    order: np.ndarray  # of the parts, by their length
-    lengths: np.ndarray  # of the parts in that order
+    order: np.ndarray  # of the words, by their length
+    lengths: np.ndarray  # of the words in that order, with the mark of their start
     starts: np.ndarray
     pieces: list[np.ndarray]
-    word: np.ndarray  # to which a part belongs, in that order
 
 
 class Pieces:
@@ -79,7 +84,7 @@ class Pieces:
                 nodes.setdefault(p[:k], len(nodes))
         self.longest = max(map(len, pieces), default=0)
         self.index = Index(np.array([self._hash(p) for p in nodes], np.uint64))
-        self.piece = np.full(len(nodes), -1, np.int64)
+        self.piece = np.full(len(nodes), -1, np.int32)
         for i, p in enumerate(pieces):
             self.piece[nodes[p]] = i
 
@@ -91,16 +96,10 @@ class Pieces:
         return h ^ (h >> 29)
 
     def lattice(self, words: list[str]) -> Lattice:
-        parts, word = [], []
-        for w, text in enumerate(words):
-            text = START + text
-            for at in range(0, len(text), LONGEST):
-                parts.append(text[at : at + LONGEST])
-                word.append(w)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(lengths, kind="stable")
-        lengths, word = lengths[order], np.array(word, np.int64)[order]
-        points = code_points("".join([parts[i] for i in order.tolist()]))
+        lengths = lengths[order]
+        points = code_points("".join([START + words[i] for i in order.tolist()]))
         starts = np.cumsum(lengths) - lengths
         ends = np.repeat(starts + lengths, lengths)
         alive, h, found = np.arange(len(points)), np.full(len(points), np.uint64(7)), []
@@ -114,77 +113,114 @@ class Pieces:
             found.append(at)
             more = alive + size < ends[alive]
             alive, h = alive[more], h[more]
-        return Lattice(order, lengths, starts, found, word)
+        return Lattice(order, lengths, starts, found)
 
 
-def _groups(lattice: Lattice, most: int = 20_000) -> Iterator[tuple[int, slice]]:
-    """Parts of one length, so many at a time."""
-    edges = [0, *(np.flatnonzero(np.diff(lattice.lengths)) + 1).tolist(), len(lattice.lengths)]
-    for a, b in zip(edges, edges[1:]):
-        for at in range(a, b, most):
-            yield int(lattice.lengths[a]), slice(at, min(b, at + most))
+def _spans(lattice: Lattice) -> Iterator[tuple[slice, bool]]:
+    """The words of a lattice that are short, then the long ones, whose probabilities may be too small for plain products."""
+    middle = int(np.searchsorted(lattice.lengths, PLAIN, "right"))
+    for span, logs in ((slice(0, middle), False), (slice(middle, len(lattice.lengths)), True)):
+        if span.stop > span.start:
+            yield span, logs
 
 
-def _arcs(lattice: Lattice, table: np.ndarray, part: slice, n: int):
-    """(from, to, rows with such a piece, their pieces' numbers, probabilities); the table's last row is the unknown letter."""
-    starts = lattice.starts[part]
-    for k in range(1, n + 1):
+def _arcs(lattice: Lattice, span: slice, unknown: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes from, nodes to, pieces) along the words, all words at once; a word's nodes are its characters' starts, then its end.
+
+    Node n of word w is number ``starts[w] + w + n``, counted from the span's first word.
+    """
+    lengths = lattice.lengths[span]
+    first = lattice.starts[span] - lattice.starts[span.start] + np.arange(len(lengths))
+    for k in range(1, int(lengths[-1]) + 1):
+        on = int(np.searchsorted(lengths, k))  # words are sorted by length: those from here on reach so far
+        texts, nodes = lattice.starts[span][on:], first[on:] + k
         for size in range(1, min(k, len(lattice.pieces)) + 1):
-            ids = lattice.pieces[size - 1][starts + k - size]
+            ids = lattice.pieces[size - 1][texts + (k - size)]
             if size == 1:
-                yield k - 1, k, slice(None), np.where(ids < 0, len(table) - 1, ids)
+                yield nodes - 1, nodes, np.where(ids < 0, unknown, ids)
             elif len(rows := np.flatnonzero(ids >= 0)):
-                yield k - size, k, rows, ids[rows]
-
-
-def forward(lattice: Lattice, table: np.ndarray, words: int) -> np.ndarray:
-    """Log likelihood of each word in each language, over all segmentations."""
-    out = np.zeros((words, table.shape[1]))
-    for n, part in _groups(lattice):
-        alpha = np.zeros((n + 1, part.stop - part.start, table.shape[1]))
-        alpha[0] = 1
-        for a, b, rows, ids in _arcs(lattice, table, part, n):
-            alpha[b, rows] += alpha[a, rows] * table[ids]
-        np.add.at(out, lattice.word[part], np.log(alpha[n]))
+                yield nodes[rows] - size, nodes[rows], ids[rows]
+
+
+def _alpha(lattice: Lattice, span: slice, table: np.ndarray, logs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Summed probabilities (or their logarithms) of all ways to each node, and the words' last nodes."""
+    lengths = lattice.lengths[span]
+    first = lattice.starts[span] - lattice.starts[span.start] + np.arange(len(lengths))
+    alpha = np.full((int(lengths.sum()) + len(lengths), table.shape[1]), -np.inf if logs else 0.0)
+    alpha[first] = 0.0 if logs else 1.0
+    for a, b, ids in _arcs(lattice, span, len(table) - 1):
+        if logs:
+            alpha[b] = np.logaddexp(alpha[b], alpha[a] + table[ids])
+        else:
+            alpha[b] += alpha[a] * table[ids]
+    return alpha, first + lengths
+
+
+def _columns(table: np.ndarray) -> Iterator[slice]:
+    for at in range(0, table.shape[1], LANGUAGES):
+        yield slice(at, min(at + LANGUAGES, table.shape[1]))
+
+
+def forward(lattice: Lattice, table: np.ndarray) -> np.ndarray:
+    """Log likelihood of each word in each language, over all segmentations of the whole word."""
+    out = np.zeros((len(lattice.order), table.shape[1]))
+    for cols in _columns(table):
+        for span, logs in _spans(lattice):
+            alpha, last = _alpha(lattice, span, np.log(table[:, cols]) if logs else table[:, cols], logs)
+            out[lattice.order[span], cols] = alpha[last] if logs else np.log(alpha[last])
     return out
 
 
+def _blocks(words: list[str]) -> Iterator[slice]:
+    """Words together, by their letters; a word is never cut."""
+    start = size = 0
+    for i, w in enumerate(words):
+        if size and size + len(w) > BLOCK_CHARS:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(w) + 1
+    if start < len(words):
+        yield slice(start, len(words))
+
+
 def likelihoods(known: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
     """``forward`` by blocks of words."""
-    blocks = (words[at : at + BLOCK_WORDS] for at in range(0, len(words), BLOCK_WORDS))
-    return np.concatenate([forward(known.lattice(block), table, len(block)) for block in blocks])
+    return np.concatenate([forward(known.lattice(words[block]), table) for block in _blocks(words)])
 
 
 def expected(lattice: Lattice, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, when word w occurs counts[w, l] times in language l."""
     out = np.zeros(table.shape)
-    width = table.shape[1]
-    for n, part in _groups(lattice):
-        arcs = list(_arcs(lattice, table, part, n))
-        alpha = np.zeros((n + 1, part.stop - part.start, width))
-        alpha[0] = 1
-        for a, b, rows, ids in arcs:
-            alpha[b, rows] += alpha[a, rows] * table[ids]
-        beta = np.zeros_like(alpha)
-        beta[n] = counts[lattice.word[part]] / alpha[n]
-        for a, b, rows, ids in reversed(arcs):
-            passed = beta[b, rows] * table[ids]
-            beta[a, rows] += passed
-            used = alpha[a, rows] * passed
-            for lang in range(width):
-                out[:, lang] += np.bincount(ids, used[:, lang], len(table))
+    for cols in _columns(table):
+        for span, logs in _spans(lattice):
+            own = np.log(table[:, cols]) if logs else table[:, cols]
+            alpha, last = _alpha(lattice, span, own, logs)
+            times = counts[lattice.order[span], cols]
+            arcs = list(_arcs(lattice, span, len(table) - 1))
+            beta = np.full_like(alpha, -np.inf if logs else 0.0)
+            with np.errstate(divide="ignore"):
+                beta[last] = np.log(times) - alpha[last] if logs else times / alpha[last]
+            used = []
+            for a, b, ids in reversed(arcs):
+                passed = beta[b] + own[ids] if logs else beta[b] * own[ids]
+                beta[a] = np.logaddexp(beta[a], passed) if logs else beta[a] + passed
+                used.append(np.exp(alpha[a] + passed) if logs else alpha[a] * passed)
+            ids, used = np.concatenate([ids for _, _, ids in reversed(arcs)]), np.concatenate(used)
+            for lang in range(used.shape[1]):
+                out[:, cols.start + lang] += np.bincount(ids, used[:, lang], len(table))
     return out
 
 
-def _chunks(texts: list[str | None]) -> Iterator[range]:
+def _chunks(texts: pa.Array) -> Iterator[slice]:
+    """Texts of a column together, by their letters; a text is never cut."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size > CHUNK_CHARS:
-            yield range(start, i)
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > CHUNK_CHARS:
+            yield slice(start, i)
             start, size = i, 0
-        size += len(t or "")
+        size += n
     if start < len(texts):
-        yield range(start, len(texts))
+        yield slice(start, len(texts))
 
 
 def first_table(pieces: list[str], languages: int) -> np.ndarray:
@@ -200,51 +236,58 @@ def _with_unknown(p: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None, rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
     """(pieces, languages, table of probabilities) from the rows of ``docs`` that have a language.
 
-    Each round is one distributed pass; a task sends a number for each piece and language at most. Piece counts are
-    smoothed by a tenth of a use. Without any language the list of languages is empty.
+    Each round is one distributed pass for each ``BROADCAST_LANGUAGES`` languages; a task sends a number for each piece
+    and language at most. Piece counts are smoothed by a tenth of a use. Without any language the list of languages is
+    empty. Null texts teach nothing.
     """
     spark = docs.sparkSession
     pieces = read_pieces(vocabulary or default_vocabulary())
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), whole(text).alias("text")).where("lang is not null")
-    languages = sorted(r[0] for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # One row a language: the list of languages is what the model is about.
+    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     table = first_table(pieces, max(1, len(languages)))
-    number = {name: i for i, name in enumerate(languages)}
     for _ in range(rounds if languages else 0):
-        shared = spark.sparkContext.broadcast((pieces, table))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            _, table = shared.value
-            known, total = once(shared, lambda made: Pieces(made[0])), np.zeros(table.shape)
-            for batch in batches:
-                langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for part in _chunks(texts):
-                    seen: dict[str, Counter] = {}
-                    for i in part:
-                        seen.setdefault(langs[i], Counter()).update(words_of(texts[i]))
-                    words = {w: n for n, w in enumerate(dict.fromkeys(w for c in seen.values() for w in c))}
-                    counts = np.zeros((len(words), table.shape[1]))
-                    for name, counter in seen.items():
-                        at = np.fromiter((words[w] for w in counter), np.int64, len(counter))
-                        counts[at, number[name]] = np.fromiter(counter.values(), float, len(counter))
-                    names = list(words)
-                    for at in range(0, len(names), BLOCK_WORDS):
-                        total += expected(known.lattice(names[at : at + BLOCK_WORDS]), table, counts[at : at + BLOCK_WORDS])
-            tidy()
-            piece, which = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(which, pa.int32()), pa.array(total[piece, which])], names=["piece", "lang", "uses"])
-
         uses = np.zeros(table.shape)
-        # At most a row for each piece and language.
-        for r in labelled.mapInArrow(run, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toArrow().to_pylist():
-            uses[r["piece"], r["lang"]] = r["uses"]
+        for at in range(0, len(languages), BROADCAST_LANGUAGES):
+            names = languages[at : at + BROADCAST_LANGUAGES]
+            own = labelled if len(names) == len(languages) else labelled.where(F.col("lang").isin(names))
+            _count_uses(spark, own, pieces, names, table[:, at : at + len(names)], uses[:, at : at + len(names)])
         uses = uses[:-1] + 0.1
         table = _with_unknown(uses / uses.sum(axis=0))
-        shared.unpersist()
     return pieces, languages, table
 
 
+def _count_uses(spark, labelled: DataFrame, pieces: list[str], languages: list[str], table: np.ndarray, out: np.ndarray) -> None:
+    """Add the expected uses of each piece in each of the languages to ``out``."""
+    number = {name: i for i, name in enumerate(languages)}
+    shared = spark.sparkContext.broadcast((pieces, np.ascontiguousarray(table)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, table = shared.value
+        known, total = once(shared, lambda made: Pieces(made[0])), np.zeros(table.shape)
+        for batch in batches:
+            for part in _chunks(batch.column(1)):
+                langs, texts = (c.slice(part.start, part.stop - part.start).to_pylist() for c in batch.columns)
+                seen: dict[str, Counter] = {}
+                for name, t in zip(langs, texts):
+                    seen.setdefault(name, Counter()).update(words_of(t))
+                # A language's sums need its own words only.
+                for name, counter in seen.items():
+                    words, column = list(counter), slice(number[name], number[name] + 1)
+                    times = np.fromiter(counter.values(), float, len(counter))[:, None]
+                    for block in _blocks(words):
+                        total[:, column] += expected(known.lattice(words[block]), table[:, column], times[block])
+        tidy()
+        piece, which = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(which, pa.int32()), pa.array(total[piece, which])], names=["piece", "lang", "uses"])
+
+    # At most a row for each piece and language.
+    summed = labelled.mapInArrow(run, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toArrow()
+    piece, which, uses = (summed.column(i).to_numpy() for i in range(3))
+    out[piece, which] += uses
+    shared.destroy()
+
+
 def background(text: str) -> float:
     """Log likelihood of the words of a text in no language: letters (and starts of words) drawn one by one from an urn.
 
@@ -267,6 +310,33 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
 
 
+class Memory:
+    """Log likelihoods of the words that a worker has met, as rows of one table."""
+
+    def __init__(self, known: Pieces, table: np.ndarray):
+        self.known, self.table, self.rows = known, table, {}
+        self.scores = np.zeros((0, table.shape[1]))
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The rows of each text's words, after the new words were scored."""
+        rows = self.rows
+        if len(self.scores) * self.table.shape[1] > REMEMBERED:
+            rows.clear()
+            self.scores = self.scores[:0]
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in rows))
+        if new:
+            rows.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+            self.scores = np.concatenate((self.scores, likelihoods(self.known, self.table, new)))
+        return [np.fromiter(map(rows.__getitem__, words), np.int32, len(words)) for words in texts]
+
+    def total(self, numbers: np.ndarray) -> np.ndarray:
+        return sum((self.scores[numbers[at : at + 10_000]].sum(axis=0) for at in range(0, len(numbers), 10_000)), np.zeros(self.table.shape[1]))
+
+
+#: What a pass over some of the languages leaves for the next: the likeliest so far, its log likelihood, and the sum of all of them over it.
+SO_FAR = (("_lang", pa.string()), ("_best", pa.float64()), ("_all", pa.float64()))
+
+
 def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score", unknown: bool = False) -> DataFrame:
     """``docs`` with ``out``, the likeliest language, and ``score``, its posterior among the languages (0 to 1).
 
@@ -275,40 +345,51 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
     Texts that are null or without letters, and all texts if no language was learned, get ``und`` and 0. Equal
     likelihoods go to the first language by name. Columns of those names are replaced; everything else stays as it is.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    pieces, languages, table = model
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, score)]
+    found = docs.select(*kept, *[F.lit(None).cast(t).alias(n) for n, t in zip(("_lang", "_best", "_all"), ("string", "double", "double"))], F.col(text).cast("string").alias("_text"))
+    for at in range(0, len(languages), BROADCAST_LANGUAGES):
+        names = languages[at : at + BROADCAST_LANGUAGES]
+        found = _scored(found, pieces, names, np.ascontiguousarray(table[:, at : at + len(names)]), unknown and at == 0)
+    # ``_all`` holds the sum over the likeliest one's likelihood.
+    return found.select(*kept, F.coalesce("_lang", F.lit("und")).alias(out), F.coalesce(1.0 / F.col("_all"), F.lit(0.0)).alias(score))
+
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, score)], F.col(text).cast("string").alias("_text"))
+def _scored(found: DataFrame, pieces: list[str], languages: list[str], table: np.ndarray, unknown: bool) -> DataFrame:
+    """One pass over ``found``, whose last columns are SO_FAR and the text, by the given languages (and the background)."""
+    shared = found.sparkSession.sparkContext.broadcast((pieces, languages, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, languages, table = shared.value
-        known = once(shared, lambda made: Pieces(made[0]))
+        memory = Memory(once(shared, lambda made: Pieces(made[0])), table)
         for batch in batches:
             last = batch.num_columns - 1
-            texts = batch.column(last).to_pylist()
-            for part in _chunks(texts):
-                words: dict[str, int] = {}
-                each = [[words.setdefault(w, len(words)) for w in words_of(texts[i])] for i in part]
-                scores = likelihoods(known, table, list(words)) if words and languages else None
-                names, likely, names_of = [], [], list(words)
-                for ids in each:
-                    if not ids or scores is None:
-                        names.append("und")
-                        likely.append(0.0)
+            for part in _chunks(batch.column(last)):
+                columns = [c.slice(part.start, part.stop - part.start) for c in batch.columns]
+                texts = [words_of(t) for t in columns[last].to_pylist()]
+                before = zip(*(c.to_pylist() for c in columns[last - len(SO_FAR) : last]))
+                rows = []
+                for words, numbers, (lang, best, every) in zip(texts, memory.numbers(texts), before):
+                    if not words:
+                        rows.append((None, None, None))
                         continue
-                    total = scores[ids].sum(axis=0)
-                    best = int(total.argmax())
-                    names.append(languages[best])
-                    rivals = total - total[best]
+                    total = memory.total(numbers)
+                    top = int(total.argmax())
+                    rivals = total
                     if unknown:
-                        none = background(START + START.join(names_of[i] for i in ids))
-                        rivals = np.append(rivals, min(none - total[best], 700.0))
-                    likely.append(float(1 / np.exp(rivals).sum()))
-                kept = [c.slice(part.start, len(part)) for c in batch.columns[:last]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(likely, pa.float64())], names=[*batch.schema.names[:last], out, score])
+                        rivals = np.append(rivals, background(START + START.join(words)))
+                    if lang is None or total[top] > best:
+                        carried = 0.0 if lang is None else every * float(np.exp(best - total[top]))
+                        lang, best = languages[top], float(total[top])
+                    else:
+                        carried = every
+                    rows.append((lang, best, carried + float(np.exp(np.minimum(rivals - best, 700.0)).sum())))
+                made = [pa.array(v, t) for v, (_, t) in zip(zip(*rows), SO_FAR)]
+                yield pa.RecordBatch.from_arrays([*columns[: last - len(SO_FAR)], *made, columns[last]], names=batch.schema.names)
+        del memory
         tidy()
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField(out, StringType()), StructField(score, DoubleType())]))
+    return found.mapInArrow(run, found.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
