@@ -1,273 +1,433 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-N-grams are counted over all trusted documents, in Arrow batches, and summed by Spark. Everything that Kneser-Ney needs of
-them (continuation counts, counts of counts, discounts, sums and numbers of types by context) and the interpolation with
-the lower order are aggregates and joins of tables sharded by n-gram and context. Each document is scored with the
-resulting probabilities and back-off weights; its perplexity for a character is compared with a threshold of its
-language, a quantile of the perplexities of the language's trusted documents, however few. Those are held out: trusted
-documents are dealt by their text to folds, and each is scored by a model of the other folds, as a document would be that
-the model has not seen. Perplexities of the texts that a model was trained on are too low, most of all in small languages.
-
-The scored model is cut into shards of at most ``shard_rows`` rows by the last character of the context: all that one
-position looks up but the single characters, which every shard has, lies in one shard. A shard is broadcast, one at a time;
-with several, each gives partial sums of the documents' log probabilities, which are added up.
+Trusted documents are dealt by their text to folds, and for each fold there is a model of all other folds. Every document
+is scored by the model that has not seen its text, trusted or not, so that perplexities of trusted documents are like those
+of others, and a language's threshold, a quantile of its trusted documents' perplexities, means what it says.
+
+N-grams are counted in Arrow batches and summed by Spark. Everything that Kneser-Ney needs of them (continuation counts,
+counts of counts, discounts, sums by context) and the interpolation with the lower order are aggregates and joins of
+tables sharded by model and n-gram; the models never leave the cluster.
+
+Scoring is count joins too. Documents are taken in chunks; a chunk sends each of its different n-grams once, however
+often and in however many documents it occurs, to the shards of the models, which send the log probabilities back, and
+keeps how often each document has each. An n-gram that the model has not is looked up by its suffix and the back-off
+weight of its context, level by level, each different one once. The most frequent n-grams of the models (CACHED at most)
+are known to every worker, which saves most of the joins' rows and changes no result.
 """
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Index, code_points, cut, once, rolled, small, whole
+from .common import Index, code_points, cut, once, small, tidy, whole, written
 
 ORDER = 5
-#: Rows of the model that are broadcast together (about 50 bytes each in a worker).
-SHARD_ROWS = 2_000_000
-#: Share of trusted documents of a language whose perplexity is at or below the threshold, and room above it.
+#: Share of the trusted documents of a language whose perplexity is at or below the threshold.
 QUANTILE = 0.995
-ROOM = 1.05
-#: Parts of the trusted documents, by their text, each of which is held out from a model of the others.
-FOLDS = 5
+#: Parts of the trusted documents; a model is trained on all but one of them.
+FOLDS = 2
+#: N-grams that every worker knows: some 15 MB there.
+CACHED = 200_000
 #: Perplexities are put in bins of so many to a unit of their logarithm for the quantiles.
 BINS = 1000
 PAD = "\x02"
-CHUNK_CHARS = 2_000_000
+#: Code points of text that are counted or scored at once, and that are a chunk.
+BLOCK_CHARS = 500_000
+CHUNK_CHARS = 16_000_000
+#: Log probability of characters where a model has nothing at all.
+NOTHING = -20.0
+SLOTS = 0x110000
+
+
+def fold_of(text: Column, folds: int = FOLDS) -> Column:
+    """Copies of a text are in one fold: none is scored by a model that has seen it."""
+    return F.pmod(F.xxhash64(text), F.lit(folds)).cast("int")
+
+
+def windows(points: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of ``length`` points, the same for the same window and no other."""
+    found = np.zeros(SLOTS, np.int64)
+    alphabet = np.unique(points)
+    found[alphabet] = np.arange(len(alphabet))
+    codes, bits = found[points], max(1, int(len(alphabet) - 1).bit_length())
+    n = max(0, len(points) - length + 1)
+    key, used = np.zeros(n, np.int64), 0
+    for j in range(length):
+        if used + bits > 62:  # a large alphabet: number the windows so far densely
+            key = np.unique(key, return_inverse=True)[1]
+            used = max(1, int(key.max(initial=0)).bit_length())
+        key, used = (key << bits) | codes[j : j + n], used + bits
+    return key
+
+
+def grams_at(points: np.ndarray, at: np.ndarray, length: int) -> list[str]:
+    picked = np.lib.stride_tricks.sliding_window_view(points.astype(np.uint32), length)[at] if len(at) else np.zeros((0, length), np.uint32)
+    text = np.ascontiguousarray(picked).tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + length] for i in range(0, len(text), length)]
+
+
+def parts_of(text: str, order: int, chars: int) -> Iterator[str]:
+    """A text with marks of its start, in parts of so many characters that overlap by what a window needs."""
+    padded = PAD * (order - 1) + text
+    for at in range(0, len(text), chars):
+        yield padded[at : at + chars + order - 1]
+
+
+def _together(pieces: Iterator[tuple], chars: int) -> Iterator[list[tuple]]:
+    """Tuples that end in a text, as many at a time as have so many characters (64 each for what is not text)."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[-1]) + 64
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _joined(parts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of texts one after the other, the starts of their windows, and to which text each of those belongs."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    points = code_points("".join(parts))
+    which = np.repeat(np.arange(len(parts)), np.maximum(lengths - order + 1, 0))
+    ends = np.cumsum(np.maximum(lengths - order + 1, 0))
+    inside = np.arange(len(which)) - np.repeat(ends - np.maximum(lengths - order + 1, 0), np.maximum(lengths - order + 1, 0))
+    return points, (np.cumsum(lengths) - lengths)[which] + inside, which
+
+
+def ngram_counts(texts: DataFrame, order: int = ORDER, folds: int = FOLDS, block: int = BLOCK_CHARS) -> DataFrame:
+    """(gram, n): all n-grams of the column ``text``, with an array of their counts by ``fold``; each text has order - 1 marks of its start before it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((f.as_py(), p) for batch in batches for t, f in zip(batch.column(0), batch.column(1)) for p in parts_of(t.as_py(), order, block))
+        for held in _together(pieces, block):
+            points, at, which = _joined([p for _, p in held], order)
+            _, first, each = np.unique(windows(points, order)[at], return_index=True, return_inverse=True)
+            fold = np.array([f for f, _ in held], np.int64)[which]
+            counts = [np.bincount(each[fold == f], minlength=len(first)) for f in range(folds)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams_at(points, at[first], order), pa.string()), *(pa.array(n, pa.int64()) for n in counts)], names=["gram", *names])
+        tidy()
+
+    names = [f"n{f}" for f in range(folds)]
+    summed = texts.select("text", "fold").mapInArrow(run, ", ".join(["gram string", *(f"{n} long" for n in names)])).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
+    return summed.select("gram", F.array(*names).alias("n"))
+
+
+def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """For each model the three discounts of modified Kneser-Ney from its counts of counts 1 to 4; bounds keep them usable on tiny input."""
+    out = {}
+    # One row a model, of which there are as many as folds.
+    for row in counts.groupBy("model").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect():
+        n1, n2, n3, n4 = (row[f"n{i}"] for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        found = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        out[row["model"]] = tuple(float(min(max(d, 0.05), i + 0.95)) for i, d in enumerate(found))
+    return out
+
+
+class Models:
+    """Tables of all models by length of n-gram.
+
+    ``logp[k]`` has (model, gram, logp), ``backoff[k]`` (model, context, weight): the log weight that the order k gives to
+    what is below it after a context of k - 1 characters. ``unseen`` is the log probability of characters never seen.
+    """
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    def __init__(self, counts: DataFrame, order: int = ORDER, folds: int = FOLDS):
+        self.order, self.folds = order, folds
+        others = [F.struct(F.lit(m).alias("model"), sum((F.get("n", F.lit(f)) for f in range(folds) if f != m), F.lit(0)).alias("n")) for m in range(folds)]
+        self.top = cut(counts.select("gram", F.explode(F.array(*others)).alias("m")).where("m.n > 0").select("m.model", "gram", "m.n"))
+        levels = {order: self.top}
+        for k in range(order - 1, 0, -1):
+            # In how many contexts a shorter gram was seen.
+            levels[k] = cut(levels[k + 1].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+        self.logp, self.backoff, self.unseen, below = {}, {}, {}, None
+        for k in range(1, order + 1):
+            off = F.lit(0.5)
+            for model, (d1, d2, d3) in discounts(levels[k]).items():
+                off = F.when(F.col("model") == model, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(off)
+            level = levels[k].select("model", "gram", "n", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), off.alias("off"))
+            contexts = level.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("weight"), F.count("*").alias("types"))
+            own = (F.col("n") - F.col("off")) / F.col("total")
+            if k == 1:
+                # One share more for all characters that were never seen. A row for each model.
+                contexts = contexts.withColumn("share", F.col("weight") / (F.col("types") + 1))
+                self.unseen = {r["model"]: float(np.log(r["share"])) for r in contexts.select("model", "share").collect()}
+                p = level.join(F.broadcast(contexts.select("model", "total", "share")), "model").select("model", "gram", (own + F.col("share")).alias("p"))
+            else:
+                contexts = cut(contexts)
+                self.backoff[k] = contexts.select("model", "context", F.log("weight").alias("weight"))
+                under = below.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+                p = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(contexts, ["model", "context"]).join(under, ["model", "suffix"])
+                p = p.select("model", "gram", (own + F.col("weight") * F.col("q")).alias("p"))
+            below = cut(p)
+            self.logp[k] = below.select("model", "gram", F.log("p").alias("logp"))
+
+    def resolve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """(model, gram, logp) of different n-grams (model, gram) of length k, whether the models have them or not.
+
+        N-grams with the same suffix, and those with the same context, differ in one character, so that no key of these
+        joins has more rows than there are characters.
+        """
+        k = self.order if k is None else k
+        found = queries.join(self.logp[k], ["model", "gram"], "left")
+        if k == 1:
+            unseen = F.lit(NOTHING)
+            for model, share in self.unseen.items():
+                unseen = F.when(F.col("model") == model, share).otherwise(unseen)
+            return found.select("model", "gram", F.coalesce("logp", unseen).alias("logp"))
+        found = cut(found)
+        missing = found.where("logp is null").select("model", "gram", F.expr("substring(gram, 2)").alias("suffix"), F.expr(f"substring(gram, 1, {k - 1})").alias("context"))
+        below = self.resolve(missing.select("model", F.col("suffix").alias("gram")).distinct(), k - 1)
+        by_suffix = missing.join(below.select("model", F.col("gram").alias("suffix"), F.col("logp").alias("under")), ["model", "suffix"])
+        backed = by_suffix.join(self.backoff[k], ["model", "context"], "left").select("model", "gram", (F.col("under") + F.coalesce("weight", F.lit(0.0))).alias("logp"))
+        return found.where("logp is not null").select("model", "gram", "logp").unionAll(backed)
+
+    def cache(self, most: int) -> tuple[str, np.ndarray]:
+        """The most frequent n-grams that all models have, at most ``most`` of them, one after the other, and a row of the models' log probabilities for each."""
+        nothing = "", np.zeros((0, self.folds))
+        if most <= 0:
+            return nothing
+        rank = F.floor(F.log2("n") * 8)
+        both = self.top.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("models")).where(F.col("models") == self.folds)
+        # Some hundred ranks at most; those from the highest down that have room.
+        sizes = sorted(both.groupBy(rank.alias("rank")).agg(F.count("*").alias("size")).collect(), key=lambda r: -r["rank"])
+        least, taken = None, 0
+        for r in sizes:
+            taken += r["size"]
+            if taken > most:
+                break
+            least = r["rank"]
+        if least is None:
+            return nothing
+        by_model = [F.max(F.when(F.col("model") == m, F.col("logp"))).alias(f"m{m}") for m in range(self.folds)]
+        # ``most`` rows at most come to the driver.
+        rows = self.logp[self.order].join(both.where(rank >= int(least)).select("gram"), "gram").groupBy("gram").agg(*by_model).toArrow()
+        return "".join(rows.column(0).to_pylist()), np.column_stack([rows.column(m + 1).to_numpy() for m in range(self.folds)])
+
+
+class Known:
+    """The cached n-grams in a worker: exact keys of 12 bits a character, for the 4,095 characters that are commonest in them."""
+
+    BITS = 12
+
+    def __init__(self, grams: str, logp: np.ndarray, order: int):
+        self.order = order
+        common = [c for c, _ in sorted(Counter(grams).items(), key=lambda x: (-x[1], x[0]))[: (1 << self.BITS) - 1]]
+        self.codes = np.zeros(SLOTS, np.uint64)
+        for i, c in enumerate(common):
+            self.codes[ord(c)] = i + 1
+        points = code_points(grams)
+        whole_keys = (self.codes[points].reshape(-1, order) > 0).all(axis=1) & (order * self.BITS <= 64)
+        self.index = Index(self.keys(points)[::order][whole_keys])
+        self.logp = logp[whole_keys]
+
+    def keys(self, points: np.ndarray) -> np.ndarray:
+        codes = self.codes[points]
+        n = max(0, len(points) - self.order + 1)
+        key = np.zeros(n, np.uint64)
+        for j in range(self.order):
+            key = (key << np.uint64(self.BITS)) | codes[j : j + n]
+        return key
+
+    def find(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The row of ``logp`` of each window, -1 for those that are not cached (an uncached character has code 0, which no key has)."""
+        return self.index.find(self.keys(points)[at])
+
+
+class Chunk:
+    """A chunk as blocks of texts are added: its documents and their known sums, and how often each has which other n-gram."""
+
+    def __init__(self):
+        self.rows: dict[int, int] = {}  # numbers of the documents' rows, by place
+        self.own: list[list] = []
+        self.lp: list[float] = []
+        self.grams: dict[str, int] = {}
+        self.uses: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, known: Known, held: list[tuple], order: int) -> None:
+        """Pieces (number of the row, its other columns, model, text)."""
+        place = np.empty(len(held), np.int64)
+        for i, (n, own, _, text) in enumerate(held):
+            if n not in self.rows:
+                self.rows[n] = len(self.rows)
+                self.own.append(own)
+                self.lp.append(0.0)
+            place[i] = self.rows[n]
+            self.size += len(text) + 64
+        points, at, which = _joined([p[-1] for p in held], order)
+        if not len(at):
+            return
+        model = np.array([p[2] for p in held], np.int64)
+        rows = known.find(points, at)
+        there, others = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        for i, x in enumerate(np.bincount(which[there], known.logp[rows[there], model[which[there]]], len(held)).tolist()):
+            self.lp[place[i]] += x
+        # The different ones of each model, then how often each document has them.
+        each = np.unique(windows(points, order)[at[others]], return_inverse=True)[1] * (model.max() + 1) + model[which[others]]
+        _, first, each = np.unique(each, return_index=True, return_inverse=True)
+        names = [chr(m) + g for m, g in zip(model[which[others[first]]].tolist(), grams_at(points, at[others[first]], order))]
+        number = np.array([self.grams.setdefault(g, len(self.grams)) for g in names], np.int64)
+        pairs, times = np.unique(place[which[others]] * max(1, len(names)) + each, return_counts=True)
+        if len(pairs):
+            self.uses.append(np.stack((pairs // len(names), number[pairs % len(names)], times)))
+
+    def batch(self, number: int, row: pa.DataType) -> pa.RecordBatch:
+        columns = [list(self.rows), *zip(*self.own), self.lp]
+        made = pa.StructArray.from_arrays([pa.array(v, row.field(i).type) for i, v in enumerate(columns)], fields=[row.field(i) for i in range(row.num_fields)])
+        uses = b""
+        if self.uses:
+            doc, gram, times = np.concatenate(self.uses, axis=1)
+            pairs = doc * len(self.grams) + gram
+            order = np.argsort(pairs)
+            uses = pack(pairs[order], times[order])
+        listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed(made), listed(pa.array(list(self.grams), pa.string())), pa.array([uses], pa.binary())], names=["chunk", "rows", "grams", "uses"])
+
+
+def chunks(docs: DataFrame, cached: tuple[str, np.ndarray], order: int, chars: int = CHUNK_CHARS) -> DataFrame:
+    """Documents (with columns ``model`` and ``_text`` at the end) as chunks.
+
+    A chunk is a row: its number, its documents (``rows``: a number for each row of ``docs``, its other columns, and the sum
+    of the log probabilities that were known), its different other n-grams ``grams`` (the model's number as a character
+    before each), and ``uses``: which document has which of them how often, packed. A long text may be in several chunks.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+    shared = docs.sparkSession.sparkContext.broadcast((*cached, order))
+    kept = docs.drop("model", "_text").schema.fields
+    row = StructType([StructField("row", LongType()), *kept, StructField("lp", DoubleType())])
+    schema = StructType([StructField("chunk", LongType()), StructField("rows", ArrayType(row)), StructField("grams", ArrayType(StringType())), StructField("uses", BinaryType())])
+    arrow = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in row.fields])
+    block = min(chars, BLOCK_CHARS)
 
-def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(fold, gram, n): all n-grams of the column ``text`` by ``fold``, each text with order - 1 marks of its start before it."""
-    head = PAD * (order - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = once(shared, lambda made: Known(*made))
+        base = TaskContext.get().partitionId() << 36
+
+        def pieces():
+            n = base
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    *own, model, text = (c[i].as_py() for c in batch.columns)
+                    for part in parts_of(text, order, block) if text else ("",):
+                        yield n, own, model, part
+                    n += 1
+
+        number, chunk = base, Chunk()
+        for held in _together(pieces(), block):
+            chunk.add(known, held, order)
+            if chunk.size >= chars:
+                yield chunk.batch(number, arrow)
+                number, chunk = number + 1, Chunk()
+        if chunk.rows:
+            yield chunk.batch(number, arrow)
+        del chunk
+        tidy()
+
+    return docs.mapInArrow(run, schema)
+
+
+def pack(pairs: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending numbers and their counts: differences and counts as 32-bit numbers, compressed."""
+    gaps = np.diff(pairs, prepend=0)
+    wide = np.concatenate(([len(pairs)], gaps, times)).astype("<i8")
+    return len(wide).to_bytes(8, "little") + pa.compress(wide.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = int.from_bytes(data[:8], "little")
+    flat = np.frombuffer(pa.decompress(data[8:], decompressed_size=size * 8, codec="zstd", asbytes=True), np.uint8)
+    wide = np.ascontiguousarray(flat.reshape(8, -1).T).view("<i8").reshape(-1)
+    return np.cumsum(wide[1 : 1 + wide[0]]), wide[1 + wide[0] :]
+
+
+def score(docs: DataFrame, models: Models, cached: int = CACHED, chars: int = CHUNK_CHARS) -> DataFrame:
+    """``docs`` (with columns ``model`` and ``_text`` at the end, not given back) with ``lp``, the sum of log probabilities."""
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    kept = docs.drop("model", "_text")
+    made = written(chunks(docs, models.cache(cached), models.order, chars), "quality")
+    asked = made.select("chunk", F.posexplode("grams").alias("at", "g"))
+    asked = asked.select("chunk", "at", F.ascii("g").alias("model"), F.expr("substring(g, 2)").alias("gram"))
+    answers = models.resolve(cut(asked.select("model", "gram").distinct()))
+    # A chunk has no more of them than characters.
+    answered = asked.join(answers, ["model", "gram"]).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "logp"))).alias("answers"))
+    answered = answered.select("chunk", F.transform("answers", lambda x: x["logp"]).alias("answers"))
+    schema = StructType([StructField("row", LongType()), *kept.schema.fields, StructField("lp", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_fold: dict[int, list[str]] = {}
-            for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_fold.setdefault(fold, []).append(t)
-            for fold, part in ((f, part) for f, own in by_fold.items() for part in _chunks(own)):
-                points = code_points("".join(head + t for t in part if t))
-                if not len(points):
-                    continue
-                hashes = rolled(points, order)
-                # Windows that run into the next text's marks end in a mark: no n-gram does.
-                good = points[order - 1 :] != ord(PAD)
-                at = np.flatnonzero(good)
-                _, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
-                windows = np.lib.stride_tricks.sliding_window_view(points.astype(np.uint32), order)[at[first]]
-                grams = np.ascontiguousarray(windows).tobytes().decode("utf-32-le", "surrogatepass")
-                names = [grams[i : i + order] for i in range(0, len(grams), order)]
-                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["fold", "gram", "n"])
-
-    return texts.select("text", "fold").mapInArrow(run, "fold int, gram string, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts 1 to 4; bounds keep them usable on tiny input."""
-    row = counts.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (row[f"n{i}"] for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    out = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return tuple(float(min(max(d, 0.05), i + 0.95)) for i, d in enumerate(out))
-
-
-def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model of ``counts`` (gram, n; a gram may have several rows): rows (gram, logp, backoff).
-
-    ``backoff`` is the log weight of what follows ``gram`` as a context.
-    Grams have 1 to ``order`` characters. A gram that is only a context, or only predicted, has a null in the other column.
-    """
-    top = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = {order: top}
-    for k in range(order - 1, 0, -1):
-        # In how many contexts a shorter gram was seen.
-        levels[k] = cut(levels[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
-    lower = None
-    out = None
-    for k in range(1, order + 1):
-        d1, d2, d3 = discounts(levels[k])
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        level = levels[k].select("gram", "n", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), off.alias("off"))
-        contexts = level.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("weight"))
-        level = level.join(contexts, "context")
-        own = (F.col("n") - F.col("off")) / F.col("total")
-        if k == 1:
-            types = max(1, levels[1].count())
-            # One share more for all characters that were never seen.
-            p = level.select("gram", (own + F.col("weight") / (types + 1)).alias("p"))
-            unseen = contexts.select(F.lit("").alias("gram"), (F.col("weight") / (types + 1)).alias("p"))
-            p = p.unionAll(unseen)
-        else:
-            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            p = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, "suffix").select("gram", (own + F.col("weight") * F.col("q")).alias("p"))
-        lower = cut(p)
-        part = lower.select("gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
-        if k > 1:
-            part = part.unionAll(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("weight").alias("backoff")))
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-
-
-class Scorer:
-    """Log probabilities of all positions of a text, by one shard of the model."""
-
-    def __init__(self, grams: list[str], logp: np.ndarray, backoff: np.ndarray, order: int, shard: int, shards: int):
-        self.order, self.shard, self.shards = order, shard, shards
-        by_size: dict[int, list[int]] = {}
-        for i, g in enumerate(grams):
-            by_size.setdefault(len(g), []).append(i)
-        self.unseen = float(logp[by_size[0][0]]) if 0 in by_size else -20.0
-        self.tables = {}
-        for size, rows in by_size.items():
-            if size:
-                points = code_points("".join(grams[i] for i in rows)).reshape(-1, size)
-                keys = np.full(len(rows), np.uint64(size))
-                for j in range(size):
-                    keys = keys * np.uint64(0x100000001B3) + points[:, j]
-                self.tables[size] = Index(keys ^ (keys >> np.uint64(29))), logp[rows], backoff[rows]
-
-    def _get(self, size: int, hashes: np.ndarray, which: int) -> np.ndarray:
-        if size not in self.tables:
-            return np.full(len(hashes), np.nan)
-        table = self.tables[size]
-        at = table[0].find(hashes)
-        return np.where(at >= 0, table[which][at], np.nan)
-
-    def positions(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability, whether it is this shard's) of each character, given the order - 1 before it."""
-        n = self.order
-        points = code_points(PAD * (n - 1) + text)
-        mine = points[n - 2 : -1] % np.uint64(self.shards) == self.shard if n > 1 else np.ones(len(text), bool)
-        out = np.zeros(len(points) - n + 1)
-        open_ = np.flatnonzero(mine)
-        for size in range(n, 0, -1):
-            if not len(open_):
-                break
-            at = open_ + n - size
-            got = self._get(size, rolled(points, size)[at], 1)
-            if size == 1:
-                got = np.where(np.isnan(got), self.unseen, got)
-            there = ~np.isnan(got)
-            out[open_[there]] += got[there]
-            open_ = open_[~there]
-            if size > 1 and len(open_):
-                weight = self._get(size - 1, rolled(points, size - 1)[open_ + n - size], 2)
-                out[open_] += np.where(np.isnan(weight), 0.0, weight)
-        return out, mine
-
-
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` (with a column ``_text`` at the end, not given back) with ``lp``, the sum of log probabilities."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    spark = docs.sparkSession
-    model = cut(model)
-    shards = -(-model.count() // shard_rows) or 1
-    last_of_context = F.when(F.length("gram") < 2, F.lit(-1)).otherwise(F.ascii(F.expr("substring(gram, -2, 1)")) % shards)
-    context_key = F.when(F.length("gram") < 1, F.lit(-1)).otherwise(F.ascii(F.expr("substring(gram, -1, 1)")) % shards)
-    kept = docs.drop("_text")
-    schema = StructType([*kept.schema.fields, StructField("lp", DoubleType())])
-
-    def one(shard: int) -> DataFrame:
-        # Probabilities by the character before the last, back-off weights by the last; single characters are everywhere.
-        p = model.where("logp is not null").where((last_of_context == -1) | (last_of_context == shard)).select("gram", "logp", F.lit(None).cast("double").alias("backoff"))
-        b = model.where("backoff is not null").where((context_key == -1) | (context_key == shard)).select("gram", F.lit(None).cast("double").alias("logp"), "backoff")
-        rows = p.unionAll(b).groupBy("gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")).toArrow()
-        numbers = [rows.column(i).to_numpy().astype(np.float64) for i in (1, 2)]
-        shared = spark.sparkContext.broadcast((rows.column(0).to_pylist(), *numbers, order, shard, shards))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = once(shared, lambda made: Scorer(*made))
-            for batch in batches:
-                last = batch.num_columns - 1
-                sums = []
-                for t in batch.column(last):
-                    text, total = t.as_py(), 0.0
-                    for at in range(0, len(text), CHUNK_CHARS):  # a very long text goes in overlapping parts
-                        before = max(0, at - order + 1)
-                        lp, _ = scorer.positions(text[before : at + CHUNK_CHARS])
-                        total += float(lp[at - before :].sum())
-                    sums.append(total)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(sums, pa.float64())], names=schema.names)
-
-        return docs.mapInArrow(run, schema)
-
-    if shards == 1:
-        return one(0)
-    parts = functools.reduce(DataFrame.unionAll, [one(i) for i in range(shards)])
-    # Rows that are alike in all columns have had as many sums as there are shards for each of them.
-    each = parts.groupBy(*kept.columns).agg(F.sum("lp").alias("lp"), F.count("*").alias("_n"))
-    each = each.withColumn("lp", F.col("lp") * shards / F.col("_n")).withColumn("_n", F.explode(F.expr(f"sequence(1, cast(_n div {shards} as int))")))
-    return each.drop("_n")
-
-
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM) -> DataFrame:
+            for i in range(batch.num_rows):
+                rows, uses, logp = (batch.column(c)[i] for c in range(3))
+                table = pa.RecordBatch.from_struct_array(rows.values)
+                lp = table.column(table.num_columns - 1).to_numpy(zero_copy_only=False)
+                pairs, times = unpack(uses.as_py())
+                if len(pairs):
+                    logp = logp.values.to_numpy(zero_copy_only=False)
+                    lp = lp + np.bincount(pairs // len(logp), times * logp[pairs % len(logp)], len(lp))
+                yield pa.RecordBatch.from_arrays([*table.columns[:-1], pa.array(lp, pa.float64())], names=schema.names)
+
+    parts = made.select("chunk", "rows", "uses").join(answered, "chunk", "left").select("rows", "uses", "answers").mapInArrow(run, schema)
+    # A document's parts have its number; most documents are one part.
+    one = parts.groupBy("row").agg(*[F.first(f"`{c}`").alias(c) for c in kept.columns], F.sum("lp").alias("lp"))
+    return one.drop("row")
+
+
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(lang, threshold) from the rows of ``scored``, for every language that has any; lang null has the one over all.
 
-    Quantiles come from counts by bins of the logarithm: exact to a thousandth, the same in whatever order rows come.
+    The threshold is the perplexity of rank ceil((n + 1) * quantile) of n, or the highest. Quantiles come from counts by
+    bins of the logarithm: exact to a thousandth, the same in whatever order rows come.
     """
     bins = scored.where("perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     bins = bins.where("lang is not null").unionAll(bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))
-    from pyspark.sql.window import Window
-
     # A language has some thousand bins at most.
     whole_lang = Window.partitionBy("lang")
     upto = whole_lang.orderBy("bin")
     bins = bins.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole_lang).alias("all"))
-    found = bins.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang", "all").agg(F.min("bin").alias("bin"))
-    return found.select("lang", (F.exp((F.col("bin") + 1) / BINS) * room).alias("threshold"))
-
-
-def held_out(trusted: DataFrame, counts: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame | None:
-    """(lang, perplexity) of each row of ``trusted`` (lang, size, fold, _text) by a model of the other folds' ``counts``.
-
-    None if no fold has others: a single text cannot be held out from anything.
-    """
-    folds = sorted(r[0] for r in counts.select("fold").distinct().collect())  # FOLDS at most
-    if len(folds) < 2:
-        return None
-    perplexity = F.exp(-F.col("lp") / F.col("size")).alias("perplexity")
-    parts = [cut(score(trusted.where(F.col("fold") == f).select("lang", "size", "_text"), train(counts.where(F.col("fold") != f), order), order, shard_rows).select("lang", perplexity)) for f in folds]
-    return functools.reduce(DataFrame.unionAll, parts)
+    rank = F.least(F.col("all"), F.ceil((F.col("all") + 1) * quantile))
+    return bins.where(F.col("upto") >= rank).groupBy("lang").agg(F.min("bin").alias("bin")).select("lang", F.exp((F.col("bin") + 1) / BINS).alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER, folds: int = FOLDS, cached: int = CACHED, chars: int = CHUNK_CHARS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, trusted, perplexity, threshold, kept.
 
     ``trusted`` has the doc_id of the documents to train on; ids that are null or not in ``docs`` are ignored. Null and
     empty texts have no perplexity and are not kept. A language without trusted documents, and a null one, have the
-    threshold over all. Without two trusted texts in different folds the threshold is null and every text is kept.
-    Perplexities are by the model of all trusted documents, thresholds from held-out ones. Repeated rows stay.
+    threshold over all; others have their own, however few trusted documents they have. Without trusted texts in two folds
+    perplexities and thresholds are null and every text is kept. Repeated rows stay; other columns are left alone.
     """
     ids = small(trusted.select(F.col(doc_id).cast("long").alias("_trusted")).where("_trusted is not null").distinct(), 1_000_000)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), whole(text).alias("_text"))
-    base = base.join(ids, F.col("doc_id").cast("long") == F.col("_trusted"), "left").select("doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), F.length("_text").alias("size"), "_text")
-    # Copies of a text are in one fold: none is scored by a model that has seen it.
-    learned = base.where("trusted and size > 0").select("lang", "size", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("fold"), "_text")
-    counts = cut(ngram_counts(learned.select(F.col("_text").alias("text"), "fold"), order))
-    scored = score(base, train(counts, order), order, shard_rows)
-    scored = cut(scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("lp") / F.col("size")))))
-    unseen = held_out(learned, counts, order, shard_rows)
-    limits = cut(thresholds(scored.limit(0) if unseen is None else unseen))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), whole(text).alias("_text"))
+    base = base.join(ids, F.col("doc_id") == F.col("_trusted"), "left")
+    base = base.select("doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), F.length("_text").alias("size"), fold_of(F.col("_text"), folds).alias("model"), "_text")
+    # Small files are read together: a chunk's n-grams are the fewer, the larger it is.
+    chunks_wanted = (base.agg(F.sum("size")).first()[0] or 0) // chars + 1
+    base = base.coalesce(max(int(chunks_wanted), docs.sparkSession.sparkContext.defaultParallelism))
+    learned = base.where("trusted and size > 0").select(F.col("_text").alias("text"), F.col("model").alias("fold"))
+    counts = cut(ngram_counts(learned, order, folds))
+    models = Models(counts, order, folds)
+    if len(models.unseen) < folds:  # some model has nothing to learn from
+        bare = F.lit(None).cast("double")
+        return base.select("doc_id", "lang", "trusted", bare.alias("perplexity"), bare.alias("threshold"), (F.col("size") > 0).alias("kept"))
+    perplexity = F.when(F.col("size") > 0, F.exp(-F.col("lp") / F.col("size")))
+    scored = cut(score(base, models, cached, chars).select("doc_id", "lang", "trusted", perplexity.alias("perplexity")))
+    limits = cut(thresholds(scored.where("trusted")))
     overall = limits.where("lang is null").first()
     own = small(limits.where("lang is not null"), 100_000)
-    threshold = F.coalesce("threshold", F.lit(overall["threshold"] if overall else None).cast("double"))
-    out = scored.join(own, "lang", "left").withColumn("threshold", threshold)
-    keep = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
+    out = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall["threshold"] if overall else None).cast("double")))
+    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     return out.select("doc_id", "lang", "trusted", "perplexity", "threshold", keep.alias("kept"))
