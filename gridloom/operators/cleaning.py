@@ -291,7 +291,12 @@ def report(df: DataFrame, o: Options = Options(), types: dict[str, str] | None =
     staged = _staged(df, o, kinds, log=True)
     rows = _not_empty(staged, names) if o.drop_empty else staged
     kept = rows.where(~(F.col("__drop") | F.col("__gap"))).select(RID, *names)
-    exact, _, similar = (frame.count() for frame in _thinned(kept, o, names))
+    keys = [F.col(f"`{c}`") for c in (o.keys or names)]
+    plain = [F.lower(cells.ws_trim(F.coalesce(k, F.lit("")))) for k in keys]
+    # Rows that stay are as many as there are keys, but for similar ones, which must be found.
+    different = lambda of: kept.select(*[k.alias(f"k{i}") for i, k in enumerate(of)]).distinct().count()
+    exact = different(keys) if o.exact else kept.count()
+    similar = _thinned(kept, o, names)[-1].count() if o.similar else different(plain) if o.normalised else exact
     kind_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else F.lit(None).cast("map<string,string>")
     changed = lambda kind: F.coalesce(F.sum(F.size(F.filter("__log", lambda x: x["reason"] == CHANGED[kind]))), F.lit(0))
     invalid = lambda which: F.coalesce(F.sum(F.size(F.filter("__bad", lambda x: kind_of[x["column"]].isin(which)))), F.lit(0))

@@ -20,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there."""
     ensure_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that is dear for each row: a small table read by fewer tasks than run at once is dealt to as many, else as it is."""
+    wanted, query = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    # A plan with an exchange has its partitions from there; counting those of a plain scan runs nothing.
+    if "Exchange" in query.executedPlan().toString() or query.toRdd().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)

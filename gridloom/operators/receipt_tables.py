@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import invoices, receipts
 from .layout import WORD, Span, joined_cells
+from .lineage import spread
 
 LINES = f"array<struct<text:string,top:int,bottom:int,words:array<{WORD}>>>"
 # Names of columns by role, what a price and a quantity look like, distances and shares.
@@ -158,5 +159,5 @@ def extract(scans: DataFrame, doc_id: str = "doc_id", text: str = "text", lines:
             yield pd.DataFrame(rows, columns=["doc_id", "fields", "items", "subtotal", "tax", "total", "header_found", "aligned"])
 
     chosen = scans.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"cast(`{lines}` as {LINES}) as lines")
-    read = chosen.mapInPandas(run, f"doc_id long, fields array<struct<name:string,value:string>>, items array<{invoices.ITEM}>, subtotal string, tax string, total string, header_found boolean, aligned boolean")
+    read = spread(chosen).mapInPandas(run, f"doc_id long, fields array<struct<name:string,value:string>>, items array<{invoices.ITEM}>, subtotal string, tax string, total string, header_found boolean, aligned boolean")
     return invoices.checked(invoices.fill_gaps(read)).withColumn("items_review", F.col("items_review") | ~F.col("aligned"))
