@@ -11,23 +11,27 @@ from gridloom.llm.common import table, written
 
 
 def identify_language(spark, docs, sf_dir):
+    """The documents whose language is recognised, with it as ``lang``. Null texts and those without letters go, repeated rows stay."""
     return langid.keep_identified(docs)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
+    """All documents, without the lines that too many of their source's documents have. Null texts stay null, null sources are one."""
     return lines.clean_documents(docs)
 
 
 def drop_near_copies(spark, docs, sf_dir):
+    """One row of each class of near copies: the one with the smallest id. Null texts are copies of empty ones."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
+    """A row for each use of a document in the production mix; null languages and sources are one each."""
     return mixing.mixed_documents(docs)
 
 
 def encode_bytes(spark, docs, sf_dir):
-    """The columns of the documents with n_tokens, ids, and whether decoding them gives the text again."""
+    """The columns of the documents with n_tokens, ids, and whether decoding them gives the text again. Null texts have no ids."""
     return bpe.encode_checked(docs)
 
 
@@ -44,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The rows of the last stage over the table documents; what the stages before it keep is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
