@@ -2,7 +2,8 @@
 
 Weights go down a tree of domains, languages and sources. A node's budget is shared among its children by weight; a child
 that has fewer tokens than its share gives all it has, and what it lacks is shared among its siblings again by weight, so
-a shortage reaches the node's own siblings only when all of its children are used up. A leaf's budget is whole epochs over
+a shortage reaches the node's own siblings only when all of its children are used up. Shares are rounded down; what that
+leaves over, less than a token for each child, goes to nobody. A leaf's budget is whole epochs over
 its documents and a prefix, by tokens, of one more epoch, whose order is a seeded hash. Budgets are integers.
 
 Sums by leaf and the tree are small tables; the prefix of a leaf is found from sums over 4,096 ranges of the order, then in
@@ -136,11 +137,12 @@ def picks(docs: DataFrame, plan: Plan = PLAN, text: str = "text", doc_id: str =
 
 
 def mixed_documents(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
-    """The columns of ``docs``, a row for each use of a document."""
+    """The columns of ``docs``, a row for each use of a document: ``picks``, with its handling of nulls, ties and repeated rows."""
     return picks(docs, plan).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens and epoch of each use of a document, nulls as in ``picks`` (a null id stays null)."""
     found = picks(docs.select("doc_id", "text", "lang", "source"))
     return found.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").cast("long").alias("epoch"))
 

@@ -75,6 +75,31 @@ def test_collision_is_lengthened(spark):
     assert fingerprints.collided(docs(spark, ODD), common.whole()).count() == 0
 
 
+def test_collisions_of_texts_and_edited_texts(spark, monkeypatch):
+    """With a digest of three values, fingerprints still are equal for equal canonical texts only, edited ones too."""
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.pmod(F.xxhash64(canon), F.lit(3)).cast("string"))
+    rows = [(i, f"text {i % 17} of mine" + " and more" * (i % 3), "en", "a") for i in range(60)] + [(100, "ab", "en", "a"), (101, None, "en", "a")]
+    got = {r.doc_id: r for r in fingerprints.edit_pairs(docs(spark, rows).repartition(5)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    by_print, by_text = defaultdict(set), defaultdict(set)
+    for i, r in enumerate(order):
+        t, nxt = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        for text, name in ((t, got[r[0]].fingerprint), (edited, got[r[0]].edited_fingerprint)):
+            by_print[name].add(canonical(text))
+            by_text[canonical(text)].add(name)
+        assert got[r[0]].near_next == float(canonical(t) == canonical(nxt)) and got[r[0]].near_edited == float(canonical(t) == canonical(edited))
+    assert all(len(v) == 1 for v in by_print.values()) and all(len(v) == 1 for v in by_text.values())
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"row {i} " * 6, "en", "a") for i in range(200)] + [(i, f"text {i} " * 5, "en", "a") for i in range(20)]
+    got = fingerprints.edit_pairs(docs(spark, rows).repartition(4)).collect()
+    assert len(got) == 220 and sum(r.doc_id is None for r in got) == 200
+    # Each text is followed by exactly one other: all heads that edited texts borrow are different rows'.
+    assert len({r.edited_sha256 for r in got}) == 220
+
+
 def brute_fingerprint(t):
     words = (t or "").encode().lower().split()
     if not words:
