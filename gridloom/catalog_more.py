@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .catalog import _VISIBLE_SQL, cell_query, formula_query, load, query
 from .functions import addresses, cells
 from .operators import formula, history, invoices, layout, lineage, records
+from .plans import workflow
 from .sources import files, tables
 from .streaming import batches
 
@@ -221,11 +222,65 @@ def _(s, d):
     return tables.read_table(s, f"{folder}/out").drop("__rid")
 
 
-@query("json_sink", "select r_name as name, concat(r_regionkey, '') as key from region")
+def _regions(s, d):
+    return load(s, d, "region").select((4 - F.col("r_regionkey")).alias("__rid"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("key"))
+
+
+def _lines(s, folder):
+    """The lines of the files of a folder, numbered in order."""
+    parts = s.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("f"), "value").where("value <> ''")
+    whole = parts.agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("x")).select(F.array_join(F.transform("x", lambda x: x["value"]), "").alias("t"))  # five regions
+    return whole.select(F.posexplode(F.split("t", "\n")).alias("n", "line")).where("line <> ''")
+
+
+def _sink_query(name, kind, line, header):
+    sql = f"select n::int as n, line from (select 5 - r_regionkey {'' if header else '- 1'} as n, {line} as line from region{f' union all select 0, {header}' if header else ''})"
+
+    @query(name, sql)
+    def _(s, d):
+        folder = f"{_folder(s)}/out"
+        files.write_table(_regions(s, d), folder, kind)
+        return _lines(s, folder)
+
+
+_sink_query("txt_sink", "TXT", "concat(r_name, chr(9), r_regionkey)", "concat('name', chr(9), 'key')")
+_sink_query("json_sink", "JSON", "concat('{\"name\":\"', r_name, '\",\"key\":\"', r_regionkey, '\"}')", "")
+
+
+@query("xlsx_sink", "select r_name as name, r_regionkey::varchar as key from region")
 def _(s, d):
     folder = f"{_folder(s)}/out"
-    files.write_json(load(s, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key"), F.col("r_regionkey").alias("__rid")), folder)
-    return s.read.schema("name string, key string").json(folder)
+    files.write_table(_regions(s, d), folder, "XLSX")
+    return tables.read_table(s, folder).drop("__rid")
+
+
+@query("flow_export_text", "select 0 as n, 'one' as line union all select 1, 'two'")
+def _(s, d):
+    folder = f"{_folder(s)}/out"
+    workflow.run(s, [workflow.Step("PASTE_TEXT", "one\ntwo"), workflow.Step("EXPORT_TXT", options={"path": folder})])
+    return _lines(s, folder)
+
+
+@query("flow_export_text_csv", "select 'one' as \"Text\" union all select 'two, three'")
+def _(s, d):
+    folder = f"{_folder(s)}/out"
+    workflow.run(s, [workflow.Step("PASTE_TEXT", "one\ntwo, three"), workflow.Step("EXPORT_CSV", options={"path": folder})])
+    return files.read_csv(s, folder)
+
+
+@query("flow_load_sheet", "select n_nationkey::varchar as key, n_name as name from nation where n_nationkey::varchar like '%1%'")
+def _(s, d):
+    path = f"{_folder(s)}/in.csv"
+    files.put_file(s, path, "\n".join(";".join(r[:2]) for r in [["key", "name"], *_nations(s, d)]).encode())
+    return workflow.run(s, [workflow.Step("LOAD_SHEET", options={"path": path}), workflow.Step("FILTER_ROWS", options={"value": "1", "column": "key"})]).df.drop("__rid")
+
+
+@query("flow_scrape_summary", "select unnest(['Title', 'URL', 'Links found', 'Text preview']) as \"Field\", unnest([concat('T ', n_name), concat('https://x.example/', n_nationkey), '1', 'Only words.']) as \"Value\" from nation")
+def _(s, d):
+    folder = f"{_folder(s)}/pages"
+    html = F.concat(F.lit("<html><head><title>T "), "n_name", F.lit('</title></head><body><p>Only <a href="#a">words</a>.</p></body></html>'))
+    load(s, d, "nation").select(F.concat(F.lit("https://x.example/"), "n_nationkey").alias("url"), html.alias("html")).write.parquet(folder)
+    return workflow.run(s, [workflow.Step("SCRAPE_URL", options={"path": folder})]).df.drop("__rid")
 
 
 @query("csv_sink_guarded", "select n_nationkey::varchar as key, concat(chr(39), '=', n_name) as \"'=value\" from nation")

@@ -223,6 +223,14 @@ def extract_emails(data: Data) -> DataFrame:
     return emails.extract(text, "text").select(F.explode("emails").alias("email")).distinct()
 
 
+def lines_table(df: DataFrame) -> DataFrame:
+    """Texts as a table: a row for each line, in columns where there are tabs."""
+    if df.agg(F.bool_or(F.contains("text", F.lit("\t"))).alias("tabs")).first()["tabs"]:
+        return text_to_table(df, "tab")
+    lines = df.select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("n", "Text"))
+    return lines.orderBy("doc_id", "n").withColumn(RID, F.monotonically_increasing_id()).select(RID, "Text")
+
+
 def layout_style(data: Data, chosen: str = "auto") -> str:
     """How a document looks: as chosen, else a table for tables, a book for texts with headings, columns for those with tabs."""
     if chosen != "auto":
@@ -299,8 +307,11 @@ def run_step(spark: SparkSession, s: Step, data: Data) -> Data:
         return Data(TABLE, sort_table(df, s.opt("column"), s.opt("order", "asc") == "desc"))
     if s.kind == "KEEP_COLUMNS":
         return Data(TABLE, keep_columns(df, s.opt("columns")))
+    if s.kind == "EXPORT_TXT" and data.kind != TABLE:
+        files.write_lines(df, s.opt("path"), *(("text", "doc_id") if data.kind == TEXT else ("email", "email")))
+        return Data(NONE)
     if s.kind in ("EXPORT_CSV", "EXPORT_TXT"):
-        (files.write_csv if s.kind == "EXPORT_CSV" else files.write_text)(df, s.opt("path"))
+        files.write_csv(lines_table(df) if data.kind == TEXT else df, s.opt("path"))
         return Data(NONE)
     if s.kind in ("EXPORT_XLSX", "EXPORT_DOCX", "EXPORT_PDF"):
         export_parts(s, data)

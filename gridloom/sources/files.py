@@ -121,12 +121,34 @@ def write_csv(df: DataFrame, path: str, rid: str = "__rid") -> None:
 
 
 def write_json(df: DataFrame, path: str, rid: str = "__rid") -> None:
-    df.drop(rid).select(*[F.col(f"`{c}`").cast("string") for c in df.columns if c != rid]).write.mode("overwrite").json(path)
+    """An object of strings for each row, in order, one to a line."""
+    body = df.orderBy(rid).drop(rid) if rid in df.columns else df
+    body.select(*[F.col(f"`{c}`").cast("string") for c in body.columns]).write.mode("overwrite").json(path)
 
 
 def write_text(df: DataFrame, path: str, rid: str = "__rid", sep: str = "\t") -> None:
-    body = df.orderBy(rid).drop(rid) if rid in df.columns else df
-    body.select(F.concat_ws(sep, *[F.col(f"`{c}`").cast("string") for c in body.columns]).alias("value")).write.mode("overwrite").text(path)
+    """The header and the rows, in order, cells joined by tabs and as they are."""
+    names = [c for c in df.columns if c != rid]
+    place = F.col(rid).cast("long") if rid in df.columns else F.lit(0).cast("long")
+    rows = df.select(F.lit(1).alias("part"), place.alias("place"), F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]).alias("value"))
+    head = df.sparkSession.createDataFrame([(0, 0, sep.join(names))], "part int, place long, value string")
+    head.unionAll(rows).orderBy("part", "place").select("value").write.mode("overwrite").text(path)
+
+
+def write_lines(df: DataFrame, path: str, column: str, order: str | None = None) -> None:
+    """The texts of a column as they are, in order."""
+    (df.orderBy(order) if order else df).select(F.col(f"`{column}`").cast("string").alias("value")).na.fill("").write.mode("overwrite").text(path)
+
+
+def write_table(df: DataFrame, path: str, kind: str) -> None:
+    """A table as CSV, JSON, TXT or XLSX."""
+    if kind == "XLSX":
+        names = [c for c in df.columns if c != "__rid"]
+        ordered = df.orderBy("__rid") if "__rid" in df.columns else df
+        rows = ordered.select(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]).alias("cells"))
+        write_parts(rows, path, "xlsx", lambda held: xlsx_bytes({"Sheet1": [names, *held]}))
+    else:
+        {"CSV": write_csv, "JSON": write_json, "TXT": write_text}[kind](df, path)
 
 
 class Unsafe(ValueError):
