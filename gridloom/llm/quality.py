@@ -42,6 +42,8 @@ PAD = "\x02"
 #: Code points of text that are counted or scored at once, and that are a chunk.
 BLOCK_CHARS = 500_000
 CHUNK_CHARS = 16_000_000
+#: Rows of a table that a task takes at least, so that small tables make few files whatever the number of shuffle partitions.
+TASK_ROWS = 50_000
 #: Log probability of characters where a model has nothing at all.
 NOTHING = -20.0
 SLOTS = 0x110000
@@ -134,6 +136,11 @@ def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
     return out
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most so many rows, written by no more tasks than they are worth."""
+    return cut(df.coalesce(max(1, -(-rows // TASK_ROWS))))
+
+
 class Models:
     """Tables of all models by length of n-gram.
 
@@ -144,11 +151,12 @@ class Models:
     def __init__(self, counts: DataFrame, order: int = ORDER, folds: int = FOLDS):
         self.order, self.folds = order, folds
         others = [F.struct(F.lit(m).alias("model"), sum((F.get("n", F.lit(f)) for f in range(folds) if f != m), F.lit(0)).alias("n")) for m in range(folds)]
-        self.top = cut(counts.select("gram", F.explode(F.array(*others)).alias("m")).where("m.n > 0").select("m.model", "gram", "m.n"))
-        levels = {order: self.top}
+        self.top = packed(counts.select("gram", F.explode(F.array(*others)).alias("m")).where("m.n > 0").select("m.model", "gram", "m.n"), folds * counts.count())
+        levels, rows = {order: self.top}, {order: self.top.count()}
         for k in range(order - 1, 0, -1):
             # In how many contexts a shorter gram was seen.
-            levels[k] = cut(levels[k + 1].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+            levels[k] = packed(levels[k + 1].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), rows[k + 1])
+            rows[k] = levels[k].count()
         self.logp, self.backoff, self.unseen, below = {}, {}, {}, None
         for k in range(1, order + 1):
             off = F.lit(0.5)
@@ -163,16 +171,16 @@ class Models:
                 self.unseen = {r["model"]: float(np.log(r["share"])) for r in contexts.select("model", "share").collect()}
                 p = level.join(F.broadcast(contexts.select("model", "total", "share")), "model").select("model", "gram", (own + F.col("share")).alias("p"))
             else:
-                contexts = cut(contexts)
+                contexts = packed(contexts, rows[k])
                 self.backoff[k] = contexts.select("model", "context", F.log("weight").alias("weight"))
                 under = below.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
                 p = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(contexts, ["model", "context"]).join(under, ["model", "suffix"])
                 p = p.select("model", "gram", (own + F.col("weight") * F.col("q")).alias("p"))
-            below = cut(p)
+            below = packed(p, rows[k])
             self.logp[k] = below.select("model", "gram", F.log("p").alias("logp"))
 
-    def resolve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """(model, gram, logp) of different n-grams (model, gram) of length k, whether the models have them or not.
+    def resolve(self, queries: DataFrame, rows: int, k: int | None = None) -> DataFrame:
+        """(model, gram, logp) of different n-grams (model, gram) of length k, at most so many rows, whether the models have them or not.
 
         N-grams with the same suffix, and those with the same context, differ in one character, so that no key of these
         joins has more rows than there are characters.
@@ -184,9 +192,9 @@ class Models:
             for model, share in self.unseen.items():
                 unseen = F.when(F.col("model") == model, share).otherwise(unseen)
             return found.select("model", "gram", F.coalesce("logp", unseen).alias("logp"))
-        found = cut(found)
+        found = packed(found, rows)
         missing = found.where("logp is null").select("model", "gram", F.expr("substring(gram, 2)").alias("suffix"), F.expr(f"substring(gram, 1, {k - 1})").alias("context"))
-        below = self.resolve(missing.select("model", F.col("suffix").alias("gram")).distinct(), k - 1)
+        below = self.resolve(missing.select("model", F.col("suffix").alias("gram")).distinct(), missing.count(), k - 1)
         by_suffix = missing.join(below.select("model", F.col("gram").alias("suffix"), F.col("logp").alias("under")), ["model", "suffix"])
         backed = by_suffix.join(self.backoff[k], ["model", "context"], "left").select("model", "gram", (F.col("under") + F.coalesce("weight", F.lit(0.0))).alias("logp"))
         return found.where("logp is not null").select("model", "gram", "logp").unionAll(backed)
@@ -362,7 +370,9 @@ def score(docs: DataFrame, models: Models, cached: int = CACHED, chars: int = CH
     made = written(chunks(docs, models.cache(cached), models.order, chars), "quality")
     asked = made.select("chunk", F.posexplode("grams").alias("at", "g"))
     asked = asked.select("chunk", "at", F.ascii("g").alias("model"), F.expr("substring(g, 2)").alias("gram"))
-    answers = models.resolve(cut(asked.select("model", "gram").distinct()))
+    asking = cut(asked.select("model", "gram").distinct())
+    rows = asking.count()
+    answers = models.resolve(asking.coalesce(max(1, -(-rows // TASK_ROWS))), rows)
     # A chunk has no more of them than characters.
     answered = asked.join(answers, ["model", "gram"]).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "logp"))).alias("answers"))
     answered = answered.select("chunk", F.transform("answers", lambda x: x["logp"]).alias("answers"))
@@ -418,8 +428,7 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
     chunks_wanted = (base.agg(F.sum("size")).first()[0] or 0) // chars + 1
     base = base.coalesce(max(int(chunks_wanted), docs.sparkSession.sparkContext.defaultParallelism))
     learned = base.where("trusted and size > 0").select(F.col("_text").alias("text"), F.col("model").alias("fold"))
-    counts = cut(ngram_counts(learned, order, folds))
-    models = Models(counts, order, folds)
+    models = Models(cut(ngram_counts(learned, order, folds)), order, folds)
     if len(models.unseen) < folds:  # some model has nothing to learn from
         bare = F.lit(None).cast("double")
         return base.select("doc_id", "lang", "trusted", bare.alias("perplexity"), bare.alias("threshold"), (F.col("size") > 0).alias("kept"))
