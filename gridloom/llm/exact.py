@@ -186,8 +186,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tab
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of white space becomes one space; null counts as empty. The row with
-    the smallest id stays; rows that repeat its id are marked alike. A null id counts as the smallest long and is given
-    back as null. Empty tables give no rows; other columns are left alone.
+    the smallest id stays; rows that repeat its id are marked alike. Ids are whole numbers, others raise an error; a
+    null id counts as the smallest long and is given back as null. Empty tables give no rows; other columns are left alone.
     """
     lowest = F.lit(-(1 << 63))
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), lowest).alias("doc_id"), whole(text).alias("text"))

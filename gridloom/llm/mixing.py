@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, running
+from .common import cut, running, small
 
 LEVELS = ("domain", "lang", "source")
+#: Parents that are broadcast to their children.
+MANY = 10_000
 NONE = "(none)"
 
 
@@ -71,6 +73,32 @@ def _weight(level: str, weights: Weights) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in given.items() for x in pair]), F.col(level)), F.lit(1)).cast("long")
 
 
+def _even(nodes: DataFrame, parent: list[str]) -> DataFrame:
+    """``given`` for siblings that are weighed by their tokens: all of them or none fall short, so they need no order."""
+    sums = nodes.groupBy(*parent).agg(*[F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).alias(n) for c, n in (("weight", "shares"), ("supply", "all"))])
+    both = nodes.join(small(sums, MANY), parent) if parent else nodes.withColumns({n: F.lit(v) for n, v in sums.first().asDict().items()})
+    part = F.floor(F.col("weight").cast("double") * F.col("total").cast("double") / F.col("shares").cast("double")).cast("long")
+    return both.withColumn("given", F.when((F.col("weight") == 0) | (F.col("all") <= F.col("total")), F.col("supply")).otherwise(F.greatest(F.lit(0), F.least(F.col("supply"), part))))
+
+
+def _shared(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
+    """``given`` for siblings with named weights: those with least supply for a unit of weight fall short first."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    ratio = F.when(F.col("weight") > 0, F.col("supply").cast("double") / F.col("weight").cast("double")).otherwise(F.lit(float("inf")))
+    siblings = Window.partitionBy(*(parent or [F.lit(0)])).orderBy("ratio", level)
+    nodes = nodes.withColumn("ratio", ratio)
+    nodes = nodes.withColumn("used", F.coalesce(F.sum(big("supply")).over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,0)"))
+    nodes = nodes.withColumn("rest", F.sum(big("weight")).over(siblings.rowsBetween(0, Window.unboundedFollowing)).cast("decimal(38,0)"))
+    short = F.col("supply").cast("double") * F.col("rest").cast("double") <= F.col("weight").cast("double") * (F.col("total") - F.col("used")).cast("double")
+    nodes = nodes.withColumn("short", short)
+    everyone = Window.partitionBy(*(parent or [F.lit(0)]))
+    spent = F.coalesce(F.sum(F.when(F.col("short"), big("supply"))).over(everyone), F.lit(0)).cast("decimal(38,0)")
+    shares = F.coalesce(F.sum(F.when(~F.col("short"), big("weight"))).over(everyone), F.lit(0)).cast("decimal(38,0)")
+    nodes = nodes.withColumn("spent", spent).withColumn("shares", shares)
+    given = F.floor(F.col("weight").cast("double") * (F.col("total") - F.col("spent")).cast("double") / F.col("shares").cast("double"))
+    return nodes.withColumn("given", F.when(F.col("short"), F.col("supply")).when(F.col("shares") > 0, F.greatest(F.lit(0), F.least(F.col("supply"), given.cast("long")))).otherwise(F.lit(0)))
+
+
 def budgets(leaves: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """(domain, lang, source, tokens, budget) from (domain, lang, source, tokens), the tokens of each leaf for one epoch."""
     big = lambda c: F.col(c).cast("decimal(38,0)")
@@ -82,21 +110,8 @@ def budgets(leaves: DataFrame, plan: Plan = PLAN) -> DataFrame:
         path = list(LEVELS[: depth + 1])
         nodes = leaves.groupBy(*path).agg(F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(level, plan.weights)).withColumn("supply", F.col("tokens") * plan.epochs)
-        nodes = nodes.withColumn("total", budget) if above is None else nodes.join(above, parent)
-        # Siblings by supply for a unit of weight: those that fall short come first.
-        ratio = F.when(F.col("weight") > 0, F.col("supply").cast("double") / F.col("weight").cast("double")).otherwise(F.lit(float("inf")))
-        siblings = Window.partitionBy(*(parent or [F.lit(0)])).orderBy("ratio", level)
-        nodes = nodes.withColumn("ratio", ratio)
-        nodes = nodes.withColumn("used", F.coalesce(F.sum(big("supply")).over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,0)"))
-        nodes = nodes.withColumn("rest", F.sum(big("weight")).over(siblings.rowsBetween(0, Window.unboundedFollowing)).cast("decimal(38,0)"))
-        short = F.col("supply").cast("double") * F.col("rest").cast("double") <= F.col("weight").cast("double") * (F.col("total") - F.col("used")).cast("double")
-        nodes = nodes.withColumn("short", short)
-        everyone = Window.partitionBy(*(parent or [F.lit(0)]))
-        spent = F.coalesce(F.sum(F.when(F.col("short"), big("supply"))).over(everyone), F.lit(0)).cast("decimal(38,0)")
-        shares = F.coalesce(F.sum(F.when(~F.col("short"), big("weight"))).over(everyone), F.lit(0)).cast("decimal(38,0)")
-        nodes = nodes.withColumn("spent", spent).withColumn("shares", shares)
-        given = F.floor(F.col("weight").cast("double") * (F.col("total") - F.col("spent")).cast("double") / F.col("shares").cast("double"))
-        nodes = nodes.withColumn("given", F.when(F.col("short"), F.col("supply")).when(F.col("shares") > 0, F.greatest(F.lit(0), F.least(F.col("supply"), given.cast("long")))).otherwise(F.lit(0)))
+        nodes = nodes.withColumn("total", budget) if above is None else nodes.join(small(above, MANY), parent)
+        nodes = _shared(nodes, parent, level) if getattr(plan.weights, level) else _even(nodes, parent)
         nodes = nodes.withColumn("given", F.col("given").cast("long"))
         if depth == len(LEVELS) - 1:
             out = nodes.select(*path, "tokens", F.col("given").alias("budget"))

@@ -418,7 +418,8 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
     ``trusted`` has the doc_id of the documents to train on; ids that are null or not in ``docs`` are ignored. Null and
     empty texts have no perplexity and are not kept. A language without trusted documents, and a null one, have the
     threshold over all; others have their own, however few trusted documents they have. Without trusted texts in two folds
-    perplexities and thresholds are null and every text is kept. Repeated rows stay; other columns are left alone.
+    perplexities and thresholds are null and every text is kept. Ids are whole numbers, others raise an error. Repeated
+    rows stay; other columns are left alone.
     """
     ids = small(trusted.select(F.col(doc_id).cast("long").alias("_trusted")).where("_trusted is not null").distinct(), 1_000_000)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), whole(text).alias("_text"))

@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``component_id`` is the smallest doc_id that can be reached over links of fingerprints which differ in at most four
     bits. Equal fingerprints are one class before anything is compared. Texts without words, null ones too, have the
     fingerprint zero and are linked like any other. Null ids reach nothing smaller and keep the class's id, or null in a
-    class of null ids only. Repeated rows stay; other columns are left alone; empty tables give no rows.
+    class of null ids only. Ids are whole numbers, others raise an error. Repeated rows stay; other columns are left alone; empty tables give no rows.
     """
     fps = cut(fingerprints(docs, text, doc_id))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
