@@ -70,7 +70,7 @@ def convert(spark: SparkSession, path: str, target: str, folder: str) -> DataFra
     """Turn the documents under ``path`` into ``target`` (txt, docx, pdf) files in ``folder``, all tasks at work.
 
     Gives (path, output, replaced, error): letters that PDF does not have are replaced; a file that cannot be read, has no text
-    or is no document has an error and no output. The driver holds one file at a time. Files of one name in several
+    or is no document has an error and no output. Tasks write the files. Files of one name in several
     folders get a part of the path's digest.
     """
     if target not in TARGETS["DOCUMENT"]:
@@ -104,6 +104,5 @@ def convert(spark: SparkSession, path: str, target: str, folder: str) -> DataFra
     named = done.withColumn("stem", stem).join(often, "stem", "left")
     name = F.concat("stem", F.when(F.col("often"), F.concat(F.lit("-"), F.left(F.sha2("path", 256), F.lit(12)))).otherwise(""), F.lit(f".{target}"))
     named = cut(named.select("path", F.when(F.col("data").isNotNull(), name).alias("output"), "data", "replaced", "error"))
-    for r in named.where("data is not null").select("output", "data").toLocalIterator():
-        files.put_file(spark, f"{folder}/{r['output']}", bytes(r["data"]))
+    files.put_files(named.where("data is not null").select(F.col("output").alias("name"), "data"), folder)
     return named.drop("data")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import codecs
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -16,6 +17,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -365,21 +367,63 @@ def put_file(spark: SparkSession, path: str, data: bytes) -> None:
         stream.close()
 
 
-def write_parts(rows: DataFrame, path: str, extension: str, make: Callable[[list[list[str]]], bytes], part_lines: int = PART_LINES) -> int:
-    """A folder of files made from ``rows`` (cells array<string>), in the order of their partitions; the number of files.
+def reachable(spark: SparkSession, path: str) -> str | None:
+    """The full address of a path whose file system tasks can write to by themselves, else None."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    address = re.sub(r"\A(file):/+", r"\1:///", full).replace("s3a://", "s3://", 1)
+    try:
+        fs.FileSystem.from_uri(address)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+    return address
 
-    Tasks make the files, each of at most ``part_lines`` lines (a cell may have several; one row is never parted); the
-    driver holds one at a time. Files that the folder held before go.
+
+def put_files(named: DataFrame, folder: str) -> int:
+    """Write the files (name, data) into a folder; their number.
+
+    Tasks write them, each under a passing name first, so that a task that is run again leaves whole files. Where tasks
+    cannot reach the file system by themselves, the driver writes one file at a time.
     """
     from ..operators.lineage import cut
 
+    spark = named.sparkSession
+    address = reachable(spark, folder)
+    if address is None:
+        count = 0
+        for r in cut(named.select("name", "data")).toLocalIterator():
+            put_file(spark, f"{folder}/{r['name']}", bytes(r["data"]))
+            count += 1
+        return count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(address)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                passing = f"{base}/_{uuid.uuid4().hex}-{name}"
+                with system.open_output_stream(passing) as out:
+                    out.write(data.as_buffer())
+                system.move(passing, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return named.select("name", "data").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_parts(rows: DataFrame, path: str, extension: str, make: Callable[[list[list[str]]], bytes], part_lines: int = PART_LINES) -> int:
+    """A folder of files made from ``rows`` (cells array<string>), in the order of their partitions; the number of files.
+
+    Tasks make and write the files, each of at most ``part_lines`` lines (a cell may have several; one row is never
+    parted). Files that the folder held before go.
+    """
     spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part, held, lines = TaskContext.get().partitionId(), 0, [], 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([make(held)], pa.binary())], names=["task", "part", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}-{part:05d}.{extension}"]), pa.array([make(held)], pa.binary())], names=["name", "data"])
 
         for batch in batches:
             for cells in batch.column(0).to_pylist():
@@ -394,11 +438,7 @@ def write_parts(rows: DataFrame, path: str, extension: str, make: Callable[[list
 
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    count = 0
-    # Made by all tasks at once, then fetched one by one.
-    for r in cut(rows.select("cells").mapInArrow(run, "task int, part int, data binary")).toLocalIterator():
-        put_file(spark, f"{path}/part-{r['task']:05d}-{r['part']:05d}.{extension}", bytes(r["data"]))
-        count += 1
+    count = put_files(rows.select("cells").mapInArrow(run, "name string, data binary"), path)
     if not count:
         put_file(spark, f"{path}/part-00000-00000.{extension}", make([]))
     return count or 1
