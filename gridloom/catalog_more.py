@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .catalog import _VISIBLE_SQL, cell_query, formula_query, load, query
 from .functions import addresses, cells
 from .operators import formula, history, invoices, layout, lineage, records
 from .plans import workflow
-from .sources import files, tables
+from .sources import files, pdf, tables
 from .streaming import batches
 
 CUSTOMER = ("customer", {"id": "c_custkey", "name": "c_name"})
@@ -304,3 +305,44 @@ def _(s, d):
     text = F.concat(F.lit("Title\na\t"), "n_name", F.lit("\nprose\nx\ty\tz\nend"))
     pages = load(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), text.alias("text"))
     return layout.rows_of_pages(pages).select("page_id", "row", F.array_join("cells", "|").alias("line"))
+
+
+# PDF files: one of two pages for each nation, made, put together, cut and turned in tasks.
+def _pdfs(s, d):
+    def run(batches):
+        for batch in batches:
+            yield batch[["key", "place"]].assign(content=[pdf.text_pdf(f"{n}\n" + "x\n" * 80 + f"end of {n}")[0] for n in batch["name"]])
+
+    return load(s, d, "nation").selectExpr("n_regionkey as key", "n_nationkey as place", "n_name as name").mapInPandas(run, "key int, place int, content binary")
+
+
+def _pages(df, *keep):
+    def run(batches):
+        for batch in batches:
+            rows = [(*k, n, t.split("\n")[0], int(p.get("Rotate") or 0)) for *k, data in zip(*(batch[c] for c in (*keep, "content"))) for f in [pdf.File(bytes(data))] for n, (p, t) in enumerate(((p, pdf.page_text(f, p)) for p in f.pages()), 1)]
+            yield pd.DataFrame(rows, columns=[*keep, "page", "first", "turned"])
+
+    return df.mapInPandas(run, ", ".join(f"{k} int" for k in keep) + ", page int, first string, turned int")
+
+
+@query("pdf_merge", "select n_regionkey::int as key, (2 * row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as page, n_name as first from nation")
+def _(s, d):
+    return _pages(pdf.merged_by(_pdfs(s, d), "key", "place"), "key").where("page % 2 = 1").select("key", "page", "first")
+
+
+@query("pdf_page_range", "select n_nationkey::int as place, 1 as page, true as has_end from nation")
+def _(s, d):
+    second = pdf.edited(_pdfs(s, d), lambda x: pdf.page_range(x, 2, 9)).drop("error")
+    texts = batches.pdf_texts(second.select(F.col("place").cast("string").alias("path"), "content"))
+    return _pages(second, "place").join(texts, F.col("place").cast("string") == F.col("path")).select("place", "page", F.contains("text", F.lit("end of ")).alias("has_end"))
+
+
+@query("pdf_rotate", "select n_nationkey::int as place, unnest([1, 2])::int as page, 270 as turned from nation")
+def _(s, d):
+    turned = pdf.edited(pdf.edited(_pdfs(s, d), lambda x: pdf.rotated(x, 180)).drop("error"), pdf.rotated).drop("error")
+    return _pages(turned, "place").select("place", "page", "turned")
+
+
+@query("pdf_page_count", "select n_nationkey::int as place, '2' as pages from nation")
+def _(s, d):
+    return pdf.edited(_pdfs(s, d), lambda x: str(pdf.page_count(x)).encode()).select("place", F.col("content").cast("string").alias("pages"))

@@ -16,6 +16,7 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # An A4 page in points, margins, sizes of text and headings, leading.
 PAGE = (595.28, 841.89)
@@ -176,6 +177,7 @@ STRING = re.compile(rb"[^()\\]+|\\([0-7]{1,3}|\r\n|.)|[()]", re.S)
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 MOST_DEPTH, MOST_STREAM = 60, 64 << 20
+INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
 
 
 class Unreadable(ValueError):
@@ -311,21 +313,21 @@ class File:
         return out
 
     def pages(self) -> Iterator[dict]:
-        """Pages in order, with the resources that they inherit."""
+        """Pages in order, with what they inherit."""
         root = next((r for t in reversed(self.trailers) if isinstance(t, dict) and (r := self.dictionary(t.get("Root")))), None)
         root = root or next((v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
-        todo, seen = [(root.get("Pages"), None)], set()
+        todo, seen = [(root.get("Pages"), {"Resources": None})], set()
         while todo:
-            at, inherited = todo.pop()
+            at, above = todo.pop()
             node = self.dictionary(at)
             if not node or (isinstance(at, Ref) and at.number in seen):
                 continue
             seen.add(at.number if isinstance(at, Ref) else None)
-            own = node.get("Resources", inherited)
+            own = above | {k: node[k] for k in INHERITED if k in node}
             if "Kids" in node:
                 todo += [(k, own) for k in reversed(self.get(node["Kids"]) or [])]
             else:
-                yield node | {"Resources": own}
+                yield node | own
 
 
 def _unicode_map(cmap: bytes) -> tuple[int, dict[int, str]]:
@@ -425,6 +427,112 @@ def page_texts(data: bytes) -> list[str]:
     return [page_text(file, p) for p in file.pages()]
 
 
+def shown(v) -> bytes:
+    """A value in PDF syntax."""
+    if isinstance(v, dict):
+        return b"<<" + b" ".join(shown(Name(k)) + b" " + shown(x) for k, x in v.items()) + b">>"
+    if isinstance(v, list):
+        return b"[" + b" ".join(map(shown, v)) + b"]"
+    if isinstance(v, Name):
+        return b"/" + re.sub(rb"[^!-~]|[#()<>\[\]{}/%]", lambda m: b"#%02X" % m[0][0], v.encode("latin-1"))
+    if isinstance(v, Ref):
+        return b"%d 0 R" % v.number
+    if isinstance(v, bytes):
+        return b"<" + v.hex().encode() + b">"
+    return b"null" if v is None else str(v).encode("latin-1")
+
+
+def assembled(pages: list[tuple[File, dict]]) -> bytes:
+    """A file of pages of other files, with the objects that they use."""
+    objects: list = [{"Type": Name("Catalog"), "Pages": Ref(2)}, None]
+    numbers: dict[tuple[int, int], int] = {}
+    todo: list[tuple[File, int, int]] = []
+
+    def moved(file: File, v):
+        """A value with references to the objects' new numbers."""
+        if isinstance(v, Ref):
+            at = (id(file), v.number)
+            if at not in numbers:
+                objects.append(None)
+                numbers[at] = len(objects)
+                todo.append((file, v.number, len(objects)))
+            return Ref(numbers[at])
+        if isinstance(v, dict):
+            return {k: moved(file, x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [moved(file, x) for x in v]
+        return Stream(moved(file, v.info), v.raw) if isinstance(v, Stream) else v
+
+    kids = []
+    for file, page in pages:
+        objects.append(None)
+        kids.append(Ref(len(objects)))
+        objects[kids[-1].number - 1] = moved(file, {k: v for k, v in page.items() if v is not None and k not in ("Parent", "Annots", "B", "StructParents")}) | {"Parent": Ref(2)}
+    while todo:
+        file, old, new = todo.pop()
+        objects[new - 1] = moved(file, file.objects.get(old))
+    objects[1] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}
+    out, places = bytearray(b"%PDF-1.7\n"), []
+    for n, v in enumerate(objects, 1):
+        places.append(len(out))
+        body = shown(v.info | {"Length": len(v.raw)}) + b"\nstream\n" + v.raw + b"\nendstream" if isinstance(v, Stream) else shown(v)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % at for at in places)
+    return bytes(out + b"trailer\n" + shown({"Size": len(objects) + 1, "Root": Ref(1)}) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
+
+
+def merged(files: list[bytes]) -> bytes:
+    """All pages of the files, in their order."""
+    return assembled([(file, page) for file in map(File, files) for page in file.pages()])
+
+
+def page_range(data: bytes, first: int, last: int) -> bytes:
+    """The pages from ``first`` to ``last``, counted from 1; there may be fewer."""
+    file = File(data)
+    pages = list(file.pages())
+    if last < first or not 1 <= first <= len(pages):
+        raise ValueError(f"no pages {first} to {last} in a file of {len(pages)}")
+    return assembled([(file, p) for p in pages[first - 1 : last]])
+
+
+def rotated(data: bytes, degrees: int = 90) -> bytes:
+    """All pages turned clockwise by a multiple of 90 degrees."""
+    file = File(data)
+    return assembled([(file, p | {"Rotate": (int(file.get(p.get("Rotate")) or 0) + degrees) % 360}) for p in file.pages()])
+
+
+def page_count(data: bytes) -> int:
+    return sum(1 for _ in File(data).pages())
+
+
+def edited(files: DataFrame, edit: Callable[[bytes], bytes], data: str = "content") -> DataFrame:
+    """``files`` with the file in ``data`` edited and ``error`` for those that cannot be, whose data are null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for d in batch[data]:
+                try:
+                    made.append((edit(bytes(d)), None))
+                except (Unreadable, zlib.error, ValueError, TypeError) as e:
+                    made.append((None, str(e)))
+            yield batch.assign(**{data: [x for x, _ in made], "error": [e for _, e in made]})
+
+    return files.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in files.schema.fields)}, error string")
+
+
+def merged_by(files: DataFrame, key: str, order: str, data: str = "content") -> DataFrame:
+    """(key, content): the files of each key as one, in their order. The files of a key are one document and go to one task."""
+    held = files.groupBy(F.col(key).alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d")))), lambda x: x["d"]).alias("parts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "content": [merged([bytes(d) for d in parts]) for parts in batch["parts"]]})
+
+    return held.mapInPandas(run, f"key {files.schema[key].dataType.simpleString()}, content binary")
+
+
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, text, error) of the pages of the PDF files under a path; an unreadable file is one row, page 0, with the error."""
 
