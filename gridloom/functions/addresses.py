@@ -17,16 +17,23 @@ def url_list(text: Column | str, most: int = MOST_URLS) -> Column:
     return F.slice(F.array_distinct(F.transform(parts, lambda x: F.when(x.rlike("(?i)\\Ahttps?://"), x).otherwise(F.concat(F.lit("https://"), x)))), 1, most)
 
 
+def _named(value: Column, made) -> Column:
+    """``made`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def _v4(host: Column) -> Column:
     """An address of numbers as one number: a part before the last is a byte, the last one fills the rest; null for other hosts."""
-    parts = F.split(host, r"\.", -1)
-    numbers = F.transform(parts, lambda x: x.try_cast("bigint"))
-    n = F.size(parts)
-    last = F.element_at(numbers, -1)
-    first = F.aggregate(F.slice(numbers, 1, F.greatest(F.lit(0), n - 1)), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
-    room = F.pow(F.lit(256.0), (5 - n).cast("double")).cast("bigint")
-    bytes_ = F.forall(F.slice(numbers, 1, F.greatest(F.lit(0), n - 1)), lambda x: x < 256)
-    return F.when(host.rlike(r"\A\d{1,10}(\.\d{1,10}){0,3}\z") & bytes_ & (last < room), first * room + last)
+
+    def made(numbers: Column) -> Column:
+        n, last = F.size(numbers), F.element_at(numbers, -1)
+        before = F.slice(numbers, 1, n - 1)
+        first = F.aggregate(before, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+        room = F.pow(F.lit(256.0), (5 - n).cast("double")).cast("bigint")
+        return F.when(F.forall(before, lambda x: x < 256) & (last < room), first * room + last)
+
+    numbers = F.transform(F.split(host, r"\.", -1), lambda x: x.try_cast("bigint"))
+    return F.when(host.rlike(r"\A\d{1,10}(\.\d{1,10}){0,3}\z"), _named(numbers, made))
 
 
 def _public_v4(ip: Column) -> Column:
@@ -38,20 +45,25 @@ def _public_v4(ip: Column) -> Column:
     return out
 
 
+def _public_v6(address: Column) -> Column:
+    """Of an address in brackets; a first group of zeros or none is the address itself or the one of this machine."""
+    mapped = F.regexp_extract(address, r"\A(?:0*:)*:?(?:ffff:)(\d+\.\d+\.\d+\.\d+)\z", 1)
+    group = F.conv(F.regexp_extract(address, r"\A([0-9a-f]{1,4}):", 1), 16, 10).cast("int")
+    own = _named(group, lambda g: (g > 0) & ((g < 0xFC00) | ((g >= 0xFE00) & (g < 0xFE80))))
+    return F.when(mapped != "", _named(_v4(mapped), _public_v4)).otherwise(~address.startswith("::") & own)
+
+
+def _public_host(host: Column) -> Column:
+    named = host.rlike(r"\A[\p{L}\d_-]+(\.[\p{L}\d_-]+)*\.?\z") & ~host.rlike(r"\A(?:.*\.)?localhost\.?\z")
+    six = F.regexp_extract(host, r"\A\[([0-9a-f:.]+)\]\z", 1)
+    return F.when(host.startswith("["), _named(six, _public_v6)).when(host.rlike(r"\A[\d.]+\z"), _named(_v4(host), _public_v4)).otherwise(named)
+
+
 def public_url(url: Column | str) -> Column:
     """Whether an address may be fetched: http or https, no user in it, and a host that is not in a private or reserved range.
 
     Names are not looked up, so of those only ``localhost`` is known to be local. Null and blank are not public.
     """
-    u = ws_trim(F.coalesce(col(url), F.lit("")))
-    authority = F.regexp_extract(u, r"(?i)\Ahttps?://([^/?#\\]*)", 1)
-    host = F.lower(F.regexp_replace(authority, r":\d*\z", ""))
-    six = F.regexp_extract(host, r"\A\[([0-9a-f:.]+)\]\z", 1)
-    mapped = F.regexp_extract(six, r"\A(?:0*:)*:?(?:ffff:)(\d+\.\d+\.\d+\.\d+)\z", 1)
-    group = F.conv(F.regexp_extract(six, r"\A([0-9a-f]{1,4}):", 1), 16, 10).cast("int")
-    # A first group of zeros or none is the address itself or the one of this machine.
-    public_six = F.when(six.startswith("::") | (group == 0), F.lit(False)).otherwise((group < 0xFC00) | ((group >= 0xFE00) & (group < 0xFE80)))
-    v4 = _v4(F.when(mapped != "", mapped).otherwise(host))
-    named = host.rlike(r"\A[\p{L}\d_-]+(\.[\p{L}\d_-]+)*\.?\z") & ~host.rlike(r"\A(?:.*\.)?localhost\.?\z") & ~host.rlike(r"\A[\d.]+\z")
-    public = F.when(v4.isNotNull(), _public_v4(v4)).when(six != "", F.coalesce(public_six, F.lit(False))).otherwise(named)
-    return (authority != "") & ~F.contains(authority, F.lit("@")) & F.coalesce(public, F.lit(False))
+    authority = F.regexp_extract(ws_trim(F.coalesce(col(url), F.lit(""))), r"(?i)\Ahttps?://([^/?#\\]*)", 1)
+    judged = lambda a: (a != "") & ~F.contains(a, F.lit("@")) & F.coalesce(_named(F.lower(F.regexp_replace(a, r":\d*\z", "")), _public_host), F.lit(False))
+    return _named(authority, judged)
