@@ -10,8 +10,21 @@ from gridloom.llm import bpe, langid, lines, mixing, simhash
 from gridloom.llm.common import table, written
 
 
+#: Bytes of rows that go to a Python worker together, at most, unless a row is larger: executors hold several such batches outside the heap.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Have the session's batches no larger than BATCH_BYTES; it changes no result."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name, None) or "").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def identify_language(spark, docs, sf_dir):
     """The documents whose language is recognised, with it as ``lang``. Null texts and those without letters go, repeated rows stay."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -22,6 +35,7 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """One row of each class of near copies: the one with the smallest id. Null texts are copies of empty ones."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -32,6 +46,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode_bytes(spark, docs, sf_dir):
     """The columns of the documents with n_tokens, ids, and whether decoding them gives the text again. Null texts have no ids."""
+    small_batches(spark)
     return bpe.encode_checked(docs)
 
 
