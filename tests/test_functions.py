@@ -401,3 +401,106 @@ def test_cleaning_report(spark):
     gone = cleaning.report(frame, cleaning.Options(action="REMOVE_ROW", missing="REMOVE_ROW", exact=False), types)[0].first()
     assert (gone.rows_removed_for_invalid_values, gone.rows_removed_for_missing_values, gone.rows_out) == (2, 1, 0)
     assert cleaning.report(frame.limit(0), o, types)[0].first().rows_out == 0
+
+
+def test_plan_edits_and_option_domains():
+    steps = workflow.appended(workflow.appended([], "PASTE_TEXT"), "TEXT_TO_TABLE")
+    assert steps[1].options == {"delimiter": "auto"} and workflow.projected(steps) == "TABLE" and workflow.projected([]) == "NONE"
+    assert workflow.removed(steps, 0) == steps[1:] and workflow.truncated(steps, 1) == steps[:1] and workflow.moved(steps, 1, 0) == steps[::-1]
+    assert len(workflow.duplicated(steps, 0)) == 3 and len(workflow.duplicated(steps * 20, 0)) == 40
+    with pytest.raises(workflow.PlanError):
+        workflow.appended(steps, "NO_SUCH")
+    with pytest.raises(workflow.PlanError):
+        workflow.validate([workflow.Step("PASTE_TEXT", "a"), workflow.Step("FIND_REPLACE", options={"find": "a", "case": "sometimes"})])
+
+
+def test_what_may_be_tried_again():
+    import socket
+
+    from gridloom.streaming import batches
+
+    class Answer(Exception):
+        def __init__(self, code):
+            self.code = code
+
+    assert [batches.may_pass(e) for e in (OSError(), TimeoutError(), RuntimeError(), Answer(503), Answer(429), Answer(404), ValueError(), socket.gaierror(), FileNotFoundError())] == [True, True, True, True, True, False, False, False, False]
+    tried, pauses = [], []
+
+    def work():
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError
+        return "done"
+
+    assert batches.with_retry(work, sleep=pauses.append) == "done" and pauses == [0.5, 1.0]
+    with pytest.raises(ValueError):
+        batches.with_retry(lambda: int("x"), sleep=pauses.append)
+
+
+def test_dependents_of_edited_cells():
+    from gridloom.operators import formula
+
+    a = lambda t: formula.address(t)
+    sheet = {a("A1"): "1", a("B1"): "=A1", a("C1"): "=SUM(A1:B9)", a("D1"): "=IF(C1>0,B1,2)", a("E1"): "=5", a("F1"): "=F1+A1", a("G1"): "=(", a("H1"): "plain A1", a("I1"): "=$A$1&\"A1\"", **{(r, 20): f"=U{r}" for r in range(1, 2000)}, (0, 20): "=A1"}
+    found = formula.dependents(sheet, {a("A1")})
+    assert found == {a("B1"), a("C1"), a("D1"), a("F1"), a("I1"), *((r, 20) for r in range(2000))}
+    assert formula.dependents(sheet, {a("E1")}) == set() and formula.dependents(sheet, {a("C1")}) == {a("D1")}
+    assert formula.references("=SUM(B2:A1,C3)+-D4%") and sorted(formula.references("=SUM(B2:A1,C3)")) == [(0, 0, 1, 1), (2, 2, 2, 2)] and formula.references("=)(") == []
+
+
+def test_edits_of_empty_and_repeated_cells(spark):
+    from gridloom.operators import formula
+
+    cells = spark.createDataFrame([("s", 0, 0, "1"), ("s", 0, 1, "=A1+C1"), (None, 0, 0, "=2")], "sheet string, row int, col int, input string")
+    edits = spark.createDataFrame([("s", 0, 2, "5"), ("s", 0, 0, "3"), ("s", 0, 0, "2"), ("new", 0, 0, "=1+1")], "sheet string, row int, col int, input string")
+    got = {(r.sheet, r.row, r.col): (r.display, r.changed) for r in formula.edited(formula.recalculate(cells), edits).collect()}
+    assert got == {("s", 0, 0): ("3", True), ("s", 0, 1): ("8", True), ("s", 0, 2): ("5", True), ("", 0, 0): ("2", False), ("new", 0, 0): ("2", True)}
+    assert formula.edited(formula.recalculate(cells), edits.limit(0)).where("changed").count() == 0
+
+
+def test_labels_beyond_the_columns_are_kept(spark):
+    from gridloom.operators import records
+
+    row = ("u", *["x"] * len(records.FIELDS), [("a", "1"), ("b", "2"), ("c", "3")], "cards")
+    frame = spark.createDataFrame([row, ("v", *[None] * len(records.FIELDS), [("a", "4")], "cards")], records.SCHEMA)
+    got = records.flat(frame, most_labels=1).orderBy("Source").collect()
+    assert [(r.a, r.More) for r in got] == [("1", {"b": "2", "c": "3"}), ("4", {})] and "More" not in records.flat(frame).columns
+
+
+def test_saved_workflows_have_a_limit(spark):
+    from gridloom.operators import history
+
+    rows = spark.range(history.MOST_SAVED).selectExpr("id", "'n' as name", "'[]' as stepsJson", "0 as stepCount", "id as createdAt")
+    with pytest.raises(ValueError):
+        history.saved(rows, "more", "[]", 0, 1)
+    assert history.saved(rows.limit(0), "x" * 100, "[]", 0, 1).first().name == "x" * 80
+
+
+def test_similar_keys_with_a_common_part(spark):
+    """Against every pair, on keys that share long parts, of all lengths around the threshold's steps."""
+    import random
+
+    from gridloom.operators import dedupe
+
+    rng = random.Random(6)
+    keys = {""}
+    while len(keys) < 140:
+        key = list(rng.choice(["common beginning of names ", "ab", "common "]) + "".join(rng.choice("abc") for _ in range(rng.randint(0, 12))))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(key) + 1)
+            key[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+        keys.add("".join(key).strip())
+    keys = sorted(keys)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    frame = spark.createDataFrame(list(enumerate(keys)), "rid long, key string")
+    for threshold in (0.6, 0.8, 0.92, 1.0):
+        want = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and 1 - distance(a, b) / max(len(a), len(b)) >= threshold}
+        assert {tuple(r) for r in dedupe._pairs(frame, threshold).collect()} == want, threshold
