@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, on any file system that Spark opens."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def whole(text: str = "text"):
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

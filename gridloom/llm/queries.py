@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, fingerprints, html, langid, lines, mixing, quality, simhash
+from . import bpe, chat, clusters, exact, fingerprints, html, langid, lines, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -58,7 +58,17 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_simhash_near_dedup, op3_chat_formatting, op4_line_dedup, op5_quality_classifier, op6_exact_dedup, op7_byte_level_bpe, op8_html_extraction, op9_language_id, op10_source_mixing)}
+def op12_virtual_slot_sharding(spark, sf_dir):
+    """The shard of every document, sizes near equal: ``sharding.report``; null texts have eight bytes."""
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    """Cluster and distance of every usable vector: ``clusters.report``; null, short and non-finite vectors are left out."""
+    return clusters.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_simhash_near_dedup, op3_chat_formatting, op4_line_dedup, op5_quality_classifier, op6_exact_dedup, op7_byte_level_bpe, op8_html_extraction, op9_language_id, op10_source_mixing, op12_virtual_slot_sharding, op13_centroid_clustering)}
 
 SQL = {
     "op4_line_dedup": lines.SQL,
@@ -68,4 +78,5 @@ g as (select norm, min(doc_id) as keep_id, count(*)::bigint as group_size, sha25
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (norm)
 """,
     "op10_source_mixing": mixing.SQL,
+    "op13_centroid_clustering": clusters.sql(),
 }
