@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, clusters, exact, fingerprints, html, langid, lines, mixing, quality, sharding, simhash
+from . import bpe, chat, clusters, exact, fingerprints, html, langid, lines, mixing, quality, quantiles, sharding, simhash
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_quantile_summaries(spark, sf_dir):
+    """Quantiles of clicks by client and of prices by brand, of batches and of what their summaries say of the whole: ``quantiles.report``, with its handling of nulls."""
+    return quantiles.report(*(table(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")))
+
+
 def op12_virtual_slot_sharding(spark, sf_dir):
     """The shard of every document, sizes near equal: ``sharding.report``; null texts have eight bytes."""
     return sharding.report(table(spark, sf_dir, "documents"))
@@ -68,7 +73,7 @@ def op13_centroid_clustering(spark, sf_dir):
     return clusters.report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_simhash_near_dedup, op3_chat_formatting, op4_line_dedup, op5_quality_classifier, op6_exact_dedup, op7_byte_level_bpe, op8_html_extraction, op9_language_id, op10_source_mixing, op12_virtual_slot_sharding, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_simhash_near_dedup, op3_chat_formatting, op4_line_dedup, op5_quality_classifier, op6_exact_dedup, op7_byte_level_bpe, op8_html_extraction, op9_language_id, op10_source_mixing, op11_quantile_summaries, op12_virtual_slot_sharding, op13_centroid_clustering)}
 
 SQL = {
     "op4_line_dedup": lines.SQL,
@@ -78,5 +83,6 @@ g as (select norm, min(doc_id) as keep_id, count(*)::bigint as group_size, sha25
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (norm)
 """,
     "op10_source_mixing": mixing.SQL,
+    "op11_quantile_summaries": quantiles.SQL,
     "op13_centroid_clustering": clusters.sql(),
 }
