@@ -192,6 +192,16 @@ _scan_query("xlsx_scan", "a.xlsx", lambda rows: files.xlsx_bytes({"One": rows, "
 _scan_query("json_scan", "a.json", lambda rows: ("[" + ", ".join('{"key": %s, "name": "%s", "text": "%s"}' % tuple(r) for r in rows[1:]) + "]").encode())
 
 
+@query("csv_scan_splits", "select doc_id::varchar as doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang from documents union all select doc_id::varchar, '', coalesce(source, '') from documents")
+def _(s, d):
+    """All documents as CSV files with quoted line ends, half of them with other columns in another order, read in splits."""
+    folder, docs = _folder(s), load(s, d, "documents")
+    asis = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.select("doc_id", F.col("text"), "lang").write.options(**asis).csv(f"{folder}/a")
+    docs.select(F.col("source").alias("lang"), "doc_id").write.options(**asis).csv(f"{folder}/b")
+    return tables.read_table(s, f"{folder}/*").drop("__rid")
+
+
 @query("xlsx_folder_scan", "select concat(f, '-', n_nationkey) as key, n_name as name from nation, range(3) t(f)")
 def _(s, d):
     folder = _folder(s)

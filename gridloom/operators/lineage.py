@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,12 @@ def spread(df: DataFrame) -> DataFrame:
     if "Exchange" in query.executedPlan().toString() or query.toRdd().getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it again: worked out once, columns read as they are needed."""
+    spark = df.sparkSession
+    ensure_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

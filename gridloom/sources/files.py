@@ -52,25 +52,27 @@ def sniff_delimiter(text: str) -> str:
 FIELD = re.compile(r'(?:"((?:[^"]|"")*)(?:"|\Z))?([^%s\r\n]*)(%s|\r\n|\r|\n|\Z)')
 
 
-def parse_csv(text: str) -> list[list[str]]:
-    """Rows of fields. A quote opens a quoted field at its start only; what follows the closing quote is added to it; rows
-    of one empty field are dropped; ragged rows stay."""
-    text = text.removeprefix("﻿")
-    if not text.strip():
-        return []
-    d = sniff_delimiter(text)
+def csv_rows(text: str, d: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(offset, end, fields) of each row of a text. A quote opens a quoted field at its start only; what follows the closing
+    quote is added to it; rows of one empty field are left out; ragged rows stay."""
     field = re.compile(FIELD.pattern % (re.escape(d), re.escape(d)))
-    rows, row, at = [], [], 0
+    row, at, began = [], 0, 0
     while True:
         m = field.match(text, at)
         row.append((m[1] or "").replace('""', '"') + m[2])
         at = m.end()
         if m[3] != d or not m[3]:
             if row != [""]:
-                rows.append(row)
-            row = []
+                yield began, m.end(2), row
+            row, began = [], at
             if at >= len(text):
-                return rows
+                return
+
+
+def parse_csv(text: str) -> list[list[str]]:
+    """Rows of fields of a whole file, its delimiter found out; a file of blanks alone has none."""
+    text = text.removeprefix("\ufeff")
+    return [row for _, _, row in csv_rows(text, sniff_delimiter(text))] if text.strip() else []
 
 
 def format_of(name: str) -> str:

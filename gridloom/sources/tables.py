@@ -1,4 +1,4 @@
-"""Tables in files of any of the known formats, read in tasks: one file is parsed by one task, all files of a folder at once."""
+"""Tables in files of any of the known formats: CSV in splits, of the others one file is parsed by one task, all files of a folder at once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files
+from . import files, splits
 
 
 def _text(v) -> str:
@@ -37,7 +37,7 @@ def rows_of(name: str, data: bytes) -> list[list[str]]:
     return files.parse_csv(text)
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, n, cells): the rows of all files under a path, numbered within their file; row 0 is the header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,18 @@ def as_table(rows: DataFrame, rid: str = "__rid") -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, rid: str = "__rid") -> DataFrame:
-    return as_table(read_rows(spark, path), rid)
+    """The files under a path as one table of strings with ordinals: CSV files in splits, matched by name; those of other formats by place.
+
+    A folder with CSV and other files has the CSV files' rows and columns first, the others' by name after them.
+    """
+    found = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # the list that Spark's driver keeps
+    csv = [p for p in found if files.format_of(p) == "CSV"]
+    if len(csv) == len(found):
+        return splits.read_table(spark, path, rid)
+    if not csv:
+        return as_table(read_rows(spark, path), rid)
+    rest = as_table(read_rows(spark, [p for p in found if p not in set(csv)]), rid).withColumn(rid, F.col(rid) + F.lit(1 << 62))
+    return splits.read_table(spark, csv, rid).unionByName(rest, allowMissingColumns=True).na.fill("")
 
 
 def to_csv(spark: SparkSession, path: str, out: str) -> None:
