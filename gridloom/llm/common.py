@@ -29,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, *keys: str, then=lambda dealt: dealt) -> DataFrame:
+    """``df`` dealt by keys, with what ``then`` makes of it there, written to the shared checkpoint folder; later joins and groups by these keys do not deal it again.
+
+    Only a plan that is not adapted while it runs tells how its rows are dealt.
+    """
+    spark = df.sparkSession
+    name, before = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(name, "false")
+    try:
+        return cut(then(df.repartition(shuffle_partitions(spark), *keys)))
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

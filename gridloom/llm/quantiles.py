@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, spread_join, written
+from .common import cut, cut_by, small, written
 
 BATCHES = 16
 #: Answers are given for i of QUANTILES, cut ranks are j of CUTS, a multiple of it.
@@ -35,7 +35,7 @@ WHOLE = -1
 #: Different values in a piece, on average at most.
 PIECE = 16_384
 #: Halvings of an interval in one pass, by counts at 2 to this power less one midpoints.
-HALVINGS = 4
+HALVINGS = 5
 #: Bits of the map that tells keys whose batches are searched: 1 MB at most. Keys that share a bit are searched too, with the same result.
 FILTER_BITS = 1 << 23
 WORD = 32_768
@@ -87,13 +87,12 @@ def searched(rows: DataFrame) -> DataFrame:
 
 def pieces_of(rows: DataFrame) -> DataFrame:
     """(key, batch, chunk, xs, ns): the different values of each batch and their counts, in pieces dealt by the values' hash, checkpointed by piece."""
-    rows = rows.groupBy("key", "batch", "x").agg(F.sum("n").alias("n")).withColumn("kb", F.xxhash64("key", "batch"))
-    rows = written(rows, "values")
-    sizes = rows.groupBy("kb").agg(F.count("*").alias("values"))
-    chunks = F.ceil(F.col("_chunks") / PIECE)
-    dealt = spread_join(rows, sizes.withColumn("_chunks", F.col("values")), "kb", "values").withColumn("chunk", F.pmod(F.xxhash64("x"), chunks).cast("int"))
-    pieces = dealt.groupBy("key", "batch", "chunk").agg(F.collect_list(F.struct("x", "n")).alias("r"))
-    return cut(pieces.select("key", "batch", "chunk", F.col("r.x").alias("xs"), F.col("r.n").alias("ns")).repartition(shuffle_partitions(rows.sparkSession), "key", "batch", "chunk"))
+    rows = written(rows.groupBy("key", "batch", "x").agg(F.sum("n").alias("n")), "values")
+    large = small(rows.groupBy("key", "batch").agg(F.count("*").alias("_values")).where(F.col("_values") > PIECE))
+    chunks = F.coalesce(F.ceil(F.col("_values") / PIECE), F.lit(1))
+    dealt = rows.join(large, ["key", "batch"], "left").withColumn("chunk", F.pmod(F.xxhash64("x"), chunks).cast("int"))
+    arrays = lambda d: d.groupBy("key", "batch", "chunk").agg(F.collect_list(F.struct("x", "n")).alias("r")).select("key", "batch", "chunk", F.col("r.x").alias("xs"), F.col("r.n").alias("ns"))
+    return cut_by(dealt, "key", "batch", "chunk", then=arrays)
 
 
 def _midpoints(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -177,7 +176,8 @@ def counts(pieces: DataFrame, owners: DataFrame, probes: DataFrame) -> DataFrame
     """
     dealt = owners.join(probes.select("key", "owner", "probes"), ["key", "owner"])
     met = pieces.join(dealt.hint("shuffle_hash"), ["key", "batch", "chunk"]).select("key", "owner", "probes", "xs", "ns")
-    parts = met.mapInArrow(tallied, "key string, owner int, rows array<long>, vals array<long>")
+    # Each task has summed an owner's pieces to one row of arrays, so dealing these is all that its sums need.
+    parts = met.mapInArrow(tallied, "key string, owner int, rows array<long>, vals array<long>").repartition("key", "owner")
     each = parts.select("key", "owner", F.posexplode(F.arrays_zip("rows", "vals")).alias("pos", "c"))
     sums = each.groupBy("key", "owner", "pos").agg(F.sum("c.rows").alias("rows"), F.sum("c.vals").alias("vals"))
     return sums.groupBy("key", "owner").agg(F.collect_list(F.struct("pos", "rows", "vals")).alias("got"))
