@@ -33,7 +33,7 @@ VALUES = 20
 COMPLETE = CUTS + 1 + VALUES
 WHOLE = -1
 #: Different values in a piece, on average at most.
-PIECE = 16_384
+PIECE = 4_096
 #: Halvings of an interval in one pass, by counts at 2 to this power less one midpoints.
 HALVINGS = 5
 #: Bits of the map that tells keys whose batches are searched: 1 MB at most. Keys that share a bit are searched too, with the same result.
