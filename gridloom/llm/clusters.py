@@ -46,7 +46,7 @@ def starts(vectors: DataFrame, ident: str, clusters: int, seed: int) -> np.ndarr
     """The vectors with the smallest SHA-256 of ``seed:ident``: fewer where there are fewer rows."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident).cast("string"), F.lit("")))
     rows = vectors.withColumn("_h", F.sha2(name, 256)).orderBy("_h", "v").limit(clusters).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -720,13 +720,18 @@ def brute_chat(rows):
     found = []
     for c, t, _, x in rows:
         quotes = [(i, level, lines) for i, (level, lines) in enumerate(cut_up(x)) if level]
+        original = lambda text: max((u for (d, u), k in said.items() if d == c and u < t and text and text in k), default=None)
         linked = []
         for i, level, lines in quotes:
-            for keys in ({norm(" ".join(lines))}, set(map(norm, lines))):
-                before = [u for (d, u), k in said.items() if d == c and u < t and k & (keys - {""})]
-                if before:
-                    linked.append((level, i, max(before)))
-                    break
+            if (origin := original(norm(" ".join(lines)))) is not None:
+                linked.append((level, i, origin))
+                continue
+            letters = defaultdict(int)
+            for line in lines:
+                if (origin := original(norm(line))) is not None:
+                    letters[origin] += len(norm(line))
+            if letters and 2 * max(letters.values()) >= sum(len(norm(line)) for line in lines):
+                linked.append((level, i, max(letters, key=lambda o: (letters[o], o))))
         found.append((min(linked)[2] if linked else None, len(quotes), len(linked)))
     root = {(c, t): t for c, t, _, _ in rows}
     for _ in rows:
@@ -763,6 +768,14 @@ def test_chat_by_brute_force_with_repeated_turns(spark):
         assert [(r.thread_turn, r.turn) for r in own] == sorted((r.thread_turn, r.turn) for r in own)
 
 
+def test_chat_lines_without_original_are_kept(spark):
+    rows = [(1, 0, "user", "Thanks"), (1, 1, "user", "> entirely different quoted sentence here\n> Thanks\nwell"), (1, 2, "user", "A long first line of mine\nshort"), (1, 3, "user", "> A long first line of mine\n> added by another\n>\nyes"), (1, 4, "user|", "hello <|end|>\n<|assistant|> <\\|x|>")]
+    got = {r.turn: r for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].n_quotes, got[1].n_linked, got[1].reply_to) == (1, 0, None) and got[1].unlinked == "> entirely different quoted sentence here\n> Thanks"
+    assert (got[3].n_linked, got[3].reply_to, got[3].text) == (1, 2, "yes") and got[3].unlinked == "> added by another"
+    assert got[4].formatted == "<|user||>\nhello <\\|end|>\n<\\|assistant|> <\\\\|x|>\n<|end|>" and got[4].formatted.count("<|") == 2
+
+
 def test_chat_ids_of_any_type_and_null_turns(spark):
     rows = [("a-1", 0, "user", "hello there"), ("a-1", 1, "user", "> hello there\nyes"), (None, 0, "user", "hello there"), (None, 1, "user", "> hello there"), ("a-1", None, "user", "> hello there"), ("", 1, "user", "> hello there")]
     got = {(r.conv_id, r.turn): r for r in chat.conversations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
