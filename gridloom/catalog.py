@@ -213,6 +213,28 @@ def _(s, d):
     return dedupe.drop_similar(names, ["name"], "id")
 
 
+_LONG = "concat({})".format(", ".join(f"md5(concat('{i}-', s_suppkey, '-', {{0}}))" for i in range(10)))
+
+
+@query("dedupe_similarity_long", f"select s_suppkey * 3 + k as id, {_LONG.format('k')} as name from supplier, (values (0), (2)) t(k)")
+def _(s, d):
+    """Names of 320 letters: the second of a supplier is 16 edits from its first, the third has nothing in common with them."""
+    one = load(s, d, "supplier").selectExpr("s_suppkey", "explode(array(0, 1, 2)) as k").withColumn("m", F.expr(_LONG.format("if(k = 1, 0, k)")))
+    edited = "concat('zzz', substring(m, 4, 97), 'yyy', substring(m, 101, 100), substring(m, 206, 110), 'xx', 'www')"
+    return dedupe.drop_similar(one.selectExpr("s_suppkey * 3 + k as id", f"if(k = 1, {edited}, m) as name"), ["name"], "id")
+
+
+_TYPES = "Product ARTICLE newsArticle BlogPosting recipe Event Book Movie JobPosting Restaurant localbusiness SoftwareApplication Offer Organization".split()
+
+
+@query("html_linked_types", "select concat('https://x.example/', p_partkey) as url, case when p_partkey % 14 = 13 then 'page' else 'json-ld' end as strategy, case when p_partkey % 14 = 13 then concat('T ', p_partkey) else p_name end as name from part")
+def _(s, d):
+    """A page for each part with linked data of one of the record types in any case, or of another type, which is no record."""
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("p_partkey") % 14 + 1).cast("int"))
+    html = F.concat(F.lit("<title>T "), "p_partkey", F.lit('</title><script type="application/ld+json">{"@type": "'), kind, F.lit('", "name": "'), "p_name", F.lit('"}</script>'))
+    return records.extract(load(s, d, "part").select(F.concat(F.lit("https://x.example/"), "p_partkey").alias("url"), html.alias("html"))).select("url", "strategy", "name")
+
+
 def _clean(s, d):
     df = messy(s, d, ORDERS).select("id", "day", "price", "priority").withColumnRenamed("id", cleaning.RID)
     return cleaning.clean(df, cleaning.Options(), {"day": "DATE", "price": "CURRENCY", "priority": "TEXT"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,47 +28,79 @@ def keep_first(df: DataFrame, keys: list[str], rid: str, normalised: bool = Fals
 SPARE = 2
 
 
-def _parts(m: Column, threshold: float) -> tuple[Column, Column, Column]:
-    """(edits, number of parts, their size) of a key of m letters as the shorter of two similar ones."""
-    slack = 1.0 - threshold
-    edits = F.floor(F.lit(slack) * F.floor(m / threshold + 1e-9) + 1e-9).cast("int")
-    count = edits + 1 + F.when(m >= 4 * (edits + 1 + SPARE), SPARE).otherwise(0)
-    return edits, count, F.greatest(F.lit(1), F.floor(m / count).cast("int"))
+def _floor(c: Column) -> Column:
+    return F.floor(c + 1e-9).cast("int")
+
+
+def _edits(longer: Column, threshold: float) -> Column:
+    """Edits that two similar keys may be apart, by the length of the longer one."""
+    return _floor((1.0 - threshold) * longer)
+
+
+def _class(m: Column, threshold: float) -> Column:
+    """Number of a key's length among classes of lengths, two of which are as wide as what the threshold lets lengths differ."""
+    return F.floor(2 * F.log(m.cast("double")) / -math.log(threshold)).cast("int") if threshold < 1 else m
+
+
+def _parts(c: Column, threshold: float) -> tuple[Column, Column, Column]:
+    """(number, spare ones, size) of the parts of keys of a class: enough for the class's longest, small enough for its shortest."""
+    bound = lambda k: F.exp(k * (-math.log(threshold) / 2)) if threshold < 1 else k
+    low, high = F.ceil(bound(c)) - 1, F.floor(bound(c + 1)) + 1
+    touched = _edits(_floor(high / threshold), threshold) + 1
+    spare = F.when(low >= 4 * (touched + SPARE), SPARE).otherwise(0)
+    return (touched + spare).cast("int"), spare, F.greatest(F.lit(1), F.floor(low / (touched + spare))).cast("int")
+
+
+def _posts(some: DataFrame, threshold: float) -> DataFrame:
+    """(rid, n, d, i, h): each key's parts as the shorter of two similar ones, by the hash of class, number and letters."""
+    count, _, size = _parts(F.col("c"), threshold)
+    cut_up = some.withColumn("c", _class(F.col("n"), threshold)).withColumns({"size": size, "i": F.explode(F.sequence(F.lit(0), F.least(count, F.col("n")) - 1))})
+    h = F.xxhash64("c", "i", F.substring("key", F.col("i") * F.col("size") + 1, F.col("size")))
+    return cut_up.select("rid", "n", _edits(_floor(F.col("n") / threshold), threshold).alias("d"), "i", h.alias("h"))
+
+
+def _offers(some: DataFrame, threshold: float) -> DataFrame:
+    """(other, other_n, h): where a part of a shorter similar key can stand in each key, by the same hash, once each.
+
+    Part i is looked for up to i places from where it stands in the shorter key, and so that what follows it is at most
+    as far apart as the edits that are left, for the lengths of one class at once: in all about half the square of the
+    edits for each of three classes.
+    """
+    lengths = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.col("n"))
+    classes = some.withColumn("lengths", lengths).withColumn("c", F.explode(F.array_distinct(F.transform("lengths", lambda m: _class(m, threshold)))))
+    own = F.filter("lengths", lambda m: _class(m, threshold) == F.col("c"))
+    count, spare, size = _parts(F.col("c"), threshold)
+    classes = classes.withColumn("own", own).withColumns({"count": count, "spare": spare, "size": size, "d": _edits(F.col("n"), threshold), "least": F.col("n") - F.array_max("own"), "most": F.col("n") - F.array_min("own")})
+    each = classes.withColumn("i", F.explode(F.expr("sequence(0, least(count, n) - 1)")))
+    each = each.withColumns({"low": F.expr("greatest(-i, least - (d - i + spare), -i * size)"), "high": F.expr("least(i, most + d - i + spare, n - (i + 1) * size)")}).where("low <= high")
+    places = F.transform(F.sequence("low", "high"), lambda s: F.xxhash64("c", "i", F.substring("key", F.col("i") * F.col("size") + s + 1, F.col("size"))))
+    return each.select(F.col("rid").alias("other"), F.col("n").alias("other_n"), F.explode(F.array_distinct(places)).alias("h"))
 
 
 def _pairs(keyed: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: ordinals of rows whose keys are similar.
 
-    A key of m letters that is at most d edits from one of n letters is cut into d + 1 parts and some to spare. An edit
-    touches one part, so the longer key holds all but d of them, each s places from where it stands in the shorter one,
-    with abs(s) + abs(n - m - s) edits before and after it at least, which leaves d + 1 places at most. Of the parts of a
-    key the d + 1 rarest are enough to look up; parts go into the join as equalities with their numbers and m, so that
-    only rows that share a rare part are compared.
+    A key that is at most d edits from a longer one is cut into parts, of which any d + 1 are taken, here the rarest. Take
+    the first of them, in order, before whose end there are no more edits than parts before it: it is untouched, has as
+    many edits before it as parts, and all others behind it. So the longer key holds it near its own place: ``_offers``
+    lists the places. Postings have ordinals, lengths and hashes; keys are joined to the pairs that met, and compared.
     """
     if not 0.5 < threshold <= 1.0:
         raise ValueError("the threshold must lie above 0.5, so that a key has more letters than edits")
     some = keyed.where("key <> ''").select("rid", "key", F.length("key").alias("n"))
-
-    def cut_up(rows: DataFrame) -> DataFrame:
-        edits, count, size = _parts(F.col("m"), threshold)
-        return rows.withColumns({"d": edits, "count": count, "size": size}).withColumn("i", F.explode(F.expr("sequence(0, least(count, m) - 1)")))
-
-    part = lambda at: F.substring("key", at + 1, F.col("size")).alias("part")
-    short = cut_up(some.withColumn("m", F.col("n"))).select("rid", "key", "n", "m", "d", "count", "i", part(F.col("i") * F.col("size")))
-    longer = some.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.col("n"))))
-    longer = cut_up(longer).where("n - m <= d").withColumn("s", F.explode(F.expr("sequence(-((d - n + m) div 2), (d + n - m) div 2)")))
-    at = F.col("i") * F.col("size") + F.col("s")
-    offers = longer.where((at >= 0) & (at + F.col("size") <= F.col("n"))).select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n"), "m", "i", part(at.cast("int"))).distinct()
-    often = offers.groupBy("m", "i", "part").agg(F.count("*").alias("often"))
+    offers = cut(_offers(some, threshold))
+    often = offers.groupBy("h").agg(F.count("*").alias("often"))
     # A key has as many rows as parts here.
     rarest = Window.partitionBy("rid").orderBy("often", "i")
-    wanted = short.join(often, ["m", "i", "part"]).withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("d") + 1)
-    met = wanted.drop("often", "rank", "count").join(offers, ["m", "i", "part"]).where((F.col("rid") != F.col("other")) & (F.col("other_n") - F.col("n") <= F.col("d")))
-    met = met.select("rid", "other", "key", "other_key", "other_n", "d").dropDuplicates(["rid", "other"])
-    # Beyond d edits a pair is too far apart: the distance is then -1 and was not worked out to its end.
-    met = met.withColumn("edits", F.expr("levenshtein(key, other_key, d)"))
+    wanted = _posts(some, threshold).join(often, "h").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("d") + 1)
+    apart = F.col("other_n") - F.col("n")
+    met = wanted.select("rid", "n", "h").join(offers, "h").where((apart <= _edits(F.col("other_n"), threshold)) & ((apart > 0) | ((apart == 0) & (F.col("rid") < F.col("other")))))
+    met = met.select("rid", "other").distinct()
+    met = met.join(some.select("rid", "key"), "rid").join(some.select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n")), "other")
+    # Beyond the edits allowed a pair is too far apart: the distance is then -1 and was not worked out to its end.
+    met = met.withColumn("d", _edits(F.col("other_n"), threshold)).withColumn("edits", F.expr("levenshtein(key, other_key, d)"))
     near = met.where((F.col("edits") >= 0) & (1.0 - F.col("edits") / F.col("other_n") >= threshold))
-    return near.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+    return near.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"))
 
 
 def drop_similar(df: DataFrame, keys: list[str], rid: str, threshold: float = 0.92) -> DataFrame:

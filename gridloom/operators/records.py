@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 FIELDS = ("name", "description", "price", "rating", "link", "image", "category")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-ENTITY_TYPES = frozenset("Product Article NewsArticle BlogPosting Recipe Event Book Movie JobPosting LocalBusiness Organization Person Course".split())
+ENTITY_TYPES = frozenset("product article newsarticle blogposting recipe event book movie jobposting restaurant localbusiness softwareapplication offer".split())
+LAZY = ("data-src", "data-lazy-src", "data-lazy", "data-original", "data-echo")
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 MOST_EXTRAS = 8
 CARD_FIELDS = {
@@ -159,9 +160,10 @@ def tables(root: Node) -> list[list[list[str]]]:
 
 def image_of(node: Node, base: str) -> str | None:
     for img in (n for n in node.walk() if n.tag in ("img", "source")):
-        for name in ("data-src", "data-original", "data-lazy-src", "srcset", "src"):
-            if value := img.attrs.get(name, "").split(",")[0].split(" ")[0]:
-                return urljoin(base, value)
+        for name in (*LAZY, "srcset", "src"):
+            value = img.attrs.get(name, "").strip()
+            if value and not value.startswith("data:"):  # a placeholder
+                return urljoin(base, value.split(",")[0].split(" ")[0])
     return next((urljoin(base, m[1]) for n in (node, *node.walk()) if (m := re.search(r"background(?:-image)?\s*:[^;]*url\([\"']?([^\"')]+)", n.attrs.get("style", "")))), None)
 
 
@@ -275,7 +277,7 @@ def json_ld(root: Node, base: str) -> list[dict]:
             todo += reversed(x)
         elif isinstance(x, dict):
             kinds = x.get("@type")
-            if ENTITY_TYPES & {k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}:
+            if ENTITY_TYPES & {k.lower() for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}:
                 made = _entity(x, base)
                 if made["extra"] or any(made[f] for f in FIELDS):
                     found.setdefault((made["name"], made["link"], made["price"]), made)

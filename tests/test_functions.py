@@ -504,3 +504,36 @@ def test_similar_keys_with_a_common_part(spark):
     for threshold in (0.6, 0.8, 0.92, 1.0):
         want = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and 1 - distance(a, b) / max(len(a), len(b)) >= threshold}
         assert {tuple(r) for r in dedupe._pairs(frame, threshold).collect()} == want, threshold
+
+
+def test_linked_data_types_and_lazy_images():
+    kinds = ["Product", "ARTICLE", "newsArticle", "BlogPosting", "recipe", "Event", "Book", "Movie", "JobPosting", "Restaurant", "localbusiness", "SoftwareApplication", "Offer"]
+    page = lambda types: records.Tree("".join(f'<script type="application/ld+json">{{"@type": "{t}", "name": "n {t}"}}</script>' for t in types)).root
+    assert [r["name"] for r in records.json_ld(page(kinds), "https://x.example/")] == [f"n {t}" for t in kinds]
+    assert records.json_ld(page(["Organization", "Person", "Course", "WebSite"]), "https://x.example/") == []
+    for name in ("data-src", "data-lazy-src", "data-lazy", "data-original", "data-echo"):
+        root = records.Tree(f'<img src="data:image/gif;base64,AAAA" {name}="real.png">').root
+        assert records.image_of(root, "https://x.example/a/") == "https://x.example/a/real.png"
+    assert records.image_of(records.Tree('<img src="data:image/gif;base64,AAAA">').root, "https://x.example/") is None
+
+
+def test_similar_offers_grow_with_edits_squared(spark):
+    """Offers of a row by its key's length; and long keys against every pair."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for length, threshold in ((32, 0.92), (300, 0.92), (1000, 0.92), (1000, 0.99)):
+        frame = spark.createDataFrame([(i, word(length)) for i in range(4)], "rid long, key string").selectExpr("rid", "key", "length(key) as n")
+        edits = int((1 - threshold) * length + 1e-9)
+        assert dedupe._offers(frame, threshold).count() <= 4 * 3 * (edits + 3) ** 2
+    keys = [word(300) for _ in range(6)]
+    for i, edits in enumerate((3, 23, 24, 25, 30, 0)):
+        at = sorted(rng.sample(range(300), edits), reverse=True)
+        other = list(keys[i])
+        for a in at:
+            other[a : a + 1] = rng.choice([["X"], [], [other[a], "Y"]])
+        keys.append("".join(other) + "z" * (edits == 0))
+    near = lambda a, b: spark.range(1).selectExpr(f"levenshtein('{a}', '{b}') as d").first().d / max(len(a), len(b)) <= 0.08
+    want = {(i, i + 6) for i in range(6) if near(keys[i], keys[i + 6])}
+    assert {tuple(r) for r in dedupe._pairs(spark.createDataFrame(list(enumerate(keys)), "rid long, key string"), 0.92).collect()} == want and len(want) >= 3
