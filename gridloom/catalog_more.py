@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .catalog import _VISIBLE_SQL, cell_query, formula_query, load, query
 from .functions import addresses, cells
-from .operators import formula, history, invoices, layout, lineage, records
+from .operators import dependents, formula, history, invoices, layout, lineage, records
+from .operators.history_table import HistoryTable
 from .plans import workflow
 from .sources import files, pdf, tables
 from .streaming import batches
@@ -310,6 +311,42 @@ def _(s, d):
     return tables.within(s, folder, 100).join(old, "path").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "old")
 
 
+@query(
+    "sheet_dependents",
+    "select 'orders' as sheet, o_orderkey::bigint as \"row\", 1::bigint as col from orders where o_orderkey % 100 = 0"
+    " union all select 'orders', o_orderkey, 2 from orders where o_orderkey % 100 = 0 or o_orderkey % 100 >= 98 and o_orderkey // 100 * 100 + 100 <= (select max(o_orderkey) from orders)"
+    " union all select 'orders', o_orderkey, 3 from orders where o_orderkey % 100 < 50",
+)
+def _(s, d):
+    """A sheet with a row for each order: doubles, sums of three rows, and running sums that begin anew every 50 rows."""
+    r = "o_orderkey"
+    inputs = f"array(string(o_totalprice), concat('=A', {r} + 1, '*2'), concat('=SUM(B', {r} + 1, ':B', {r} + 3, ')'), if({r} % 50 = 0, concat('=A', {r} + 1), concat('=D', {r}, '+A', {r} + 1)))"
+    cells = load(s, d, "orders").selectExpr("'orders' as sheet", f"{r} as row", f"posexplode({inputs}) as (col, input)")
+    edits = load(s, d, "orders").where(f"{r} % 100 = 0").selectExpr("'orders' as sheet", f"{r} as row", "0 as col")
+    return dependents.dependents(cells, edits, 4096)
+
+
+_EVENT_RUNS = "event_id as id, event_type as feature, (value > 50)::int as qualityScore, user_id, (epoch_us(ts) // 1000)::bigint as timestamp from events"
+
+
+@query(
+    "history_written",
+    f"with r as (select {_EVENT_RUNS}), e as (select id, feature, case when user_id = 7 then 99 else qualityScore end as qualityScore, timestamp from r where timestamp >= 1704844800000 + 3600000 and feature <> 'error')"
+    " select id, feature, qualityScore, timestamp from e order by timestamp desc, id desc limit 5000",
+)
+def _(s, d):
+    """All events as runs of a history by days: inserted twice, updated, expired, deleted from, and cut to the newest 5,000."""
+    runs = load(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("feature"), (F.col("value") > 50).cast("int").alias("qualityScore"), "user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1000").alias("timestamp"))
+    table = HistoryTable(s, f"{_folder(s)}/history", "id bigint, feature string, qualityScore int, user_id bigint, timestamp bigint")
+    table.insert(runs)
+    table.insert(runs.where("id % 3 = 0"))
+    table.update(F.col("user_id") == 7, qualityScore=99)
+    table.expire(1704844800000 + 3600000)
+    table.delete(F.col("feature") == "error")
+    table.keep_newest(5000)
+    return table.rows().select("id", "feature", "qualityScore", "timestamp")
+
+
 @query("layout_rows", "select n_nationkey::bigint as page_id, unnest([0, 1, 2])::int as row, unnest([concat('a|', n_name, '|'), '||', 'x|y|z']) as line from nation")
 def _(s, d):
     text = F.concat(F.lit("Title\na\t"), "n_name", F.lit("\nprose\nx\ty\tz\nend"))

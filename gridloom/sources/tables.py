@@ -101,3 +101,12 @@ def within(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
 def stale(spark: SparkSession, path: str, before) -> DataFrame:
     """(path, length, modificationTime) of the files that were last written before a time."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").where(F.col("modificationTime") < F.lit(before))
+
+
+def purge(spark: SparkSession, path: str, before) -> int:
+    """Delete the files under a path that were last written before a time; their number. Names go to the driver one at a time."""
+    hadoop, count = spark._jvm.org.apache.hadoop.fs, 0
+    for r in stale(spark, path, before).select("path").toLocalIterator():
+        at = hadoop.Path(r["path"])
+        count += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
+    return count

@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.cells import content_key, masked, text_quality
+from ..operators.history_table import HistoryTable
 
 ATTEMPTS, FIRST_MS, LONGEST_MS = 3, 500, 8000
 
@@ -47,7 +49,51 @@ def with_retry(work: Callable, attempts: int = ATTEMPTS, retryable: Callable[[Ex
 def scored(texts: DataFrame, feature: str = "BATCH_TEXT") -> DataFrame:
     """(path, text) as history rows; a text that is blank counts as failed."""
     quality = text_quality("text")
-    return texts.select(F.lit(feature).alias("feature"), content_key("text").alias("inputHash"), F.col("path").alias("inputLabel"), masked("text").alias("outputPreview"), quality.alias("qualityScore"), F.when(quality > 0, "SUCCESS").otherwise("FAILED").alias("status"))
+    more = [F.col("retryCount")] if "retryCount" in texts.columns else []
+    return texts.select(*more, F.lit(feature).alias("feature"), content_key("text").alias("inputHash"), F.col("path").alias("inputLabel"), masked("text").alias("outputPreview"), quality.alias("qualityScore"), F.when(quality > 0, "SUCCESS").otherwise("FAILED").alias("status"))
+
+
+RETRIED = "path string, text string, retryCount int, error string"
+
+
+def retried(found: DataFrame, work: Callable[[bytes], str], attempts: int = ATTEMPTS, first_ms: int = FIRST_MS, longest_ms: int = LONGEST_MS, retryable: Callable[[Exception], bool] = may_pass) -> DataFrame:
+    """(path, text, retryCount, error) of each file of a stream (path, content) that is done with: ``work`` gave its text, or it failed for good.
+
+    A file whose error may pass is kept as state with its attempt and its due time, and is tried again in a later batch,
+    when its timer is up, while other files go on; after ``attempts`` it is given up, with a blank text and the error.
+    No task waits. State and timers outlive the query: a restart goes on with what was pending. Null contents count as empty.
+    """
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        content, attempt = state.get if state.exists else (None, 0)
+        for batch in rows:  # empty when a timer is up; a file that comes again while it is pending starts anew
+            if len(batch):
+                content, attempt = bytes(batch["content"].iloc[-1] or b""), 0
+        try:
+            done = (work(bytes(content)), None)
+        except Exception as e:
+            if attempt + 1 < attempts and retryable(e):
+                state.update((content, attempt + 1))
+                state.setTimeoutDuration(backoff_ms(attempt, first_ms, longest_ms))
+                return
+            done = ("", f"{type(e).__name__}: {e}")
+        state.remove()
+        yield pd.DataFrame({"path": [key[0]], "text": [done[0]], "retryCount": [attempt], "error": [done[1]]})
+
+    return found.select("path", "content").groupBy("path").applyInPandasWithState(step, RETRIED, "content binary, attempt int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_retried(found: DataFrame, work: Callable[[bytes], str], table: HistoryTable, checkpoint: str, feature: str = "BATCH_TEXT", every: str = "1 second", **more) -> StreamingQuery:
+    """``retried`` as history rows, inserted into a history by days; a batch that is run again changes nothing.
+
+    A row's id is the hash of path and batch feature; its time is that of the batch.
+    """
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        rows = scored(batch, feature).withColumns({"id": F.xxhash64("feature", "inputLabel"), "timestamp": F.unix_millis(F.current_timestamp())})
+        table.insert_batch(rows, batch_id)
+
+    return retried(found, work, **more).writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def pdf_texts(found: DataFrame) -> DataFrame:
