@@ -7,7 +7,7 @@ stays), mixing sources to target weights, byte-level BPE encoding with a decodin
 from __future__ import annotations
 
 from gridloom.llm import bpe, langid, lines, mixing, simhash
-from gridloom.llm.common import table, written
+from gridloom.llm.common import removed, staged, table
 
 
 #: Bytes of rows that go to a Python worker together, at most, unless a row is larger: executors hold several such batches outside the heap.
@@ -63,8 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The rows of the last stage over the table documents; what the stages before it keep is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the table documents; an empty table gives none.
+
+    What a stage keeps is written to the shared folder and deleted when the next stage is written, so there are two copies
+    at most, and in the end that which the result is read from. Columns of documents that stages do not know stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        kept = stage(spark, docs, sf_dir)
+        path = staged(kept, name)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

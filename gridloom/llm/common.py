@@ -117,13 +117,24 @@ def once(shared, make):
     return shared.made
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it again; the folder goes with the application."""
+def staged(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet into the shared checkpoint folder; the path, which stays until it is removed."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it again."""
+    return df.sparkSession.read.schema(df.schema).parquet(staged(df, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
