@@ -259,6 +259,28 @@ _sink_query("txt_sink", "TXT", "concat(r_name, chr(9), r_regionkey)", "concat('n
 _sink_query("json_sink", "JSON", "concat('{\"name\":\"', r_name, '\",\"key\":\"', r_regionkey, '\"}')", "")
 
 
+def _one_file_query(name, kind, sql):
+    """All documents with their source, written by many tasks as one file, and its lines with their numbers."""
+
+    @query(name, sql)
+    def _(s, d):
+        path = f"{_folder(s)}/out.{kind.lower()}"
+        rows = load(s, d, "documents").select(F.col("doc_id").alias("__rid"), F.col("doc_id").alias("id"), F.concat(F.lit("a "), F.coalesce("source", F.lit("")), F.lit(', "b"')).alias("name"))
+        files.write_table(rows, path, kind)
+        assert s.read.format("binaryFile").load(path).count() == 1
+        return s.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+
+
+_ONE = "(select doc_id as id, concat('a ', coalesce(source, ''), ', \"b\"') as name, row_number() over (order by doc_id) as k from documents)"
+_one_file_query("csv_one_file", "CSV", f"select k::int as n, concat(id, ',\"', replace(name, '\"', '\"\"'), '\"') as line from {_ONE} union all select 0, 'id,name'")
+_one_file_query("txt_one_file", "TXT", f"select k::int as n, concat(id, chr(9), name) as line from {_ONE} union all select 0, concat('id', chr(9), 'name')")
+_one_file_query(
+    "json_one_file", "JSON",
+    f"with o as {_ONE}, z as (select count(*) as m from o) select 0 as n, '[' as line union all select (4 * m + 1)::int, ']' from z"
+    " union all select (4 * k - 3 + j)::int, case j when 0 then '  {' when 1 then concat('    \"id\": \"', id, '\",') when 2 then concat('    \"name\": \"', replace(name, '\"', chr(92) || '\"'), '\"') when 3 then case when k = m then '  }' else '  },' end end from o, z, (values (0), (1), (2), (3)) t(j)",
+)
+
+
 @query("xlsx_sink", "select r_name as name, r_regionkey::varchar as key from region")
 def _(s, d):
     folder = f"{_folder(s)}/out"

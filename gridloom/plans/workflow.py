@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import cleaning, emails
-from ..sources import files, pdf, tables
+from ..sources import files, one_file, pdf, tables
 
 RID = cleaning.RID
 NONE, TEXT, TABLE, EMAILS = "NONE", "TEXT", "TABLE", "EMAILS"
@@ -308,10 +308,13 @@ def run_step(spark: SparkSession, s: Step, data: Data) -> Data:
     if s.kind == "KEEP_COLUMNS":
         return Data(TABLE, keep_columns(df, s.opt("columns")))
     if s.kind == "EXPORT_TXT" and data.kind != TABLE:
-        files.write_lines(df, s.opt("path"), *(("text", "doc_id") if data.kind == TEXT else ("email", "email")))
+        # A path with an extension is one file, another one a folder of parts.
+        write = one_file.write_lines if s.opt("path").lower().endswith(".txt") else files.write_lines
+        write(df, s.opt("path"), *(("text", "doc_id") if data.kind == TEXT else ("email", "email")))
         return Data(NONE)
     if s.kind in ("EXPORT_CSV", "EXPORT_TXT"):
-        files.write_csv(lines_table(df) if data.kind == TEXT else df, s.opt("path"))
+        write = one_file.write_csv if s.opt("path").lower().endswith((".csv", ".txt")) else files.write_csv
+        write(lines_table(df) if data.kind == TEXT else df, s.opt("path"))
         return Data(NONE)
     if s.kind in ("EXPORT_XLSX", "EXPORT_DOCX", "EXPORT_PDF"):
         export_parts(s, data)

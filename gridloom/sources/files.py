@@ -145,8 +145,12 @@ def write_lines(df: DataFrame, path: str, column: str, order: str | None = None)
 
 
 def write_table(df: DataFrame, path: str, kind: str) -> None:
-    """A table as CSV, JSON, TXT or XLSX."""
-    if kind == "XLSX":
+    """A table as CSV, JSON, TXT or XLSX: text kinds as one file if the path has the kind's extension, else as a folder of parts."""
+    if kind != "XLSX" and path.lower().endswith(f".{kind.lower()}"):
+        from . import one_file
+
+        one_file.WRITERS[kind](df, path)
+    elif kind == "XLSX":
         names = [c for c in df.columns if c != "__rid"]
         ordered = df.orderBy("__rid") if "__rid" in df.columns else df
         rows = ordered.select(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]).alias("cells"))
