@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import checked
+
 # Patterns that decide results.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"(?i)https?://\S+"
@@ -71,9 +73,11 @@ def change_case(c: Column | str, mode: str) -> Column:
 
 
 def replace_all(c: Column | str, find: str, to: str, regex: bool = False, ignore_case: bool = False) -> Column:
-    """Find and replace; ``to`` is taken as it is for a literal ``find``, with group references for a pattern."""
+    """Find and replace; ``to`` is taken as it is for a literal ``find``, with group references for a pattern. Patterns that may run away are refused."""
     if find == "":
         return col(c)
+    if regex:
+        checked(find, ignore_case)
     pattern = find if regex else rf"\Q{find}\E" if "\\E" not in find else literal(find)
     out = to if regex else to.replace("\\", "\\\\").replace("$", "\\$")
     return F.regexp_replace(col(c), F.lit(("(?i)" if ignore_case else "") + pattern), F.lit(out))
