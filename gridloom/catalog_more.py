@@ -10,9 +10,9 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .catalog import _VISIBLE_SQL, cell_query, formula_query, load, query
+from .catalog import _RUNS, _VISIBLE_SQL, cell_query, formula_query, load, query, runs
 from .functions import addresses, cells
-from .operators import dependents, formula, history, invoices, layout, lineage, records
+from .operators import cache_files, dependents, formula, history, invoices, layout, lineage, records
 from .operators.history_table import HistoryTable
 from .plans import workflow
 from .sources import files, pdf, tables
@@ -288,17 +288,21 @@ def _(s, d):
     return tables.read_table(s, folder).drop("__rid")
 
 
-@query("flow_export_text", "select 0 as n, 'one' as line union all select 1, 'two'")
+def _names(s, d) -> str:
+    return "\n".join(f"{r['n_name']}, {r['n_regionkey']}" for r in load(s, d, "nation").orderBy("n_nationkey").collect())  # 25 nations
+
+
+@query("flow_export_text", "select (row_number() over (order by n_nationkey) - 1)::int as n, concat(n_name, ', ', n_regionkey) as line from nation")
 def _(s, d):
     folder = f"{_folder(s)}/out"
-    workflow.run(s, [workflow.Step("PASTE_TEXT", "one\ntwo"), workflow.Step("EXPORT_TXT", options={"path": folder})])
+    workflow.run(s, [workflow.Step("PASTE_TEXT", _names(s, d)), workflow.Step("EXPORT_TXT", options={"path": folder})])
     return _lines(s, folder)
 
 
-@query("flow_export_text_csv", "select 'one' as \"Text\" union all select 'two, three'")
+@query("flow_export_text_csv", "select concat(n_name, ', ', n_regionkey) as \"Text\" from nation")
 def _(s, d):
     folder = f"{_folder(s)}/out"
-    workflow.run(s, [workflow.Step("PASTE_TEXT", "one\ntwo, three"), workflow.Step("EXPORT_CSV", options={"path": folder})])
+    workflow.run(s, [workflow.Step("PASTE_TEXT", _names(s, d)), workflow.Step("EXPORT_CSV", options={"path": folder})])
     return files.read_csv(s, folder)
 
 
@@ -324,13 +328,13 @@ def _(s, d):
     return s.read.option("header", True).csv(folder)
 
 
-@query("files_by_size_and_age", "select 'small.txt' as name, true as old")
+@query("files_by_size_and_age", "select concat(n_nationkey, '.txt') as name, true as old from nation where length(n_name) <= 6")
 def _(s, d):
     folder = _folder(s)
-    for name, size in (("small.txt", 10), ("large.txt", 1000)):
-        files.put_file(s, f"{folder}/{name}", b"x" * size)
+    for key, name, _ in _nations(s, d):
+        files.put_file(s, f"{folder}/{key}.txt", name.encode())
     old = tables.stale(s, folder, "2999-01-01 00:00:00").select("path", F.lit(True).alias("old"))
-    return tables.within(s, folder, 100).join(old, "path").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "old")
+    return tables.within(s, folder, 6).join(old, "path").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "old")
 
 
 @query(
@@ -369,6 +373,45 @@ def _(s, d):
     return table.rows().select("id", "feature", "qualityScore", "timestamp")
 
 
+@query("cache_lookups", f"select * from {_RUNS} where status = 'SUCCESS' qualify row_number() over (partition by feature, inputHash order by timestamp desc, id desc) = 1")
+def _(s, d):
+    """The cached run of every feature and input, from files clustered by hash."""
+    folder = f"{_folder(s)}/cache"
+    cache_files.write(runs(s, d), folder)
+    return cache_files.lookups(s, folder, runs(s, d))
+
+
+query("history_append", f"select id, feature, status from {_RUNS} union all select id + 1000000000, 'COPY', null from {_RUNS} where id % 10 = 0")(
+    lambda s, d: history.inserted(runs(s, d), runs(s, d).where("id % 10 = 0").select((F.col("id") + 1000000000).alias("id"), F.lit("COPY").alias("feature"))).select("id", "feature", "status")
+)
+query("history_all_capped", f"select * from {_RUNS} order by timestamp desc, id desc limit 2000")(lambda s, d: history.recent(runs(s, d), 2000))
+
+_PAIR = "case c_custkey % 4 when 0 then c_name when 1 then concat('x', substring(c_name, 3)) when 2 then '' else concat(c_name, c_mktsegment) end"
+
+
+@query("string_similarity", f"select c_custkey as id, case when c_name = o then 1.0 else 1 - levenshtein(c_name, o) / greatest(length(c_name), length(o)) end::double as similarity from (select c_custkey, c_name, {_PAIR} as o from customer)")
+def _(s, d):
+    pairs = load(s, d, "customer").withColumn("o", F.expr(_PAIR))
+    return pairs.select(F.col("c_custkey").alias("id"), cells.similarity(F.col("c_name"), F.col("o")).cast("double").alias("similarity"))
+
+
+@query("dangerous_formulas", "select c_custkey as id, c_custkey % 5 in (0, 1, 4) as dangerous from customer")
+def _(s, d):
+    k = F.col("c_custkey")
+    kinds = [F.concat(F.lit("cmd|' /c calc"), k, F.lit("'!A0")), F.concat(F.lit('=WebService ("http://x/'), k, F.lit('")')), F.concat(F.lit("=SUM(A1:A"), k, F.lit(")")), F.concat(F.lit("a|b"), k), F.concat(F.lit("1+EXEC("), k, F.lit(")"))]
+    return load(s, d, "customer").select(k.alias("id"), cells.dangerous_formula(F.element_at(F.array(*kinds), (k % 5 + 1).cast("int"))).alias("dangerous"))
+
+
+@query("invoice_items_check", "select id, abs(items - subtotal) > greatest(0.02, 0.01 * greatest(items, subtotal)) as items_review from (select l_orderkey as id, sum(floor(l_extendedprice))::double as items, sum(floor(l_extendedprice))::double + (l_orderkey % 3) * 5000 as subtotal from lineitem group by l_orderkey)")
+def _(s, d):
+    """The lines of every order as an invoice's items, held against a subtotal that is right for every third order."""
+    amount = F.floor("l_extendedprice")
+    item = F.struct(F.lit("line").alias("description"), F.lit("1").alias("quantity"), amount.cast("string").alias("unit_price"), amount.cast("string").alias("amount"))
+    orders = load(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item.cast(invoices.ITEM)).alias("items"), F.sum(amount).alias("n"))  # an order's lines
+    some = orders.select("id", "items", (F.col("n") + F.col("id") % 3 * 5000).cast("string").alias("subtotal"), F.lit("").alias("tax"), F.lit("").alias("total"))
+    return invoices.checked(some).select("id", "items_review")
+
+
 @query("layout_rows", "select n_nationkey::bigint as page_id, unnest([0, 1, 2])::int as row, unnest([concat('a|', n_name, '|'), '||', 'x|y|z']) as line from nation")
 def _(s, d):
     text = F.concat(F.lit("Title\na\t"), "n_name", F.lit("\nprose\nx\ty\tz\nend"))
