@@ -149,15 +149,13 @@ def extract(scans: DataFrame, doc_id: str = "doc_id", text: str = "text", lines:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("description", *FIGURES)
+        boxes = lambda x: [(w["text"] or "", w["left"], w["top"], w["right"], w["bottom"]) for w in ([] if x["words"] is None else x["words"])]
         for batch in batches:
-            rows = []
-            for i, t, found in zip(batch["doc_id"], batch["text"], batch["lines"]):
-                fields, items = receipts.parse(t)
-                boxes = lambda x: [(w["text"] or "", w["left"], w["top"], w["right"], w["bottom"]) for w in ([] if x["words"] is None else x["words"])]
-                seen, header, aligned = detect([Line(x["text"] or "", x["top"], x["bottom"], boxes(x)) for x in ([] if found is None else found)])
-                rows.append((i, [{"name": k, "value": v} for k, v in fields.items()], [dict(zip(names, x)) for x in seen or items], *(fields.get(k, "") for k in ("Subtotal", "Tax", "Total")), header, aligned))
-            yield pd.DataFrame(rows, columns=["doc_id", "fields", "items", "subtotal", "tax", "total", "header_found", "aligned"])
+            found = [detect([Line(x["text"] or "", x["top"], x["bottom"], boxes(x)) for x in ([] if lines is None else lines)]) for lines in batch.pop("lines")]
+            yield batch.assign(seen=[[dict(zip(names, x)) for x in items] for items, _, _ in found], header_found=[h for _, h, _ in found], aligned=[a for _, _, a in found])
 
     chosen = scans.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text", f"cast(`{lines}` as {LINES}) as lines")
-    read = spread(chosen).mapInPandas(run, f"doc_id long, fields array<struct<name:string,value:string>>, items array<{invoices.ITEM}>, subtotal string, tax string, total string, header_found boolean, aligned boolean")
+    seen = spread(chosen).mapInPandas(run, f"doc_id long, text string, seen array<{invoices.ITEM}>, header_found boolean, aligned boolean")
+    read = receipts.parsed_columns(seen).withColumn("items", F.when(F.size("seen") > 0, F.col("seen")).otherwise(F.col("items")))
+    read = read.select("doc_id", "fields", "items", "subtotal", "tax", "total", "header_found", "aligned")
     return invoices.checked(invoices.fill_gaps(read)).withColumn("items_review", F.col("items_review") | ~F.col("aligned"))

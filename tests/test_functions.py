@@ -238,12 +238,19 @@ def test_batches(spark, tmp_path):
     assert [batches.backoff_ms(i) for i in range(6)] == [500, 1000, 2000, 4000, 8000, 8000]
 
 
-def test_receipts():
+def test_receipts(spark):
     from gridloom.operators import receipts
 
-    fields, items = receipts.parse("TAX INVOICE\nCorner Shop\nSubtotal: 100.00\nGrand Total: 118.00\nGST 18.00\nDue date 01/02/2024\nDate: 5 Jan 2024\nTax ID: AB-12\nCoffee  2  3.50  7.00\nTea: 4.25\nServed by\nAnn\nSeat: 9")
+    def parse(*texts):
+        rows = receipts.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+        return [({f["name"]: f["value"] for f in r["fields"]}, [tuple(i) for i in r["items"]]) for r in rows]
+
+    ((fields, items),) = parse("TAX INVOICE\nCorner Shop\nSubtotal: 100.00\nGrand Total: 118.00\nGST 18.00\nDue date 01/02/2024\nDate: 5 Jan 2024\nTax ID: AB-12\nCoffee  2  3.50  7.00\nTea: 4.25\nServed by\nAnn\nSeat: 9")
     assert fields["Subtotal"] == "100.00" and fields["Company"] == "Corner Shop" and fields["Date"] == "5 Jan 2024" and fields["Cashier"] == "Ann"
-    assert items == [("Coffee", "2", "3.50", "7.00"), ("Tea", "", "", "4.25")] and receipts.parse(None) == ({}, [])
+    assert items == [("Coffee", "2", "3.50", "7.00"), ("Tea", "", "", "4.25")] and parse(None, "", " \n\t") == [({}, [])] * 3
+    # A name's label alone takes the next line unless that is taken; a line serves one field; a label that repeats counts once.
+    assert parse("Customer\nInvoice No: A-1", "Customer:\nAnn", "Shop\nTax 1.00\nTax 2.00\nSeat: 4a\nseat: 5b") == [({"Invoice Number": "A-1"}, []), ({"Customer": "Ann"}, []), ({"Tax": "1.00", "Company": "Shop", "Seat": "4a"}, [])]
+    assert receipts.extract(spark.createDataFrame([], "doc_id long, text string, fields string")).columns == ["doc_id", "fields", "items", "subtotal", "tax", "total"]
     assert receipts.items_from_text(receipts.items_text([("a", "2", "3.50", "7.00")]) + "\nb | x | | 1") == [("a", "2", "3.50", "7.00"), ("b", "", "", "1")]
 
 
