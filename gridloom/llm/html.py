@@ -7,8 +7,8 @@ unless an article lies outside it, so that a form or a "page-header-content" aro
 tree (Gini) over these features, grown here from the small labelled table below, tells main text from the rest. Each page
 of the table is used with its marks and once more without any, as bare ``div``s, where word counts and links must do alone.
 
-Reading a page takes time in proportion to its length, whatever it holds. Elements nested deeper than DEEPEST are read as
-if they were not nested further, as browsers do.
+Reading a page takes time in proportion to its length, whatever it holds and however deep it is nested: marks are a chain from
+each marked element to the next one around it, and what is in an element is summed up along the chain once, at the end.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adsbygoogle adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar comment comments "
-    "commentlist disqus replies respond discussion share sharing social related recommended widget pagination pager login signup search copyright".split()
+    "commentlist disqus replies respond discussion share sharing social related recommended widget pagination pager login signup search copyright "
+    "werbung anzeige anzeigen hinweis hinweise kommentar kommentare fusszeile kopfzeile seitenleiste navigationsleiste brotkrumen teilen anmelden "
+    "publicite publicites commentaire commentaires avis pied entete piedpage partager connexion barrelaterale filariane "
+    "publicidad anuncio anuncios aviso avisos comentario comentarios cabecera encabezado piepagina barralateral compartir migas suscripcion".split()
 )
 MAIN_NAMES = frozenset("article content main post story entry body text".split())
 #: Words after which a name says what an element has or lacks.
@@ -60,10 +63,11 @@ INLINE = frozenset("span a b strong em i u small label ins font sup sub".split()
 TITLES = INLINE | frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+#: Styles by which an element is not shown.
+UNSEEN = re.compile(r"(?:^|;)\s*+(?:display\s*+:\s*+none|visibility\s*+:\s*+(?:hidden|collapse))\b", re.I)
 QUOTED = re.compile(r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|$)", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "named", "article", "articles")
-DEEPEST = 256
 
 
 @dataclass
@@ -71,16 +75,17 @@ class Block:
     text: str
     words: int
     linked: int
-    marks: tuple[int, ...]
+    mark: int  # the innermost mark around it, -1: none
     article: bool
     silent: bool
 
 
 @dataclass
 class Page:
-    """The blocks of a page, and of each marked element whether its mark is a name, its words, and the articles in it."""
+    """The blocks of a page, and of each mark the one around it (-1: none), whether it is a name, its words, and the articles in it."""
 
     blocks: list[Block]
+    around: list[int]
     named: list[bool]
     words: list[int]
     held: list[int]
@@ -113,6 +118,8 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
                 found += [_first_mark(v, tag not in TITLES) for v in value.split()]
             elif name == "aria-hidden":
                 named |= value == "true"
+            elif name == "style":
+                named |= UNSEEN.search(value) is not None
         named |= -1 in found and sum(found) < (0 if tag in ARTICLE else 1)
         named |= HIDDEN.search(QUOTED.sub("", attributes)) is not None
     return furniture, named
@@ -173,35 +180,34 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Reader:
-    """Flat blocks from tokens. An element on the stack is (tag, marks, article, silent) as they hold inside it."""
+    """Flat blocks from tokens. An element on the stack is (tag, innermost mark, article, silent) as they hold inside it, and the place of the last one that is not inline."""
 
     def __init__(self):
-        self.page = Page([], [], [], [], 0)
-        self.stack: list[tuple[str, tuple[int, ...], bool, bool]] = []
-        self.open: dict[str, int] = {}
+        self.page = Page([], [], [], [], [], 0)
+        self.stack: list[tuple[str, int, bool, bool, int]] = []
+        self.open: dict[str, list[int]] = {}  # places on the stack by tags
         self.parts: list[str] = []
         self.linked = 0
         self.link = -1  # how many elements are around the open link, -1: none is open
 
-    def inside(self) -> tuple[tuple[int, ...], bool, bool]:
-        return self.stack[-1][1:] if self.stack else ((), False, False)
+    def inside(self) -> tuple[int, bool, bool]:
+        return self.stack[-1][1:4] if self.stack else (-1, False, False)
 
     def end_block(self) -> None:
         if self.parts:
             words = entities.unescape("".join(self.parts)).split()
             if words:
-                marks, article, silent = self.inside()
-                self.page.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), marks, article, silent))
-                if not silent:
-                    for m in marks:
-                        self.page.words[m] += len(words)
+                mark, article, silent = self.inside()
+                self.page.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), mark, article, silent))
+                if mark >= 0 and not silent:
+                    self.page.words[mark] += len(words)
             self.parts.clear()
         self.linked = 0
 
     def leave(self, depth: int) -> None:
         """End the elements from that depth on."""
         while len(self.stack) > depth:
-            self.open[self.stack.pop()[0]] -= 1
+            self.open[self.stack.pop()[0]].pop()
         if self.link > len(self.stack):
             self.link = -1
 
@@ -216,20 +222,16 @@ class _Reader:
         """End what an opening block ends without a tag: a head, a paragraph, and an item before the next one of its list."""
         if self.stack and self.stack[-1][0] == "head" and tag not in OF_HEAD:
             self.leave(len(self.stack) - 1)
-        if self.open.get("p"):
-            i = len(self.stack) - 1
-            while i >= 0 and self.stack[i][0] in INLINE:
-                i -= 1
-            if i >= 0 and self.stack[i][0] == "p":
-                self.leave(i)
+        if self.open.get("p") and self.stack[-1][4] == self.open["p"][-1]:
+            self.leave(self.open["p"][-1])
         ends, lists = ITEMS.get(tag, ((), ()))
-        if any(self.open.get(e) for e in ends):
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in lists:
-                    break
-                if self.stack[i][0] in ends:
-                    self.leave(i)
-                    break
+        place = self.last_of(ends)
+        if place > self.last_of(lists):
+            self.leave(place)
+
+    def last_of(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, -1 without any."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def tag(self, tag: str, attributes: str, closing: bool) -> None:
         if tag == "br":
@@ -252,29 +254,28 @@ class _Reader:
             return
         if closing:
             if self.open.get(tag):
-                i = len(self.stack) - 1
-                while self.stack[i][0] != tag:
-                    i -= 1
-                self.leave(i)
+                self.leave(self.open[tag][-1])
             if tag == "a":
                 self.link = -1
             return
         furniture, named = marked or _marks(tag, attributes)
-        marks, article, silent = self.inside()
+        mark, article, silent = self.inside()
         if tag == "header" and article:
             furniture = False  # an article's own header is a part of it
+        for is_name in [False] * furniture + [True] * (named and tag not in ("html", "body", "main")):
+            self.page.around.append(mark)
+            self.page.named.append(is_name)
+            self.page.words.append(0)
+            self.page.held.append(0)
+            mark = len(self.page.named) - 1
         if tag in ARTICLE and not silent:
             self.page.articles += 1
-            for m in marks:
-                self.page.held[m] += 1
-        if len(self.stack) < DEEPEST:
-            for is_name in [False] * furniture + [True] * (named and tag not in ("html", "body", "main")):
-                marks = (*marks, len(self.page.named))
-                self.page.named.append(is_name)
-                self.page.words.append(0)
-                self.page.held.append(tag in ARTICLE)
-            self.stack.append((tag, marks, article or tag in ARTICLE, silent or tag in SILENT))
-            self.open[tag] = self.open.get(tag, 0) + 1
+            if mark >= 0:
+                self.page.held[mark] += 1
+        place = len(self.stack)
+        solid = place if tag not in INLINE else self.stack[-1][4] if self.stack else -1
+        self.stack.append((tag, mark, article or tag in ARTICLE, silent or tag in SILENT, solid))
+        self.open.setdefault(tag, []).append(place)
         if tag == "a":
             self.link = len(self.stack)
 
@@ -288,8 +289,14 @@ def read(page: str | None) -> Page:
         else:
             reader.tag(name, rest, kind == "end")
     reader.end_block()
-    reader.page.blocks = [b for b in reader.page.blocks if not b.silent]
-    return reader.page
+    found = reader.page
+    found.blocks = [b for b in found.blocks if not b.silent]
+    # Marks inside come after those around them.
+    for m in range(len(found.around) - 1, -1, -1):
+        if found.around[m] >= 0:
+            found.words[found.around[m]] += found.words[m]
+            found.held[found.around[m]] += found.held[m]
+    return found
 
 
 def features(page: Page) -> np.ndarray:
@@ -303,7 +310,11 @@ def features(page: Page) -> np.ndarray:
     share = np.array([0, *(b.linked / b.words for b in found), 0], float)
     total = max(1, sum(b.words for b in found))
     doubt = [1.0 if held < page.articles else (1 - n / total) / (2 if page.articles else 1) for n, held in zip(page.words, page.held)]
-    flags = np.array([(max((doubt[m] for m in b.marks if not page.named[m]), default=0.0), max((doubt[m] for m in b.marks if page.named[m]), default=0.0), b.article) for b in found], float).reshape(-1, 3)
+    strongest = [(0.0, 0.0)] * (len(doubt) + 1)  # by furniture and by name, of a mark and those around it; the last stands for none
+    for m, (outer, is_name) in enumerate(zip(page.around, page.named)):
+        by_kind = strongest[outer]
+        strongest[m] = (by_kind[0], max(by_kind[1], doubt[m])) if is_name else (max(by_kind[0], doubt[m]), by_kind[1])
+    flags = np.array([(*strongest[b.mark], b.article) for b in found], float).reshape(-1, 3)
     inside = np.full(len(found), sum(b.words for b in found if b.article) / total)
     return np.column_stack((words[1:-1], share[1:-1], words[:-2], share[:-2], words[2:], share[2:], flags, inside))
 

@@ -266,7 +266,11 @@ def test_html_marks_of_single_blocks_and_of_wrappers():
     want = ["A head line", "The first paragraph has quite a few words in it, as they do.", "The second one follows an open advert and is text.", "an item", "A line goes on.", "It ends with a link to words and more."]
     assert html.main_text(page, tree).split("\n") == want
     found = html.read(page)
-    assert [any(found.named[m] for m in b.marks) for b in found.blocks] == [b.text not in want for b in found.blocks]
+
+    def named(mark):
+        return mark >= 0 and (found.named[mark] or named(found.around[mark]))
+
+    assert [named(b.mark) for b in found.blocks] == [b.text not in want for b in found.blocks]
 
 
 def test_html_ordinary_pages():
@@ -783,3 +787,23 @@ def test_chat_ids_of_any_type_and_null_turns(spark):
     assert got["a-1", None].position == 0 and got["a-1", None].thread_turn is None and got["a-1", None].reply_to is None
     numbers = chat.conversations(spark.createDataFrame([(-1, -1, "user", "x"), (None, None, "user", "y")], "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id is None, r.turn is None, r.position) for r in numbers) == [(False, False, 0), (True, True, 0)]
+
+
+def test_html_depth_styles_and_names():
+    from gridloom.llm import html
+
+    tree = html.trained()
+    story = "<article><p>The river rose by two metres over night and the bridge was closed.</p>{}<p>It rained on and on for days in the hills.</p></article>"
+    plain = html.main_text(story.format(""), tree)
+    assert plain.count("\n") == 1
+    # A mark holds however deep its text is, and an unmarked text is found there.
+    for depth in (3, 300, 3000):
+        assert html.main_text("<div class='advert'>" + "<div>" * depth + "Boots at half price now" + "</div>" * depth + "</div>" + story.format(""), tree) == plain
+        assert html.main_text("<div>" * depth + story.format("") + "</div>" * depth, tree) == plain
+    # What is in a marked element is summed up to those around it.
+    page = html.read("<div class='comments'>a b<div class='advert'>c</div><article>d e</article></div>f")
+    assert (page.words, page.held, page.around, page.articles) == ([5, 1], [1, 0], [-1, 0], 1)
+    for hidden in ('style="color:red; display: none"', "style='visibility:hidden'", 'class="hinweis"', 'class="commentaires"', 'id="publicidad"'):
+        assert html.main_text(story.format(f"<div {hidden}><p>words that are no part of it</p></div>"), tree) == plain
+    for shown in ('style="display:block"', 'style="--display:none-of-it"'):
+        assert "a part of it" in html.main_text(story.format(f"<p {shown}>words that are a part of it</p>"), tree)
