@@ -9,13 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cells
 from . import dedupe
-from .lineage import cut
+from .lineage import cut, written
 
 RID = "__rid"
 SAMPLE, SHARE = 50, 0.8
@@ -179,7 +179,7 @@ def _inside(n: Column, name: str, o: Options) -> Column:
     return F.coalesce((n >= lo) if lo is not None else F.lit(True), F.lit(True)) & F.coalesce((n <= hi) if hi is not None else F.lit(True), F.lit(True))
 
 
-def _staged(df: DataFrame, o: Options, kinds: dict[str, str], log: bool) -> DataFrame:
+def _staged(df: DataFrame, o: Options, kinds: dict[str, str], log: bool, counted: tuple[Observation, list[Column]] | None = None) -> DataFrame:
     """The rows of ``df`` with cleaned cells, written once: ``__bad`` cells, whether the row is to ``__drop`` and why, and
     with ``log`` also its ``__log`` of changes and ``__count`` of what was done."""
     names = body(df)
@@ -238,7 +238,7 @@ def _staged(df: DataFrame, o: Options, kinds: dict[str, str], log: bool) -> Data
         gaps = reduce(lambda a, b: a | b, [cells.blank(f"`{c}`") for c in (o.required or names)], F.lit(False))
     out = out.withColumns({"__gap": gaps, **{c: F.when(empty[c], fill).otherwise(F.col(f"`{c}`")) for c, fill in fills.items()}})
     # Written once: filters on cleaned cells would else be pushed below the cleaning and repeat it, as would each use below.
-    return cut(out)
+    return cut(out) if counted is None else written(out.observe(counted[0], *counted[1]), "cleaned")
 
 
 def _kinds(df: DataFrame, o: Options, types: dict[str, str] | None) -> dict[str, str]:
@@ -246,8 +246,12 @@ def _kinds(df: DataFrame, o: Options, types: dict[str, str] | None) -> dict[str,
     return {c: (o.rules[c].type if c in o.rules and o.rules[c].type else "TEXT" if c in o.rules and o.rules[c].skip else found.get(c, "TEXT")) for c in body(df)}
 
 
+def _filled(names: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [~cells.blank(f"`{c}`") for c in names], F.lit(False))
+
+
 def _not_empty(staged: DataFrame, names: list[str]) -> DataFrame:
-    return staged.where(reduce(lambda a, b: a | b, [~cells.blank(f"`{c}`") for c in names], F.lit(False)))
+    return staged.where(_filled(names))
 
 
 def _thinned(rows: DataFrame, o: Options, names: list[str]) -> list[DataFrame]:
@@ -284,37 +288,47 @@ def clean(df: DataFrame, o: Options = Options(), types: dict[str, str] | None =
 def report(df: DataFrame, o: Options = Options(), types: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row of counters of what ``clean`` does with ``df``; its changes as (__rid, column, before, after, reason)).
 
-    Counters are sums over the rows, in one pass but for the counts of duplicates. All changes are given; whoever shows
-    them takes as many as there is room for.
+    Counters are sums over the rows, observed while the cleaned rows are written; only duplicates are counted afterwards. All
+    changes are given; whoever shows them takes as many as there is room for. A table without rows has zeros.
     """
     names, kinds = body(df), _kinds(df, o, types)
-    staged = _staged(df, o, kinds, log=True)
+    seen = Observation()
+
+    def counters() -> list[Column]:
+        kind_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else F.lit(None).cast("map<string,string>")
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        changed = lambda kind: total(F.size(F.filter("__log", lambda x: x["reason"] == CHANGED[kind])))
+        invalid = lambda which: total(F.size(F.filter("__bad", lambda x: kind_of[x["column"]].isin(which))))
+        there = _filled(names) if o.drop_empty else F.lit(True)
+        sums = {
+            "rows_in": F.count(F.lit(1)),
+            "unwanted_chars_removed": total("__stripped"),
+            "replacements_made": total("__replaced"),
+            "calculated_cells_filled": total(F.size(F.filter("__log", lambda x: x["reason"].startswith("calculated: ")))),
+            **{name: changed(kind) for kind, name in COUNTED.items()},
+            **{name: invalid([k for k, n in COUNTED_INVALID.items() if n == name]) for name in dict.fromkeys(COUNTED_INVALID.values())},
+            "missing_values_found": total("__missing"),
+            "missing_values_filled": total("__filled"),
+            "empty_rows_removed": F.count_if(~there),
+            "rows_removed_for_invalid_values": F.count_if(there & F.col("__drop")),
+            "rows_removed_for_missing_values": F.count_if(there & F.col("__gap") & ~F.col("__drop")),
+        }
+        return [c.cast("long").alias(name) for name, c in sums.items()]
+
+    staged = _staged(df, o, kinds, log=True, counted=(seen, counters()))
+    counts = seen.get
     rows = _not_empty(staged, names) if o.drop_empty else staged
     kept = rows.where(~(F.col("__drop") | F.col("__gap"))).select(RID, *names)
     keys = [F.col(f"`{c}`") for c in (o.keys or names)]
     plain = [F.lower(cells.ws_trim(F.coalesce(k, F.lit("")))) for k in keys]
     # Rows that stay are as many as there are keys, but for similar ones, which must be found.
     different = lambda of: kept.select(*[k.alias(f"k{i}") for i, k in enumerate(of)]).distinct().count()
-    exact = different(keys) if o.exact else kept.count()
+    left = counts["rows_in"] - sum(counts[k] for k in ("empty_rows_removed", "rows_removed_for_invalid_values", "rows_removed_for_missing_values"))
+    exact = different(keys) if o.exact else left
     similar = _thinned(kept, o, names)[-1].count() if o.similar else different(plain) if o.normalised else exact
-    kind_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else F.lit(None).cast("map<string,string>")
-    changed = lambda kind: F.coalesce(F.sum(F.size(F.filter("__log", lambda x: x["reason"] == CHANGED[kind]))), F.lit(0))
-    invalid = lambda which: F.coalesce(F.sum(F.size(F.filter("__bad", lambda x: kind_of[x["column"]].isin(which)))), F.lit(0))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    missing = total("__missing")
-    first = staged.agg(
-        F.count("*").alias("rows_in"),
-        total("__stripped").alias("unwanted_chars_removed"), total("__replaced").alias("replacements_made"),
-        total(F.size(F.filter("__log", lambda x: x["reason"].startswith("calculated: ")))).alias("calculated_cells_filled"),
-        *[changed(kind).alias(name) for kind, name in COUNTED.items()],
-        *[invalid([k for k, n in COUNTED_INVALID.items() if n == name]).alias(name) for name in dict.fromkeys(COUNTED_INVALID.values())],
-        missing.alias("missing_values_found"), total("__filled").alias("missing_values_filled"), (missing if o.missing == "FLAG" else F.lit(0)).alias("missing_values_flagged"),
-    )
-    second = rows.agg(F.count("*").alias("n"), F.count_if("__drop").alias("bad"), F.count_if(F.col("__gap") & ~F.col("__drop")).alias("gap")).first()
-    left = second["n"] - second["bad"] - second["gap"]
-    more = {"rows_removed_for_invalid_values": second["bad"], "rows_removed_for_missing_values": second["gap"], "exact_duplicates_removed": left - exact, "fuzzy_duplicates_removed": exact - similar, "duplicates_removed": left - similar, "rows_out": similar}
-    counted = first.withColumns({"empty_rows_removed": F.col("rows_in") - second["n"], **{k: F.lit(v) for k, v in more.items()}})
-    counted = counted.select(*[F.col(c).cast("long") for c in counted.columns])
+    counts |= {"missing_values_flagged": counts["missing_values_found"] if o.missing == "FLAG" else 0}
+    counts |= {"exact_duplicates_removed": left - exact, "fuzzy_duplicates_removed": exact - similar, "duplicates_removed": left - similar, "rows_out": similar}
+    counted = df.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in counts.items()])
     return counted, staged.select(RID, F.explode("__log").alias("l")).select(RID, "l.*")
 
 
