@@ -597,10 +597,12 @@ def _report(s, d):
 @query(
     "clean_report_metrics",
     _cleaned + ", k as (select count(*) as n from (select distinct coalesce(day2, day), coalesce(price2, price), priority from c)) select count(*)::bigint as rows_in, any_value(k.n)::bigint as rows_out, (count(*) - any_value(k.n))::bigint as duplicates_removed,"
-    " count(*) filter (day2 is null)::bigint as dates_unparseable, count(*) filter (day2 <> day)::bigint as dates_standardized, count(*) filter (price2 is null or price2::double < 0)::bigint as invalid_numeric_values, count(*) filter (price2 <> price)::bigint as currency_cells_cleaned from c, k",
+    " count(*) filter (day2 is null)::bigint as dates_unparseable, count(*) filter (day2 <> day)::bigint as dates_standardized, count(*) filter (price2 is null or price2::double < 0)::bigint as invalid_numeric_values, count(*) filter (price2 <> price)::bigint as currency_cells_cleaned,"
+    " (count(*) - any_value(k.n))::bigint as exact_duplicates_removed, sum((day is null or trim(day) = '')::int + (price is null or trim(price) = '')::int + (priority is null or trim(priority) = '')::int)::bigint as missing_values_found,"
+    " count(*) filter (trim(concat(day, price, priority)) = '')::bigint as empty_rows_removed from c, k",
 )
 def _(s, d):
-    return _report(s, d)[0].select("rows_in", "rows_out", "duplicates_removed", "dates_unparseable", "dates_standardized", "invalid_numeric_values", "currency_cells_cleaned")
+    return _report(s, d)[0].select("rows_in", "rows_out", "duplicates_removed", "dates_unparseable", "dates_standardized", "invalid_numeric_values", "currency_cells_cleaned", "exact_duplicates_removed", "missing_values_found", "empty_rows_removed")
 
 
 @query("clean_change_log", _cleaned + " select id, 'day' as col, day as before, day2 as after, 'date standardized to YYYY-MM-DD' as reason from c where day2 <> day union all select id, 'price', price, price2, 'currency cleaned to numeric' from c where price2 <> price")
