@@ -206,7 +206,8 @@ def masked(c: Column | str, longest: int = 300) -> Column:
     """Cut, then e-mail names and long runs of digits hidden but for the first letter and the last four digits."""
     v = F.substring(col(c), 1, longest)
     v = F.regexp_replace(v, r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", "$1***@$2")
-    return F.regexp_replace(v, r"\b(?:\d[ -]?){8,15}(\d)[ -]?(\d)[ -]?(\d)[ -]?(\d)[ -]?\b", "••••$1$2$3$4")
+    # Where a word ends is told by ASCII letters, as digits are: Java's \b takes an é for a letter, its \w does not.
+    return F.regexp_replace(v, r"(?<!\w)(?:\d[ -]?){8,15}(\d)[ -]?(\d)[ -]?(\d)[ -]?(\d)[ -]?(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "••••$1$2$3$4")
 
 
 def text_quality(c: Column | str, expected: int = 20) -> Column:

@@ -24,6 +24,11 @@ def keep_first(df: DataFrame, keys: list[str], rid: str, normalised: bool = Fals
     return df.join(first, rid, "left_semi")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` joined by sorting and merging: Spark takes a table that was exploded for as small as before, and would send it whole to everyone."""
+    return df.hint("merge")
+
+
 #: Parts of a key beyond those that edits can touch, so that its most frequent parts need not be looked up.
 SPARE = 2
 
@@ -92,11 +97,11 @@ def _pairs(keyed: DataFrame, threshold: float) -> DataFrame:
     often = offers.groupBy("h").agg(F.count("*").alias("often"))
     # A key has as many rows as parts here.
     rarest = Window.partitionBy("rid").orderBy("often", "i")
-    wanted = _posts(some, threshold).join(often, "h").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("d") + 1)
+    wanted = _posts(some, threshold).join(shuffled(often), "h").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("d") + 1)
     apart = F.col("other_n") - F.col("n")
-    met = wanted.select("rid", "n", "h").join(offers, "h").where((apart <= _edits(F.col("other_n"), threshold)) & ((apart > 0) | ((apart == 0) & (F.col("rid") < F.col("other")))))
+    met = wanted.select("rid", "n", "h").join(shuffled(offers), "h").where((apart <= _edits(F.col("other_n"), threshold)) & ((apart > 0) | ((apart == 0) & (F.col("rid") < F.col("other")))))
     met = met.select("rid", "other").distinct()
-    met = met.join(some.select("rid", "key"), "rid").join(some.select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n")), "other")
+    met = met.join(shuffled(some.select("rid", "key")), "rid").join(shuffled(some.select(F.col("rid").alias("other"), F.col("key").alias("other_key"), F.col("n").alias("other_n"))), "other")
     # Beyond the edits allowed a pair is too far apart: the distance is then -1 and was not worked out to its end.
     met = met.withColumn("d", _edits(F.col("other_n"), threshold)).withColumn("edits", F.expr("levenshtein(key, other_key, d)"))
     near = met.where((F.col("edits") >= 0) & (1.0 - F.col("edits") / F.col("other_n") >= threshold))
@@ -118,13 +123,13 @@ def drop_similar(df: DataFrame, keys: list[str], rid: str, threshold: float = 0.
     open_ = pairs
     while not open_.isEmpty():
         waiting = open_.select(F.col("b").alias("r")).distinct()
-        stays = open_.select(F.col("a").alias("r")).distinct().join(waiting, "r", "left_anti")
-        goes = cut(open_.join(stays, F.col("a") == F.col("r"), "left_semi").select(F.col("b").alias("r")).distinct())
+        stays = open_.select(F.col("a").alias("r")).distinct().join(shuffled(waiting), "r", "left_anti")
+        goes = cut(open_.join(shuffled(stays), F.col("a") == F.col("r"), "left_semi").select(F.col("b").alias("r")).distinct())
         rounds += 1
         dropped = goes if dropped is None else dropped.unionAll(goes)
         if rounds % 50 == 0:  # else the plan grows with the rounds
             dropped = cut(dropped)
         gone = goes.unionAll(stays)
-        open_ = cut(open_.join(gone.select(F.col("r").alias("a")), "a", "left_anti").join(goes.select(F.col("r").alias("b")), "b", "left_anti").select("a", "b"))
-    firsts = distinct if dropped is None else distinct.join(dropped, F.col("rid") == F.col("r"), "left_anti")
-    return df.join(firsts.select(F.col("rid").alias(rid)), rid, "left_semi")
+        open_ = cut(open_.join(shuffled(gone.select(F.col("r").alias("a"))), "a", "left_anti").join(shuffled(goes.select(F.col("r").alias("b"))), "b", "left_anti").select("a", "b"))
+    firsts = distinct if dropped is None else distinct.join(shuffled(dropped), F.col("rid") == F.col("r"), "left_anti")
+    return df.join(shuffled(firsts.select(F.col("rid").alias(rid))), rid, "left_semi")
