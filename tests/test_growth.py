@@ -14,3 +14,5 @@ def test_similar_rows_are_never_sent_whole_to_everyone(spark, tmp_path):
     spark.range(500).write.parquet(f"{tmp_path}/ids")
     names = spark.read.parquet(f"{tmp_path}/ids").selectExpr("id as rid", "md5(string(id)) as key")
     assert "Broadcast" not in plan(dedupe._pairs(names, 0.92))
+    long = names.selectExpr("rid", "repeat(key, 10) as key")
+    assert "Broadcast" not in plan(dedupe._pairs(long, 0.92))
