@@ -16,3 +16,9 @@ def test_similar_rows_are_never_sent_whole_to_everyone(spark, tmp_path):
     assert "Broadcast" not in plan(dedupe._pairs(names, 0.92))
     long = names.selectExpr("rid", "repeat(key, 10) as key")
     assert "Broadcast" not in plan(dedupe._pairs(long, 0.92))
+
+
+def test_long_numbers_end_at_ascii_words(spark):
+    texts = ["4111 1111 1111 1111 Éa", "4111 1111 1111 1111é", "é4111 1111 1111 1111", "x4111111111111111", "4111-1111-1111-1111-x", "4111 1111 1111 1111"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", cells.masked(F.col("t")).alias("m")).orderBy("i")
+    assert [r.m for r in made.collect()] == ["••••1111 Éa", "••••1111é", "é••••1111", "x4111111111111111", "••••1111x", "••••1111"]
