@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridloom.functions import cells
-from gridloom.operators import dedupe
+from gridloom.operators import dedupe, invoices
 
 
 def plan(df):
@@ -22,3 +22,18 @@ def test_long_numbers_end_at_ascii_words(spark):
     texts = ["4111 1111 1111 1111 Éa", "4111 1111 1111 1111é", "é4111 1111 1111 1111", "x4111111111111111", "4111-1111-1111-1111-x", "4111 1111 1111 1111"]
     made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", cells.masked(F.col("t")).alias("m")).orderBy("i")
     assert [r.m for r in made.collect()] == ["••••1111 Éa", "••••1111é", "é••••1111", "x4111111111111111", "••••1111x", "••••1111"]
+
+
+def sums_in_plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+
+
+def _invoices(spark):
+    item = f"cast(array(struct('a', '2', '(3.50)', ''), struct('b', '', '$4', ' 8 '), struct('c', '1', 'x', 'NaN')) as array<{invoices.ITEM}>) as items"
+    return spark.range(3).selectExpr("id", item, "if(id = 0, ' ', '1,000.5') as subtotal", "if(id = 1, '', ' 2.25') as tax", "if(id = 1, '1002', '') as total")
+
+
+def test_gaps_read_the_items_once(spark):
+    made = invoices.fill_gaps(_invoices(spark)).select("id", "subtotal", "tax", "total", "items.amount", "items.quantity").orderBy("id")
+    assert sums_in_plan(made) == 1
+    assert [tuple(r) for r in made.collect()] == [(0, "", " 2.25", "", ["-7.00", " 8 ", "NaN"], ["2", "2.00", "1"]), (1, "1,000.5", "1.50", "1002", ["-7.00", " 8 ", "NaN"], ["2", "2.00", "1"]), (2, "1,000.5", " 2.25", "1002.75", ["-7.00", " 8 ", "NaN"], ["2", "2.00", "1"])]
