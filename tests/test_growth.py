@@ -37,3 +37,9 @@ def test_gaps_read_the_items_once(spark):
     made = invoices.fill_gaps(_invoices(spark)).select("id", "subtotal", "tax", "total", "items.amount", "items.quantity").orderBy("id")
     assert sums_in_plan(made) == 1
     assert [tuple(r) for r in made.collect()] == [(0, "", " 2.25", "", ["-7.00", " 8 ", "NaN"], ["2", "2.00", "1"]), (1, "1,000.5", "1.50", "1002", ["-7.00", " 8 ", "NaN"], ["2", "2.00", "1"]), (2, "1,000.5", " 2.25", "1002.75", ["-7.00", " 8 ", "NaN"], ["2", "2.00", "1"])]
+
+
+def test_checks_read_the_items_once(spark):
+    made = invoices.checked(_invoices(spark)).select("id", "items_review", "totals_review").orderBy("id")
+    assert sums_in_plan(made) == 1
+    assert [r.totals_review for r in made.collect()] == [False, False, False]
