@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .catalog import _RUNS, _VISIBLE_SQL, cell_query, formula_query, load, query, runs
 from .functions import addresses, cells
 from .operators import cache_files, dependents, formula, history, invoices, layout, lineage, records
+from .operators.lineage import spread
 from .operators.history_table import HistoryTable
 from .plans import workflow
 from .sources import files, pdf, tables
@@ -44,7 +45,7 @@ _PUBLIC = [0, 6, 9, 12, 16]
 def _(s, d):
     urls = F.array(*[F.replace(F.lit(u), F.lit(".#."), F.concat(F.lit("."), F.col("c_custkey") % 100, F.lit("."))) for u in _HOSTS])
     urls = F.transform(urls, lambda u: F.replace(u, F.lit("::#"), F.lit("::7")))
-    return load(s, d, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(urls).alias("n", "url")).select("id", "n", addresses.public_url("url").alias("public"))
+    return spread(load(s, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), F.posexplode(urls).alias("n", "url")).select("id", "n", addresses.public_url("url").alias("public"))
 
 
 # Pages of the table as they are.

@@ -50,7 +50,7 @@ def _public_v6(address: Column) -> Column:
     mapped = F.regexp_extract(address, r"\A(?:0*:)*:?(?:ffff:)(\d+\.\d+\.\d+\.\d+)\z", 1)
     group = F.conv(F.regexp_extract(address, r"\A([0-9a-f]{1,4}):", 1), 16, 10).cast("int")
     own = _named(group, lambda g: (g > 0) & ((g < 0xFC00) | ((g >= 0xFE00) & (g < 0xFE80))))
-    return F.when(mapped != "", _named(_v4(mapped), _public_v4)).otherwise(~address.startswith("::") & own)
+    return _named(mapped, lambda m: F.when(m != "", _named(_v4(m), _public_v4)).otherwise(~address.startswith("::") & own))
 
 
 def _public_host(host: Column) -> Column:
