@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from gridloom import catalog
 from gridloom.functions import cells
-from gridloom.operators import dedupe, invoices
+from gridloom.operators import dedupe, formula, invoices
 
 
 def plan(df):
@@ -43,3 +44,18 @@ def test_checks_read_the_items_once(spark):
     made = invoices.checked(_invoices(spark)).select("id", "items_review", "totals_review").orderBy("id")
     assert sums_in_plan(made) == 1
     assert [r.totals_review for r in made.collect()] == [False, False, False]
+
+
+def test_formulas_that_come_again_are_read_once(monkeypatch):
+    read, asked = formula.parse, []
+    monkeypatch.setattr(formula, "parse", lambda text: asked.append(text) or read(text))
+    for n in range(50):
+        cells_ = {(0, 0): str(n), (1, 0): "²", (0, 1): "=ROUND(SUM(A1,A1)+0*0,0)", (0, 2): "=IF(", (0, 3): "=A2*1"}
+        got = [formula.shown(formula.Sheet(cells_).value((0, c))) for c in (1, 2, 3)]
+        assert got == [str(2 * n), "#NAME?", "#VALUE!"]
+    assert asked.count("ROUND(SUM(A1,A1)+0*0,0)") == 1
+
+
+def test_addresses_of_a_small_table_are_dealt_to_all_tasks(spark):
+    made = catalog.QUERIES["public_urls"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" in plan(made)
