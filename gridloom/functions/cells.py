@@ -158,14 +158,16 @@ def normal_boolean(c: Column | str, spelling: str = "YES_NO") -> Column:
 
 def parse_number(c: Column | str) -> Column:
     """A number with currency marks, commas and accounting parentheses allowed, and nothing else; null otherwise."""
-    # A plain number needs no patterns, and what can be cast as it stands has no marks that they would take out.
-    plain = col(c).cast("string").try_cast("double")
+    # A plain number needs no other patterns, and what can be cast as it stands has no marks that they would take out.
+    # Texts that begin like none, empty ones above all, are not cast: a cast that fails costs more than all patterns.
+    text = col(c).cast("string")
+    plain = F.when(text.rlike(r"\A[\x00-\x20]*[+-]?[.\dIiNn]"), text.try_cast("double"))
     v = ws_trim(c)
     negative = (F.length(v) > 1) & v.startswith("(") & v.endswith(")")
     inner = F.when(negative, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
     n = F.regexp_replace(F.regexp_replace(inner, r"(?i)\b(INR|USD|EUR|GBP|Rs\.?)\s*", ""), r"[₹$€£,\s]", "")
     n = F.when(n != "", n).try_cast("double")
-    return F.when(plain.isNotNull(), plain).when(col(c).cast("string") != "", F.when(negative, -F.abs(n)).otherwise(n))
+    return F.coalesce(plain, F.when(text != "", F.when(negative, -F.abs(n)).otherwise(n)))
 
 
 def format_number(x: Column, decimals: int = 2) -> Column:

@@ -1,10 +1,11 @@
 """What broke on larger tables: joins by their plans, texts at the edges of words, work done more than once by counting it."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom import catalog
 from gridloom.functions import cells
-from gridloom.operators import dedupe, formula, invoices
+from gridloom.operators import dedupe, formula, invoices, receipt_tables
 
 
 def plan(df):
@@ -59,3 +60,21 @@ def test_formulas_that_come_again_are_read_once(monkeypatch):
 def test_addresses_of_a_small_table_are_dealt_to_all_tasks(spark):
     made = catalog.QUERIES["public_urls"](spark, "/root/testdata/sf0.001")
     assert "Exchange" in plan(made)
+
+
+def test_scans_are_read_by_columns(spark):
+    ints = [(k, pa.int32()) for k in ("left", "top", "right", "bottom")]
+    kind = pa.list_(pa.struct([("text", pa.string()), ("top", pa.int32()), ("bottom", pa.int32()), ("words", pa.list_(pa.struct([("text", pa.string()), *ints])))]))
+    word = lambda t, x: {"text": t, "left": x, "top": 0, "right": x + 40, "bottom": 20}
+    line = lambda text, words: {"text": text, "top": 0, "bottom": 20, "words": words}
+    scans = pa.array([[line("no", [word("no", 0)])], None, [line("Tea 4.00", [word("Tea", 0), word("4.00", 200)]), line(None, None)], [], [line("x", [word(None, 0), word("x", 45)])]], kind)
+    read = [[(x.text, x.height, [(c.text, c.left, c.right) for c in x.cells]) for x in lines] for lines in receipt_tables.scanned(scans.slice(1))]
+    assert read == [[], [("Tea 4.00", 20, [("Tea", 0, 40), ("4.00", 200, 240)]), ("", 20, [])], [], [("x", 20, [(" x", 0, 85)])]]
+    assert "Pandas" not in plan(receipt_tables.extract(spark.range(1).selectExpr("id as doc_id", "'' as text", f"cast(null as {receipt_tables.LINES}) as lines")))
+
+
+def test_texts_that_begin_like_no_number_are_not_cast_as_they_stand(spark):
+    texts = ["", " ", "$4", " 8 ", "\t-1e3", "(2)", "NaN", "-Infinity", ".5", "+.5", "x1", "1x", "\u00a07", "1,000.5", "Rs. 3", None]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", cells.parse_number("t").alias("x"), F.expr("try_cast(t as double)").alias("plain")).orderBy("i").collect()
+    assert [str(r.x) for r in made] == ["None", "None", "4.0", "8.0", "-1000.0", "-2.0", "nan", "-inf", "0.5", "0.5", "None", "None", "7.0", "1000.5", "3.0", "None"]
+    assert all(str(r.x) == str(r.plain) for r in made if r.plain is not None)
