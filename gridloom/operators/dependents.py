@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .formula import references
-from .lineage import cut, written
+from .lineage import cut, spread, written
 
 #: Rows of a block.
 BLOCK = 32_768
@@ -32,7 +32,7 @@ def named(cells: DataFrame) -> DataFrame:
 
     formulas = cells.where(F.col("input").startswith("=") & (F.length("input") > 1) & F.col("row").isNotNull() & F.col("col").isNotNull())
     typed = formulas.select(F.coalesce(F.col("sheet").cast("string"), F.lit("")).alias("sheet"), F.col("row").cast("long"), F.col("col").cast("long"), "input")
-    return typed.mapInPandas(run, "sheet string, row long, col long, top long, left long, bottom long, right long")
+    return spread(typed).mapInPandas(run, "sheet string, row long, col long, top long, left long, bottom long, right long")
 
 
 def buckets(low: int, high: int) -> list[tuple[int, int]]:

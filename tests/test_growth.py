@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom import catalog
 from gridloom.functions import cells
-from gridloom.operators import dedupe, formula, invoices, receipt_tables
+from gridloom.operators import dedupe, dependents, formula, invoices, receipt_tables
 
 
 def plan(df):
@@ -78,3 +78,10 @@ def test_texts_that_begin_like_no_number_are_not_cast_as_they_stand(spark):
     made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", cells.parse_number("t").alias("x"), F.expr("try_cast(t as double)").alias("plain")).orderBy("i").collect()
     assert [str(r.x) for r in made] == ["None", "None", "4.0", "8.0", "-1000.0", "-2.0", "nan", "-inf", "0.5", "0.5", "None", "None", "7.0", "1000.5", "3.0", "None"]
     assert all(str(r.x) == str(r.plain) for r in made if r.plain is not None)
+
+
+def test_formulas_of_a_small_table_are_read_by_all_tasks(spark, tmp_path):
+    spark.range(1, 40).selectExpr("'s' as sheet", "id as row", "0 as col", "concat('=B', id) as input").coalesce(1).write.parquet(f"{tmp_path}/cells")
+    made = dependents.named(spark.read.parquet(f"{tmp_path}/cells"))
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted((r.row, r.top, r.left) for r in made.collect()) == [(i, i - 1, 1) for i in range(1, 40)]
