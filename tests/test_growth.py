@@ -1,5 +1,7 @@
 """What broke on larger tables: joins by their plans, texts at the edges of words, work done more than once by counting it."""
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -57,6 +59,22 @@ def test_formulas_that_come_again_are_read_once(monkeypatch):
     assert asked.count("ROUND(SUM(A1,A1)+0*0,0)") == 1
 
 
+def test_formulas_are_worked_out_once_for_the_same_inputs(monkeypatch):
+    root, asked = formula.FUNCTIONS["SQRT"], []
+    monkeypatch.setitem(formula.FUNCTIONS, "SQRT", lambda args: asked.append(args) or root(args))
+    formula._result.cache_clear()
+    for n in range(60):
+        inputs = {(0, 0): str(n % 3), (1, 0): "1.0" if n % 2 else "TRUE", (0, 1): "=SQRT(A1)&A2", (0, 2): "=B1+1", (0, 3): "=D1", (0, 4): "=SQRT(A1:A1)"}
+        if n % 2:
+            del inputs[0, 0]
+        sheet = formula.Sheet(inputs)
+        x = formula.shown(0.0 if n % 2 else math.sqrt(n % 3))
+        assert [formula.shown(sheet.value((0, c))) for c in (1, 3)] == [x + ("1" if n % 2 else "TRUE"), "#CIRCULAR!"]
+    assert len(asked) == 4
+    assert formula.shown(formula.Sheet({(0, 0): "=2+2", (0, 1): "=SQRT(A1)"}).value((0, 1))) == "2"
+    formula._result.cache_clear()
+
+
 def test_addresses_of_a_small_table_are_dealt_to_all_tasks(spark):
     made = catalog.QUERIES["public_urls"](spark, "/root/testdata/sf0.001")
     assert "Exchange" in plan(made)
