@@ -75,6 +75,15 @@ def test_formulas_are_worked_out_once_for_the_same_inputs(monkeypatch):
     formula._result.cache_clear()
 
 
+def test_rows_of_sheets_are_neither_joined_nor_put_into_fewer_tasks(spark):
+    some = [("a", 5, 3, "x"), ("a", 2, 1, "y"), ("a", 2, 2, " "), ("a", 9, 9, " "), ("a", 0, 0, ""), ("a", 3, 0, " "), ("a", 3, 2, " "), ("b", 7, 7, "z"), ("c", 1, 1, " "), ("", 0, 0, "u"), ("", 0, 1, None)]
+    cells_ = spark.createDataFrame(some, "sheet string, row int, col int, input string").withColumn("display", F.concat("input", F.lit("!")))
+    made = formula.sheet_rows(cells_)
+    assert "Join" not in plan(made) and made.rdd.getNumPartitions() == 4
+    got = {(r.sheet, r.row): r.cells for r in made.collect()}
+    assert got == {("a", 2): ["y!", " !", ""], ("a", 3): ["", " !", ""], ("a", 4): [""] * 3, ("a", 5): ["", "", "x!"], ("b", 7): ["z!"], ("", 0): ["u!"]}
+
+
 def test_addresses_of_a_small_table_are_dealt_to_all_tasks(spark):
     made = catalog.QUERIES["public_urls"](spark, "/root/testdata/sf0.001")
     assert "Exchange" in plan(made)
