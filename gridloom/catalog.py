@@ -298,7 +298,7 @@ def _(s, d):
     return emails.list_quality(messy(s, d, CUSTOMER))
 
 
-@query("privacy_mask", r"select doc_id, regexp_replace(regexp_replace(substring(text, 1, 300), '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***@\2', 'g'), '\b(?:\d[ -]?){8,15}(\d)[ -]?(\d)[ -]?(\d)[ -]?(\d)[ -]?\b', '••••\1\2\3\4', 'g') as masked from documents")
+@query("privacy_mask", r"select doc_id, regexp_replace(regexp_replace(text, '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***@\2', 'g'), '\b(?:\d[ -]?){8,15}(\d)[ -]?(\d)[ -]?(\d)[ -]?(\d)[ -]?\b', '••••\1\2\3\4', 'g') as masked from documents")
 def _(s, d):
     return load(s, d, "documents").select("doc_id", cells.masked("text").alias("masked"))
 

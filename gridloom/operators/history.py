@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import masked
+from ..functions.cells import masked_preview
 
 COLUMNS = "id bigint, feature string, inputHash string, inputLabel string, outputPreview string, outputPath string, qualityScore int, status string, retryCount int, durationMs bigint, timestamp bigint"
 
@@ -66,7 +66,7 @@ def run_quality(ok: int, steps: int) -> int:
 
 def recorded(runs: DataFrame) -> DataFrame:
     """Rows as the history keeps them: previews cut and masked, scores from 0 to 100."""
-    return runs.withColumns({"outputPreview": masked("outputPreview"), "qualityScore": F.greatest(F.lit(0), F.least(F.lit(100), F.col("qualityScore")))})
+    return runs.withColumns({"outputPreview": masked_preview("outputPreview"), "qualityScore": F.greatest(F.lit(0), F.least(F.lit(100), F.col("qualityScore")))})
 
 
 def inserted(rows: DataFrame, more: DataFrame) -> DataFrame:

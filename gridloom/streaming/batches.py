@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.cells import content_key, masked, text_quality
+from ..functions.cells import content_key, masked_preview, text_quality
 from ..operators.history_table import HistoryTable
 
 ATTEMPTS, FIRST_MS, LONGEST_MS = 3, 500, 8000
@@ -50,7 +50,7 @@ def scored(texts: DataFrame, feature: str = "BATCH_TEXT") -> DataFrame:
     """(path, text) as history rows; a text that is blank counts as failed."""
     quality = text_quality("text")
     more = [F.col("retryCount")] if "retryCount" in texts.columns else []
-    return texts.select(*more, F.lit(feature).alias("feature"), content_key("text").alias("inputHash"), F.col("path").alias("inputLabel"), masked("text").alias("outputPreview"), quality.alias("qualityScore"), F.when(quality > 0, "SUCCESS").otherwise("FAILED").alias("status"))
+    return texts.select(*more, F.lit(feature).alias("feature"), content_key("text").alias("inputHash"), F.col("path").alias("inputLabel"), masked_preview("text").alias("outputPreview"), quality.alias("qualityScore"), F.when(quality > 0, "SUCCESS").otherwise("FAILED").alias("status"))
 
 
 RETRIED = "path string, text string, retryCount int, error string"

@@ -112,6 +112,29 @@ def test_masks_of_all_documents(spark):
     assert {r.i: r.m for r in made.collect()} == {i: brute(t) for i, t in enumerate(odd)}
 
 
+def test_masks_go_to_the_end_of_texts(spark):
+    from gridloom import catalog
+
+    def brute(t):
+        t = re.sub(r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", r"\1***@\2", t)
+        return re.sub(r"\b(?:[0-9][ -]?){12,19}\b", lambda m: "••••" + re.sub("[^0-9]", "", m[0])[-4:], t)
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r.masked for r in catalog.QUERIES["privacy_mask"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in texts.items()}
+    assert any(brute(t)[300:] != t[300:] and brute(t[:300]) == t[:300] for t in texts.values() if t)
+    # Names that touch the address before them, names without an address, and one that the old cut would have parted.
+    odd = ["a b " * 100 + "john.doe@x.com, 4111 1111 1111 1111.", "a@b.com_c@d.org", "a@b.c0@d.org-x@y", "ab@cd@ef.gh@ij.kl", "a@b.com.@c.de", "@a.bc x@y.z1 q@r.st", "z" * 295 + "@long.org"]
+    assert values(spark, odd, cells.masked) == [brute(t) for t in odd]
+    long = "x" * 300_000
+    assert values(spark, [f"{long} {long}@y.org {'a@' * 50_000} {'1-' * 6} z"], cells.masked) == [f"{long} x***@y.org {'a@' * 50_000} {'1-' * 6} z"]
+
+
+def test_previews_are_cut_before_they_are_masked(spark):
+    texts = ["a b " * 74 + "john.doe@x.com", "a b " * 75 + "john.doe@x.com", "john.doe@x.com " + "y" * 300]
+    assert values(spark, texts, cells.masked_preview) == ["a b " * 74 + "john", "a b " * 75, "j***@x.com " + "y" * 285]
+
+
 def test_similar_rows_of_a_long_chain(spark):
     from gridloom.operators import dedupe
 
